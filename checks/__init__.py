@@ -1,3 +1,3 @@
 """Registered queries; importing the package fills the registry."""
 
-from checks import corpus_queries  # noqa: F401
+from checks import corpus_queries, deck_queries, score_queries  # noqa: F401

@@ -242,9 +242,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "stats")
     jsonl.write_stats(plans.prepare_stats(split), path)
     return spark.read.text(path).select(
-        F.get_json_object("value", "$.corpora.sciq.total").cast("long").alias("sciq_total"),
+        F.get_json_object("value", "$.sciq.total").cast("long").alias("sciq_total"),
         F.round(
-            F.get_json_object("value", "$.corpora.sciq.avg_user_len").cast("double"), 6
+            F.get_json_object("value", "$.sciq.avg_user_len").cast("double"), 6
         ).alias("sciq_user_len"),
         F.get_json_object("value", "$.combined.train.count").cast("long").alias("train"),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Follows the text inside a list, so that anything left over after the first JSON value
@@ -10,25 +12,43 @@ from pyspark.sql import functions as F
 _END = "␞ end of text ␞"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once per row however often they are used.
+
+    The optimizer copies a projected expression into every filter and column that refers to
+    it; it does not copy the output of a generator.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def whole_json(col: Column) -> Column:
     """The text as a variant when all of it is one JSON value, else null."""
     pair = F.try_variant_get(
         F.try_parse_json(F.concat(F.lit("["), col, F.lit(f',"{_END}"]'))), "$", "array<variant>"
     )
-    complete = (F.size(pair) == 2) & (
-        F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == _END
-    )
-    return F.when(complete, F.get(pair, F.lit(0)))
+
+    def first(pair: Column) -> Column:
+        end = F.try_variant_get(F.get(pair, F.lit(1)), "$", "string")
+        return F.when((F.size(pair) == 2) & (end == _END), F.get(pair, F.lit(0)))
+
+    return bind(pair, first)
 
 
-def is_list(variant: Column) -> Column:
-    return F.schema_of_variant(variant).startswith("ARRAY")
+def as_list(variant: Column) -> Column:
+    """The elements of a JSON list; null for anything else."""
+    return F.try_variant_get(variant, "$", "array<variant>")
 
 
 def is_object(variant: Column) -> Column:
     return F.schema_of_variant(variant).startswith("OBJECT")
 
 
-def object_keys(variant: Column) -> Column:
-    """The top-level keys; null for anything but an object."""
-    return F.json_object_keys(F.to_json(variant))
+def has_key(variant: Column, key: str) -> Column:
+    """Whether an object has the key, be its value null or not; false for other values."""
+    return F.try_variant_get(variant, f"$.{key}", "variant").isNotNull()

@@ -253,7 +253,6 @@ def _lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - open_bits.bit_count()
 
 
-@F.pandas_udf("double")
 def _rouge_l(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for hyps, refs in pairs:
         scores = []
@@ -271,7 +270,8 @@ def rouge_tokens(col: Column | str) -> Column:
 
 def rouge_l(df: DataFrame, hyp: str, ref: str, *by: str) -> DataFrame:
     """Mean F-measure of the longest common subsequence (Lin 2004) per group."""
-    scored = df.select(*by, _rouge_l(rouge_tokens(hyp), rouge_tokens(ref)).alias("f"))
+    score = F.pandas_udf(_rouge_l, "double")
+    scored = df.select(*by, score(rouge_tokens(hyp), rouge_tokens(ref)).alias("f"))
     return scored.groupBy(*by).agg(F.avg("f").alias("rouge_l"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.json import is_list, object_keys, whole_json
+from lectern.functions.json import as_list, has_key, once, whole_json
 from lectern.functions.text import or_empty
 
 
@@ -26,22 +29,13 @@ def parse_quiz(df: DataFrame, raw: str = "raw") -> DataFrame:
     The whole text is tried first; only when it is no JSON at all, the fenced list.
     """
     text = F.col(raw)
-    whole = whole_json(text)
-    parsed = F.coalesce(whole, whole_json(_fenced_list(text)))
-    return (
-        df.withColumn("_json", parsed)
-        .withColumn(
-            "parsed", F.when(is_list(F.col("_json")), F.col("_json").cast("array<variant>"))
-        )
-        .drop("_json")
-    )
+    json = F.coalesce(whole_json(text), whole_json(_fenced_list(text)))
+    return once(df, parsed=as_list(json))
 
 
 def _complete(item: Column) -> Column:
     """Whether an item is an object with the four keys; their values may be null."""
-    keys = object_keys(item)
-    have = F.size(F.array_intersect(keys, F.array(*[F.lit(k) for k in fixed.QUIZ_KEYS])))
-    return F.coalesce(have == len(fixed.QUIZ_KEYS), F.lit(False))
+    return reduce(and_, [has_key(item, key) for key in fixed.QUIZ_KEYS])
 
 
 def _item(item: Column) -> Column:
@@ -59,17 +53,13 @@ def _item(item: Column) -> Column:
 def check_quiz(df: DataFrame, raw: str = "raw", num_questions: int = 3) -> DataFrame:
     """``items`` of good quizzes, or the ``error`` of bad ones; ``count_differs`` flags a
     good quiz with another number of questions than asked for."""
-    complete = F.forall("parsed", _complete)
     error = F.when(F.col("parsed").isNull(), fixed.QUIZ_NOT_A_LIST).when(
-        ~complete, fixed.QUIZ_BAD_ITEM
-    )
-    return (
-        parse_quiz(df, raw)
-        .withColumn("error", error)
-        .withColumn("items", F.when(F.col("error").isNull(), F.transform("parsed", _item)))
-        .withColumn("count_differs", F.size("items") != num_questions)
-        .drop("parsed")
+        ~F.forall("parsed", _complete), fixed.QUIZ_BAD_ITEM
     )
+    judged = once(parse_quiz(df, raw), error=error)
+    items = F.when(F.col("error").isNull(), F.transform("parsed", _item))
+    read = once(judged, items=items).drop("parsed")
+    return read.withColumn("count_differs", F.size("items") != num_questions)
 
 
 def answer_of(item: Column) -> Column:

@@ -2,20 +2,25 @@
 
 The random order of a row is ``md5(seed:key)``. ``key`` must be a unique row id. A sample
 or split of an exact size needs the hash at a given rank; it is found by counting rows per
-hash prefix, so that no step sorts the data or brings it into one task: 65,536 counters
-find the first four hex digits, 65,536 more the next four, and only the rows that share
-all eight (one in four billion) are compared one by one. The result is a threshold, and
-selecting rows is a plain filter without a shuffle.
+hash prefix, so that no step sorts the data or brings it into one task. Three hex digits
+make 4,096 counters; the counter that holds the rank is counted again by three more digits
+until it covers few rows, and only those are compared one by one. Each step reads nothing
+but the key and gives the driver one row. The result is a threshold, and selecting rows is
+a plain filter without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
+HASH_DIGITS = 32
+DIGITS = 3
+FEW_ROWS = 500_000
 
 
 def concat_sets(*dfs: DataFrame) -> DataFrame:
@@ -33,31 +38,31 @@ def seeded_shuffle(df: DataFrame, key: str = "key", seed: int | str = DEFAULT_SE
     return df.orderBy(random_order(key, seed), key)
 
 
-def _threshold(hashes: DataFrame, k: Column) -> DataFrame:
-    """One row with the hash ``cut`` of rank ``k``; null when ``k`` is 0 or there are no rows."""
-    digits = 4, 8, 32
-    rows, rank, found = hashes.select("h"), k, None
-    for n in digits:
-        prefix = F.left("h", F.lit(n))
-        counts = rows.groupBy(prefix.alias("p")).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-        found = (
-            counts.withColumn("upto", upto)
-            .withColumn("left", rank - F.col("upto") + F.col("n"))
-            .filter((F.col("upto") >= rank) & (rank > 0))
-            .agg(F.min_by(F.struct("p", "left"), "p").alias("hit"))
-        )
-        rows = rows.filter(prefix == found.select("hit.p").scalar())
-        rank = found.select("hit.left").scalar()
-    return found.select(F.col("hit.p").alias("cut"))
-
-
-def _first_in_order(df: DataFrame, key: str, seed: int | str, k) -> Column:
+def _threshold(hashes: DataFrame, k: Callable[[Column], Column]) -> str | None:
+    """The hash of rank ``k(n)`` among ``n`` rows; none when there is no such rank."""
+    prefix, digits, rank = "", DIGITS, None
+    while True:
+        rows = hashes.filter(F.startswith("h", F.lit(prefix)))
+        counts = rows.groupBy(F.left("h", F.lit(digits)).alias("p")).agg(F.count("*").alias("n"))
+        # At most one row per prefix, so these windows are small whatever the data.
+        in_order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        wanted = k(F.sum("n").over(whole)).cast("long") if rank is None else F.lit(rank)
+        ranked = counts.withColumn("upto", F.sum("n").over(in_order)).withColumn("rank", wanted)
+        here = (F.col("rank") > 0) & F.col("rank").between(F.col("upto") - F.col("n") + 1, F.col("upto"))
+        hit = ranked.filter(here).first()
+        if hit is None or digits == HASH_DIGITS:
+            return hit and hit["p"]
+        prefix, rank = hit["p"], hit["rank"] - hit["upto"] + hit["n"]
+        digits = HASH_DIGITS if hit["n"] <= FEW_ROWS else min(digits + DIGITS, HASH_DIGITS)
+
+
+def _first_in_order(
+    df: DataFrame, key: str, seed: int | str, k: Callable[[Column], Column]
+) -> Column:
     """True for the ``k(n)`` first rows in random order, where ``n`` counts all rows."""
-    hashes = df.select(random_order(key, seed).alias("h"))
-    total = df.agg(F.count("*").alias("n")).select(k(F.col("n")).cast("long").alias("k")).scalar()
-    cut = _threshold(hashes, total).scalar()
-    return F.coalesce(random_order(key, seed) <= cut, F.lit(False))
+    cut = _threshold(df.select(random_order(key, seed).alias("h")), k)
+    return F.lit(False) if cut is None else random_order(key, seed) <= cut
 
 
 def sample_n(df: DataFrame, n: int, key: str = "key", seed: int | str = DEFAULT_SEED) -> DataFrame:

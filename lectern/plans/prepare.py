@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import fixed
 from lectern.operators.chat import (
     augment_analogy,
     augment_examples,
@@ -40,20 +41,22 @@ def prepare(sources: dict[str, DataFrame], n: int | None = None) -> DataFrame:
     return concat_sets(*parts).withColumn("key", F.concat_ws(":", "corpus", "key"))
 
 
-def prepare_stats(split: DataFrame) -> DataFrame:
+def prepare_stats(split: DataFrame, corpora: Iterable[str] = fixed.CORPORA) -> DataFrame:
     """One row: length statistics per corpus, record counts per split."""
-    by_corpus = length_stats(split, "corpus").select(
-        "corpus", F.struct("total", "avg_user_len", "avg_assistant_len").alias("s")
+    lengths = length_stats(split, "corpus").withColumnRenamed("corpus", "name")
+    counts = split_counts(split).select(
+        F.concat(F.lit("split "), "split").alias("name"), F.col("rows").alias("total")
     )
-    corpora = by_corpus.agg(F.map_from_entries(F.collect_list(F.struct("corpus", "s"))).alias("m"))
-    counts = split_counts(split).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("split", F.struct(F.col("rows").alias("count"))))
-        ).alias("m")
-    )
-    # Both frames have one row, and maps with one entry per corpus and per split.
-    return corpora.select(
-        F.col("m").alias("corpora"), counts.select("m").scalar().alias("combined")
+    rows = lengths.unionByName(counts, allowMissingColumns=True)
+
+    def of(name: str, *columns: Column | str) -> Column:
+        return F.max(F.when(F.col("name") == name, F.struct(*columns)))
+
+    count = F.col("total").alias("count")
+    combined = [of(f"split {s}", count).alias(s) for s in ("train", "val")]
+    return rows.agg(
+        *[of(c, "total", "avg_user_len", "avg_assistant_len").alias(c) for c in corpora],
+        F.struct(*combined).alias("combined"),
     )
 
 
@@ -82,7 +85,7 @@ def run_prepare(
     for name in ("train", "val"):
         part = seeded_shuffle(split.filter(F.col("split") == name), "key", seed)
         write_chat_jsonl(part, f"{out}/combined_{name}.jsonl")
-    stats = prepare_stats(split)
+    stats = prepare_stats(split, sources)
     write_stats(stats, f"{out}/dataset_stats.json")
     return stats
 
@@ -147,7 +150,9 @@ def run_augment(
     )
     write_chat_jsonl(ordered, f"{out}/combined_augmented.jsonl")
     stats = augmentation_stats(stage)
-    counts = stats.agg(F.map_from_entries(F.collect_list(F.struct("kind", "records"))).alias("counts"))
+    records = F.col("records")
+    kinds = ("original", *FILES, "combined_augmented")
+    counts = stats.agg(*[F.sum(F.when(F.col("kind") == k, records).otherwise(0)).alias(k) for k in kinds])
     write_stats(counts, f"{out}/augmentation_stats.json")
     return stats
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.json import is_object, object_keys, whole_json
+from lectern.functions.json import has_key, is_object, once, whole_json
 from lectern.functions.text import clean_text
 from lectern.schemas import MESSAGES
 
@@ -28,27 +28,20 @@ class ChatRead(NamedTuple):
 def _reason(variant: Column) -> Column:
     return (
         F.when(variant.isNull(), BAD_JSON)
-        .when(~is_object(variant), NOT_AN_OBJECT)
-        .when(~F.array_contains(object_keys(variant), "messages"), NO_MESSAGES_KEY)
+        .when(has_key(variant, "messages"), None)
+        .when(is_object(variant), NO_MESSAGES_KEY)
+        .otherwise(NOT_AN_OBJECT)
     )
 
 
 def classify_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Non-blank lines with the reason to drop them, null for good ones."""
-    return (
-        lines.withColumn("line", clean_text(column))
-        .filter(F.length("line") > 0)
-        .withColumn("_json", whole_json(F.col("line")))
-        .withColumn("reason", _reason(F.col("_json")))
-        .drop("_json")
-    )
-
-
-def messages_of(line: Column) -> Column:
-    """The messages of a good line; null when they are not a list."""
-    schema = T.StructType([T.StructField("messages", MESSAGES)])
-    listed = F.get_json_object(line, "$.messages").startswith("[")
-    return F.when(listed, F.from_json(line, schema)["messages"])
+    """Non-blank lines, each parsed once: ``line``, ``reason`` (why it cannot be used, null
+    for good ones) and ``messages`` (null when they are not a list)."""
+    text = lines.withColumn("line", clean_text(column)).filter(F.length("line") > 0)
+    parsed = once(text, _json=whole_json(F.col("line")))
+    messages = F.try_variant_get("_json", "$.messages", MESSAGES.simpleString())
+    judged = once(parsed, reason=_reason(F.col("_json")), messages=messages)
+    return judged.drop("_json")
 
 
 def parse_chat_lines(lines: DataFrame, column: str = "value") -> ChatRead:
@@ -57,7 +50,7 @@ def parse_chat_lines(lines: DataFrame, column: str = "value") -> ChatRead:
     carried = [c for c in lines.columns if c != column]
     good = classified.filter(F.col("reason").isNull())
     return ChatRead(
-        good.select(*carried, messages_of(F.col("line")).alias("messages")),
+        good.select(*carried, "messages"),
         classified.filter(F.col("reason").isNotNull()).select(*carried, "reason", "line"),
     )
 

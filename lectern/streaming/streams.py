@@ -12,9 +12,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions import fixed
+from lectern.functions.json import once
 from lectern.operators.chat import violations_of
 from lectern.operators.sessions import FOLLOW_UPS
-from lectern.sources.jsonl import as_json_line, classify_lines, messages_of
+from lectern.sources.jsonl import as_json_line, classify_lines
 
 
 def read_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -25,13 +26,8 @@ def read_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFra
 def judge_lines(lines: DataFrame) -> DataFrame:
     """Each non-blank line with its messages or the reasons against it: why it cannot be
     read, else the rules it breaks."""
-    read = classify_lines(lines).withColumn(
-        "messages", F.when(F.col("reason").isNull(), messages_of(F.col("line")))
-    )
-    return read.withColumn(
-        "reasons",
-        F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(violations_of()),
-    )
+    reasons = F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(violations_of())
+    return once(classify_lines(lines), reasons=reasons)
 
 
 def _to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
