@@ -13,7 +13,7 @@ from lectern.functions import fixed, prompts
 from lectern.functions.text import concept_topic, topic_of
 from lectern.operators import context, decks, hooks, quiz
 from lectern.plans import explain
-from lectern.sources.decks import parse_decks
+from lectern.sources.decks import parse_decks, stage_decks
 
 # --- decks ---------------------------------------------------------------------------
 
@@ -68,8 +68,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     workers=True,
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    images = decks.deck_images(parse_decks(deck_files(spark, folder)))
-    sized = decks.image_dimensions(decks.with_sha1(images))
+    images = stage_decks(deck_files(spark, folder)).images
+    sized = decks.image_dimensions(images)
     return decks.dedup_images(sized).select(
         "deck",
         "slide_number",

@@ -64,12 +64,10 @@ def finish_slides(rows: DataFrame) -> DataFrame:
 
 
 def deck_images(rows: DataFrame) -> DataFrame:
-    """One row per picture: ``deck, slide_number, ordinal, shape_name, image_format, blob``."""
-    return (
-        rows.filter(F.size("pictures") > 0)
-        .select("deck", "slide_number", F.explode("pictures").alias("p"))
-        .select("deck", "slide_number", "p.ordinal", "p.shape_name", "p.image_format", "p.blob")
-    )
+    """One row per picture: ``deck, slide_number, ordinal, shape_name, image_format, sha1,
+    blob``."""
+    pictures = rows.select("deck", "slide_number", F.explode("pictures").alias("p"))
+    return pictures.select("deck", "slide_number", "p.*")
 
 
 def with_sha1(images: DataFrame) -> DataFrame:

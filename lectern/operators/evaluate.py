@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
+from lectern.functions.json import once
 from lectern.functions.text import occurrences, or_empty
 
 # Accepted length, length of a sample, the digits beyond the decimal ones.
@@ -172,37 +173,48 @@ def bleu_tokens(col: Column | str) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def _ngrams(tokens: Column, n: int, in_hyp: int) -> Column:
-    """The n-grams of one side, as (order, n-gram, count in hyp, count in ref)."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    gram = lambda i: F.array_join(F.slice(tokens, i, n), " ")
-    rows = F.transform(starts, lambda i: _gram(n, gram(i), in_hyp, 1 - in_hyp))
-    return F.coalesce(rows, F.array().cast(_GRAM))
+def _ngrams(tokens: DataFrame, keep: list[str]) -> DataFrame:
+    """The n-grams (n = 1..4) of ``tokens`` as ``n, gram``.
 
+    Each token meets the ones after it by zipping the list with itself, shifted; and a text
+    without tokens gives a row of order 0, which keeps its group.
+    """
+    orders = range(1, MAX_ORDER + 1)
+    shifted = [F.slice("tokens", n, F.size("tokens")).alias(f"t{n}") for n in orders]
+    words = tokens.select(*keep, F.inline_outer(F.arrays_zip(*shifted)))
+    longest = [F.col(f"t{n}") for n in orders]
 
-_GRAM = "array<struct<n:int,gram:string,hyp:int,ref:int>>"
+    def gram(n: int) -> Column:
+        order = F.when(longest[n - 1].isNotNull(), n)
+        return F.struct(order.alias("n"), F.concat_ws(" ", *longest[:n]).alias("gram"))
 
-
-def _gram(n: int, text: Column, hyp: int, ref: int) -> Column:
-    return F.struct(
-        F.lit(n).alias("n"), text.alias("gram"), F.lit(hyp).alias("hyp"), F.lit(ref).alias("ref")
-    )
+    none = F.struct(F.when(longest[0].isNull(), 0).alias("n"), F.lit("").alias("gram"))
+    grams = words.select(*keep, F.inline(F.array(none, *map(gram, orders))))
+    return grams.filter(F.col("n").isNotNull())
 
 
 def ngram_totals(df: DataFrame, key: str, hyp: str, ref: str, by: list[str]) -> DataFrame:
     """Per group: ``matched_n``, ``hyp_n`` and ``ref_n`` for n = 1..4.
 
-    Both sides are counted in one grouping by pair and n-gram, so no join is needed; a
-    much-repeated n-gram is summed before the shuffle.
+    Only the texts are shuffled, by pair; their n-grams, many times as large, are counted
+    where they are made, since pair and n-gram are then already together.
     """
-    sides = [(F.col("_h"), 1), (F.col("_r"), 0)]
-    grams = [_ngrams(t, n, side) for t, side in sides for n in range(1, MAX_ORDER + 1)]
-    present = F.array(_gram(0, F.lit(""), 0, 0))  # keeps groups without any token
+    keep = [key, *by]
+    pairs = df.select(*keep, hyp, ref).repartition(key)
+    sides = F.array(
+        F.struct(F.lit(1).alias("side"), F.col(hyp).alias("text")),
+        F.struct(F.lit(0).alias("side"), F.col(ref).alias("text")),
+    )
+    texts = pairs.select(*keep, F.inline(sides))
+    tokens = once(texts, tokens=bleu_tokens("text")).drop("text")
+    counted = F.when(F.col("n") > 0, 1).otherwise(0)
     counts = (
-        df.select(key, *by, bleu_tokens(hyp).alias("_h"), bleu_tokens(ref).alias("_r"))
-        .select(key, *by, F.explode(F.concat(present, *grams)).alias("g"))
-        .groupBy(key, *by, "g.n", "g.gram")
-        .agg(F.sum("g.hyp").alias("hyp"), F.sum("g.ref").alias("ref"))
+        _ngrams(tokens, [*keep, "side"])
+        .groupBy(*keep, "n", "gram")
+        .agg(
+            F.sum(counted * F.col("side")).alias("hyp"),
+            F.sum(counted * (1 - F.col("side"))).alias("ref"),
+        )
     )
     sums = []
     for n in range(1, MAX_ORDER + 1):

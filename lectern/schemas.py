@@ -36,6 +36,7 @@ PICTURE = T.StructType(
         T.StructField("ordinal", T.IntegerType()),
         T.StructField("shape_name", T.StringType()),
         T.StructField("image_format", T.StringType()),
+        T.StructField("sha1", T.StringType()),
         T.StructField("blob", T.BinaryType()),
     ]
 )

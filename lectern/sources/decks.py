@@ -6,21 +6,22 @@ is relational (``operators/decks.py``).
 
 from __future__ import annotations
 
+import hashlib
 import io
 import logging
 import posixpath
 import zipfile
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.operators.decks import deck_images, finish_slides, quarantine
 from lectern.schemas import DECK_ROW
+from lectern.session import fresh_path
 
 log = logging.getLogger(__name__)
 
@@ -109,6 +110,7 @@ def _picture(node: ElementTree.Element, relations: dict, archive: zipfile.ZipFil
     return {
         "shape_name": _shape_name(node, "nvPicPr"),
         "image_format": next(known, by_suffix),
+        "sha1": hashlib.sha1(blob).hexdigest(),
         "blob": blob,
     }
 
@@ -208,12 +210,22 @@ def read_decks(spark: SparkSession, path: str) -> DataFrame:
     return parse_decks(deck_files(spark, path))
 
 
-def ingest_decks(spark: SparkSession, path: str, out: str) -> dict[str, DataFrame]:
-    """Read decks once, into Parquet at ``out``; gives the slides, images and errors there."""
-    read_decks(spark, path).write.mode("overwrite").parquet(out)
-    rows = spark.read.schema(DECK_ROW).parquet(out)
-    return {
-        "slides": finish_slides(rows),
-        "images": deck_images(rows),
-        "errors": quarantine(rows).select("deck", "slide_number", F.col("error")),
-    }
+class Decks(NamedTuple):
+    slides: DataFrame
+    images: DataFrame
+    errors: DataFrame
+
+
+def stage_decks(files: DataFrame, path: str | None = None) -> Decks:
+    """Deck files parsed once into Parquet, at ``path`` or in the shared folder, and the
+    slides, images and errors read from there (each with its own columns only)."""
+    spark = files.sparkSession
+    path = path or fresh_path(spark, "decks")
+    parse_decks(files).write.mode("overwrite").parquet(path)
+    rows = spark.read.schema(DECK_ROW).parquet(path)
+    return Decks(finish_slides(rows), deck_images(rows), quarantine(rows))
+
+
+def ingest_decks(spark: SparkSession, source: str, path: str | None = None) -> Decks:
+    """All decks below ``source``."""
+    return stage_decks(deck_files(spark, source), path)
