@@ -6,8 +6,8 @@ Beyond ``MAX_ROWS`` the rows are range-partitioned by group and order, which cut
 group into chunks; the chunk numbers are fixed by writing the rows to the shared folder.
 Windows then run per chunk, and what a chunk needs from the ones before it comes from one
 summary row per group and chunk. Only groups that go on from an earlier chunk need it, and
-a chunk starts with at most one such group, so there are no more of these rows than chunks
-and they can be broadcast.
+a chunk starts with at most one such group, so there are no more of these rows than chunks.
+They join on group and chunk, by which the rows are already partitioned.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lectern.session import materialise
 
 MAX_ROWS = 1_000_000
+# More chunks than this cost more to schedule than they save.
+MAX_CHUNKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -46,11 +48,13 @@ def ordered(
 ) -> Ordered:
     """``df`` ready for running values; ``order`` must be unique within a group."""
     sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= max_rows:
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    if (largest or 0) <= max_rows:
         return Ordered(df.withColumn("chunk", F.lit(0)), tuple(group), tuple(order), False)
-    ranged = df.repartitionByRange(*group, *order).withColumn("chunk", F.spark_partition_id())
-    return Ordered(materialise(ranged, "chunks"), tuple(group), tuple(order), True)
+    chunks = min(-(-2 * total // max_rows), MAX_CHUNKS)
+    ranged = df.repartitionByRange(chunks, *group, *order)
+    numbered = ranged.withColumn("chunk", F.spark_partition_id())
+    return Ordered(materialise(numbered, "chunks"), tuple(group), tuple(order), True)
 
 
 def _frame(rows: Ordered, end: int) -> Window:
@@ -68,7 +72,7 @@ def _with_carry(rows: Ordered, df: DataFrame, summary: DataFrame, over_chunks) -
         .filter(F.col("_nth") > 1)
         .select(*rows.chunk, "_carry")
     )
-    return df.join(F.broadcast(carry), rows.chunk, "left")
+    return df.join(carry, rows.chunk, "left")
 
 
 def running_sum(rows: Ordered, name: str, value: Column) -> Ordered:

@@ -62,7 +62,7 @@ SESSION_STATE = "segment long, slide_idx int, last_explanation string"
 def _step(action: str, response: str, total: int, state: tuple) -> tuple[tuple, tuple]:
     """New state, and the (segment, index, last explanation, message) of one action."""
     segment, index, last = state
-    message, seen = None, last
+    message, seen = "", last
     if action == "upload":
         segment, index, last = segment + 1, 0, ""
     elif action == "next":
@@ -109,13 +109,14 @@ def stream_sessions(
         result[names] = pd.DataFrame(out, columns=names, dtype="object")
         yield result
 
-    return (
+    replayed = (
         log.withWatermark("ts", delay)
         .groupBy("session")
         .applyInPandasWithState(
             advance, SESSION_OUTPUT, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
+    return replayed.withColumn("message", F.nullif("message", F.lit("")))
 
 
 def stream_image_dedup(images: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
