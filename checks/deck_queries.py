@@ -159,9 +159,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     with_inputs(
         "slides images",
         """SELECT deck, total_slides, total_images,
-                  'Processed ' || total_slides || ' slides. Found ' || total_images || ' images.' AS status
+                  'Processed ' || total_slides || ' slides. Found ' || shown || ' images.' AS status
            FROM (SELECT deck, count(*) AS total_slides FROM slides GROUP BY deck)
-           JOIN (SELECT s.deck, count(i.deck) AS total_images FROM (SELECT DISTINCT deck FROM slides) s
+           JOIN (SELECT s.deck, count(i.deck) AS total_images, count(NULLIF(i.image_path, '')) AS shown FROM (SELECT DISTINCT deck FROM slides) s
                  LEFT JOIN images i ON i.deck = s.deck GROUP BY s.deck) USING (deck)""",
     ),
 )

@@ -140,7 +140,16 @@ def attach_images(slides: DataFrame, images: DataFrame) -> DataFrame:
     without any. Rows instead of a list keep a slide with very many images spread out."""
     on = ["deck", "slide_number"]
     rest = [c for c in images.columns if c not in on]
-    return slides.join(images.select(*on, F.struct(*rest).alias("image")), on, "left")
+    counted = slides.join(image_counts(images), on, "left")
+    filled = counted.filter(F.col("images").isNotNull())
+    rows = images.select(*on, F.struct(*rest).alias("image"))
+    merged = join_per_key(
+        rows.join(filled.select(*on), on, "left_semi"), filled, on, ["image.ordinal"], "images"
+    )
+    empty = counted.filter(F.col("images").isNull()).select(
+        *slides.columns, F.lit(None).cast(rows.schema["image"].dataType).alias("image")
+    )
+    return merged.select(*slides.columns, "image").unionByName(empty)
 
 
 def gallery(images: DataFrame) -> DataFrame:
@@ -155,19 +164,23 @@ def image_counts(images: DataFrame) -> DataFrame:
 
 
 def deck_summary(slides: DataFrame, images: DataFrame) -> DataFrame:
-    """Slides, images and the status line per deck, counted map-side in one grouping."""
-    one = F.lit(1).cast("long")
-    none = F.lit(0).cast("long")
-    marks = slides.select("deck", one.alias("s"), none.alias("i")).unionByName(
-        images.select("deck", none.alias("s"), one.alias("i"))
-    )
-    totals = marks.groupBy("deck").agg(
-        F.sum("s").alias("total_slides"), F.sum("i").alias("total_images")
+    """Slides, images and the status line (which counts images with a path) per deck, added
+    up map-side in one grouping."""
+
+    def marks(df: DataFrame, **ones: Column | int) -> DataFrame:
+        return df.select("deck", *[F.lit(v).cast("long").alias(n) for n, v in ones.items()])
+
+    shown = F.coalesce(F.length("image_path") > 0, F.lit(False))
+    both = marks(slides, s=1, i=0, g=0).unionByName(marks(images, s=0, i=1, g=shown))
+    totals = both.groupBy("deck").agg(
+        F.sum("s").alias("total_slides"),
+        F.sum("i").alias("total_images"),
+        F.sum("g").alias("_shown"),
     )
     status = F.format_string(
-        "Processed %d slides. Found %d images.", F.col("total_slides"), F.col("total_images")
+        "Processed %d slides. Found %d images.", F.col("total_slides"), F.col("_shown")
     )
-    return totals.withColumn("status", status)
+    return totals.withColumn("status", status).drop("_shown")
 
 
 def quarantine(rows: DataFrame) -> DataFrame:

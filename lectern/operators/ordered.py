@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ from lectern.session import materialise
 MAX_ROWS = 1_000_000
 # More chunks than this cost more to schedule than they save.
 MAX_CHUNKS = 20_000
+STEP = ["shift", "lo", "hi"]
 
 
 @dataclass(frozen=True)
@@ -97,53 +98,54 @@ def running_last(rows: Ordered, name: str, value: Column, before: bool = False)
     return replace(rows, df=df)
 
 
-def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per group, the composition of all steps so far, for rows sorted by group and order.
 
     A step maps x to min(hi, max(lo, x + shift)); steps of this form compose to the form.
+    Other columns pass through as they are.
     """
     group, shift, lo, hi = None, 0, 0, 0
-    for pdf in batches:
-        out = []
-        for g, s, a, b in zip(pdf["_group"], pdf["shift"], pdf["lo"], pdf["hi"]):
-            if g != group:
-                group, shift, lo, hi = g, s, a, b
+    for batch in batches:
+        groups = batch.column("_group").dictionary_encode()
+        names, places = groups.dictionary.to_pylist(), groups.indices.to_pylist()
+        out = [], [], []
+        steps = (batch.column(c).to_pylist() for c in STEP)
+        for place, s, a, b in zip(places, *steps):
+            if names[place] != group:
+                group, shift, lo, hi = names[place], s, a, b
             else:
                 shift, lo, hi = shift + s, min(b, max(a, lo + s)), min(b, max(a, hi + s))
-            out.append((shift, lo, hi))
-        pdf[["shift", "lo", "hi"]] = pd.DataFrame(out, index=pdf.index, columns=["shift", "lo", "hi"])
-        yield pdf
+            for values, value in zip(out, (shift, lo, hi)):
+                values.append(value)
+        for column, values in zip(STEP, out):
+            at = batch.schema.get_field_index(column)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(values, pa.int64()))
+        yield batch
 
 
 def _composed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     named = df.withColumn("_group", F.to_json(F.struct(*group)))
     placed = named.repartition(*group).sortWithinPartitions(*group, *order)
-    return placed.mapInPandas(_compose, placed.schema).drop("_group")
+    return placed.mapInArrow(_compose, placed.schema).drop("_group")
 
 
-def running_clamp(rows: Ordered, name: str, shift: Column, lo: Column, hi: Column) -> DataFrame:
+def running_clamp(rows: Ordered, name: str, shift: Column, lo: Column, hi: Column) -> Ordered:
     """A counter from 0 that each row moves by ``shift`` and then keeps in ``lo..hi``.
 
-    Gives group, order and the counter. The rows stream through the Python workers batch by
-    batch, so a group's size does not matter to memory.
+    The rows stream through the Python workers as Arrow batches, of which only the three
+    numbers and the group are looked at, so a group's size does not matter to memory.
     """
-    steps = rows.df.select(
-        *rows.chunk,
-        *rows.order,
-        shift.cast("long").alias("shift"),
-        lo.cast("long").alias("lo"),
-        hi.cast("long").alias("hi"),
-    )
-    so_far = _composed(steps, rows.chunk, list(rows.order))
+    steps = {c: v.cast("long") for c, v in zip(STEP, (shift, lo, hi))}
+    order = list(rows.order)
+    df = _composed(rows.df.withColumns(steps), rows.chunk, order)
     start = F.lit(0)
     if rows.cut:
-        last = F.max_by(F.struct("shift", "lo", "hi"), F.struct(*rows.order)).alias("f")
-        ends = so_far.groupBy(*rows.chunk).agg(last).select(*rows.chunk, "f.*")
-        ends = _composed(ends, list(rows.group), ["chunk"]).withColumn(
-            "_v", F.least("hi", F.greatest("lo", "shift"))
-        )
-        by_chunk = ends.select(*rows.chunk, "_v")
-        so_far = _with_carry(rows, so_far, by_chunk, F.last("_v"))
+        narrow = rows.df.withColumns(steps).select(*rows.chunk, *order, *STEP)
+        last = F.max_by(F.struct(*STEP), F.struct(*order)).alias("f")
+        ends = _composed(narrow, rows.chunk, order).groupBy(*rows.chunk).agg(last)
+        ends = _composed(ends.select(*rows.chunk, "f.*"), list(rows.group), ["chunk"])
+        ends = ends.select(*rows.chunk, F.least("hi", F.greatest("lo", "shift")).alias("_v"))
+        df = _with_carry(rows, df, ends, F.last("_v"))
         start = F.coalesce("_carry", F.lit(0))
-    value = F.least("hi", F.greatest("lo", F.col("shift") + start))
-    return so_far.select(*rows.group, *rows.order, value.cast("int").alias(name))
+    value = F.least("hi", F.greatest("lo", F.col("shift") + start)).cast("int")
+    return replace(rows, df=df.withColumn(name, value).drop("_carry", *STEP))

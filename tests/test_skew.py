@@ -32,11 +32,14 @@ def test_hot_rows_are_spread(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         joined = skew.join_per_key(rows, per_key(rows), ["k"], ["id"])
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        placed = joined.withColumn("p", F.spark_partition_id()).select("p", "first").collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(sizes) == 4 and max(sizes) < 1.5 * 3000 / 4
+    assert plan.count("BroadcastHashJoin") == 1 and "_salt" in plan[plan.index("hashpartitioning") :][:60]
+    sizes = Counter(r["p"] for r in placed)
+    assert len(sizes) == 4 and max(sizes.values()) < 1.5 * 3000 / 4
 
 
 def test_null_keys_stay(spark):
