@@ -50,6 +50,17 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return _slide_columns(inputs.deck_rows(spark, folder))
 
 
+@query(
+    "deck_shapes",
+    """SELECT 'deck' || (doc_id // 12) AS deck, doc_id % 12 + 1 AS slide_number, i - 1 AS ordinal,
+              'line ' || (i - 1) AS shape_name, 'TEXT_BOX (17)' AS shape_type, lines[i] AS text
+       FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+             FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))""",
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return decks.shape_rows(inputs.deck_rows(spark, folder))
+
+
 @query("deck_ingest_slides", with_inputs("slides", SLIDES), workers=True)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     """The documents packed into deck files and read back from their bytes."""

@@ -43,7 +43,7 @@ def prepared(entry: Entry) -> Query:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         application = spark.sparkContext.applicationId
         if entry.needs_workers and application not in _shipped:
-            ship_package(spark)
+            ship_package(spark, "checks")
             _shipped.add(application)
         return plain_types(entry.run(spark, folder))
 

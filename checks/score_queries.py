@@ -297,7 +297,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------
 
 
-STRETCHES = 4
+STRETCHES = 2
 YEAR_MS = 366 * 86_400_000
 
 

@@ -54,6 +54,19 @@ def shape_details(slides: DataFrame) -> DataFrame:
     return slides.withColumn("shape_details", details)
 
 
+def shape_rows(slides: DataFrame) -> DataFrame:
+    """One row per text shape, in document order: ``ordinal``, name, type, text."""
+    shapes = slides.select("deck", "slide_number", F.posexplode("shapes").alias("ordinal", "s"))
+    return shapes.select(
+        "deck",
+        "slide_number",
+        "ordinal",
+        "s.shape_name",
+        "s.shape_type",
+        _shape_text(F.col("s")).alias("text"),
+    )
+
+
 def finish_slides(rows: DataFrame) -> DataFrame:
     """Deck rows as slides: number, text, tables, notes, shape details."""
     slides = rows.filter(F.col("slide_number").isNotNull())

@@ -86,7 +86,7 @@ def navigate(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS) -> D
 
 def replay(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS) -> DataFrame:
     """Segment, slide index, last explanation and gate message of every action."""
-    return _gated(_navigated(_log(log, max_rows), total)).df.drop("chunk")
+    return _navigated(_gated(_log(log, max_rows)), total).df.drop("chunk")
 
 
 def chat_history(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -95,15 +95,16 @@ def chat_history(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS)
     Entries stay rows, since a session may be of any length.
     """
     entry = _is(*fixed.ACTION_LABELS)
-    gated = _gated(_navigated(_log(log, max_rows), total))
+    gated = _gated(_log(log, max_rows))
     counted = running_sum(gated, "_upto", F.when(entry, 1).otherwise(0).cast("long"))
     based = running_last(counted, "_base", F.when(_is("upload"), F.col("_upto")))
+    placed = _navigated(based, total)
     label = F.when(F.lit(False), "")
     for action, text in fixed.ACTION_LABELS.items():
         label = label.when(_is(action), text)
     explained = _is("explain") & F.col("message").isNull()
     slides = F.concat(F.lit(" slides ["), F.col("slide_idx").cast("string"), F.lit("]"))
-    return based.df.filter(entry).select(
+    return placed.df.filter(entry).select(
         "session",
         "segment",
         (F.col("_upto") - F.coalesce("_base", F.lit(0))).alias("entry"),

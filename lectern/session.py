@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,9 +59,13 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make the package importable in Python workers (as ``--py-files`` would)."""
-    folder = tempfile.mkdtemp(prefix="lectern-package-")
+def ship_package(spark: SparkSession, *packages: str) -> None:
+    """Make this package, and others beside it, importable in Python workers (as
+    ``--py-files`` would)."""
     root = Path(__file__).resolve().parent.parent
-    archive = shutil.make_archive(f"{folder}/lectern", "zip", root, "lectern")
-    spark.sparkContext.addPyFile(archive)
+    archive = Path(tempfile.mkdtemp(prefix="lectern-package-")) / "lectern.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for package in ("lectern", *packages):
+            for file in sorted((root / package).rglob("*.py")):
+                out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))

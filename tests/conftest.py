@@ -22,7 +22,7 @@ def spark(tmp_path_factory):
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    ship_package(session)
+    ship_package(session, "checks")
     yield session
     session.stop()
 
