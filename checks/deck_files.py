@@ -94,7 +94,8 @@ def deck_bytes(slides: Iterable[dict[str, Any]]) -> bytes:
                 )
             archive.writestr(f"ppt/slides/_rels/slide{n}.xml.rels", _relations(own))
             for _, file, blob in slide.get("media", []):
-                archive.writestr(f"ppt/media/{file}", blob)
+                if f"ppt/media/{file}" not in archive.namelist():
+                    archive.writestr(f"ppt/media/{file}", blob)
         archive.writestr(
             "ppt/presentation.xml",
             f"<p:presentation {SPACES}><p:sldIdLst>{''.join(listed)}</p:sldIdLst></p:presentation>",

@@ -362,7 +362,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(streams.SESSION_OUTPUT).parquet(f"{out}/rows").select(*REPLAYED)
 
 
-@query("stream_image_dedup", "SELECT DISTINCT lang AS deck, sha1(text) AS sha1 FROM documents")
+@query(
+    "stream_image_dedup",
+    "SELECT DISTINCT lang AS deck, sha1(text) AS sha1 FROM documents",
+    workers=True,
+)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     """Images arriving in stretches of time; what the first copy per deck and content leaves."""
     images = decks.with_sha1(inputs.lang_images(spark, folder)).select(

@@ -153,16 +153,15 @@ def attach_images(slides: DataFrame, images: DataFrame) -> DataFrame:
     without any. Rows instead of a list keep a slide with very many images spread out."""
     on = ["deck", "slide_number"]
     rest = [c for c in images.columns if c not in on]
-    counted = slides.join(image_counts(images), on, "left")
-    filled = counted.filter(F.col("images").isNotNull())
     rows = images.select(*on, F.struct(*rest).alias("image"))
-    merged = join_per_key(
-        rows.join(filled.select(*on), on, "left_semi"), filled, on, ["image.ordinal"], "images"
-    )
-    empty = counted.filter(F.col("images").isNull()).select(
-        *slides.columns, F.lit(None).cast(rows.schema["image"].dataType).alias("image")
+    counted = slides.join(image_counts(images), on, "left")
+    filled = counted.filter(F.col("images").isNotNull()).withColumn("_slide", F.lit(True))
+    merged = join_per_key(rows, filled, on, ["image"], "images").filter("_slide")
+    empty = counted.filter(F.col("images").isNull()).withColumn(
+        "image", F.lit(None).cast(rows.schema["image"].dataType)
     )
-    return merged.select(*slides.columns, "image").unionByName(empty)
+    columns = [*slides.columns, "image"]
+    return merged.select(*columns).unionByName(empty.select(*columns))
 
 
 def gallery(images: DataFrame) -> DataFrame:

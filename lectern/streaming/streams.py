@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -52,6 +53,7 @@ def stream_validate(lines: DataFrame, out: str) -> list[StreamingQuery]:
     ]
 
 
+IMAGE_KEY = ["deck", "sha1"]
 SESSION_OUTPUT = (
     "session string, ts timestamp, id long, action string, segment long, slide_idx int, "
     "last_explanation string, message string"
@@ -119,10 +121,22 @@ def stream_sessions(
     return replayed.withColumn("message", F.nullif("message", F.lit("")))
 
 
+def _first_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in IMAGE_KEY))
+        first = {key: at for at, key in reversed(list(enumerate(keys)))}
+        yield batch.take(pa.array(sorted(first.values()), pa.int64()))
+
+
 def stream_image_dedup(images: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
     """One row per deck and content hash, across micro-batches; the keys are remembered until
-    the watermark has passed them by ``delay``."""
-    return images.withWatermark(time, delay).dropDuplicatesWithinWatermark(["deck", "sha1"])
+    the watermark has passed them by ``delay``.
+
+    Copies in the same Arrow batch go before the shuffle, so that a much-copied image does
+    not send all its copies to one task.
+    """
+    firsts = images.mapInArrow(_first_in_batch, images.schema)
+    return firsts.withWatermark(time, delay).dropDuplicatesWithinWatermark(IMAGE_KEY)
 
 
 def write_stream(df: DataFrame, out: str) -> StreamingQuery:

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lectern.operators import skew
-from lectern.operators.decks import dedup_images
+from lectern.operators.decks import attach_images, dedup_images
 
 
 def hot(spark, n=3000):
@@ -61,6 +61,21 @@ def test_much_copied_image(spark):
     assert len(paths) == 1001
 
 
+def test_slide_with_a_third_of_the_images(spark):
+    number = F.when(F.col("k") == "hot", 1).otherwise(F.col("k").cast("int") + 2)
+    images = hot(spark).select(
+        F.lit("d").alias("deck"),
+        number.cast("int").alias("slide_number"),
+        F.col("id").cast("int").alias("ordinal"),
+    )
+    slides = spark.range(1, 1500).select(
+        F.lit("d").alias("deck"), F.col("id").cast("int").alias("slide_number"), F.concat(F.lit("t"), "id").alias("text")
+    )
+    got = attach_images(slides, images).select("slide_number", "text", "image.ordinal")
+    want = slides.join(images, ["deck", "slide_number"], "left").select("slide_number", "text", "ordinal")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_concat_ordered_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(skew, "BLOCK", 7)
     rows = hot(spark, 300).withColumn("text", F.concat(F.lit("it's "), F.col("id").cast("string")))
