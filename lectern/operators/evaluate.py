@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions.json import once
 from lectern.functions.text import occurrences, or_empty
+from lectern.session import materialise
 
 # Accepted length, length of a sample, the digits beyond the decimal ones.
 MIN_CHARS, MAX_CHARS = 200, 2000
@@ -150,7 +151,8 @@ def report_lines(scores: DataFrame) -> DataFrame:
 
 def write_report(scores: DataFrame, path: str) -> None:
     """``<path>/report.json``: one JSON line per topic. ``<path>/report.md``: title and
-    lines, as text parts in reading order."""
+    lines, as text parts in reading order. The scores are computed once."""
+    scores = materialise(scores, "scores")
     scores.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(
         f"{path}/report.json"
     )

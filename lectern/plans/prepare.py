@@ -34,11 +34,11 @@ TRAIN_SHARE = 0.95
 def prepare(sources: dict[str, DataFrame], n: int | None = None) -> DataFrame:
     """QA rows of all corpora (at most ``n`` each) as one set of chat records, with ids that
     are unique across corpora."""
-    parts = [
-        build_messages(head_n(qa, n).withColumn("corpus", F.lit(corpus)))
-        for corpus, qa in sources.items()
-    ]
-    return concat_sets(*parts).withColumn("key", F.concat_ws(":", "corpus", "key"))
+    parts = []
+    for corpus, qa in sources.items():
+        records = build_messages(head_n(qa, n).withColumn("corpus", F.lit(corpus)))
+        parts.append(records.withColumn("key", F.concat_ws(":", "corpus", "key")))
+    return concat_sets(*parts)
 
 
 def prepare_stats(split: DataFrame, corpora: Iterable[str] = fixed.CORPORA) -> DataFrame:

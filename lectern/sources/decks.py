@@ -56,19 +56,26 @@ def _relations(archive: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]
     return found
 
 
+RUN, FIELD, BREAK, TEXT = (_name("a", local) for local in ("r", "fld", "br", "t"))
+
+
+def _text(run: ElementTree.Element) -> str:
+    return next((node.text or "" for node in run if node.tag == TEXT), "")
+
+
 def _paragraph_text(paragraph: ElementTree.Element) -> str:
     """All text of a paragraph, with a vertical tab for a line break."""
     pieces = []
     for node in paragraph:
-        if node.tag == _name("a", "br"):
+        if node.tag == BREAK:
             pieces.append("\v")
-        elif node.tag in (_name("a", "r"), _name("a", "fld")):
-            pieces.append(node.findtext("a:t", "", NS))
+        elif node.tag in (RUN, FIELD):
+            pieces.append(_text(node))
     return "".join(pieces)
 
 
 def _runs(paragraph: ElementTree.Element) -> list[str]:
-    runs = [r.findtext("a:t", "", NS) for r in paragraph.findall("a:r", NS)]
+    runs = [_text(node) for node in paragraph if node.tag == RUN]
     return runs or [_paragraph_text(paragraph)]
 
 

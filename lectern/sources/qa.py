@@ -54,7 +54,7 @@ def head_n(df: DataFrame, n: int | None, order: str = "key") -> DataFrame:
 
 
 def _qa(df: DataFrame, corpus: str | Column, **columns: Column) -> DataFrame:
-    values = {"key": F.col("key").cast("string"), **columns}
+    values = {"key": F.col("key"), **columns}
     values["corpus"] = F.lit(corpus) if isinstance(corpus, str) else corpus
     row = [
         values.get(
