@@ -78,20 +78,28 @@ def finish_slides(rows: DataFrame) -> DataFrame:
 
 def deck_images(rows: DataFrame) -> DataFrame:
     """One row per picture: ``deck, slide_number, ordinal, shape_name, image_format, sha1,
-    blob``."""
+    header``; the bytes of the pictures are not read."""
     pictures = rows.select("deck", "slide_number", F.explode("pictures").alias("p"))
     return pictures.select("deck", "slide_number", "p.*")
 
 
+def deck_blobs(rows: DataFrame) -> DataFrame:
+    """One row per picture with its bytes: ``deck, slide_number, ordinal, image_format, sha1,
+    blob``."""
+    fields = [F.col(f"pictures.{n}").alias(n) for n in ("ordinal", "image_format", "sha1")]
+    zipped = F.arrays_zip(*fields, F.col("blobs").alias("blob"))
+    return rows.select("deck", "slide_number", F.inline(zipped))
+
+
 def with_sha1(images: DataFrame) -> DataFrame:
     return images.withColumn("sha1", F.sha1("blob"))
 
 
-def image_dimensions(images: DataFrame) -> DataFrame:
-    """``dimensions`` from the header bytes of PNG and GIF images, else null."""
+def image_dimensions(images: DataFrame, header: str = "header") -> DataFrame:
+    """``dimensions`` from the first bytes of PNG and GIF images, else null."""
 
     def number(at: int, n: int, little: bool = False) -> Column:
-        digits = F.hex(F.substring("blob", at, n))
+        digits = F.hex(F.substring(header, at, n))
         if little:
             digits = F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(n, 0, -1)])
         return F.conv(digits, 16, 10).cast("int")
@@ -99,10 +107,10 @@ def image_dimensions(images: DataFrame) -> DataFrame:
     def size(width: Column, height: Column) -> Column:
         return F.struct(width.alias("width"), height.alias("height"))
 
-    head = F.hex(F.substring("blob", 1, 8))
+    head = F.hex(F.substring(header, 1, 8))
     # File signatures and header offsets of the two formats.
     dims = F.when(
-        head.startswith("89504E470D0A1A0A") & (F.length("blob") >= 24),
+        head.startswith("89504E470D0A1A0A") & (F.length(header) >= 24),
         size(number(17, 4), number(21, 4)),
     ).when(
         head.startswith("474946383961") | head.startswith("474946383761"),

@@ -31,13 +31,15 @@ SHAPE = T.StructType(
         T.StructField("paragraphs", T.ArrayType(T.ArrayType(T.StringType()))),
     ]
 )
+# The first bytes of a picture tell its dimensions; all of them are kept apart, so that no
+# query on pictures reads them.
 PICTURE = T.StructType(
     [
         T.StructField("ordinal", T.IntegerType()),
         T.StructField("shape_name", T.StringType()),
         T.StructField("image_format", T.StringType()),
         T.StructField("sha1", T.StringType()),
-        T.StructField("blob", T.BinaryType()),
+        T.StructField("header", T.BinaryType()),
     ]
 )
 TABLES = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
@@ -52,6 +54,7 @@ DECK_ROW = T.StructType(
         T.StructField("tables", TABLES),
         T.StructField("notes", T.StringType()),
         T.StructField("pictures", T.ArrayType(PICTURE)),
+        T.StructField("blobs", T.ArrayType(T.BinaryType())),
         T.StructField("error", T.StringType()),
     ]
 )

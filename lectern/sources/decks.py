@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.operators.decks import deck_images, finish_slides, quarantine
+from lectern.operators.decks import deck_blobs, deck_images, finish_slides, quarantine
 from lectern.schemas import DECK_ROW
 from lectern.session import fresh_path
 
@@ -37,6 +37,8 @@ SIGNATURES = {"png": b"\x89PNG", "jpg": b"\xff\xd8", "gif": b"GIF8", "bmp": b"BM
 # Slides go to Spark in batches of this size.
 BATCH_SLIDES = 200
 BATCH_BYTES = 16 << 20
+HEADER_BYTES = 32
+LISTS = ("shapes", "tables", "pictures", "blobs")
 
 
 def _name(prefix: str, local: str) -> str:
@@ -108,8 +110,10 @@ def _shape_name(node: ElementTree.Element, holder: str) -> str:
     return "" if named is None else named.get("name", "")
 
 
-def _picture(node: ElementTree.Element, relations: dict, archive: zipfile.ZipFile) -> dict | None:
-    """Name, format and bytes of an embedded picture; placeholders and films are none."""
+def _picture(
+    node: ElementTree.Element, relations: dict, archive: zipfile.ZipFile
+) -> tuple[dict[str, Any], bytes] | None:
+    """An embedded picture and its bytes; placeholders and films are none."""
     extras = node.find("p:nvPicPr/p:nvPr", NS)
     if extras is not None and any(e.tag in _NOT_PICTURES for e in extras):
         return None
@@ -118,12 +122,13 @@ def _picture(node: ElementTree.Element, relations: dict, archive: zipfile.ZipFil
     blob = archive.read(part)
     by_suffix = posixpath.splitext(part)[1].lstrip(".").lower()
     known = (name for name, start in SIGNATURES.items() if blob.startswith(start))
-    return {
+    picture = {
         "shape_name": _shape_name(node, "nvPicPr"),
         "image_format": next(known, by_suffix),
         "sha1": hashlib.sha1(blob).hexdigest(),
-        "blob": blob,
+        "header": blob[:HEADER_BYTES],
     }
+    return picture, blob
 
 
 _NOT_PICTURES = {_name("p", "ph"), _name("a", "videoFile"), _name("a", "audioFile")}
@@ -143,7 +148,7 @@ def _slide(archive: zipfile.ZipFile, part: str) -> dict[str, Any]:
     """One slide; a shape that cannot be read is left out."""
     root = ElementTree.fromstring(archive.read(part))
     relations = _relations(archive, part)
-    row: dict[str, Any] = {"shapes": [], "tables": [], "pictures": []}
+    row: dict[str, Any] = {name: [] for name in LISTS}
     for node in _leaves(root.find("p:cSld/p:spTree", NS)):
         try:
             if node.tag == _name("p", "sp"):
@@ -161,9 +166,11 @@ def _slide(archive: zipfile.ZipFile, part: str) -> dict[str, Any]:
                     cells = [[_body_text(c.find("a:txBody", NS)) for c in line.findall("a:tc", NS)] for line in lines]
                     row["tables"].append(cells)
             elif node.tag == _name("p", "pic"):
-                picture = _picture(node, relations, archive)
-                if picture:
+                found = _picture(node, relations, archive)
+                if found:
+                    picture, blob = found
                     row["pictures"].append({"ordinal": len(row["pictures"]), **picture})
+                    row["blobs"].append(blob)
         except Exception as exc:
             log.warning("shape left out on %s: %s", part, exc)
     try:
@@ -190,7 +197,7 @@ def _slides(path: str, content: bytes) -> Iterator[dict[str, Any]]:
         try:
             row = _slide(archive, part)
         except Exception as exc:
-            row = {"shapes": [], "tables": [], "pictures": [], "error": f"slide_failed: {exc}"}
+            row = {**{name: [] for name in LISTS}, "error": f"slide_failed: {exc}"}
         yield {"deck": path, "slide_number": number, **row}
 
 
@@ -204,7 +211,7 @@ def parse_decks(files: DataFrame) -> DataFrame:
                 held, size = [], 0
                 for row in _slides(path.as_py(), content.as_py()):
                     held.append(row)
-                    size += sum(len(p["blob"]) for p in row.get("pictures", []))
+                    size += sum(map(len, row.get("blobs", [])))
                     if size > BATCH_BYTES or len(held) == BATCH_SLIDES:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
                         held, size = [], 0
@@ -230,17 +237,19 @@ def read_decks(spark: SparkSession, path: str) -> DataFrame:
 class Decks(NamedTuple):
     slides: DataFrame
     images: DataFrame
+    blobs: DataFrame
     errors: DataFrame
 
 
 def stage_decks(files: DataFrame, path: str | None = None) -> Decks:
     """Deck files parsed once into Parquet, at ``path`` or in the shared folder, and the
-    slides, images and errors read from there (each with its own columns only)."""
+    slides, images, image bytes and errors read from there (each with its own columns
+    only)."""
     spark = files.sparkSession
     path = path or fresh_path(spark, "decks")
     parse_decks(files).write.mode("overwrite").parquet(path)
     rows = spark.read.schema(DECK_ROW).parquet(path)
-    return Decks(finish_slides(rows), deck_images(rows), quarantine(rows))
+    return Decks(finish_slides(rows), deck_images(rows), deck_blobs(rows), quarantine(rows))
 
 
 def ingest_decks(spark: SparkSession, source: str, path: str | None = None) -> Decks:

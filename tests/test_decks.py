@@ -83,9 +83,24 @@ def test_images_are_stored_once_per_deck(spark, tmp_path):
         (2, "gif", (3, 4)),
     ]
     assert [r["image_path"] for r in found][:2] == [f"slide001_{sha}.png"] * 2
-    blobs = decks.image_blobs(images).collect()
-    assert len(blobs) == 2 and bytes(next(b for b in blobs if b["sha1"] == sha)["content"]) == PHOTO
-    assert decks.with_sha1(images.drop("sha1")).filter(F.col("sha1") == sha).count() == 2
+    blobs = by_deck(staged.blobs)
+    stored = decks.image_blobs(blobs).collect()
+    photo = next(b for b in stored if b["sha1"] == sha)
+    assert len(stored) == 2 and bytes(photo["content"]) == PHOTO
+    assert photo["image_path"] == f"slide001_{sha}.png"
+    assert decks.with_sha1(blobs.drop("sha1")).filter(F.col("sha1") == sha).count() == 2
+
+
+def test_only_the_columns_in_use_are_read(spark, tmp_path):
+    staged = ingest_decks(spark, write_decks(tmp_path), str(tmp_path / "stage"))
+
+    def read(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan[plan.index("Scan") :]
+
+    for df in (decks.dedup_images(decks.image_dimensions(staged.images)), staged.slides, staged.errors):
+        assert "blob" not in read(df)
+    assert "pictures" not in read(staged.slides) and "shapes" not in read(staged.images)
 
 
 def test_deck_without_slides(spark):
@@ -95,7 +110,7 @@ def test_deck_without_slides(spark):
 
 def test_unreadable_formats_have_no_dimensions(spark):
     images = spark.createDataFrame([(bytearray(b"\xd7\xcd\xc6\x9a"),), (bytearray(PHOTO[:20]),), (None,)], "blob binary")
-    assert [r["dimensions"] for r in decks.image_dimensions(images).collect()] == [None] * 3
+    assert [r["dimensions"] for r in decks.image_dimensions(images, "blob").collect()] == [None] * 3
 
 
 def test_attach_summary_and_gallery(spark):
