@@ -1,11 +1,16 @@
-"""Caller-supplied models. A hook is a factory: it is called once per Python worker task and
-returns a function over a batch, so a model is loaded once and fed with Arrow batches.
-Only the columns a model needs go through Python."""
+"""Caller-supplied models. A hook is a factory that returns a function over a batch. It is
+called once per Python worker, so a model is loaded once and then serves all tasks of that
+worker. Only the columns a model needs go through Python, in Arrow batches.
+
+Model calls are slow, so rows are spread over as many tasks as there are shuffle partitions
+(or ``tasks``) ahead of the call; adaptive execution would judge them by their size in bytes
+and put them into few tasks."""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -30,6 +35,46 @@ Captioner = Callable[[list[str]], list[str]]
 Generator = Callable[[list[dict[str, Any]]], list[str]]
 
 
+# A worker keeps this many models.
+MODELS_KEPT = 2
+_models: dict[str, Callable] = {}
+
+
+def _loaded(token: str, make: Callable[[], Callable]) -> Callable:
+    """The model of a hook, loaded on first use in this worker."""
+    if token not in _models:
+        model = make()
+        while len(_models) >= MODELS_KEPT:
+            del _models[next(iter(_models))]
+        _models[token] = model
+    return _models[token]
+
+
+def spread(df: DataFrame, by: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """Rows hashed by (unique) columns over a fixed number of tasks."""
+    count = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *by)
+
+
+def _one_per_item(call: Callable[[list], list], items: list, size: int) -> list[tuple[Any, str | None]]:
+    """(result, error) per item, in batches; the items of a batch that fails are tried one by
+    one."""
+    out: list[tuple[Any, str | None]] = []
+    for at in range(0, len(items), size):
+        batch = items[at : at + size]
+        try:
+            results = call(batch)
+            if len(results) != len(batch):
+                raise ValueError("one result per item must come back")
+            out += [(r, None) for r in results]
+        except Exception as exc:
+            if len(batch) == 1:
+                out.append((None, str(exc) or type(exc).__name__))
+            else:
+                out += [_one_per_item(call, [item], 1)[0] for item in batch]
+    return out
+
+
 def back_translate(
     df: DataFrame,
     make_translator: Callable[[], Translator] | None,
@@ -38,6 +83,7 @@ def back_translate(
     key: str = "key",
     seed: int | str = f"{DEFAULT_SEED}-back",
     batch_size: int = 4,
+    tasks: int | None = None,
 ) -> DataFrame:
     """A sample of ``n`` records whose first assistant message is the third message,
     translated to the pivot language and back.
@@ -47,19 +93,16 @@ def back_translate(
     """
     if make_translator is None:
         return df.limit(0).withColumn("mismatch", F.lit(False))
+    token = uuid.uuid4().hex
 
     @F.pandas_udf("struct<text:string,ok:boolean>")
     def there_and_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        try:
-            translate = make_translator()
-        except Exception as exc:
-            log.warning("no translator: %s", exc)
-            translate = None
         for texts in batches:
             rows: list[tuple[str | None, bool]] = []
             for at in range(0, len(texts), batch_size):
                 batch = texts.iloc[at : at + batch_size].tolist()
                 try:
+                    translate = _loaded(token, make_translator)
                     back = translate(translate(batch, "en", pivot), pivot, "en")
                     if len(back) != len(batch):
                         raise ValueError("as many texts must come back as went in")
@@ -72,8 +115,9 @@ def back_translate(
     third = F.get("messages", F.lit(2))
     text = F.when(F.size("messages") >= 3, or_empty(third["content"])).otherwise("")
     first = F.array_position(F.transform("messages", lambda m: m["role"]), "assistant")
+    sampled = spread(sample_n(df, n, key, seed), [key], tasks)
     translated = (
-        sample_n(df, n, key, seed)
+        sampled
         .withColumn("mismatch", F.coalesce(first != 3, F.lit(True)))
         .withColumn("_back", there_and_back.asNondeterministic()(text))
         .filter("_back.ok")
@@ -81,29 +125,34 @@ def back_translate(
     return replace_first_assistant(translated, F.col("_back.text")).drop("_back")
 
 
-def caption_images(images: DataFrame, make_captioner: Callable[[], Captioner]) -> DataFrame:
+def caption_images(
+    images: DataFrame,
+    make_captioner: Callable[[], Captioner],
+    batch_size: int = 16,
+    tasks: int | None = None,
+) -> DataFrame:
     """``caption`` for each image with a path; each distinct path is captioned once.
 
     The captions are written to the shared folder, so that the model runs once, and join
     back to the images whatever share of them one path has. A failure gives a placeholder.
     """
+    token = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def captions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        caption = None
+        def call(paths: list[str]) -> list[str]:
+            return _loaded(token, make_captioner)(paths)
+
         for paths in batches:
             out = []
-            for path in paths:
-                try:
-                    caption = caption or make_captioner()
-                    out.append(caption([path])[0])
-                except Exception as exc:
-                    log.warning("no caption for %s: %s", path, exc)
-                    out.append(fixed.NO_CAPTION)
+            for path, (caption, error) in zip(paths, _one_per_item(call, paths.tolist(), batch_size)):
+                if error:
+                    log.warning("no caption for %s: %s", path, error)
+                out.append(fixed.NO_CAPTION if error else caption)
             yield pd.Series(out, dtype="object")
 
     paths = images.filter(F.length("image_path") > 0).groupBy("image_path")
-    per_path = paths.agg(F.count("*").alias("n"))
+    per_path = spread(paths.agg(F.count("*").alias("n")), ["image_path"], tasks)
     captioned = materialise(per_path.withColumn("caption", captions("image_path")), "captions")
     return join_per_key(
         images, captioned, ["image_path"], ["deck", "slide_number", "ordinal"]
@@ -124,39 +173,34 @@ def generate(
     do_sample: Column | bool = True,
     stops: list[str] | None = None,
     messages: str = "messages",
+    batch_size: int = 32,
+    spread_by: Sequence[str] = (),
+    tasks: int | None = None,
 ) -> DataFrame:
     """``generated`` and ``error`` for message rows; parameters may differ by row.
 
     When a batch fails its rows are tried one by one, and those that fail again carry the
     error. Rows with null messages are not sent. The text is cut at the stops and stripped.
+    With ``spread_by`` the rows are spread over tasks first.
     """
+    token = uuid.uuid4().hex
 
     @F.pandas_udf("struct<text:string,error:string>")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = None
-
-        def attempt(requests: list[dict[str, Any]]) -> list[str]:
-            nonlocal call
-            call = call or make_generator()
-            texts = call(requests)
-            if len(texts) != len(requests):
-                raise ValueError("one text per request must come back")
-            return texts
+        def call(requests: list[dict[str, Any]]) -> list[str]:
+            return _loaded(token, make_generator)(requests)
 
         for pdf in batches:
             out = pd.DataFrame(None, index=pdf.index, columns=["text", "error"], dtype="object")
             sent = pdf[pdf["prompt"].notna()]
-            requests = sent.to_dict("records")
-            try:
-                out.loc[sent.index, "text"] = attempt(requests) if requests else []
-            except Exception:
-                for at, request in zip(sent.index, requests):
-                    try:
-                        out.loc[at, "text"] = attempt([request])[0]
-                    except Exception as exc:
-                        out.loc[at, "error"] = str(exc) or type(exc).__name__
+            done = _one_per_item(call, sent.to_dict("records"), batch_size)
+            for at, (text, error) in zip(sent.index, done):
+                out.at[at, "text"], out.at[at, "error"] = text, error
             yield out
 
+    if spread_by:
+        df = spread(df, spread_by, tasks)
+
     def param(value: Any, name: str, kind: str) -> Column:
         column = value if isinstance(value, Column) else F.lit(value)
         return column.cast(kind).alias(name)

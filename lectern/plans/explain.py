@@ -79,6 +79,7 @@ def explain_batch(
     style: str = "comprehensive",
     temperature: float = TEMPERATURE,
     max_tokens: int = MAX_TOKENS["explanation"],
+    tasks: int | None = None,
 ) -> DataFrame:
     """One result row per deck: explanation, topic, slides used, settings, error.
 
@@ -90,7 +91,7 @@ def explain_batch(
     requests = deck_requests(decks, slides, indices, captioned)
     prompted = style_prompts(requests, style)
     sent = prompted.withColumn("messages", F.when(F.col("topic").isNotNull(), F.col("messages")))
-    done = generate(sent, make_generator, max_tokens, temperature)
+    done = generate(sent, make_generator, max_tokens, temperature, spread_by=["deck"], tasks=tasks)
     asked = F.array(*[F.lit(i) for i in indices or []]).cast("array<int>")
     done = done.withColumn(
         "error", F.when(F.col("topic").isNull(), fixed.NO_SLIDES_ERROR).otherwise(F.col("error"))
@@ -122,10 +123,14 @@ def derive_material(
     temperature: float = TEMPERATURE,
     max_tokens: int | None = None,
     keep: tuple[str, ...] = ("key",),
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Analogies or examples from earlier text, with their topic; failures carry ``error``."""
+    """Analogies or examples from earlier text, with their topic; failures carry ``error``.
+
+    ``keep`` names the columns that identify a row."""
     prompted = render_prompts(with_concept_topic(df, text, topic), kind, "topic", text)
-    done = generate(prompted, make_generator, max_tokens or MAX_TOKENS[kind], temperature)
+    tokens = max_tokens or MAX_TOKENS[kind]
+    done = generate(prompted, make_generator, tokens, temperature, spread_by=keep, tasks=tasks)
     return _result(done, {"analogy": "analogies", "example": "examples"}[kind], *keep)
 
 
@@ -136,12 +141,15 @@ def make_quizzes(
     topic: str | Column | None = None,
     num_questions: int = 3,
     keep: tuple[str, ...] = ("key",),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Checked quizzes on a text: ``items`` or ``error``, the ``raw`` output and the topic."""
     prompted = render_prompts(
         with_concept_topic(df, text, topic), "quiz", "topic", text, num_questions
     )
-    done = generate(prompted, make_generator, MAX_TOKENS["quiz"], QUIZ_TEMPERATURE)
+    done = generate(
+        prompted, make_generator, MAX_TOKENS["quiz"], QUIZ_TEMPERATURE, spread_by=keep, tasks=tasks
+    )
     failure = done.select(*keep, "topic", F.col("generated").alias("raw"), F.col("error").alias("_e"))
     checked = check_quiz(failure, "raw", num_questions)
     return checked.withColumn("error", F.coalesce("_e", "error")).drop("_e")
