@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs
 from checks.registry import query
-from checks.sqltext import FLAT, WS, quoted, with_inputs
+from checks.sqltext import WS, quoted, with_inputs
 from lectern.operators import decks, evaluate, sessions
 from lectern.operators.quiz import check_quiz
 from lectern.session import fresh_path

@@ -183,15 +183,19 @@ def image_counts(images: DataFrame) -> DataFrame:
     return images.groupBy("deck", "slide_number").agg(F.count("*").alias("images"))
 
 
-def deck_summary(slides: DataFrame, images: DataFrame) -> DataFrame:
+def deck_summary(
+    slides: DataFrame, images: DataFrame, decks: DataFrame | None = None
+) -> DataFrame:
     """Slides, images and the status line (which counts images with a path) per deck, added
-    up map-side in one grouping."""
+    up map-side in one grouping. ``decks`` names further decks, which may have neither."""
 
     def marks(df: DataFrame, **ones: Column | int) -> DataFrame:
         return df.select("deck", *[F.lit(v).cast("long").alias(n) for n, v in ones.items()])
 
     shown = F.coalesce(F.length("image_path") > 0, F.lit(False))
     both = marks(slides, s=1, i=0, g=0).unionByName(marks(images, s=0, i=1, g=shown))
+    if decks is not None:
+        both = both.unionByName(marks(decks, s=0, i=0, g=0))
     totals = both.groupBy("deck").agg(
         F.sum("s").alias("total_slides"),
         F.sum("i").alias("total_images"),

@@ -125,6 +125,9 @@ def test_attach_summary_and_gallery(spark):
     summary = {r["deck"]: (r["total_slides"], r["total_images"], r["status"]) for r in decks.deck_summary(slides, images).collect()}
     assert summary["d"] == (2, 2, "Processed 2 slides. Found 1 images.")
     assert summary["e"][:2] == (1, 0) and summary["f"][:2] == (0, 1)
+    failed = spark.createDataFrame([("bad",), ("bad",), ("d",)], "deck string")
+    more = {r["deck"]: r["status"] for r in decks.deck_summary(slides, images, failed).collect()}
+    assert more["bad"] == "Processed 0 slides. Found 0 images." and more["d"] == summary["d"][2]
     assert sorted(r["image_path"] for r in decks.gallery(images).collect()) == ["p", "q"]
 
 
