@@ -80,8 +80,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
     images = stage_decks(deck_files(spark, folder)).images
-    sized = decks.image_dimensions(images)
-    return decks.dedup_images(sized).select(
+    return decks.image_dimensions(images).select(
         "deck",
         "slide_number",
         "shape_name",
@@ -92,6 +91,25 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "deck_ingest_documents",
+    """SELECT 'deck' || (doc_id // 12) AS deck, doc_id % 12 + 1 AS slide_number,
+              CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS images,
+              CASE WHEN doc_id % 3 > 0 THEN doc_id % 500 + 1 END AS height FROM documents""",
+    workers=True,
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """Slides with their images nested, as they come from the file."""
+    slides = stage_decks(deck_files(spark, folder)).slides
+    first = F.get("images", F.lit(0))
+    return slides.select(
+        "deck",
+        "slide_number",
+        F.size("images").alias("images"),
+        first["dimensions"]["height"].alias("height"),
+    )
+
+
 @query(
     "deck_ingest_errors",
     """SELECT 'deck' || (doc_id // 12) || '-cut' AS deck, error

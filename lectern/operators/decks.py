@@ -69,34 +69,53 @@ def shape_rows(slides: DataFrame) -> DataFrame:
 
 def finish_slides(rows: DataFrame) -> DataFrame:
     """Deck rows as slides: number, text, tables, notes, shape details."""
-    slides = rows.filter(F.col("slide_number").isNotNull())
-    done = shape_details(slide_notes(slide_tables(slide_text(slides))))
-    return done.select(
-        "deck", "slide_number", "text_content", "tables", "notes", "shape_details"
+    return _finished(rows).select(*SLIDE)
+
+
+def slides_with_images(rows: DataFrame) -> DataFrame:
+    """Finished slides with ``images``, the list of their pictures' path, format, hash, name
+    and dimensions; [] without any. The pictures are in the slide's row, so nothing is joined."""
+    images = F.transform(
+        "pictures",
+        lambda p: F.struct(
+            p["image_path"].alias("image_path"),
+            p["image_format"].alias("image_format"),
+            p["sha1"].alias("sha1"),
+            p["shape_name"].alias("shape_name"),
+            dimensions(p["header"]).alias("dimensions"),
+        ),
     )
+    return _finished(rows).select(*SLIDE, images.alias("images"))
+
+
+SLIDE = "deck", "slide_number", "text_content", "tables", "notes", "shape_details"
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    slides = rows.filter(F.col("slide_number").isNotNull())
+    return shape_details(slide_notes(slide_tables(slide_text(slides))))
 
 
 def deck_images(rows: DataFrame) -> DataFrame:
     """One row per picture: ``deck, slide_number, ordinal, shape_name, image_format, sha1,
-    header``; the bytes of the pictures are not read."""
+    image_path, header``; the bytes of the pictures are not read."""
     pictures = rows.select("deck", "slide_number", F.explode("pictures").alias("p"))
     return pictures.select("deck", "slide_number", "p.*")
 
 
 def deck_blobs(rows: DataFrame) -> DataFrame:
-    """One row per picture with its bytes: ``deck, slide_number, ordinal, image_format, sha1,
-    blob``."""
-    fields = [F.col(f"pictures.{n}").alias(n) for n in ("ordinal", "image_format", "sha1")]
-    zipped = F.arrays_zip(*fields, F.col("blobs").alias("blob"))
-    return rows.select("deck", "slide_number", F.inline(zipped))
+    """One row per stored picture: ``deck, sha1, image_path, content``."""
+    fields = [F.col(f"pictures.{n}").alias(n) for n in ("sha1", "image_path")]
+    zipped = F.arrays_zip(*fields, F.col("blobs").alias("content"))
+    return rows.select("deck", F.inline(zipped)).filter(F.col("content").isNotNull())
 
 
 def with_sha1(images: DataFrame) -> DataFrame:
     return images.withColumn("sha1", F.sha1("blob"))
 
 
-def image_dimensions(images: DataFrame, header: str = "header") -> DataFrame:
-    """``dimensions`` from the first bytes of PNG and GIF images, else null."""
+def dimensions(header: Column) -> Column:
+    """``width`` and ``height`` from the first bytes of a PNG or GIF image, else null."""
 
     def number(at: int, n: int, little: bool = False) -> Column:
         digits = F.hex(F.substring(header, at, n))
@@ -109,14 +128,17 @@ def image_dimensions(images: DataFrame, header: str = "header") -> DataFrame:
 
     head = F.hex(F.substring(header, 1, 8))
     # File signatures and header offsets of the two formats.
-    dims = F.when(
+    return F.when(
         head.startswith("89504E470D0A1A0A") & (F.length(header) >= 24),
         size(number(17, 4), number(21, 4)),
     ).when(
         head.startswith("474946383961") | head.startswith("474946383761"),
         size(number(7, 2, True), number(9, 2, True)),
     )
-    return images.withColumn("dimensions", dims)
+
+
+def image_dimensions(images: DataFrame, header: str = "header") -> DataFrame:
+    return images.withColumn("dimensions", dimensions(F.col(header)))
 
 
 def _stored(images: DataFrame, scope: list[str]) -> DataFrame:
@@ -142,7 +164,7 @@ def dedup_images(images: DataFrame, scope: list[str] | None = None) -> DataFrame
     occurrences with a join that no much-copied image can overload.
     """
     scope = scope or ["deck"]
-    metadata = images.drop("blob")
+    metadata = images.drop("blob", "image_path")
     return join_per_key(
         metadata, _stored(metadata, scope), [*scope, "sha1"], ["slide_number", "ordinal"]
     )

@@ -31,14 +31,16 @@ SHAPE = T.StructType(
         T.StructField("paragraphs", T.ArrayType(T.ArrayType(T.StringType()))),
     ]
 )
-# The first bytes of a picture tell its dimensions; all of them are kept apart, so that no
-# query on pictures reads them.
+# A picture names its stored copy, the first one with its content in the deck. Its first
+# bytes tell its dimensions; all bytes are kept apart, so that no query on pictures reads
+# them, and only once per stored copy.
 PICTURE = T.StructType(
     [
         T.StructField("ordinal", T.IntegerType()),
         T.StructField("shape_name", T.StringType()),
         T.StructField("image_format", T.StringType()),
         T.StructField("sha1", T.StringType()),
+        T.StructField("image_path", T.StringType()),
         T.StructField("header", T.BinaryType()),
     ]
 )

@@ -1,7 +1,8 @@
 """Slide decks (.pptx) as one row per slide.
 
-A deck is a zip archive, so one task opens it; everything after the nested rows of a slide
-is relational (``operators/decks.py``).
+A deck is a zip archive, so one task opens it, and sees which of its pictures are copies of
+earlier ones; everything after the nested rows of a slide is relational
+(``operators/decks.py``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.operators.decks import deck_blobs, deck_images, finish_slides, quarantine
+from lectern.operators.decks import deck_blobs, deck_images, quarantine, slides_with_images
 from lectern.schemas import DECK_ROW
 from lectern.session import fresh_path
 
@@ -144,8 +145,11 @@ def _notes(relations: dict, archive: zipfile.ZipFile) -> str | None:
     return None
 
 
-def _slide(archive: zipfile.ZipFile, part: str) -> dict[str, Any]:
-    """One slide; a shape that cannot be read is left out."""
+def _slide(
+    archive: zipfile.ZipFile, part: str, number: int, stored: dict[str, str]
+) -> dict[str, Any]:
+    """One slide; a shape that cannot be read is left out. ``stored`` has the paths of the
+    pictures kept so far, by content."""
     root = ElementTree.fromstring(archive.read(part))
     relations = _relations(archive, part)
     row: dict[str, Any] = {name: [] for name in LISTS}
@@ -163,14 +167,18 @@ def _slide(archive: zipfile.ZipFile, part: str) -> dict[str, Any]:
             elif node.tag == _name("p", "graphicFrame"):
                 for table in node.findall("a:graphic/a:graphicData/a:tbl", NS):
                     lines = table.findall("a:tr", NS)
-                    cells = [[_body_text(c.find("a:txBody", NS)) for c in line.findall("a:tc", NS)] for line in lines]
-                    row["tables"].append(cells)
+                    cells = [line.findall("a:tc", NS) for line in lines]
+                    bodies = [[cell.find("a:txBody", NS) for cell in line] for line in cells]
+                    row["tables"].append([[_body_text(b) for b in line] for line in bodies])
             elif node.tag == _name("p", "pic"):
                 found = _picture(node, relations, archive)
                 if found:
                     picture, blob = found
+                    sha1 = picture["sha1"]
+                    path = f"slide{number:03d}_{sha1}.{picture['image_format']}"
+                    row["blobs"].append(None if sha1 in stored else blob)
+                    picture["image_path"] = stored.setdefault(sha1, path)
                     row["pictures"].append({"ordinal": len(row["pictures"]), **picture})
-                    row["blobs"].append(blob)
         except Exception as exc:
             log.warning("shape left out on %s: %s", part, exc)
     try:
@@ -193,9 +201,12 @@ def _slides(path: str, content: bytes) -> Iterator[dict[str, Any]]:
         for reading in ("text", "image"):
             yield {"deck": path, "error": f"{reading}_extraction_failed: {exc}"}
         return
+    stored: dict[str, str] = {}
     for number, part in enumerate(parts, start=1):
         try:
-            row = _slide(archive, part)
+            seen = dict(stored)
+            row = _slide(archive, part, number, seen)
+            stored = seen
         except Exception as exc:
             row = {**{name: [] for name in LISTS}, "error": f"slide_failed: {exc}"}
         yield {"deck": path, "slide_number": number, **row}
@@ -211,7 +222,7 @@ def parse_decks(files: DataFrame) -> DataFrame:
                 held, size = [], 0
                 for row in _slides(path.as_py(), content.as_py()):
                     held.append(row)
-                    size += sum(map(len, row.get("blobs", [])))
+                    size += sum(len(b) for b in row.get("blobs", []) if b)
                     if size > BATCH_BYTES or len(held) == BATCH_SLIDES:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
                         held, size = [], 0
@@ -235,6 +246,8 @@ def read_decks(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Decks(NamedTuple):
+    """Slides (their images nested), images, stored image bytes, and what failed."""
+
     slides: DataFrame
     images: DataFrame
     blobs: DataFrame
@@ -249,7 +262,7 @@ def stage_decks(files: DataFrame, path: str | None = None) -> Decks:
     path = path or fresh_path(spark, "decks")
     parse_decks(files).write.mode("overwrite").parquet(path)
     rows = spark.read.schema(DECK_ROW).parquet(path)
-    return Decks(finish_slides(rows), deck_images(rows), deck_blobs(rows), quarantine(rows))
+    return Decks(slides_with_images(rows), deck_images(rows), deck_blobs(rows), quarantine(rows))
 
 
 def ingest_decks(spark: SparkSession, source: str, path: str | None = None) -> Decks:

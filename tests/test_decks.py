@@ -76,19 +76,29 @@ def test_images_are_stored_once_per_deck(spark, tmp_path):
     staged = ingest_decks(spark, write_decks(tmp_path), str(tmp_path / "stage"))
     images = by_deck(staged.images)
     sha = hashlib.sha1(PHOTO).hexdigest()
-    found = decks.dedup_images(decks.image_dimensions(images)).orderBy("slide_number", "ordinal").collect()
+    found = decks.image_dimensions(images).orderBy("slide_number", "ordinal").collect()
     assert [(r["slide_number"], r["image_format"], r["dimensions"]) for r in found] == [
         (1, "png", (120, 60)),
         (2, "png", (120, 60)),
         (2, "gif", (3, 4)),
     ]
     assert [r["image_path"] for r in found][:2] == [f"slide001_{sha}.png"] * 2
-    blobs = by_deck(staged.blobs)
-    stored = decks.image_blobs(blobs).collect()
-    photo = next(b for b in stored if b["sha1"] == sha)
-    assert len(stored) == 2 and bytes(photo["content"]) == PHOTO
-    assert photo["image_path"] == f"slide001_{sha}.png"
-    assert decks.with_sha1(blobs.drop("sha1")).filter(F.col("sha1") == sha).count() == 2
+    again = decks.dedup_images(images).orderBy("slide_number", "ordinal").collect()
+    assert [r["image_path"] for r in again] == [r["image_path"] for r in found]
+    stored = {r["sha1"]: r for r in staged.blobs.collect()}
+    assert len(stored) == 2 == staged.blobs.count()
+    assert bytes(stored[sha]["content"]) == PHOTO and stored[sha]["image_path"] == f"slide001_{sha}.png"
+    nested = {r["slide_number"]: r["images"] for r in by_deck(staged.slides).filter("deck = 'a.pptx'").collect()}
+    assert {n: len(i) for n, i in nested.items()} == {1: 1, 2: 2, 3: 0, 4: 0}
+    assert nested[2][0]["image_path"] == f"slide001_{sha}.png" and nested[2][1]["dimensions"] == (3, 4)
+
+
+def test_image_blobs_keeps_one_copy(spark):
+    rows = [("d", 2, 0, "png", bytearray(b"x")), ("d", 1, 0, "png", bytearray(b"x")), ("e", 3, 0, "gif", bytearray(b"x"))]
+    images = decks.with_sha1(spark.createDataFrame(rows, "deck string, slide_number int, ordinal int, image_format string, blob binary"))
+    sha = hashlib.sha1(b"x").hexdigest()
+    got = sorted((r["deck"], r["image_path"], bytes(r["content"])) for r in decks.image_blobs(images).collect())
+    assert got == [("d", f"slide001_{sha}.png", b"x"), ("e", f"slide003_{sha}.gif", b"x")]
 
 
 def test_only_the_columns_in_use_are_read(spark, tmp_path):
@@ -98,9 +108,12 @@ def test_only_the_columns_in_use_are_read(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         return plan[plan.index("Scan") :]
 
-    for df in (decks.dedup_images(decks.image_dimensions(staged.images)), staged.slides, staged.errors):
+    for df in (decks.image_dimensions(staged.images), staged.slides, staged.errors):
         assert "blob" not in read(df)
-    assert "pictures" not in read(staged.slides) and "shapes" not in read(staged.images)
+    texts = staged.slides.select("deck", "text_content")
+    assert "pictures" not in read(texts) and "shapes" not in read(staged.images)
+    for df in (staged.slides, staged.images, staged.blobs):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_deck_without_slides(spark):
