@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.frames import bind
+
 # Follows the text inside a list, so that anything left over after the first JSON value
 # shows up as a missing second element (the parser itself stops after one value).
 _END = "␞ end of text ␞"
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with columns that are evaluated once per row however often they are used.
-
-    The optimizer copies a projected expression into every filter and column that refers to
-    it; it does not copy the output of a generator.
-    """
-    made = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(made)))
-
-
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def whole_json(col: Column) -> Column:
     """The text as a variant when all of it is one JSON value, else null."""
     pair = F.try_variant_get(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.json import once
+from lectern.functions.frames import once
 from lectern.functions.text import occurrences, or_empty
 from lectern.session import materialise
 

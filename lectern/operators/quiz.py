@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.json import as_list, has_key, once, whole_json
+from lectern.functions.frames import once
+from lectern.functions.json import as_list, has_key, whole_json
 from lectern.functions.text import or_empty
 
 

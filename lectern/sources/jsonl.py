@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.json import has_key, is_object, once, whole_json
+from lectern.functions.frames import once
+from lectern.functions.json import has_key, is_object, whole_json
 from lectern.functions.text import clean_text
 from lectern.schemas import MESSAGES
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions import fixed
-from lectern.functions.json import once
+from lectern.functions.frames import once
 from lectern.operators.chat import violations_of
 from lectern.operators.sessions import FOLLOW_UPS
 from lectern.sources.jsonl import as_json_line, classify_lines

@@ -146,6 +146,15 @@ def test_strict_read_wants_messages(spark, tmp_path):
         jsonl.read_chat_splits(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl"))
 
 
+def test_strict_read_fails_on_a_broken_line(spark, tmp_path):
+    good = '{"messages": [{"role": "user", "content": "x"}]}\n'
+    (tmp_path / "a.jsonl").write_text(good + "broken\n")
+    (tmp_path / "b.jsonl").write_text(good)
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        splits = jsonl.read_chat_splits(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl"))
+        splits["train"].collect()
+
+
 def test_union_keeps_duplicates(spark):
     df = spark.range(3)
     assert concat_sets(df, df, df).count() == 9

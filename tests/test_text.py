@@ -145,6 +145,11 @@ def test_whole_json_accepts_one_value_only(spark, text, valid):
     assert got == [valid]
 
 
+def test_the_last_of_repeated_keys_counts(spark):
+    parsed = F.to_json(whole_json(F.col("t")))
+    assert evaluate(spark, "t string", [('{"a": 1, "a": 2}',)], parsed) == ['{"a":2}']
+
+
 def test_keys_may_hold_null(spark):
     rows = [('{"messages": null}',), ('{"m": 1}',), ("[1]",), ("3",)]
     v = whole_json(F.col("t"))
