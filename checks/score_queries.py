@@ -147,12 +147,22 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 # --- BLEU, ROUGE, training logs ------------------------------------------------------
 
 
+# The patterns of the public mteval-v13a tokenizer, as published.
+TOKENIZER = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "),
+    (r"([^0-9])([\.,])", r"\1 \2 "),
+    (r"([\.,])([^0-9])", r" \1 \2"),
+    (r"([0-9])(-)", r"\1 \2 "),
+)
+
+
 def _tokens(col: str) -> str:
     text = col
-    for i, (pattern, new) in enumerate(evaluate.BLEU_RULES):
-        if i == evaluate.BLEU_PADDED_FROM:
-            text = f"(' ' || {text} || ' ')"
-        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(new.replace('$', chr(92)))}, 'g')"
+    for old, new in evaluate.BLEU_TEXTS:
+        text = f"replace({text}, {quoted(old)}, {quoted(new)})"
+    text = f"(' ' || {text} || ' ')"
+    for pattern, new in TOKENIZER:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(new)}, 'g')"
     return f"list_filter(regexp_split_to_array({text}, '[' || {WS} || ']+'), lambda w: w <> '')"
 
 
@@ -182,10 +192,10 @@ def _with_bleu() -> str:
     return with_inputs("pairs", BLEU.lstrip())
 
 
-@query("corpus_bleu", _with_bleu())
+@query("corpus_bleu", _with_bleu(), workers=True)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     pairs = inputs.score_pairs(spark, folder)
-    return _rounded(evaluate.corpus_bleu(pairs, "key", "hyp", "ref", "corpus"))
+    return _rounded(evaluate.corpus_bleu(pairs, "hyp", "ref", "corpus"))
 
 
 @query("rouge_l", workers=True)

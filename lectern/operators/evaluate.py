@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import fixed
-from lectern.functions.frames import once
 from lectern.functions.text import occurrences, or_empty
 from lectern.session import materialise
 
@@ -18,22 +17,24 @@ MIN_CHARS, MAX_CHARS = 200, 2000
 SAMPLE_CHARS = 500
 DIGIT = "[\\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 
-# The rules of the public mteval-v13a tokenizer, in their order.
-BLEU_RULES = (
+# The rules of the public mteval-v13a tokenizer, in their order. The texts are
+# replaced first; the text is then padded with spaces for the patterns. (The first pattern
+# has "!" where the original has the space before it, which only adds spaces to spaces.)
+BLEU_TEXTS = (
     ("<skipped>", ""),
-    ("-\\n", ""),
-    ("\\n", " "),
+    ("-\n", ""),
+    ("\n", " "),
     ("&quot;", '"'),
     ("&amp;", "&"),
     ("&lt;", "<"),
     ("&gt;", ">"),
-    ("([\\{-\\~\\[-\\` -\\&\\(-\\+\\:-\\@\\/])", " $1 "),
+)
+BLEU_PATTERNS = (
+    ("([\\{-\\~\\[-\\`!-\\&\\(-\\+\\:-\\@\\/])", " $1 "),
     ("([^0-9])([\\.,])", "$1 $2 "),
     ("([\\.,])([^0-9])", " $1 $2"),
     ("([0-9])(-)", "$1 $2 "),
 )
-# Rules before this one change the text itself; it is then padded with spaces.
-BLEU_PADDED_FROM = 7
 MAX_ORDER = 4
 
 
@@ -164,70 +165,65 @@ def write_report(scores: DataFrame, path: str) -> None:
     lines.select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/report.md")
 
 
-def bleu_tokens(col: Column | str) -> Column:
-    """mteval-v13a tokens."""
+def bleu_text(col: Column | str) -> Column:
+    """The text with white space around every mteval-v13a token."""
     text = or_empty(col)
-    for i, (pattern, new) in enumerate(BLEU_RULES):
-        if i == BLEU_PADDED_FROM:
-            text = F.concat(F.lit(" "), text, F.lit(" "))
+    for old, new in BLEU_TEXTS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for pattern, new in BLEU_PATTERNS:
         text = F.regexp_replace(text, pattern, new)
-    words = F.split(text, f"[{fixed.WHITESPACE}]+")
-    return F.filter(words, lambda w: w != "")
+    return text
 
 
-def _ngrams(tokens: DataFrame, keep: list[str]) -> DataFrame:
-    """The n-grams (n = 1..4) of ``tokens`` as ``n, gram``.
+def _matches(hyp: list[str], ref: list[str]) -> list[int]:
+    """How many n-grams (n = 1..4) two texts share, each counted as often as in both.
 
-    Each token meets the ones after it by zipping the list with itself, shifted; and a text
-    without tokens gives a row of order 0, which keeps its group.
+    An n-gram is a number: the one of its first n - 1 words paired with its last word.
     """
-    orders = range(1, MAX_ORDER + 1)
-    shifted = [F.slice("tokens", n, F.size("tokens")).alias(f"t{n}") for n in orders]
-    words = tokens.select(*keep, F.inline_outer(F.arrays_zip(*shifted)))
-    longest = [F.col(f"t{n}") for n in orders]
-
-    def gram(n: int) -> Column:
-        order = F.when(longest[n - 1].isNotNull(), n)
-        return F.struct(order.alias("n"), F.concat_ws(" ", *longest[:n]).alias("gram"))
-
-    none = F.struct(F.when(longest[0].isNull(), 0).alias("n"), F.lit("").alias("gram"))
-    grams = words.select(*keep, F.inline(F.array(none, *map(gram, orders))))
-    return grams.filter(F.col("n").isNotNull())
+    numbers: dict[str, int] = {}
+    words = [numbers.setdefault(w, len(numbers)) for w in hyp + ref]
+    last_h, last_r = np.split(np.array(words, np.int64), [len(hyp)])
+    grams_h, grams_r = last_h, last_r
+    shared = []
+    for n in range(1, MAX_ORDER + 1):
+        if n > 1:
+            pairs = [
+                grams[:-1] * len(numbers) + last[n - 1 :]
+                for grams, last in ((grams_h, last_h), (grams_r, last_r))
+            ]
+            _, renumbered = np.unique(np.concatenate(pairs), return_inverse=True)
+            grams_h, grams_r = np.split(renumbered, [len(pairs[0])])
+        size = max(grams_h.max(initial=-1), grams_r.max(initial=-1)) + 1
+        counts = [np.bincount(g, minlength=size) for g in (grams_h, grams_r)]
+        shared.append(int(np.minimum(*counts).sum()))
+    return shared
+
+
+def _counts(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Shared n-grams of each pair, and the number of words on both sides."""
+    for hyps, refs in pairs:
+        words = ((h.split(), r.split()) for h, r in zip(hyps, refs))
+        yield pd.Series([[*_matches(h, r), len(h), len(r)] for h, r in words], dtype="object")
 
 
-def ngram_totals(df: DataFrame, key: str, hyp: str, ref: str, by: list[str]) -> DataFrame:
+def ngram_totals(df: DataFrame, hyp: str, ref: str, by: list[str]) -> DataFrame:
     """Per group: ``matched_n``, ``hyp_n`` and ``ref_n`` for n = 1..4.
 
-    Only the texts are shuffled, by pair; their n-grams, many times as large, are counted
-    where they are made, since pair and n-gram are then already together.
+    A pair's n-grams are counted in its own row: exploding and grouping them would shuffle
+    many times the size of the texts.
     """
-    keep = [key, *by]
-    pairs = df.select(*keep, hyp, ref).repartition(key)
-    sides = F.array(
-        F.struct(F.lit(1).alias("side"), F.col(hyp).alias("text")),
-        F.struct(F.lit(0).alias("side"), F.col(ref).alias("text")),
-    )
-    texts = pairs.select(*keep, F.inline(sides))
-    tokens = once(texts, tokens=bleu_tokens("text")).drop("text")
-    counted = F.when(F.col("n") > 0, 1).otherwise(0)
-    counts = (
-        _ngrams(tokens, [*keep, "side"])
-        .groupBy(*keep, "n", "gram")
-        .agg(
-            F.sum(counted * F.col("side")).alias("hyp"),
-            F.sum(counted * (1 - F.col("side"))).alias("ref"),
-        )
-    )
+    orders = range(1, MAX_ORDER + 1)
+    count = F.pandas_udf(_counts, "array<bigint>")
+    counted = df.select(*by, count(bleu_text(hyp), bleu_text(ref)).alias("c"))
+    length = {"hyp": F.get("c", F.lit(MAX_ORDER)), "ref": F.get("c", F.lit(MAX_ORDER + 1))}
     sums = []
-    for n in range(1, MAX_ORDER + 1):
-        for name, value in (
-            ("matched", F.least("hyp", "ref")),
-            ("hyp", F.col("hyp")),
-            ("ref", F.col("ref")),
-        ):
-            chosen = F.when(F.col("n") == n, value).otherwise(0)
-            sums.append(F.sum(chosen).alias(f"{name}_{n}"))
-    return counts.groupBy(*by).agg(*sums)
+    for n in orders:
+        sums.append(F.sum(F.get("c", F.lit(n - 1))).alias(f"matched_{n}"))
+        for side, words in length.items():
+            grams = F.greatest(words - (n - 1), F.lit(0))
+            sums.append(F.sum(grams).alias(f"{side}_{n}"))
+    return counted.groupBy(*by).agg(*sums)
 
 
 def bleu_score() -> Column:
@@ -249,9 +245,9 @@ def bleu_score() -> Column:
     return F.when(some & full, 100 * brevity * F.exp(log_sum / MAX_ORDER)).otherwise(F.lit(0.0))
 
 
-def corpus_bleu(df: DataFrame, key: str, hyp: str, ref: str, *by: str) -> DataFrame:
-    """``bleu`` (0..100) per group against one reference; ``key`` identifies the pair."""
-    return ngram_totals(df, key, hyp, ref, list(by)).select(*by, bleu_score().alias("bleu"))
+def corpus_bleu(df: DataFrame, hyp: str, ref: str, *by: str) -> DataFrame:
+    """``bleu`` (0..100) per group against one reference."""
+    return ngram_totals(df, hyp, ref, list(by)).select(*by, bleu_score().alias("bleu"))
 
 
 def _lcs_length(a: list[str], b: list[str]) -> int:
@@ -270,22 +266,21 @@ def _lcs_length(a: list[str], b: list[str]) -> int:
 def _rouge_l(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for hyps, refs in pairs:
         scores = []
-        for hyp, ref in zip(hyps, refs):
+        for hyp, ref in zip((h.split() for h in hyps), (r.split() for r in refs)):
             both = len(hyp) + len(ref)
-            scores.append(2 * _lcs_length(list(hyp), list(ref)) / both if both else 0.0)
+            scores.append(2 * _lcs_length(hyp, ref) / both if both else 0.0)
         yield pd.Series(scores, dtype="float64")
 
 
-def rouge_tokens(col: Column | str) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    words = F.split(F.lower(or_empty(col)), "[^a-z0-9]+")
-    return F.filter(words, lambda w: w != "")
+def rouge_text(col: Column | str) -> Column:
+    """Lower-case runs of ASCII letters and digits, with a space between."""
+    return F.regexp_replace(F.lower(or_empty(col)), "[^a-z0-9]+", " ")
 
 
 def rouge_l(df: DataFrame, hyp: str, ref: str, *by: str) -> DataFrame:
     """Mean F-measure of the longest common subsequence (Lin 2004) per group."""
     score = F.pandas_udf(_rouge_l, "double")
-    scored = df.select(*by, score(rouge_tokens(hyp), rouge_tokens(ref)).alias("f"))
+    scored = df.select(*by, score(rouge_text(hyp), rouge_text(ref)).alias("f"))
     return scored.groupBy(*by).agg(F.avg("f").alias("rouge_l"))
 
 

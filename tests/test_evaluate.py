@@ -73,7 +73,7 @@ def test_bleu_against_the_definition(spark):
     rows += [("s0", "same", "the cat sat on a mat", "the cat sat on a mat"), ("z0", "none", "", ""), ("d0", "differ", "a b c d e", "f g h i j")]
     rows += [("u0", "unigrams only", "a b c d e", "e d c b a")]
     df = spark.createDataFrame(rows, "key string, g string, hyp string, ref string")
-    got = {r["g"]: r["bleu"] for r in evaluate.corpus_bleu(df, "key", "hyp", "ref", "g").collect()}
+    got = {r["g"]: r["bleu"] for r in evaluate.corpus_bleu(df, "hyp", "ref", "g").collect()}
     for group in got:
         want = corpus_bleu([(r[2], r[3]) for r in rows if r[1] == group])
         assert got[group] == pytest.approx(want), group
@@ -81,21 +81,26 @@ def test_bleu_against_the_definition(spark):
     assert 0 < got["unigrams only"] < 100
 
 
-def test_ngrams_are_counted_without_a_shuffle(spark):
+def test_texts_are_not_shuffled(spark):
     df = spark.createDataFrame([("1", "a b", "a b")], "key string, hyp string, ref string")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        totals = evaluate.ngram_totals(df, "key", "hyp", "ref", [])
-        plan = totals._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    above_generate = plan[: plan.index("Generate")]
-    assert above_generate.count("Exchange") == 1 and "SinglePartition" in above_generate
+    plan = evaluate.ngram_totals(df, "hyp", "ref", ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "HashAggregate" in plan[plan.index("Exchange") :]
 
 
-def test_bleu_tokens(spark):
+def test_matches_against_counters():
+    rng = random.Random(1)
+    for _ in range(200):
+        hyp, ref = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in "hr")
+        want = []
+        for n in range(1, 5):
+            a, b = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (hyp, ref))
+            want.append(sum((a & b).values()))
+        assert evaluate._matches(hyp, ref) == want
+
+
+def test_bleu_words(spark):
     df = spark.createDataFrame([('It\'s 3.5%, "ok"-\nay; A&amp;B 2-3.',)], "t string")
-    assert df.select(evaluate.bleu_tokens("t").alias("t")).first()["t"] == (
+    assert df.select(evaluate.bleu_text("t").alias("t")).first()["t"].split() == (
         "It's 3.5 % , \" ok \" ay ; A & B 2 - 3 .".split()
     )
 
