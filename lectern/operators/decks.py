@@ -13,6 +13,8 @@ from lectern.functions import fixed
 from lectern.functions.text import clean_text, is_deck, or_empty, preview
 from lectern.operators.skew import join_per_key
 
+SLIDE = "deck", "slide_number", "text_content", "tables", "notes", "shape_details"
+
 
 def only_decks(df: DataFrame, path: str = "path") -> DataFrame:
     return df.filter(is_deck(path))
@@ -33,7 +35,8 @@ def slide_text(slides: DataFrame) -> DataFrame:
 def slide_tables(slides: DataFrame) -> DataFrame:
     """``tables`` as a matrix of texts per table; an empty cell is ""."""
     tables = F.transform("tables", lambda t: F.transform(t, lambda r: F.transform(r, or_empty)))
-    return slides.withColumn("tables", F.coalesce(tables, F.array().cast("array<array<array<string>>>")))
+    none = F.array().cast("array<array<array<string>>>")
+    return slides.withColumn("tables", F.coalesce(tables, none))
 
 
 def slide_notes(slides: DataFrame) -> DataFrame:
@@ -88,9 +91,6 @@ def slides_with_images(rows: DataFrame) -> DataFrame:
     return _finished(rows).select(*SLIDE, images.alias("images"))
 
 
-SLIDE = "deck", "slide_number", "text_content", "tables", "notes", "shape_details"
-
-
 def _finished(rows: DataFrame) -> DataFrame:
     slides = rows.filter(F.col("slide_number").isNotNull())
     return shape_details(slide_notes(slide_tables(slide_text(slides))))
@@ -184,10 +184,11 @@ def attach_images(slides: DataFrame, images: DataFrame) -> DataFrame:
     on = ["deck", "slide_number"]
     rest = [c for c in images.columns if c not in on]
     rows = images.select(*on, F.struct(*rest).alias("image"))
-    counted = slides.join(image_counts(images), on, "left")
-    filled = counted.filter(F.col("images").isNotNull()).withColumn("_slide", F.lit(True))
-    merged = join_per_key(rows, filled, on, ["image"], "images").filter("_slide")
-    empty = counted.filter(F.col("images").isNull()).withColumn(
+    counts = image_counts(images)
+    # Every slide that has images, and every slide number of an image without a slide.
+    per_slide = counts.join(slides.withColumn("_slide", F.lit(True)), on, "left")
+    merged = join_per_key(rows, per_slide, on, ["image"], "images").filter("_slide")
+    empty = slides.join(counts, on, "left_anti").withColumn(
         "image", F.lit(None).cast(rows.schema["image"].dataType)
     )
     columns = [*slides.columns, "image"]

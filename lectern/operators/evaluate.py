@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import occurrences, or_empty
+from lectern.schemas import QUIZ_ITEM
 from lectern.session import materialise
 
 # Accepted length, length of a sample, the digits beyond the decimal ones.
@@ -78,7 +79,7 @@ def example_quality(df: DataFrame, col: str = "examples") -> DataFrame:
 
 
 def quiz_flags(col: str = "items") -> list[Column]:
-    items = F.coalesce(F.col(col), F.array().cast(f"array<{_ITEM}>"))
+    items = F.coalesce(F.col(col), F.array().cast(f"array<{QUIZ_ITEM}>"))
     return [
         F.size(items).alias("count"),
         F.forall(items, lambda i: F.length(or_empty(i["rationale"])) > 0).alias("has_rationales"),
@@ -88,9 +89,6 @@ def quiz_flags(col: str = "items") -> list[Column]:
     ]
 
 
-_ITEM = "struct<question:string,options:array<string>,correct_index:int,rationale:string>"
-
-
 def quiz_quality(df: DataFrame, col: str = "items") -> DataFrame:
     return df.select("*", *quiz_flags(col))
 

@@ -56,7 +56,9 @@ def spread(df: DataFrame, by: Sequence[str], tasks: int | None = None) -> DataFr
     return df.repartition(count, *by)
 
 
-def _one_per_item(call: Callable[[list], list], items: list, size: int) -> list[tuple[Any, str | None]]:
+def _one_per_item(
+    call: Callable[[list], list], items: list, size: int
+) -> list[tuple[Any, str | None]]:
     """(result, error) per item, in batches; the items of a batch that fails are tried one by
     one."""
     out: list[tuple[Any, str | None]] = []
@@ -117,8 +119,7 @@ def back_translate(
     first = F.array_position(F.transform("messages", lambda m: m["role"]), "assistant")
     sampled = spread(sample_n(df, n, key, seed), [key], tasks)
     translated = (
-        sampled
-        .withColumn("mismatch", F.coalesce(first != 3, F.lit(True)))
+        sampled.withColumn("mismatch", F.coalesce(first != 3, F.lit(True)))
         .withColumn("_back", there_and_back.asNondeterministic()(text))
         .filter("_back.ok")
     )
@@ -145,18 +146,20 @@ def caption_images(
 
         for paths in batches:
             out = []
-            for path, (caption, error) in zip(paths, _one_per_item(call, paths.tolist(), batch_size)):
+            answers = _one_per_item(call, paths.tolist(), batch_size)
+            for path, (caption, error) in zip(paths, answers):
                 if error:
                     log.warning("no caption for %s: %s", path, error)
                 out.append(fixed.NO_CAPTION if error else caption)
             yield pd.Series(out, dtype="object")
 
-    paths = images.filter(F.length("image_path") > 0).groupBy("image_path")
-    per_path = spread(paths.agg(F.count("*").alias("n")), ["image_path"], tasks)
-    captioned = materialise(per_path.withColumn("caption", captions("image_path")), "captions")
-    return join_per_key(
-        images, captioned, ["image_path"], ["deck", "slide_number", "ordinal"]
-    )
+    # Images without a path have no key, and the join spreads them.
+    keyed = images.withColumn("_path", F.nullif("image_path", F.lit("")))
+    paths = keyed.filter(F.col("_path").isNotNull()).groupBy("_path")
+    per_path = spread(paths.agg(F.count("*").alias("n")), ["_path"], tasks)
+    captioned = materialise(per_path.withColumn("caption", captions("_path")), "captions")
+    joined = join_per_key(keyed, captioned, ["_path"], ["deck", "slide_number", "ordinal"])
+    return joined.drop("_path")
 
 
 def text_as_messages(text: Column | str) -> Column:

@@ -47,7 +47,8 @@ class Ordered:
 def ordered(
     df: DataFrame, group: list[str], order: list[str], max_rows: int = MAX_ROWS
 ) -> Ordered:
-    """``df`` ready for running values; ``order`` must be unique within a group."""
+    """``df`` ready for running values; ``order`` must be unique within a group, and the
+    columns of ``group`` must not be null."""
     sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
     largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     if (largest or 0) <= max_rows:

@@ -1,7 +1,8 @@
 """Concatenation, seeded order, exact samples and exact splits.
 
-The random order of a row is ``md5(seed:key)``. ``key`` must be a unique row id. A sample
-or split of an exact size needs the hash at a given rank; it is found by counting rows per
+The random order of a row is ``md5(seed:key)``. ``key`` must be a unique row id, and ``df``
+must give the same rows each time it is read; rows that share a key fall on the same side.
+A sample or split of an exact size needs the hash at a given rank; it is found by counting rows per
 hash prefix, so that no step sorts the data or brings it into one task. Three hex digits
 make 4,096 counters; the counter that holds the rank is counted again by three more digits
 until it covers few rows, and only those are compared one by one. Each step reads nothing
@@ -46,11 +47,11 @@ def _threshold(hashes: DataFrame, k: Callable[[Column], Column]) -> str | None:
         counts = rows.groupBy(F.left("h", F.lit(digits)).alias("p")).agg(F.count("*").alias("n"))
         # At most one row per prefix, so these windows are small whatever the data.
         in_order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         wanted = k(F.sum("n").over(whole)).cast("long") if rank is None else F.lit(rank)
         ranked = counts.withColumn("upto", F.sum("n").over(in_order)).withColumn("rank", wanted)
-        here = (F.col("rank") > 0) & F.col("rank").between(F.col("upto") - F.col("n") + 1, F.col("upto"))
-        hit = ranked.filter(here).first()
+        reached = F.col("rank").between(F.col("upto") - F.col("n") + 1, F.col("upto"))
+        hit = ranked.filter((F.col("rank") > 0) & reached).first()
         if hit is None or digits == HASH_DIGITS:
             return hit and hit["p"]
         prefix, rank = hit["p"], hit["rank"] - hit["upto"] + hit["n"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +21,9 @@ def join_per_key(
     """``rows`` with the value columns of ``per_key`` (one row per key, with its row count).
 
     Rows of hot keys take their values from a broadcast of fewer than ``HOT_SHARE`` rows and
-    are spread over the shuffle by ``spread_by``; all others meet their key in a plain
-    equi-join. No key sends more than a bounded share of the rows to one task.
+    are spread over the shuffle by ``spread_by``, as are rows without a key (null); all others
+    meet their key in a plain equi-join. No key sends more than a bounded share of the rows to
+    one task, provided that ``per_key`` lists every key of ``rows``.
     """
     values = [c for c in per_key.columns if c not in (*keys, count)]
     total = rows.agg(F.count("*")).scalar()
@@ -28,7 +32,8 @@ def join_per_key(
     # Cold keys have salt 0; hot keys have one that no row has.
     cold_salt = F.when(is_hot, -1).otherwise(0).alias("_salt")
     cold = per_key.select(*keys, cold_salt, F.struct(*values).alias("_cold"))
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(
+    has_key = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    salt = F.when(F.col("_hot").isNull() & has_key, 0).otherwise(
         1 + F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
     )
     joined = (

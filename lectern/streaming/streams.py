@@ -88,7 +88,9 @@ def stream_sessions(
 
     Rows of a micro-batch are put in event order, so the result equals the batch replay as
     long as arrival follows event time. Rows later than the watermark are dropped, and a
-    session idle for ``idle_ms`` of event time is forgotten.
+    session idle for ``idle_ms`` of event time is forgotten. A session's rows of one
+    micro-batch are in memory at once, so the source should bound its micro-batches
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
     """
 
     def advance(

@@ -48,6 +48,20 @@ def test_null_keys_stay(spark):
     assert sorted(map(tuple, got.collect())) == [(1, None, None), (2, "a", 2)]
 
 
+def test_rows_without_a_key_are_spread(spark):
+    rows = hot(spark).withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.join_per_key(rows, per_key(rows), ["k"], ["id"])
+        placed = joined.withColumn("p", F.spark_partition_id()).select("p", "first").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = Counter(r["p"] for r in placed)
+    assert len(sizes) == 4 and max(sizes.values()) < 1.5 * 3000 / 4
+
+
 def test_much_copied_image(spark):
     rows = hot(spark).select(
         F.lit("d").alias("deck"),
@@ -73,6 +87,8 @@ def test_slide_with_a_third_of_the_images(spark):
     )
     got = attach_images(slides, images).select("slide_number", "text", "image.ordinal")
     want = slides.join(images, ["deck", "slide_number"], "left").select("slide_number", "text", "ordinal")
+    stray = images.withColumn("deck", F.when(F.col("slide_number") == 1, "no such deck").otherwise("d"))
+    assert attach_images(slides, stray).filter("image IS NOT NULL").count() == want.filter("slide_number > 1 AND ordinal IS NOT NULL").count()
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
