@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from lectern.operators.sampling import (
     seeded_shuffle,
     split_counts,
 )
+from lectern.session import together
 from lectern.sources.jsonl import read_chat_jsonl, write_chat_jsonl, write_stats
 from lectern.sources.qa import head_n
 
@@ -77,16 +79,27 @@ def run_prepare(
     prepared = prepare(sources, n)
     prepared.write.mode("overwrite").partitionBy("corpus").parquet(stage_path)
     stage = spark.read.schema(prepared.schema).parquet(stage_path)
-    for corpus in sources:
-        write_chat_jsonl(
-            stage.filter(F.col("corpus") == corpus), f"{out}/{corpus}_instructions.jsonl"
-        )
-    split = exact_split(stage, "key", frac, seed)
-    for name in ("train", "val"):
+
+    def write_corpus(corpus: str) -> None:
+        records = stage.filter(F.col("corpus") == corpus)
+        write_chat_jsonl(records, f"{out}/{corpus}_instructions.jsonl")
+
+    def write_part(name: str) -> None:
         part = seeded_shuffle(split.filter(F.col("split") == name), "key", seed)
         write_chat_jsonl(part, f"{out}/combined_{name}.jsonl")
+
+    split, *_ = together(
+        spark,
+        lambda: exact_split(stage, "key", frac, seed),
+        *[partial(write_corpus, corpus) for corpus in sources],
+    )
     stats = prepare_stats(split, sources)
-    write_stats(stats, f"{out}/dataset_stats.json")
+    together(
+        spark,
+        lambda: write_part("train"),
+        lambda: write_part("val"),
+        lambda: write_stats(stats, f"{out}/dataset_stats.json"),
+    )
     return stats
 
 
@@ -143,17 +156,25 @@ def run_augment(
     augmented = augment(train, sizes, make_translator, pivot)
     augmented.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/stage")
     stage = spark.read.schema(augmented.schema).parquet(f"{out}/stage")
-    for kind, file in FILES.items():
-        write_chat_jsonl(stage.filter(F.col("kind") == kind), f"{out}/{file}")
-    ordered = seeded_shuffle(
-        stage.withColumn("_id", F.concat_ws(":", "kind", "key")), "_id", seed
-    )
-    write_chat_jsonl(ordered, f"{out}/combined_augmented.jsonl")
+    placed = stage.withColumn("_id", F.concat_ws(":", "kind", "key"))
     stats = augmentation_stats(stage)
     records = F.col("records")
     kinds = ("original", *FILES, "combined_augmented")
-    counts = stats.agg(*[F.sum(F.when(F.col("kind") == k, records).otherwise(0)).alias(k) for k in kinds])
-    write_stats(counts, f"{out}/augmentation_stats.json")
+    counts = stats.agg(
+        *[F.sum(F.when(F.col("kind") == k, records).otherwise(0)).alias(k) for k in kinds]
+    )
+
+    def write_kind(kind: str, file: str) -> None:
+        write_chat_jsonl(stage.filter(F.col("kind") == kind), f"{out}/{file}")
+
+    together(
+        spark,
+        lambda: write_chat_jsonl(
+            seeded_shuffle(placed, "_id", seed), f"{out}/combined_augmented.jsonl"
+        ),
+        lambda: write_stats(counts, f"{out}/augmentation_stats.json"),
+        *[partial(write_kind, kind, file) for kind, file in FILES.items()],
+    )
     return stats
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,6 +71,14 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
+    """Run independent actions at the same time, so that the tail of one job does not leave
+    executors idle; the first failure is raised."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [job.result() for job in running]
+
+
 def ship_package(spark: SparkSession, *packages: str) -> None:
     """Make this package, and others beside it, importable in Python workers (as
     ``--py-files`` would)."""
