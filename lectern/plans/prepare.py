@@ -113,15 +113,18 @@ def augment(
     """The records and their augmented copies in one set, marked by ``kind``."""
     size = {"analogies": 1000, "examples": 1000, "step_by_step": 1000, "back_translation": 500}
     size.update(sizes or {})
-    kinds = {
-        "original": train,
-        "analogies": augment_analogy(train, size["analogies"], key),
-        "examples": augment_examples(train, size["examples"], key),
-        "step_by_step": augment_steps(train, size["step_by_step"], key),
+    makers: dict[str, Callable[[], DataFrame]] = {
+        "original": lambda: train,
+        "analogies": lambda: augment_analogy(train, size["analogies"], key),
+        "examples": lambda: augment_examples(train, size["examples"], key),
+        "step_by_step": lambda: augment_steps(train, size["step_by_step"], key),
     }
     if make_translator is not None:
-        back = back_translate(train, make_translator, size["back_translation"], pivot, key)
-        kinds["back_translated"] = back
+        makers["back_translated"] = lambda: back_translate(
+            train, make_translator, size["back_translation"], pivot, key
+        )
+    # Each sample counts hash prefixes first, in small jobs of its own.
+    kinds = dict(zip(makers, together(train.sparkSession, *makers.values())))
     return concat_sets(
         *[df.select(key, "messages").withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]
     )
