@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.mixing import SQL as SQL_MIX
+from lectern.llm.mixing import mix
 from lectern.llm.packing import pack
+from lectern.llm.personal import KINDS, find_personal, span_list
+from lectern.llm.quality import quality
 from lectern.llm.registry import query, table
 from lectern.llm.token_counts import token_counts
 
@@ -25,3 +29,28 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_token_counts")
 def counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), VOCABULARY)
+
+
+@query("op2_mixing", SQL_MIX)
+def mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"))
+
+
+@query("op7_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts are of plain identifiers; ``n_added`` counts those found behind disguises."""
+    found = find_personal(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    n = {k: F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long") for k in KINDS}
+    return found.select(
+        "doc_id",
+        *[c.alias(f"n_{k}") for k, c in n.items()],
+        F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
+    )
+
+
+@query("op10_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
