@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.fingerprints import edited_fingerprints, written
 from lectern.llm.mixing import SQL as SQL_MIX
 from lectern.llm.mixing import mix
 from lectern.llm.packing import pack
@@ -13,6 +14,7 @@ from lectern.llm.personal import KINDS, find_personal, span_list
 from lectern.llm.quality import quality
 from lectern.llm.registry import query, table
 from lectern.llm.token_counts import token_counts
+from lectern.llm.urls import Rule, filter_urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -54,3 +56,31 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality")
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_syncmers")
+def syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    found = edited_fingerprints(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        written(F.col("anchors")).alias("fingerprint"),
+        written(F.col("edited_anchors")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+RULES = [
+    Rule("allow", "com/"),
+    Rule("block", "example.com/en/"),
+    Rule("allow", "www.example.com/en/"),
+    Rule("block", "net/es/"),
+    Rule("block", "net/fr/"),
+]
+
+
+@query("op3_url_filter")
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"), RULES)
