@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.llm.fingerprints import edited_fingerprints, written
 from lectern.llm.mixing import SQL as SQL_MIX
 from lectern.llm.mixing import mix
+from lectern.llm.neighbours import nearest
 from lectern.llm.packing import pack
 from lectern.llm.personal import KINDS, find_personal, span_list
 from lectern.llm.quality import quality
@@ -84,3 +85,9 @@ RULES = [
 @query("op3_url_filter")
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages"), RULES)
+
+
+@query("op8_nearest")
+def neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 20 = 0"))

@@ -94,7 +94,7 @@ def entropy(text: Column) -> Column:
 
 FEATURES = (
     "url_length", "host_length", "path_length", "labels", "depth", "digit_share", "dash_count", "entropy",
-    "host_entropy", "parameters", "parameter_length", "fragment", "secure", "numeric_host", "suffix_hosts",
+    "host_entropy", "parameters", "parameter_length", "fragment", "secure", "numeric_host", "suffix_labels",
     "suffix_depth", "suffix_digits", "suffix_parameters",
 )
 
@@ -125,11 +125,11 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(pages: DataFrame) -> DataFrame:
-    """Per suffix of all ``pages``: the order of magnitude of its hosts (a sketch's count), and
-    mean depth, digit share and parameters. They are rounded, so that trees learn from what
-    a suffix is like and can't use its numbers as its name."""
+    """Per suffix of all ``pages``: mean labels, depth, digit share and parameters. They are
+    rounded, so that trees learn from what a suffix is like and can't use its numbers as its
+    name."""
     return pages.groupBy("suffix").agg(
-        F.round(F.log10(F.approx_count_distinct("host") + 1.0)).alias("suffix_hosts"),
+        F.round(F.avg("labels")).alias("suffix_labels"),
         F.round(F.avg("depth")).alias("suffix_depth"),
         F.round(F.avg("digit_share"), 1).alias("suffix_digits"),
         F.round(F.avg("parameters")).alias("suffix_parameters"),
@@ -143,7 +143,7 @@ def featured(pages: DataFrame) -> DataFrame:
     them where their size is within its limit, and splits hot suffixes where it isn't.
     """
     rows = lexical(pages)
-    stats = materialise(suffix_statistics(rows.select("suffix", "host", "depth", "digit_share", "parameters")), "url-suffixes")
+    stats = materialise(suffix_statistics(rows.select("suffix", "labels", "depth", "digit_share", "parameters")), "url-suffixes")
     return rows.join(stats, "suffix", "left")
 
 
