@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.fingerprints import edited_fingerprints, written
@@ -44,10 +44,13 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Counts are of plain identifiers; ``n_added`` counts those found behind disguises."""
     found = find_personal(table(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    n = {k: F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long") for k in KINDS}
+
+    def n(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *[c.alias(f"n_{k}") for k, c in n.items()],
+        *[n(kind) for kind in KINDS],
         F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"),
         span_list(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
