@@ -14,6 +14,7 @@ from lectern.llm.packing import pack
 from lectern.llm.personal import KINDS, find_personal, span_list
 from lectern.llm.quality import quality
 from lectern.llm.registry import query, table
+from lectern.llm.shingle_join import shingle_join
 from lectern.llm.token_counts import token_counts
 from lectern.llm.urls import Rule, filter_urls
 
@@ -94,3 +95,8 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
+@query("op1_shingle_join")
+def joined_shingles(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join(table(spark, folder, "documents"))
