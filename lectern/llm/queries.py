@@ -14,6 +14,7 @@ from lectern.llm.packing import pack
 from lectern.llm.personal import KINDS, find_personal, span_list
 from lectern.llm.quality import quality
 from lectern.llm.registry import query, table
+from lectern.llm.repeats import without_repeats
 from lectern.llm.shingle_join import shingle_join
 from lectern.llm.token_counts import token_counts
 from lectern.llm.urls import Rule, filter_urls
@@ -100,3 +101,15 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_shingle_join")
 def joined_shingles(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join(table(spark, folder, "documents"))
+
+
+@query("op4_repeats")
+def repeats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = without_repeats(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
