@@ -83,7 +83,8 @@ def ship_package(spark: SparkSession, *packages: str) -> None:
     """Make this package, and others beside it, importable in Python workers (as
     ``--py-files`` would)."""
     root = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="lectern-package-")) / "lectern.zip"
+    # Spark takes one archive of a name, so each has its own.
+    archive = Path(tempfile.mkdtemp(prefix="lectern-package-")) / f"lectern-{uuid.uuid4().hex}.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for package in ("lectern", *packages):
             for file in sorted((root / package).rglob("*.py")):
