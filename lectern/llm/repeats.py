@@ -196,7 +196,7 @@ class Repeats:
                     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), strings]):
                         j = int(offsets[a])
                         begin = anchor - size * j
-                        common = raw[begin : begin - size + 1 + length]
+                        common = raw[begin : max(begin, begin - size + 1 + length)]
                         part = raw[a : b - 1 + length]
                         tag = b"%d %d %d" % (id_, size, j)
                         rows.append(
