@@ -365,16 +365,27 @@ def shingle_join(
 
 
 def one_of_each(
-    docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, text_col: str = "text"
+    docs: DataFrame,
+    n_words: int = N_WORDS,
+    percent: int = PERCENT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` with one row of each component; rows without words all stay.
-
-    Rows are numbered as they are read, so ``docs`` must be a table that reads alike each
-    time; of each component the first row stays.
-    """
-    numbered = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = ShingleJoin(numbered.select("key", F.col("row")[text_col].alias("text")), n_words, percent).classes()
-    copies = materialise(found.filter("component <> key").select("key"), "shingle-copies")
-    if copies.count() <= BROADCAST_IDS:
-        copies = F.broadcast(copies)
-    return numbered.join(copies, "key", "left_anti").select("row.*")
+    """``docs`` with one row of each component: that of the least id, null last. Rows without
+    words all stay; of rows equal in id and text, one does."""
+    own = F.coalesce(F.col("row")[id_col].cast("long"), F.lit((1 << 63) - 1))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("key", F.struct(own.alias("id"), F.xxhash64(F.col("row")[text_col]).alias("hash")))
+    found = ShingleJoin(rows.select("key", F.col("row")[text_col].alias("text")), n_words, percent).classes()
+    found = materialise(found.filter("n > 0"), "shingle-classes")
+
+    def few(keys: DataFrame) -> DataFrame:
+        keys = materialise(keys, "shingle-copies")
+        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+    copies = few(found.filter("component <> key").select("key").distinct())
+    again = few(found.filter("component = key").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    rows = rows.join(copies, "key", "left_anti")
+    once = rows.join(again, "key", "left_anti").select("row")
+    first = rows.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(first).select("row.*")
