@@ -121,7 +121,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "chat_jsonl_records",
-    """SELECT event_id,
+    """SELECT event_id, event_id AS id,
               CASE WHEN event_type = 'error' THEN 'tool' ELSE 'user' END || '=' || event_type || ' |assistant=event '
               || event_id AS messages
        FROM events WHERE event_id % 5 = 0""",
@@ -129,7 +129,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark: SparkSession, folder: str) -> DataFrame:
     lines = inputs.jsonl_lines(spark, folder).drop("ts")
     records = jsonl.parse_chat_lines(lines).records
-    return records.select("event_id", flat_messages().alias("messages"))
+    field = F.get_json_object("record", "$.id").cast("long")
+    return records.select("event_id", field.alias("id"), flat_messages().alias("messages"))
 
 
 @query(

@@ -347,8 +347,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # An empty topic counts as none.
+FIRST_SENTENCE = f"coalesce(NULLIF(trim(split_part(text, '.', 1), {WS}), ''), 'Concept')"
 CONCEPT = f"""CASE WHEN doc_id % 3 = 1 THEN source
-    ELSE coalesce(NULLIF(trim(split_part(text, '.', 1), {WS}), ''), 'Concept') END"""
+    ELSE {FIRST_SENTENCE} END"""
 
 
 def _concepts(spark: SparkSession, folder: str) -> DataFrame:
@@ -517,23 +518,30 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _derived(kind: str, column: str, tokens: int) -> str:
-    return f"""SELECT doc_id, CASE WHEN text LIKE '%src13%' OR topic LIKE '%src13%' THEN '' ELSE topic END AS topic,
-          CASE WHEN text LIKE '%src13%' OR topic LIKE '%src13%' THEN ''
-               ELSE {_request_length(_prompt(kind))} || ' chars, {tokens} tokens END 0.7' END AS {column},
-          CASE WHEN text LIKE '%src13%' OR topic LIKE '%src13%' THEN 'prompt refused' END AS error
-        FROM (SELECT doc_id, text, coalesce(NULLIF(source, ''), 'Concept') AS topic FROM documents)"""
+    """A refused prompt keeps the caller's topic ('' without one) and has no settings."""
+    return f"""SELECT doc_id, CASE WHEN refused THEN coalesce(source, '') ELSE topic END AS topic,
+          CASE WHEN refused THEN '' ELSE {_request_length(_prompt(kind))} || ' chars, {tokens} tokens END 0.7' END AS {column},
+          CASE WHEN NOT refused THEN CAST(0.7 AS DOUBLE) END AS temperature,
+          CASE WHEN NOT refused THEN CAST({tokens} AS BIGINT) END AS max_tokens,
+          CASE WHEN refused THEN 'prompt refused' END AS error
+        FROM (SELECT doc_id, text, source, topic, text LIKE '%src13%' OR topic LIKE '%src13%' AS refused
+              FROM (SELECT doc_id, text, source, coalesce(NULLIF(source, ''), 'Concept') AS topic FROM documents))"""
+
+
+def _derive(spark: SparkSession, folder: str, kind: str, column: str) -> DataFrame:
+    docs = inputs.table(spark, folder, "documents")
+    made = explain.derive_material(docs, kind, _stub_generator, topic="source", keep=("doc_id",))
+    return made.select("doc_id", "topic", column, "metadata.temperature", "metadata.max_tokens", "error")
 
 
 @query("derive_analogies", _derived("analogy", "analogies", 256), workers=True)
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    docs = inputs.table(spark, folder, "documents")
-    return explain.derive_material(docs, "analogy", _stub_generator, topic="source", keep=("doc_id",))
+    return _derive(spark, folder, "analogy", "analogies")
 
 
 @query("derive_examples", _derived("example", "examples", 384), workers=True)
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    docs = inputs.table(spark, folder, "documents")
-    return explain.derive_material(docs, "example", _stub_generator, topic="source", keep=("doc_id",))
+    return _derive(spark, folder, "example", "examples")
 
 
 def _quiz_generator():
@@ -555,14 +563,20 @@ def _quiz_generator():
     "make_quizzes",
     f"""SELECT doc_id, CASE WHEN n % 4 > 0 THEN CAST(1 AS BIGINT) END AS questions, CASE WHEN n % 4 > 0 THEN n % 4 + 1 END AS options,
                (['A', 'B', 'C', 'D'])[CASE WHEN n % 4 > 0 THEN n % 4 + 1 END] AS answer, CASE WHEN n % 4 > 0 THEN true END AS count_differs,
+               CASE WHEN n % 4 = 0 THEN coalesce(given, '') ELSE topic END AS topic,
+               CASE WHEN n % 4 > 0 THEN CAST(3 AS BIGINT) END AS num_questions,
+               CASE WHEN n % 4 > 0 THEN CAST(0.4 AS DOUBLE) END AS temperature,
                CASE WHEN n % 4 = 0 THEN 'Failed to parse questions JSON' END AS error
-        FROM (SELECT doc_id, {_request_length(_prompt('quiz'))} AS n
-              FROM (SELECT doc_id, text, source AS topic FROM documents))""",
+        FROM (SELECT doc_id, given, topic, {_request_length(_prompt('quiz'))} AS n
+              FROM (SELECT doc_id, text, given, coalesce(NULLIF(given, ''), {FIRST_SENTENCE}) AS topic
+                    FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN source END AS given FROM documents)))""",
     workers=True,
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    """Every other document comes without a topic of the caller's."""
     docs = inputs.table(spark, folder, "documents")
-    made = explain.make_quizzes(docs, _quiz_generator, topic="source", keep=("doc_id",))
+    given = docs.withColumn("given", F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+    made = explain.make_quizzes(given, _quiz_generator, topic="given", keep=("doc_id",))
     item = F.get("items", F.lit(0))
     return made.select(
         "doc_id",
@@ -570,6 +584,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         F.when(item.isNotNull(), F.size(item["options"])).alias("options"),
         quiz.answer_of(item).alias("answer"),
         "count_differs",
+        "topic",
+        "metadata.num_questions",
+        "metadata.temperature",
         "error",
     )
 

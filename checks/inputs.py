@@ -168,7 +168,9 @@ def jsonl_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Events as lines: a record, broken JSON, no messages, a list, blank."""
     role = F.when(F.col("event_type") == "error", "tool").otherwise("user")
     record = F.concat(
-        F.lit('  {"messages": [{"role": "'),
+        F.lit('  {"id": '),
+        F.col("event_id").cast("string"),
+        F.lit(', "messages": [{"role": "'),
         role,
         F.lit('", "content": "'),
         F.col("event_type"),

@@ -330,13 +330,13 @@ def _staged(df: DataFrame, time: str, name: str) -> str:
        UNION ALL
        SELECT CASE WHEN event_id % 5 = 0 THEN 'invalid role present' WHEN event_id % 5 = 1 THEN 'not JSON'
                    WHEN event_id % 5 = 2 THEN 'no messages key' ELSE 'not an object' END,
-              CASE WHEN event_id % 5 < 2 THEN '{"messages": [{"role": "' || CASE WHEN event_type = 'error' THEN 'tool' ELSE 'user' END
+              CASE WHEN event_id % 5 < 2 THEN '{"id": ' || event_id || ', "messages": [{"role": "' || CASE WHEN event_type = 'error' THEN 'tool' ELSE 'user' END
                      || '", "content": "' || event_type || ' "}, {"role": "assistant", "content": "event ' || event_id || '"}]}'
                      || CASE WHEN event_id % 5 = 1 THEN chr(9) || ' more' ELSE '' END
                    WHEN event_id % 5 = 2 THEN props ELSE '[' || props || ']' END
        FROM events WHERE event_id % 5 IN (1, 2, 3) OR event_id % 5 = 0 AND event_type = 'error'
        UNION ALL
-       SELECT 'missing user message', '{"messages": [{"role": "tool", "content": "error "}, '
+       SELECT 'missing user message', '{"id": ' || event_id || ', "messages": [{"role": "tool", "content": "error "}, '
               || '{"role": "assistant", "content": "event ' || event_id || '"}]}'
        FROM events WHERE event_id % 5 = 0 AND event_type = 'error'""",
 )
@@ -344,18 +344,17 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as text files, streamed into the two sinks; what the sinks hold."""
     source, out = fresh_path(spark, "lines"), fresh_path(spark, "validated")
     inputs.jsonl_lines(spark, folder).select("value").repartition(4).write.text(source)
-    for running in streams.stream_validate(streams.read_lines(spark, source, max_files=2), out):
-        running.awaitTermination()
-    kept = spark.read.schema("value string").parquet(f"{out}/good")
-    dropped = spark.read.schema("line string, reason string").parquet(f"{out}/rejects")
+    streams.stream_validate(streams.read_lines(spark, source, max_files=2), out).awaitTermination()
+    rows = spark.read.schema(streams.VALIDATED).parquet(f"{out}/rows")
     from checks.registry import flat_messages
     from lectern.sources.jsonl import parse_chat_lines
 
-    good = parse_chat_lines(kept).records.select(
+    good = parse_chat_lines(rows.filter("sink = 'good'").select("value")).records.select(
         F.lit("good").alias("sink"), flat_messages().alias("content")
     )
+    dropped = rows.filter("sink = 'rejects'")
     return good.unionByName(
-        dropped.select(F.col("reason").alias("sink"), F.col("line").alias("content"))
+        dropped.select(F.col("reason").alias("sink"), F.col("value").alias("content"))
     )
 
 

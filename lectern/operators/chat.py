@@ -61,8 +61,9 @@ def _copy(m: Column, suffix: str = "") -> Column:
 def append_to_user_turns(
     df: DataFrame, suffix: str, n: int, key: str = "key", seed: int | str = DEFAULT_SEED
 ) -> DataFrame:
-    """A sample of ``n`` records with ``suffix`` after every user message."""
-    sampled = sample_n(df, n, key, seed)
+    """A sample of ``n`` records with ``suffix`` after every user message; a copy has no
+    ``record``."""
+    sampled = sample_n(df, n, key, seed).drop("record")
     return sampled.withColumn("messages", F.transform("messages", lambda m: _copy(m, suffix)))
 
 
@@ -85,7 +86,8 @@ def augment_steps(
 
 
 def replace_first_assistant(df: DataFrame, new_text: Column | str) -> DataFrame:
-    """The first assistant message gets ``new_text``; the others are copied."""
+    """The first assistant message gets ``new_text``; the others are copied. A copy has no
+    ``record``."""
     new_text = F.col(new_text) if isinstance(new_text, str) else new_text
     roles = F.transform("messages", lambda m: F.coalesce(m["role"], F.lit("user")))
     first = F.array_position(roles, "assistant") - 1
@@ -93,7 +95,7 @@ def replace_first_assistant(df: DataFrame, new_text: Column | str) -> DataFrame:
         "messages",
         lambda m, i: F.when(i == first, message("assistant", new_text)).otherwise(_copy(m)),
     )
-    return df.withColumn("messages", swapped)
+    return df.drop("record").withColumn("messages", swapped)
 
 
 def violations_of(messages: Column | str = "messages") -> Column:

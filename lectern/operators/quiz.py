@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.functions.frames import once
-from lectern.functions.json import as_list, has_key, whole_json
+from lectern.functions.json import has_key, is_list, read_json, whole_json
 from lectern.functions.text import or_empty
 
 
@@ -25,41 +25,43 @@ def _fenced_list(raw: Column) -> Column:
 
 
 def parse_quiz(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """``parsed``: the list in the text as variants, null when there is none.
+    """``parsed``: the items of the list in the text, texts as they are and other values as
+    JSON; null when there is no list. ``_list`` is the list itself.
 
     The whole text is tried first; only when it is no JSON at all, the fenced list.
     """
     text = F.col(raw)
-    json = F.coalesce(whole_json(text), whole_json(_fenced_list(text)))
-    return once(df, parsed=as_list(json))
+    found = once(df, _json=F.coalesce(whole_json(text), whole_json(_fenced_list(text))))
+    listed = found.withColumn("_list", F.when(is_list(F.col("_json")), F.col("_json"))).drop("_json")
+    return once(listed, parsed=read_json(F.col("_list"), "array<string>"))
 
 
-def _complete(item: Column) -> Column:
+def _complete(keys: Column) -> Column:
     """Whether an item is an object with the four keys; their values may be null."""
-    return reduce(and_, [has_key(item, key) for key in fixed.QUIZ_KEYS])
+    return reduce(and_, [has_key(keys, key) for key in fixed.QUIZ_KEYS])
+
+
+# An item as it is read; of repeated keys the last one counts.
+_ITEMS = "array<struct<question:string, options:array<string>, correct_index:string, rationale:string>>"
 
 
 def _item(item: Column) -> Column:
-    def field(name: str, kind: str) -> Column:
-        return F.try_variant_get(item, f"$.{name}", kind).alias(name)
-
-    return F.struct(
-        field("question", "string"),
-        field("options", "array<string>"),
-        field("correct_index", "int"),
-        field("rationale", "string"),
-    )
+    index = item["correct_index"].try_cast("double").try_cast("int")
+    return item.withField("correct_index", index)
 
 
 def check_quiz(df: DataFrame, raw: str = "raw", num_questions: int = 3) -> DataFrame:
     """``items`` of good quizzes, or the ``error`` of bad ones; ``count_differs`` flags a
     good quiz with another number of questions than asked for."""
-    error = F.when(F.col("parsed").isNull(), fixed.QUIZ_NOT_A_LIST).when(
-        ~F.forall("parsed", _complete), fixed.QUIZ_BAD_ITEM
-    )
-    judged = once(parse_quiz(df, raw), error=error)
-    items = F.when(F.col("error").isNull(), F.transform("parsed", _item))
-    read = once(judged, items=items).drop("parsed")
+    # Null unless all items are objects.
+    objects = read_json(F.col("_list"), "array<map<string,string>>")
+    found = once(parse_quiz(df, raw), _keys=F.transform(objects, lambda o: F.map_keys(o)))
+    good = F.coalesce(F.forall("_keys", _complete), F.lit(False))
+    error = F.when(F.col("parsed").isNull(), fixed.QUIZ_NOT_A_LIST).when(~good, fixed.QUIZ_BAD_ITEM)
+    judged = once(found, error=error)
+    good = F.when(F.col("error").isNull(), F.col("_list"))
+    items = F.transform(read_json(good, _ITEMS), _item)
+    read = once(judged, items=items).drop("parsed", "_list", "_keys")
     differs = F.size("items") != num_questions if num_questions else F.lit(False)
     return read.withColumn("count_differs", differs)
 

@@ -59,16 +59,29 @@ def deck_requests(
     )
 
 
-def _result(df: DataFrame, what: str, *extra: str) -> DataFrame:
+def _result(df: DataFrame, what: str, *extra: str, on_failure: Column | None = None) -> DataFrame:
+    """``on_failure`` is the topic of a row that failed; "" without it."""
     failed = F.col("error").isNotNull()
+    fallback = F.lit("") if on_failure is None else on_failure
     return df.select(
         *extra,
         or_empty("generated").alias(what),
-        F.when(failed, F.lit("")).otherwise(or_empty("topic")).alias("topic"),
+        F.when(failed, fallback).otherwise(or_empty("topic")).alias("topic"),
         "error",
     )
 
 
+def _given(topic: str | Column | None) -> Column:
+    """The caller's topic; "" when there is none."""
+    return F.lit("") if topic is None else or_empty(topic)
+
+
+def _settings(**values: float | int) -> Column:
+    """The settings of a request that went well; null for one that failed."""
+    settings = F.struct(*[F.lit(v).alias(name) for name, v in values.items()])
+    return F.when(F.col("error").isNull(), settings)
+
+
 def explain_batch(
     decks: DataFrame,
     slides: DataFrame,
@@ -125,13 +138,17 @@ def derive_material(
     keep: tuple[str, ...] = ("key",),
     tasks: int | None = None,
 ) -> DataFrame:
-    """Analogies or examples from earlier text, with their topic; failures carry ``error``.
+    """Analogies or examples from earlier text, with their topic and ``metadata``; failures
+    carry ``error``, the caller's topic ("" without one) and no metadata.
 
     ``keep`` names the columns that identify a row."""
+    df = df.withColumn("_given", _given(topic))
     prompted = render_prompts(with_concept_topic(df, text, topic), kind, "topic", text)
     tokens = max_tokens or MAX_TOKENS[kind]
     done = generate(prompted, make_generator, tokens, temperature, spread_by=keep, tasks=tasks)
-    return _result(done, {"analogy": "analogies", "example": "examples"}[kind], *keep)
+    done = done.withColumn("metadata", _settings(temperature=temperature, max_tokens=tokens))
+    what = {"analogy": "analogies", "example": "examples"}[kind]
+    return _result(done, what, *keep, "metadata", on_failure=F.col("_given"))
 
 
 def make_quizzes(
@@ -143,13 +160,20 @@ def make_quizzes(
     keep: tuple[str, ...] = ("key",),
     tasks: int | None = None,
 ) -> DataFrame:
-    """Checked quizzes on a text: ``items`` or ``error``, the ``raw`` output and the topic."""
+    """Checked quizzes on a text: ``items`` or ``error``, the ``raw`` output, the topic and
+    ``metadata``; failures carry the caller's topic ("" without one) and no metadata."""
+    df = df.withColumn("_given", _given(topic))
     prompted = render_prompts(
         with_concept_topic(df, text, topic), "quiz", "topic", text, num_questions
     )
     done = generate(
         prompted, make_generator, MAX_TOKENS["quiz"], QUIZ_TEMPERATURE, spread_by=keep, tasks=tasks
     )
-    failure = done.select(*keep, "topic", F.col("generated").alias("raw"), F.col("error").alias("_e"))
-    checked = check_quiz(failure, "raw", num_questions)
-    return checked.withColumn("error", F.coalesce("_e", "error")).drop("_e")
+    made = done.select(
+        *keep, "_given", "topic", F.col("generated").alias("raw"), F.col("error").alias("_e")
+    )
+    checked = check_quiz(made, "raw", num_questions)
+    checked = checked.withColumn("error", F.coalesce("_e", "error"))
+    metadata = _settings(num_questions=num_questions, temperature=QUIZ_TEMPERATURE)
+    shown = F.when(F.col("error").isNull(), F.col("topic")).otherwise(F.col("_given"))
+    return checked.withColumn("topic", shown).withColumn("metadata", metadata).drop("_e", "_given")

@@ -27,8 +27,6 @@ def build_session(app: str = "lectern", master: str | None = None, **conf: str)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Rows hold whole texts, so batches are kept short.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        # Of repeated keys in JSON the last one counts.
-        .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
     if master:
         builder = builder.master(master)

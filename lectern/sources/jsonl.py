@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.frames import once
-from lectern.functions.json import has_key, is_object, whole_json
+from lectern.functions.json import OPTIONS, has_key, is_object, keys, read_json, whole_json
 from lectern.functions.text import clean_text
 from lectern.schemas import MESSAGES
 
@@ -20,29 +20,40 @@ NO_MESSAGES_KEY = "no messages key"
 
 
 class ChatRead(NamedTuple):
-    """Kept records (``messages``) and dropped lines (``reason``, ``line``)."""
+    """Kept records (``messages``, and ``record``, the object as it was read) and dropped lines
+    (``reason``, ``line``)."""
 
     records: DataFrame
     rejects: DataFrame
 
 
-def _reason(variant: Column) -> Column:
+def _reason(json: Column) -> Column:
     return (
-        F.when(variant.isNull(), BAD_JSON)
-        .when(has_key(variant, "messages"), None)
-        .when(is_object(variant), NO_MESSAGES_KEY)
-        .otherwise(NOT_AN_OBJECT)
+        F.when(json.isNull(), BAD_JSON)
+        .when(~is_object(json), NOT_AN_OBJECT)
+        .when(~has_key(keys(json), "messages"), NO_MESSAGES_KEY)
     )
 
 
+def _messages(json: Column) -> Column:
+    """The list of messages; null when there is none. Items that are no objects are null."""
+    listed = read_json(json, f"messages {MESSAGES.simpleString()}")["messages"]
+    item = MESSAGES.elementType.simpleString()
+    mixed = F.transform(
+        read_json(json, "messages array<string>")["messages"],
+        lambda m: F.when(is_object(m), read_json(m, item)),
+    )
+    return F.coalesce(listed, mixed)
+
+
 def classify_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Non-blank lines, each parsed once: ``line``, ``reason`` (why it cannot be used, null
-    for good ones) and ``messages`` (null when they are not a list)."""
+    """Non-blank lines: ``line``, ``reason`` (why it cannot be used, null for good ones) and
+    ``messages`` (null when they are not a list)."""
     text = lines.withColumn("line", clean_text(column)).filter(F.length("line") > 0)
     parsed = once(text, _json=whole_json(F.col("line")))
-    messages = F.try_variant_get("_json", "$.messages", MESSAGES.simpleString())
-    judged = once(parsed, reason=_reason(F.col("_json")), messages=messages)
-    return judged.drop("_json")
+    judged = once(parsed, reason=_reason(F.col("_json")))
+    good = F.when(F.col("reason").isNull(), F.col("_json"))
+    return once(judged, messages=_messages(good)).drop("_json")
 
 
 def parse_chat_lines(lines: DataFrame, column: str = "value") -> ChatRead:
@@ -51,7 +62,7 @@ def parse_chat_lines(lines: DataFrame, column: str = "value") -> ChatRead:
     carried = [c for c in lines.columns if c != column]
     good = classified.filter(F.col("reason").isNull())
     return ChatRead(
-        good.select(*carried, "messages"),
+        good.select(*carried, "messages", F.col("line").alias("record")),
         classified.filter(F.col("reason").isNotNull()).select(*carried, "reason", "line"),
     )
 
@@ -66,12 +77,15 @@ def reject_counts(rejects: DataFrame) -> DataFrame:
 
 
 def read_chat_splits(spark: SparkSession, train: str, val: str) -> dict[str, DataFrame]:
-    """Strict read of two splits: broken lines fail the job, and each split must hold a
-    record with ``messages``. The check stops at the first such record."""
+    """Strict read of two splits (``messages`` and ``record``, the object as it was read):
+    broken lines fail the job, and each split must hold a record with ``messages``. The check
+    stops at the first such record."""
     schema = T.StructType([T.StructField("messages", MESSAGES)])
     splits = {}
     for name, path in (("train", train), ("validation", val)):
-        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        lines = spark.read.text(path).filter(F.length(clean_text("value")) > 0)
+        read = F.from_json("value", schema, {**OPTIONS, "mode": "FAILFAST"})
+        df = once(lines, _read=read).select("_read.messages", F.col("value").alias("record"))
         if df.filter(F.col("messages").isNotNull()).isEmpty():
             raise ValueError(f"split {name!r} lacks a 'messages' column")
         splits[name] = df
@@ -84,8 +98,15 @@ def as_json_line(*columns: str) -> Column:
 
 
 def write_chat_jsonl(df: DataFrame, path: str, metadata: dict[str, Any] | None = None) -> None:
-    """Chat records as JSON lines, with an optional one-line ``<path>.meta.json``."""
-    df.select(as_json_line("messages").alias("value")).write.mode("overwrite").text(path)
+    """Chat records as JSON lines, with an optional one-line ``<path>.meta.json``.
+
+    A record that has ``record``, the object as it was read, is written as that, with all its
+    fields; operators that change messages leave it out.
+    """
+    line = as_json_line("messages")
+    if "record" in df.columns:
+        line = F.coalesce(F.col("record"), line)
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
     if metadata is not None:
         note = df.sparkSession.createDataFrame([(json.dumps(metadata, ensure_ascii=False),)], "value string")
         note.coalesce(1).write.mode("overwrite").text(path.removesuffix(".jsonl") + ".meta.json")

@@ -16,7 +16,7 @@ from lectern.functions import fixed
 from lectern.functions.frames import once
 from lectern.operators.chat import violations_of
 from lectern.operators.sessions import FOLLOW_UPS
-from lectern.sources.jsonl import as_json_line, classify_lines
+from lectern.sources.jsonl import classify_lines
 
 
 def read_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -31,9 +31,10 @@ def judge_lines(lines: DataFrame) -> DataFrame:
     return once(classify_lines(lines), reasons=reasons)
 
 
-def _to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def _to_files(df: DataFrame, path: str, checkpoint: str, *partitions: str) -> StreamingQuery:
     return (
         df.writeStream.format("parquet")
+        .partitionBy(*partitions)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -41,16 +42,17 @@ def _to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def stream_validate(lines: DataFrame, out: str) -> list[StreamingQuery]:
-    """Two file sinks below ``out``, each exactly once with its own checkpoint: ``good``
-    (JSON lines) and ``rejects`` (line and one row per reason)."""
+VALIDATED = "value string, reason string, sink string"
+
+
+def stream_validate(lines: DataFrame, out: str) -> StreamingQuery:
+    """Lines judged once, into files below ``out/rows`` by ``sink``, each exactly once: "good"
+    has the lines that hold a valid record, as they came; "rejects" a row per line and reason."""
     judged = judge_lines(lines)
-    good = judged.filter(F.size("reasons") == 0).select(as_json_line("messages").alias("value"))
-    bad = judged.filter(F.size("reasons") > 0).select("line", F.explode("reasons").alias("reason"))
-    return [
-        _to_files(good, f"{out}/good", f"{out}/checkpoint-good"),
-        _to_files(bad, f"{out}/rejects", f"{out}/checkpoint-rejects"),
-    ]
+    reasons = F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit(None)))
+    rows = judged.select(F.col("line").alias("value"), F.explode(reasons).alias("reason"))
+    sink = F.when(F.col("reason").isNull(), "good").otherwise("rejects")
+    return _to_files(rows.withColumn("sink", sink), f"{out}/rows", f"{out}/checkpoint", "sink")
 
 
 IMAGE_KEY = ["deck", "sha1"]

@@ -119,6 +119,25 @@ def test_tolerant_read(spark, tmp_path):
     assert counts == {jsonl.BAD_JSON: 2, jsonl.NO_MESSAGES_KEY: 1, jsonl.NOT_AN_OBJECT: 1}
 
 
+def test_lines_of_any_length_and_all_their_fields(spark, tmp_path):
+    big = "x" * 30_000_000
+    lines = [
+        '{"id": 7, "messages": [{"role": "user", "content": "' + big + '", "name": "n"}], "score": NaN}',
+        '{"messages": [], "messages": [{"role": "user", "role": "tool", "content": "b"}], "id": -Infinity}',
+        "{'messages': []}",
+    ]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    read = jsonl.read_chat_jsonl(spark, str(tmp_path / "big.jsonl"))
+    assert [r["reason"] for r in read.rejects.collect()] == [jsonl.BAD_JSON]
+    kept = sorted(read.records.collect(), key=lambda r: -len(r["record"]))
+    assert [told(r) for r in kept] == [[("user", big)], [("tool", "b")]]
+    jsonl.write_chat_jsonl(read.records, str(tmp_path / "again.jsonl"))
+    written = [r["value"] for r in spark.read.text(str(tmp_path / "again.jsonl")).collect()]
+    assert sorted(written) == sorted(lines[:2])
+    splits = jsonl.read_chat_splits(spark, str(tmp_path / "again.jsonl"), str(tmp_path / "again.jsonl"))
+    assert sorted(r["record"] for r in splits["train"].collect()) == sorted(lines[:2])
+
+
 def test_missing_file_is_an_error(spark, tmp_path):
     with pytest.raises(AnalysisException):
         jsonl.read_chat_jsonl(spark, str(tmp_path / "none.jsonl"))

@@ -20,11 +20,10 @@ def test_validation_stream_takes_each_line_once(spark, tmp_path):
     (source / "1.txt").write_text(f"{good}\n\nnot json\n", encoding="utf-8")
 
     def pass_over():
-        for query in streams.stream_validate(streams.read_lines(spark, str(source), 1), out):
-            run(query)
-        kept = spark.read.schema("value string").parquet(f"{out}/good").collect()
-        dropped = spark.read.schema("line string, reason string").parquet(f"{out}/rejects").collect()
-        return sorted(r["value"] for r in kept), sorted(r["reason"] for r in dropped)
+        run(streams.stream_validate(streams.read_lines(spark, str(source), 1), out))
+        rows = spark.read.schema(streams.VALIDATED).parquet(f"{out}/rows").collect()
+        kept = [r["value"] for r in rows if r["sink"] == "good"]
+        return sorted(kept), sorted(r["reason"] for r in rows if r["sink"] == "rejects")
 
     kept, dropped = pass_over()
     assert len(kept) == 1 and "é" in kept[0] and dropped == [jsonl.BAD_JSON]
