@@ -61,6 +61,17 @@ def gif(width: int, height: int, salt: str = "") -> bytes:
     return b"GIF89a" + struct.pack("<HH", width % 65536, height) + salt.encode()
 
 
+def jpeg(width: int, height: int, salt: str = "") -> bytes:
+    note = salt.encode()
+    comment = b"\xff\xfe" + struct.pack(">H", len(note) + 2) + note
+    frame = b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, height, width % 65536, 3) + bytes(9)
+    return b"\xff\xd8\xff\xe0\x00\x10JFIF" + bytes(10) + comment + frame + b"\xff\xd9"
+
+
+def bmp(width: int, height: int, salt: str = "") -> bytes:
+    return b"BM" + bytes(12) + struct.pack("<Iii", 40, width, -height) + salt.encode()
+
+
 def _relations(entries: list[tuple[str, str, str]]) -> str:
     rows = "".join(f'<Relationship Id="{i}" Type="{KIND}/{k}" Target="{t}"/>' for i, k, t in entries)
     return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rows}</Relationships>'
@@ -115,7 +126,8 @@ def _document_slide(doc: Any) -> dict[str, Any]:
         boxes.append(table_frame([[doc.source, ""], [doc.lang, str(doc.n_chars)]]))
     media = []
     if doc.doc_id % 3:
-        kind, make = ("png", png) if doc.doc_id % 3 == 1 else ("gif", gif)
+        makers = (("png", png), ("gif", gif), ("jpg", jpeg), ("bmp", bmp))
+        kind, make = makers[doc.doc_id % 3 - 1 + doc.doc_id // 3 % 2 * 2]
         blob = make(len(doc.text.encode()), doc.doc_id % 500 + 1, doc.lang)
         media = [("rIdPicture", f"image{doc.doc_id}.{kind}", blob)]
         boxes.append(group(picture("rIdPicture")))

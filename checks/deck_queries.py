@@ -13,7 +13,8 @@ from lectern.functions import fixed, prompts
 from lectern.functions.text import concept_topic, topic_of
 from lectern.operators import context, decks, hooks, quiz
 from lectern.plans import explain
-from lectern.sources.decks import parse_decks, stage_decks
+from lectern.session import fresh_path
+from lectern.sources.decks import export_images, parse_decks, stage_decks
 
 # --- decks ---------------------------------------------------------------------------
 
@@ -70,11 +71,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "deck_ingest_images",
     """WITH p AS (SELECT 'deck' || (doc_id // 12) AS deck, doc_id % 12 + 1 AS slide_number, doc_id,
-                      octet_length(encode(text)) AS width, doc_id % 500 + 1 AS height, lang
+                      octet_length(encode(text)) AS width, doc_id % 500 + 1 AS height, lang,
+                      CASE WHEN doc_id % 3 = 1 THEN CASE WHEN doc_id // 3 % 2 = 0 THEN 'png' ELSE 'jpg' END
+                           ELSE CASE WHEN doc_id // 3 % 2 = 0 THEN 'gif' ELSE 'bmp' END END AS image_format
                FROM documents WHERE doc_id % 3 > 0)
-       SELECT deck, slide_number, 'picture' AS shape_name, CASE WHEN doc_id % 3 = 1 THEN 'png' ELSE 'gif' END AS image_format,
-              CASE WHEN doc_id % 3 = 1 THEN width ELSE width % 65536 END AS width, height,
-              min(slide_number) OVER (PARTITION BY deck, doc_id % 3, width, height, lang) AS stored_with
+       SELECT deck, slide_number, 'picture' AS shape_name, image_format,
+              CASE WHEN image_format IN ('png', 'bmp') THEN width ELSE width % 65536 END AS width, height,
+              min(slide_number) OVER (PARTITION BY deck, image_format, width, height, lang) AS stored_with
        FROM p""",
     workers=True,
 )
@@ -325,6 +328,32 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return hooks.caption_images(inputs.deck_images(spark, folder), make)
 
 
+@query(
+    "caption_ingested_pictures",
+    """SELECT 'deck' || (doc_id // 12) AS deck, doc_id % 12 + 1 AS slide_number,
+              'picture of ' || (octet_length(encode(lang)) + CASE doc_id % 3 - 1 + doc_id // 3 % 2 * 2 WHEN 0 THEN 24 WHEN 1 THEN 10 WHEN 2 THEN 45 ELSE 26 END)
+              || ' bytes' AS caption,
+              octet_length(encode(lang)) + CASE doc_id % 3 - 1 + doc_id // 3 % 2 * 2 WHEN 0 THEN 24 WHEN 1 THEN 10 WHEN 2 THEN 45 ELSE 26 END AS file_bytes
+       FROM documents WHERE doc_id % 3 > 0""",
+    workers=True,
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """Pictures of deck files, captioned by their bytes and written as files."""
+
+    def make():
+        return lambda pictures: [f"picture of {len(content)} bytes" for _, content in pictures]
+
+    staged = stage_decks(deck_files(spark, folder))
+    captioned = hooks.caption_images(staged.images, make, blobs=staged.blobs)
+    out = fresh_path(spark, "pictures")
+    files = export_images(staged.blobs, out)
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out)
+    sizes = sizes.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("name"), "length")
+    named = files.select("deck", "image_path", F.regexp_extract("file", "([^/]+/[^/]+)$", 1).alias("name"))
+    written = named.join(sizes, "name").select("deck", "image_path", F.col("length").alias("file_bytes"))
+    return captioned.join(written, ["deck", "image_path"]).select("deck", "slide_number", "caption", "file_bytes")
+
+
 def _topic(text: str) -> str:
     return f"""CASE WHEN {text} = '' THEN 'Concept from presentation' WHEN length({text}) <= 50 THEN {text}
         WHEN strpos({text}, '.') BETWEEN 2 AND 100 THEN left({text}, strpos({text}, '.')) ELSE left({text}, 100) END"""

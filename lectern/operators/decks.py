@@ -6,10 +6,12 @@ file), so reading a slide needs no grouping. Slides are numbered 1..n within a d
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
+from lectern.functions.pictures import picture_size
 from lectern.functions.text import clean_text, is_deck, or_empty, preview
 from lectern.operators.skew import join_per_key
 
@@ -85,7 +87,7 @@ def slides_with_images(rows: DataFrame) -> DataFrame:
             p["image_format"].alias("image_format"),
             p["sha1"].alias("sha1"),
             p["shape_name"].alias("shape_name"),
-            dimensions(p["header"]).alias("dimensions"),
+            _size(p["width"], p["height"]).alias("dimensions"),
         ),
     )
     return _finished(rows).select(*SLIDE, images.alias("images"))
@@ -98,7 +100,7 @@ def _finished(rows: DataFrame) -> DataFrame:
 
 def deck_images(rows: DataFrame) -> DataFrame:
     """One row per picture: ``deck, slide_number, ordinal, shape_name, image_format, sha1,
-    image_path, header``; the bytes of the pictures are not read."""
+    image_path, width, height``; the bytes of the pictures are not read."""
     pictures = rows.select("deck", "slide_number", F.explode("pictures").alias("p"))
     return pictures.select("deck", "slide_number", "p.*")
 
@@ -114,31 +116,23 @@ def with_sha1(images: DataFrame) -> DataFrame:
     return images.withColumn("sha1", F.sha1("blob"))
 
 
-def dimensions(header: Column) -> Column:
-    """``width`` and ``height`` from the first bytes of a PNG or GIF image, else null."""
+def _size(width: Column, height: Column) -> Column:
+    return F.when(width.isNotNull(), F.struct(width.alias("width"), height.alias("height")))
 
-    def number(at: int, n: int, little: bool = False) -> Column:
-        digits = F.hex(F.substring(header, at, n))
-        if little:
-            digits = F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(n, 0, -1)])
-        return F.conv(digits, 16, 10).cast("int")
 
-    def size(width: Column, height: Column) -> Column:
-        return F.struct(width.alias("width"), height.alias("height"))
-
-    head = F.hex(F.substring(header, 1, 8))
-    # File signatures and header offsets of the two formats.
-    return F.when(
-        head.startswith("89504E470D0A1A0A") & (F.length(header) >= 24),
-        size(number(17, 4), number(21, 4)),
-    ).when(
-        head.startswith("474946383961") | head.startswith("474946383761"),
-        size(number(7, 2, True), number(9, 2, True)),
-    )
+def image_dimensions(images: DataFrame, content: str | None = None) -> DataFrame:
+    """``dimensions`` (``width``, ``height``) of each image, from its columns of these names or
+    read from a column of whole pictures; null for formats that aren't known."""
+    if content is None:
+        return images.withColumn("dimensions", _size(F.col("width"), F.col("height")))
 
+    @F.arrow_udf("struct<width:int,height:int>")
+    def read(blobs: pa.Array) -> pa.Array:
+        sizes = [picture_size(b.as_py()) for b in blobs]
+        rows = [None if s is None else {"width": s[0], "height": s[1]} for s in sizes]
+        return pa.array(rows, pa.struct([("width", pa.int32()), ("height", pa.int32())]))
 
-def image_dimensions(images: DataFrame, header: str = "header") -> DataFrame:
-    return images.withColumn("dimensions", dimensions(F.col(header)))
+    return images.withColumn("dimensions", read(content))
 
 
 def _stored(images: DataFrame, scope: list[str]) -> DataFrame:

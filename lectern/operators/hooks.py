@@ -29,8 +29,8 @@ log = logging.getLogger(__name__)
 
 # (texts, from language, to language) -> texts
 Translator = Callable[[list[str], str, str], list[str]]
-# image paths -> captions
-Captioner = Callable[[list[str]], list[str]]
+# image paths, or (path, bytes) where stored pictures are given -> captions
+Captioner = Callable[[list[Any]], list[str]]
 # requests with prompt, max_new_tokens, temperature, top_p, do_sample -> texts
 Generator = Callable[[list[dict[str, Any]]], list[str]]
 
@@ -131,22 +131,28 @@ def caption_images(
     make_captioner: Callable[[], Captioner],
     batch_size: int = 16,
     tasks: int | None = None,
+    blobs: DataFrame | None = None,
 ) -> DataFrame:
     """``caption`` for each image with a path; each distinct path is captioned once.
 
+    With ``blobs`` (``deck, image_path, content``) the captioner gets (path, bytes) of the
+    stored picture, one deck's copy per path, as a path names its content; else paths.
+
     The captions are written to the shared folder, so that the model runs once, and join
     back to the images whatever share of them one path has. A failure gives a placeholder.
     """
-    token = uuid.uuid4().hex
+    token, with_bytes = uuid.uuid4().hex, blobs is not None
 
     @F.pandas_udf("string")
-    def captions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def call(paths: list[str]) -> list[str]:
-            return _loaded(token, make_captioner)(paths)
+    def captions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        def call(pictures: list[Any]) -> list[str]:
+            return _loaded(token, make_captioner)(pictures)
 
-        for paths in batches:
+        for pdf in batches:
             out = []
-            answers = _one_per_item(call, paths.tolist(), batch_size)
+            paths = pdf["path"].tolist()
+            pictures = list(zip(paths, pdf["content"])) if with_bytes else paths
+            answers = _one_per_item(call, pictures, batch_size)
             for path, (caption, error) in zip(paths, answers):
                 if error:
                     log.warning("no caption for %s: %s", path, error)
@@ -156,8 +162,15 @@ def caption_images(
     # Images without a path have no key, and the join spreads them.
     keyed = images.withColumn("_path", F.nullif("image_path", F.lit("")))
     paths = keyed.filter(F.col("_path").isNotNull()).groupBy("_path")
-    per_path = spread(paths.agg(F.count("*").alias("n")), ["_path"], tasks)
-    captioned = materialise(per_path.withColumn("caption", captions("_path")), "captions")
+    per_path = paths.agg(F.count("*").alias("n"), F.min("deck").alias("_deck"))
+    content = F.lit(None).cast("binary")
+    if blobs is not None:
+        stored = blobs.select(F.col("deck").alias("_deck"), F.col("image_path").alias("_path"), "content")
+        per_path = per_path.join(stored, ["_deck", "_path"], "left")
+        content = F.col("content")
+    picture = F.struct(F.col("_path").alias("path"), content.alias("content"))
+    captioned = spread(per_path, ["_path"], tasks).select("_path", "n", captions(picture).alias("caption"))
+    captioned = materialise(captioned, "captions")
     joined = join_per_key(keyed, captioned, ["_path"], ["deck", "slide_number", "ordinal"])
     return joined.drop("_path")
 

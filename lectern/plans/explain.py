@@ -93,14 +93,16 @@ def explain_batch(
     temperature: float = TEMPERATURE,
     max_tokens: int = MAX_TOKENS["explanation"],
     tasks: int | None = None,
+    blobs: DataFrame | None = None,
 ) -> DataFrame:
     """One result row per deck: explanation, topic, slides used, settings, error.
 
-    A deck without slides and a failing generation give a row with ``error``.
+    A deck without slides and a failing generation give a row with ``error``. With ``blobs``
+    the captioner gets the bytes of the pictures.
     """
     captioned = None
     if images is not None and make_captioner is not None:
-        captioned = caption_images(images.filter(in_context(indices)), make_captioner)
+        captioned = caption_images(images.filter(in_context(indices)), make_captioner, blobs=blobs)
     requests = deck_requests(decks, slides, indices, captioned)
     prompted = style_prompts(requests, style)
     sent = prompted.withColumn("messages", F.when(F.col("topic").isNotNull(), F.col("messages")))

@@ -31,8 +31,8 @@ SHAPE = T.StructType(
         T.StructField("paragraphs", T.ArrayType(T.ArrayType(T.StringType()))),
     ]
 )
-# A picture names its stored copy, the first one with its content in the deck. Its first
-# bytes tell its dimensions; all bytes are kept apart, so that no query on pictures reads
+# A picture names its stored copy, the first one with its content in the deck, and its size
+# where the format is known. Its bytes are kept apart, so that no query on pictures reads
 # them, and only once per stored copy.
 PICTURE = T.StructType(
     [
@@ -41,7 +41,8 @@ PICTURE = T.StructType(
         T.StructField("image_format", T.StringType()),
         T.StructField("sha1", T.StringType()),
         T.StructField("image_path", T.StringType()),
-        T.StructField("header", T.BinaryType()),
+        T.StructField("width", T.IntegerType()),
+        T.StructField("height", T.IntegerType()),
     ]
 )
 TABLES = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))

@@ -17,12 +17,15 @@ from typing import Any, NamedTuple
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lectern.functions.pictures import picture_size
 from lectern.operators.decks import deck_blobs, deck_images, quarantine, slides_with_images
 from lectern.schemas import DECK_ROW
-from lectern.session import fresh_path
+from lectern.session import fresh_path, materialise
 
 log = logging.getLogger(__name__)
 
@@ -38,7 +41,8 @@ SIGNATURES = {"png": b"\x89PNG", "jpg": b"\xff\xd8", "gif": b"GIF8", "bmp": b"BM
 # Slides go to Spark in batches of this size.
 BATCH_SLIDES = 200
 BATCH_BYTES = 16 << 20
-HEADER_BYTES = 32
+# Larger files fit no binary column; they become error rows.
+MAX_DECK_BYTES = 2_000_000_000
 LISTS = ("shapes", "tables", "pictures", "blobs")
 
 
@@ -127,7 +131,7 @@ def _picture(
         "shape_name": _shape_name(node, "nvPicPr"),
         "image_format": next(known, by_suffix),
         "sha1": hashlib.sha1(blob).hexdigest(),
-        "header": blob[:HEADER_BYTES],
+        **dict(zip(("width", "height"), picture_size(blob) or (None, None))),
     }
     return picture, blob
 
@@ -212,8 +216,18 @@ def _slides(path: str, content: bytes) -> Iterator[dict[str, Any]]:
         yield {"deck": path, "slide_number": number, **row}
 
 
-def parse_decks(files: DataFrame) -> DataFrame:
-    """Deck rows (``schemas.DECK_ROW``) from ``path, content``."""
+def _too_large(files: DataFrame) -> DataFrame:
+    """An error row each for text and images of files, whose content is not read."""
+    readings = F.explode(F.array(F.lit("text"), F.lit("image"))).alias("reading")
+    error = F.format_string("%s_extraction_failed: a file of %d bytes", "reading", "length")
+    named = files.select("path", "length", readings).select(F.col("path").alias("deck"), error.alias("error"))
+    empty = [f for f in DECK_ROW if f.name not in named.columns]
+    return named.withColumns({f.name: F.lit(None).cast(f.dataType) for f in empty}).select(*DECK_ROW.names)
+
+
+def parse_decks(files: DataFrame, max_bytes: int = MAX_DECK_BYTES) -> DataFrame:
+    """Deck rows (``schemas.DECK_ROW``) from ``path, content``. With a column ``length``, files
+    of more than ``max_bytes`` become error rows and are not opened."""
     schema = to_arrow_schema(DECK_ROW)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +242,11 @@ def parse_decks(files: DataFrame) -> DataFrame:
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return files.select("path", "content").mapInArrow(parse, DECK_ROW)
+    if "length" not in files.columns:
+        return files.select("path", "content").mapInArrow(parse, DECK_ROW)
+    small = files.filter(F.col("length") <= max_bytes).select("path", "content")
+    large = _too_large(files.filter(F.col("length") > max_bytes))
+    return small.mapInArrow(parse, DECK_ROW).unionByName(large)
 
 
 def deck_files(spark: SparkSession, path: str) -> DataFrame:
@@ -268,3 +286,24 @@ def stage_decks(files: DataFrame, path: str | None = None) -> Decks:
 def ingest_decks(spark: SparkSession, source: str, path: str | None = None) -> Decks:
     """All decks below ``source``."""
     return stage_decks(deck_files(spark, source), path)
+
+
+def export_images(blobs: DataFrame, folder: str) -> DataFrame:
+    """Write stored pictures (``deck, image_path, content``) as files below ``folder``, a URI or
+    path all executors reach, one folder per deck; gives ``deck, image_path, file``. A task
+    that runs again writes the same files again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            files = []
+            for deck, path, content in zip(*(batch.column(i) for i in range(3))):
+                at = f"{root}/{hashlib.sha1(deck.as_py().encode()).hexdigest()[:16]}"
+                store.create_dir(at, recursive=True)
+                files.append(f"{at}/{path.as_py()}")
+                with store.open_output_stream(files[-1]) as out:
+                    out.write(content.as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(files, pa.string())], ["deck", "image_path", "file"])
+
+    written = blobs.select("deck", "image_path", "content").mapInArrow(write, "deck string, image_path string, file string")
+    return materialise(written, "exported")

@@ -1,11 +1,14 @@
 import hashlib
+import struct
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from checks.deck_files import deck_bytes, gif, group, picture, png, table_frame, text_box
+from checks.deck_files import bmp, deck_bytes, gif, group, jpeg, picture, png, table_frame, text_box
 from lectern.functions import fixed
+from lectern.functions.pictures import picture_size
 from lectern.operators import decks
-from lectern.sources.decks import ingest_decks, parse_decks, read_decks
+from lectern.sources.decks import deck_files, export_images, ingest_decks, parse_decks, read_decks
 
 PHOTO = png(120, 60)
 IMAGES = "deck string, slide_number int, ordinal int, image_path string"
@@ -162,3 +165,34 @@ def test_slide_card(spark):
 def test_only_decks(spark):
     df = spark.createDataFrame([("a.PPTX",), ("a.txt",)], "path string")
     assert decks.only_decks(df).count() == 1
+
+
+def test_sizes_of_common_formats():
+    webp = lambda kind, body: b"RIFF" + bytes(4) + b"WEBP" + kind + bytes(4) + body
+    tiff = b"II*\x00\x08\x00\x00\x00\x02\x00" + struct.pack("<HHIHH", 256, 3, 1, 70, 0) + struct.pack("<HHII", 257, 4, 1, 80)
+    lossless = webp(b"VP8L", b"\x2f" + struct.pack("<I", (70 - 1) | (80 - 1) << 14))
+    lossy = webp(b"VP8 ", bytes(6) + struct.pack("<HH", 70, 80))
+    extended = webp(b"VP8X", bytes(4) + (69).to_bytes(3, "little") + (79).to_bytes(3, "little"))
+    made = [f(70, 80, "x") for f in (png, gif, jpeg, bmp)]
+    assert [picture_size(b) for b in (*made, tiff, lossless, lossy, extended)] == [(70, 80)] * 8
+    for blob in (*made, tiff, lossless, lossy, extended):
+        for n in range(len(blob)):
+            picture_size(blob[:n])
+    assert picture_size(None) is None and picture_size(b"") is None
+
+
+def test_too_large_files_are_errors(spark, tmp_path):
+    files = deck_files(spark, write_decks(tmp_path))
+    limit = files.agg({"length": "max"}).first()[0] - 1
+    rows = parse_decks(files, limit)
+    big = [r["deck"] for r in files.filter(f"length > {limit}").select(files.path.alias("deck")).collect()]
+    failed = [r["deck"] for r in decks.quarantine(rows).collect() if "bytes" in r["error"]]
+    assert sorted(failed) == sorted(big * 2)
+    assert rows.filter("slide_number IS NOT NULL").filter(rows.deck.isin(big)).count() == 0
+
+
+def test_pictures_as_files(spark, tmp_path):
+    staged = ingest_decks(spark, write_decks(tmp_path), str(tmp_path / "stage"))
+    files = export_images(staged.blobs, str(tmp_path / "pictures")).collect()
+    stored = {(r["deck"], r["image_path"]): bytes(r["content"]) for r in staged.blobs.collect()}
+    assert {(r["deck"], r["image_path"]): Path(r["file"]).read_bytes() for r in files} == stored
