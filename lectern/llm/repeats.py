@@ -33,7 +33,7 @@ GROUP = 256
 #: Strings of a part of a region, step by step.
 SPLITS = (32, 8, 1)
 #: Bytes sorted at a time: whole groups up to about this many.
-SORT_BYTES = 1_000_000
+SORT_BYTES = 400_000
 #: Documents with removals, up to which their spans (some MB) are broadcast.
 BROADCAST_DOCS = 200_000
 
@@ -84,22 +84,31 @@ def regions(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def alike(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Regions of a document with equal ones taken together: gram, content hash, number of
+    strings, place of the anchor, and how many there are; then all starts, in that order."""
+    grams, contents, starts, strings, anchors = found
+    order = np.lexsort((starts, contents, grams))
+    g, c = grams[order], contents[order]
+    first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]))))
+    same = np.diff(np.append(first, len(order)))
+    one = order[first]
+    return grams[one], contents[one], strings[one], anchors[one], same, starts[order]
+
+
 def runs(marks: np.ndarray) -> list[tuple[int, int]]:
     """Start and length of each run of marks."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
     return [(int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def covered(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+def covered(starts: np.ndarray, lengths: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Spans of bytes covered by strings that start in the given runs."""
-    out: list[tuple[int, int]] = []
-    for at, n in sorted(starts):
-        end = at + n - 1 + length
-        if out and at <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((at, end))
-    return out
+    order = np.argsort(starts, kind="stable")
+    begin = starts[order]
+    end = np.maximum.accumulate(begin + lengths[order] - 1 + length)
+    apart = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))
+    return list(zip(begin[apart].tolist(), end[np.append(apart[1:] - 1, len(end) - 1)].tolist()))
 
 
 class Repeats:
@@ -111,23 +120,36 @@ class Repeats:
         self.docs, self.length, self.gram, self.group = docs, length, gram, group
 
     def _regions(self) -> DataFrame:
+        """A row per document and different region: ``key, gram, content, strings, anchor``,
+        ``same``, how often the document has it, and ``starts``."""
         length, gram = self.length, self.gram
+        names = ["gram", "content", "strings", "anchor", "same"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                keys, parts = [], []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     found = regions((text.as_py() or "").encode(), length, gram)
-                    if n := len(found[0]):
-                        keys = pa.array(np.full(n, key, np.int64))
-                        yield pa.RecordBatch.from_arrays([keys, *map(pa.array, found)], names)
+                    if len(found[0]):
+                        parts.append(alike(found))
+                        keys.append(np.full(len(parts[-1][0]), key, np.int64))
+                if not parts:
+                    continue
+                *columns, starts = (np.concatenate(c) for c in zip(*parts))
+                offsets = np.concatenate(([0], np.cumsum(columns[-1]))).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(starts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)), *map(pa.array, columns), listed], ["key", *names, "starts"]
+                )
 
-        names = ["key", "gram", "content", "start", "strings", "anchor"]
-        return self.docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+        schema = ", ".join(f"{n} long" for n in ["key", *names])
+        return self.docs.mapInArrow(run, f"{schema}, starts array<long>")
 
     def _again(self) -> DataFrame:
         """Regions whose gram occurs again."""
-        grams = self._regions().groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-        return materialise(self._regions().join(grams, "gram"), "repeat-regions")
+        grams = self._regions().groupBy("gram").agg(F.sum("same").alias("n")).filter("n > 1").select("gram")
+        # Written, so that both sides of the join are plain and a hot gram's rows are split.
+        return materialise(self._regions().join(materialise(grams, "repeat-grams"), "gram"), "repeat-regions")
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """``id, content, strings, anchor, bytes`` of ``wanted`` regions (also ``key, start``)."""
@@ -248,9 +270,8 @@ class Repeats:
         keys = self.docs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         self.repeated_keys = not keys.isEmpty()
         again = self._again()
-        kinds = again.groupBy("gram", "content").agg(
-            F.count("*").alias("same"), F.min(F.struct("key", "start", "strings", "anchor")).alias("first")
-        )
+        first = F.min(F.struct("key", F.get("starts", F.lit(0)).alias("start"), "strings", "anchor"))
+        kinds = again.groupBy("gram", "content").agg(F.sum("same").alias("same"), first.alias("first"))
         kinds = materialise(kinds, "repeat-kinds")
         grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
         wanted = kinds.join(grams, "gram").select(F.col("gram").alias("id"), "content", "first.*")
@@ -260,24 +281,27 @@ class Repeats:
         whole = kinds.filter("same > 1").select("gram", "content", F.lit(None).cast("array<struct<at:long,n:long>>").alias("parts"))
         part = found.groupBy("id", "content").agg(F.collect_set(F.struct("at", "n")).alias("parts"))
         part = part.withColumnRenamed("id", "gram").join(whole.select("gram", "content"), ["gram", "content"], "left_anti")
-        verdicts = whole.unionByName(part)
-        starts = again.join(verdicts, ["gram", "content"]).select(
+        verdicts = materialise(whole.unionByName(part), "repeat-verdicts")
+        found = again.join(verdicts, ["gram", "content"]).select(
             "key",
-            F.explode(
-                F.coalesce(
-                    F.transform("parts", lambda p: F.struct((F.col("start") + p["at"]).alias("at"), p["n"].alias("n"))),
-                    F.array(F.struct(F.col("start").alias("at"), F.col("strings").alias("n"))),
-                )
-            ).alias("run"),
+            F.struct("starts", F.coalesce("parts", F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("strings").alias("n")))).alias("parts")).alias("run"),
         )
 
         @F.arrow_udf("array<struct<start:long,end:long>>")
         def cover(column: pa.Array) -> pa.Array:
-            out = [covered([(r["at"], r["n"]) for r in rows], length) for rows in column.to_pylist()]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return pa.array([[{"start": a, "end": b} for a, b in spans] for spans in out], kind)
-
-        rows = starts.groupBy("key").agg(F.collect_set("run").alias("runs"))
+            out = []
+            for row in column:
+                starts, lengths = [], []
+                for run in row.as_py():
+                    at = np.array(run["starts"], np.int64)
+                    for part in run["parts"]:
+                        starts.append(at + part["at"])
+                        lengths.append(np.full(len(at), part["n"]))
+                spans = covered(np.concatenate(starts), np.concatenate(lengths), length)
+                out.append([{"start": a, "end": b} for a, b in spans])
+            return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+        rows = found.groupBy("key").agg(F.collect_list("run").alias("runs"))
         return materialise(rows.select("key", cover("runs").alias("spans")), "repeat-spans")
 
 
