@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import inputs
@@ -195,7 +195,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def _sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     rows = inputs.qa(spark, folder)
-    return {c: rows.filter(F.col("corpus") == c) for c in fixed.CORPORA}
+    return {c: rows.filter(F.col("corpus") == c) for c in inputs.CORPORA}
 
 
 @query(
@@ -204,9 +204,9 @@ def _sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "qa",
         f"""SELECT corpus, count(*) AS total, round(avg(length(user_turn)), 6) AS avg_user_len,
                    round(avg(length(reply)), 6) AS avg_assistant_len,
-                   (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM qa WHERE corpus <> 'other') AS train,
-                   (SELECT count(*) - CAST(floor(count(*) * 0.95) AS BIGINT) FROM qa WHERE corpus <> 'other') AS val
-            FROM ({PREPARED}) WHERE corpus <> 'other' GROUP BY corpus""",
+                   (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM qa) AS train,
+                   (SELECT count(*) - CAST(floor(count(*) * 0.95) AS BIGINT) FROM qa) AS val
+            FROM ({PREPARED}) GROUP BY corpus""",
     ),
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,7 +220,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         jsonl.read_chat_jsonl(spark, f"{out}/{c}_instructions.jsonl").records.withColumn(
             "corpus", F.lit(c)
         )
-        for c in fixed.CORPORA
+        for c in inputs.CORPORA
     ]
     count = {name: df.agg(F.count("*")).scalar() for name, df in splits.items()}
     return _rounded(chat.length_stats(sampling.concat_sets(*records), "corpus")).select(
@@ -232,26 +232,34 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     "prepared_statistics_document",
     with_inputs(
         "qa",
-        f"""SELECT (SELECT count(*) FROM qa WHERE corpus = 'sciq') AS sciq_total,
-                   (SELECT round(avg(length(user_turn)), 6) FROM ({PREPARED}) WHERE corpus = 'sciq') AS sciq_user_len,
-                   (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM qa WHERE corpus <> 'other') AS train""",
+        f"""SELECT corpus, count(*) AS total, round(avg(length(user_turn)), 6) AS avg_user_len,
+                   (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM qa) AS train
+            FROM ({PREPARED}) GROUP BY corpus""",
     ),
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics as a JSON document, written and read back."""
     split = sampling.exact_split(plans.prepare(_sources(spark, folder)))
     path = fresh_path(spark, "stats")
-    jsonl.write_stats(plans.prepare_stats(split), path)
-    return spark.read.text(path).select(
-        F.get_json_object("value", "$.sciq.total").cast("long").alias("sciq_total"),
-        F.round(
-            F.get_json_object("value", "$.sciq.avg_user_len").cast("double"), 6
-        ).alias("sciq_user_len"),
-        F.get_json_object("value", "$.combined.train.count").cast("long").alias("train"),
-    )
+    jsonl.write_stats(plans.prepare_stats(split, inputs.CORPORA), path)
+
+    def of(name: str, kind: str) -> Column:
+        return F.get_json_object("value", f"$.{name}").cast(kind)
+
+    parts = [
+        F.struct(
+            F.lit(c).alias("corpus"),
+            of(f"{c}.total", "long").alias("total"),
+            F.round(of(f"{c}.avg_user_len", "double"), 6).alias("avg_user_len"),
+            of("combined.train.count", "long").alias("train"),
+        )
+        for c in inputs.CORPORA
+    ]
+    return spark.read.text(path).select(F.inline(F.array(*parts))).filter("total IS NOT NULL")
 
 
-AUGMENT = {"analogies": 40, "examples": 100000000, "step_by_step": 0, "back_translation": 25}
+AUGMENT = {"analogies": 40, "examples": 100000000, "step_by_step": 30, "back_translation": 25}
+ALL = dict.fromkeys(AUGMENT, 100000000)
 
 
 def _stub_translator():
@@ -267,8 +275,9 @@ def _stub_translator():
              SELECT 'original' AS kind, count(*) AS records FROM chat
              UNION ALL SELECT 'analogies', least(40, count(*)) FROM chat
              UNION ALL SELECT 'examples', count(*) FROM chat
+             UNION ALL SELECT 'step_by_step', least(30, count(*)) FROM chat
              UNION ALL SELECT 'back_translated', least(25, count(*)) FROM chat
-             UNION ALL SELECT 'combined_augmented', 2 * count(*) + least(40, count(*)) + least(25, count(*)) FROM chat)""",
+             UNION ALL SELECT 'combined_augmented', 2 * count(*) + least(40, count(*)) + least(30, count(*)) + least(25, count(*)) FROM chat)""",
     ),
     workers=True,
 )
@@ -286,6 +295,46 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_KINDS = {"original": "", "analogies": fixed.ANALOGY_REQUEST, "examples": fixed.EXAMPLES_REQUEST, "step_by_step": fixed.STEPS_REQUEST}
+_APPENDED = " UNION ALL ".join(
+    f"""SELECT '{kind}' AS kind, {"id" if kind == "original" else "NULL"} AS id, array_to_string(list_transform(messages, lambda m: m.role || '=' || m.content
+        || CASE WHEN m.role = 'user' THEN {quoted(request)} ELSE '' END), '|') AS messages FROM numbered"""
+    for kind, request in _KINDS.items()
+)
+_TRANSLATED = """SELECT 'back_translated', NULL, array_to_string(list_transform(messages, lambda m, i: m.role || '=' ||
+        CASE WHEN i = list_position(list_transform(messages, lambda x: x.role), 'assistant')
+             THEN 'en(de(' || CASE WHEN len(messages) >= 3 THEN messages[3].content ELSE '' END || '))' ELSE m.content END), '|') FROM numbered"""
+
+
+@query(
+    "augmented_contents",
+    with_inputs(
+        "chat",
+        f"""SELECT kind, id, messages FROM (WITH numbered AS (SELECT conv_id AS id, messages FROM chat)
+            {_APPENDED} UNION ALL {_TRANSLATED})""",
+    ),
+    workers=True,
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record in every kind, as written; a record that isn't changed keeps its other fields."""
+    out = fresh_path(spark, "augment")
+    chats = inputs.chat(spark, folder)
+    record = F.to_json(F.struct(F.col("conv_id").alias("id"), "messages"), {"ignoreNullFields": "false"})
+    jsonl.write_chat_jsonl(chats.withColumn("record", record), f"{out}/combined_train.jsonl")
+    plans.run_augment(spark, f"{out}/combined_train.jsonl", out, ALL, _stub_translator)
+    files = {**plans.FILES, "original": "combined_augmented.jsonl"}
+    kinds = [
+        jsonl.read_chat_jsonl(spark, f"{out}/{file}").records.select(
+            F.lit(kind).alias("kind"),
+            F.get_json_object("record", "$.id").cast("long").alias("id"),
+            flat_messages().alias("messages"),
+        )
+        for kind, file in files.items()
+    ]
+    # The combined file has all kinds; the originals are those with an id.
+    return sampling.concat_sets(*kinds).filter("kind <> 'original' OR id IS NOT NULL")
+
+
 # --- text functions ------------------------------------------------------------------
 
 

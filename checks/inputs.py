@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A chat record holds at most this many turns; a longer conversation goes on in the next
-# record, so that no group of turns is unbounded.
-TURNS = 64
 SLIDES = 12
 CORPORA = ("eli5", "sciq", "openbookqa", "wikihow", "other")
 
@@ -23,15 +20,14 @@ def pick(number: Column, names: tuple[str, ...]) -> Column:
 def chat(spark: SparkSession, folder: str) -> DataFrame:
     """``key, conv_id, messages``."""
     turns = table(spark, folder, "conversations")
-    block = F.floor(F.col("turn") / TURNS).alias("block")
-    listed = turns.groupBy("conv_id", block).agg(
+    listed = turns.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")
     )
     messages = F.transform(
         "t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))
     )
     return listed.select(
-        F.concat_ws("-", "conv_id", "block").alias("key"), "conv_id", messages.alias("messages")
+        F.col("conv_id").cast("string").alias("key"), "conv_id", messages.alias("messages")
     )
 
 

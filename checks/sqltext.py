@@ -19,9 +19,9 @@ CORPUS = "(['eli5', 'sciq', 'openbookqa', 'wikihow', 'other'])[{} % 5 + 1]"
 
 CTES = {
     "chat": """
-        SELECT conv_id || '-' || (turn // 64) AS key, conv_id,
+        SELECT CAST(conv_id AS VARCHAR) AS key, conv_id,
                list({'role': role, 'content': text} ORDER BY turn) AS messages
-        FROM conversations GROUP BY conv_id, turn // 64""",
+        FROM conversations GROUP BY conv_id""",
     "faulty": """
         SELECT key, conv_id, CASE WHEN conv_id % 6 <> 0 THEN list_transform(messages, lambda m, i: {
             'role': CASE WHEN i = 1 AND conv_id % 6 = 1 THEN 'tool'

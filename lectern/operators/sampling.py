@@ -2,12 +2,12 @@
 
 The random order of a row is ``md5(seed:key)``. ``key`` must be a unique row id, and ``df``
 must give the same rows each time it is read; rows that share a key fall on the same side.
-A sample or split of an exact size needs the hash at a given rank; it is found by counting rows per
-hash prefix, so that no step sorts the data or brings it into one task. Three hex digits
-make 4,096 counters; the counter that holds the rank is counted again by three more digits
-until it covers few rows, and only those are compared one by one. Each step reads nothing
-but the key and gives the driver one row. The result is a threshold, and selecting rows is
-a plain filter without a shuffle.
+A sample or split of an exact size, or the first rows by a key, need the key at a given rank;
+it is found by counting rows per key prefix, so that no step sorts the data or brings it into
+one task. Three hex digits make 4,096 counters; the counter that holds the rank is counted
+again by three more digits, until the rank falls on the end of one. Each step reads nothing
+but the key and gives the driver one row. The result is a prefix, and selecting rows is a
+plain filter without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_SEED = 42
 HASH_DIGITS = 32
 DIGITS = 3
-FEW_ROWS = 500_000
 
 
 def concat_sets(*dfs: DataFrame) -> DataFrame:
@@ -39,11 +39,21 @@ def seeded_shuffle(df: DataFrame, key: str = "key", seed: int | str = DEFAULT_SE
     return df.orderBy(random_order(key, seed), key)
 
 
-def _threshold(hashes: DataFrame, k: Callable[[Column], Column]) -> str | None:
-    """The hash of rank ``k(n)`` among ``n`` rows; none when there is no such rank."""
-    prefix, digits, rank = "", DIGITS, None
+def _shared_prefix(a: str, b: str) -> str:
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[:n]
+
+
+def _threshold(
+    keys: DataFrame, k: Callable[[Column], Column], prefix: str = "", width: int = HASH_DIGITS
+) -> tuple[str, bool] | None:
+    """Where the first ``k(n)`` of the ``n`` keys ``h`` end: a prefix the last of them begin
+    with or, if the second is true, the last key itself. Rows with equal keys are taken
+    together. None when ``k(n)`` is 0 or above ``n``."""
+    rank = None
     while True:
-        rows = hashes.filter(F.startswith("h", F.lit(prefix)))
+        digits = min(len(prefix) + DIGITS, width)
+        rows = keys.filter(F.startswith("h", F.lit(prefix)))
         counts = rows.groupBy(F.left("h", F.lit(digits)).alias("p")).agg(F.count("*").alias("n"))
         # At most one row per prefix, so these windows are small whatever the data.
         in_order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
@@ -52,18 +62,51 @@ def _threshold(hashes: DataFrame, k: Callable[[Column], Column]) -> str | None:
         ranked = counts.withColumn("upto", F.sum("n").over(in_order)).withColumn("rank", wanted)
         reached = F.col("rank").between(F.col("upto") - F.col("n") + 1, F.col("upto"))
         hit = ranked.filter((F.col("rank") > 0) & reached).first()
-        if hit is None or digits == HASH_DIGITS:
-            return hit and hit["p"]
+        if hit is None:
+            return None
+        # The rank falls on the end of a counter, or the counter is that of a single key.
+        single = len(hit["p"]) < digits
+        if hit["upto"] == hit["rank"] or single or digits == width:
+            return hit["p"], single
         prefix, rank = hit["p"], hit["rank"] - hit["upto"] + hit["n"]
-        digits = HASH_DIGITS if hit["n"] <= FEW_ROWS else min(digits + DIGITS, HASH_DIGITS)
+
+
+def _upto(key: Column, cut: tuple[str, bool] | None) -> Column:
+    if cut is None:
+        return F.lit(False)
+    end, single = cut
+    return key <= end if single else F.left(key, F.lit(len(end))) <= end
 
 
 def _first_in_order(
     df: DataFrame, key: str, seed: int | str, k: Callable[[Column], Column]
 ) -> Column:
     """True for the ``k(n)`` first rows in random order, where ``n`` counts all rows."""
-    cut = _threshold(df.select(random_order(key, seed).alias("h")), k)
-    return F.lit(False) if cut is None else random_order(key, seed) <= cut
+    order = random_order(key, seed)
+    return _upto(order, _threshold(df.select(order.alias("h")), k))
+
+
+def _sortable(column: Column, kind: T.DataType) -> Column:
+    """Hex digits that sort as a text (by code point), a whole number or a struct of these does;
+    a text must be the last of its struct."""
+    if isinstance(kind, T.StructType):
+        return F.concat(*[_sortable(column[f.name], f.dataType) for f in kind])
+    if isinstance(kind, T.StringType):
+        return F.hex(F.encode(column, "UTF-8"))
+    if isinstance(kind, T.IntegralType):
+        return F.lpad(F.hex(column.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    raise TypeError(f"rows are ordered by texts or whole numbers, not {kind.simpleString()}")
+
+
+def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first ``n`` rows by a unique column."""
+    key = _sortable(F.col(order), df.schema[order].dataType)
+    keys = df.select(key.alias("h")).filter("h IS NOT NULL")
+    least, most, width, rows = keys.agg(F.min("h"), F.max("h"), F.max(F.length("h")), F.count("*")).first()
+    if n >= rows:
+        return df
+    cut = _threshold(keys, lambda _: F.lit(n), _shared_prefix(least, most), width)
+    return df.filter(F.coalesce(_upto(key, cut), F.lit(False)))
 
 
 def sample_n(df: DataFrame, n: int, key: str = "key", seed: int | str = DEFAULT_SEED) -> DataFrame:

@@ -26,7 +26,7 @@ from lectern.operators.sampling import (
     seeded_shuffle,
     split_counts,
 )
-from lectern.session import together
+from lectern.session import discard, fresh_path, together
 from lectern.sources.jsonl import read_chat_jsonl, write_chat_jsonl, write_stats
 from lectern.sources.qa import head_n
 
@@ -75,9 +75,9 @@ def run_prepare(
     finding the split reads only its ids. Gives the statistics.
     """
     spark = next(iter(sources.values())).sparkSession
-    stage_path = f"{out}/stage"
+    stage_path = fresh_path(spark, "prepare")
     prepared = prepare(sources, n)
-    prepared.write.mode("overwrite").partitionBy("corpus").parquet(stage_path)
+    prepared.write.partitionBy("corpus").parquet(stage_path)
     stage = spark.read.schema(prepared.schema).parquet(stage_path)
 
     def write_corpus(corpus: str) -> None:
@@ -94,12 +94,14 @@ def run_prepare(
         *[partial(write_corpus, corpus) for corpus in sources],
     )
     stats = prepare_stats(split, sources)
+    stats = spark.createDataFrame(stats.collect(), stats.schema)
     together(
         spark,
         lambda: write_part("train"),
         lambda: write_part("val"),
         lambda: write_stats(stats, f"{out}/dataset_stats.json"),
     )
+    discard(spark, stage_path)
     return stats
 
 
@@ -110,7 +112,8 @@ def augment(
     pivot: str = "de",
     key: str = "key",
 ) -> DataFrame:
-    """The records and their augmented copies in one set, marked by ``kind``."""
+    """The records and their augmented copies in one set, marked by ``kind``; ``record`` is the
+    object of a record as it was read, null for copies."""
     size = {"analogies": 1000, "examples": 1000, "step_by_step": 1000, "back_translation": 500}
     size.update(sizes or {})
     makers: dict[str, Callable[[], DataFrame]] = {
@@ -125,8 +128,12 @@ def augment(
         )
     # Each sample counts hash prefixes first, in small jobs of its own.
     kinds = dict(zip(makers, together(train.sparkSession, *makers.values())))
+    none = F.lit(None).cast("string").alias("record")
     return concat_sets(
-        *[df.select(key, "messages").withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]
+        *[
+            df.select(key, "messages", "record" if "record" in df.columns else none, F.lit(kind).alias("kind"))
+            for kind, df in kinds.items()
+        ]
     )
 
 
@@ -149,18 +156,24 @@ def run_augment(
 ) -> DataFrame:
     """Augment a training file; write each kind, the shuffled union, and the counts.
 
-    Lines carry no id, so each gets a number that is fixed by writing the numbered records
-    once; the augmented set is written once as well.
+    Lines carry no id, so each is named by the hash of its text and its number among equal
+    lines, which are counted. So a sample is fixed by the seed and the lines, however they
+    are laid out. Records that are not changed are written as they were read.
     """
     records = read_chat_jsonl(spark, train_path).records
-    numbered = records.withColumn("key", F.monotonically_increasing_id().cast("string"))
-    numbered.write.mode("overwrite").parquet(f"{out}/numbered")
-    train = spark.read.schema(numbered.schema).parquet(f"{out}/numbered")
+    equal = records.groupBy("record").agg(F.any_value("messages").alias("messages"), F.count("*").alias("n"))
+    each = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth")
+    name = F.concat_ws(":", F.sha1("record"), F.col("nth").cast("string")).alias("key")
+    numbered = equal.select("messages", "record", each).select(name, "messages", "record")
+    train_stage, augmented_stage = fresh_path(spark, "numbered"), fresh_path(spark, "augmented")
+    numbered.write.parquet(train_stage)
+    train = spark.read.schema(numbered.schema).parquet(train_stage)
     augmented = augment(train, sizes, make_translator, pivot)
-    augmented.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/stage")
-    stage = spark.read.schema(augmented.schema).parquet(f"{out}/stage")
+    augmented.write.partitionBy("kind").parquet(augmented_stage)
+    stage = spark.read.schema(augmented.schema).parquet(augmented_stage)
     placed = stage.withColumn("_id", F.concat_ws(":", "kind", "key"))
     stats = augmentation_stats(stage)
+    stats = spark.createDataFrame(stats.collect(), stats.schema)
     records = F.col("records")
     kinds = ("original", *FILES, "combined_augmented")
     counts = stats.agg(
@@ -178,6 +191,7 @@ def run_augment(
         lambda: write_stats(counts, f"{out}/augmentation_stats.json"),
         *[partial(write_kind, kind, file) for kind, file in FILES.items()],
     )
+    discard(spark, train_stage, augmented_stage)
     return stats
 
 

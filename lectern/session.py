@@ -69,6 +69,14 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stages whose results have been read."""
+    jvm = spark._jvm
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
     """Run independent actions at the same time, so that the tail of one job does not leave
     executors idle; the first failure is raised."""

@@ -6,15 +6,13 @@ without an answer are dropped. Everything is a projection and a filter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.functions.text import best_answer, clean_text, lookup_choice, or_default, or_empty
+from lectern.operators.sampling import first_rows
 from lectern.schemas import QA_ARRAYS, QA_COLUMNS
-from lectern.session import materialise
-
-TOP_K = 100_000
 
 
 def prune(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -32,25 +30,9 @@ def require_non_empty(df: DataFrame, *names: str) -> DataFrame:
 def head_n(df: DataFrame, n: int | None, order: str = "key") -> DataFrame:
     """The first ``n`` rows in source order; ``None`` keeps all. ``order`` must be unique.
 
-    Up to ``TOP_K`` rows this is a top-k. More rows would all meet in one task; they are
-    range-partitioned and written once instead, and only the part in which the n-th row lies
-    is ordered.
+    The n-th key is found by counting, and rows up to it are a filter.
     """
-    if n is None:
-        return df
-    if n <= TOP_K:
-        return df.orderBy(order).limit(n)
-    numbered = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    parts = materialise(numbered, "head")
-    # One row per part, so this window is small whatever the data.
-    upto = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("n")).withColumn("upto", upto)
-    last = sizes.filter(F.col("upto") >= n).orderBy("_part").first()
-    if last is None:
-        return parts.drop("_part")
-    head = parts.filter(F.col("_part") < last["_part"])
-    rest = parts.filter(F.col("_part") == last["_part"]).orderBy(order)
-    return head.unionByName(rest.limit(n - last["upto"] + last["n"])).drop("_part")
+    return df if n is None else first_rows(df, n, order)
 
 
 def _qa(df: DataFrame, corpus: str | Column, **columns: Column) -> DataFrame:

@@ -58,3 +58,25 @@ def test_empty_corpora(spark, tmp_path):
     none = {c: df.limit(0) for c, df in sources(spark).items()}
     prepare.run_prepare(none, str(tmp_path))
     assert spark.read.text(str(tmp_path / "combined_train.jsonl")).count() == 0
+
+
+def test_a_sample_is_fixed_by_its_seed(spark, tmp_path):
+    """However the lines are laid out, and with equal lines among them."""
+    lines = [json.dumps({"messages": [{"role": "user", "content": f"q{i % 40}"}, {"role": "assistant", "content": "a"}], "id": i % 40}) for i in range(60)]
+    rows = spark.createDataFrame([(line,) for line in lines], "value string")
+    got = []
+    for i, layout in enumerate((rows.coalesce(1), rows.repartition(7), rows.orderBy("value"))):
+        path = tmp_path / f"train{i}.jsonl"
+        layout.write.text(str(path))
+        prepare.run_augment(spark, str(path), str(tmp_path / f"out{i}"), {"analogies": 20, "examples": 5, "step_by_step": 60})
+        out = [
+            sorted(r["value"] for r in spark.read.text(str(tmp_path / f"out{i}" / file)).collect())
+            for file in ("with_analogies.jsonl", "with_examples.jsonl", "step_by_step.jsonl", "combined_augmented.jsonl")
+        ]
+        assert [len(o) for o in out] == [20, 5, 60, 145]
+        assert set(lines) <= set(out[3])
+        got.append(out)
+        assert sorted(p.name for p in (tmp_path / f"out{i}").iterdir() if p.is_dir()) == sorted(
+            [*prepare.FILES.values(), "augmentation_stats.json", "combined_augmented.jsonl"]
+        )
+    assert got[0] == got[1] == got[2]

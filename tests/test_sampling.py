@@ -22,10 +22,10 @@ def test_exact_split(spark, n, train):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 300, 1000, 5000])
-@pytest.mark.parametrize("few", [1, 500_000])
-def test_sample_is_exact_at_any_depth(spark, monkeypatch, n, few):
-    """``few = 1`` counts prefix after prefix down to whole hashes."""
-    monkeypatch.setattr(sampling, "FEW_ROWS", few)
+@pytest.mark.parametrize("digits", [1, 3])
+def test_sample_is_exact_at_any_depth(spark, monkeypatch, n, digits):
+    """With one digit at a time, prefix after prefix is counted."""
+    monkeypatch.setattr(sampling, "DIGITS", digits)
     got = keys(sampling.sample_n(spark.range(1000), n, "id", seed=7))
     assert got == sorted(order(1000, 7)[:n])
 
@@ -46,3 +46,14 @@ def test_selection_needs_no_shuffle(spark):
 def test_split_counts(spark):
     counts = sampling.split_counts(sampling.exact_split(spark.range(100), "id", 0.8))
     assert {r["split"]: r["rows"] for r in counts.collect()} == {"train": 80, "val": 20}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 6, 7, 100])
+def test_first_rows_of_texts_and_numbers(spark, n):
+    texts = ["a", "aa", "ab", "a\u00e9", "b", "\U0001f600"]
+    df = spark.createDataFrame([(t, i * 10**9 - 2 * 10**9) for i, t in enumerate(texts)], "t string, i long")
+    for order in ("t", "i"):
+        got = sorted(r[order] for r in sampling.first_rows(df, n, order).collect())
+        assert got == sorted(r[order] for r in df.collect())[:n]
+    with pytest.raises(TypeError):
+        sampling.first_rows(df.selectExpr("cast(i as double) x"), 1, "x")

@@ -83,14 +83,9 @@ def test_head_comes_after_the_filter(spark):
 
 
 @pytest.mark.parametrize("n", [1, 49, 50, 51, 399, 400, 999])
-def test_large_heads_are_exact(spark, monkeypatch, n):
-    monkeypatch.setattr(qa, "TOP_K", 0)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        df = spark.range(400).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("o"))
-        got = {r["o"] for r in qa.head_n(df, n, "o").collect()}
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+def test_large_heads_are_exact(spark, n):
+    df = spark.range(400).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("o"))
+    got = {r["o"] for r in qa.head_n(df, n, "o").collect()}
     assert got == set(sorted(r["o"] for r in df.collect())[:n])
 
 
