@@ -14,7 +14,7 @@ from lectern.functions.text import concept_topic, topic_of
 from lectern.operators import context, decks, hooks, quiz
 from lectern.plans import explain
 from lectern.session import fresh_path
-from lectern.sources.decks import export_images, parse_decks, stage_decks
+from lectern.sources.decks import export_images, ingest_decks, parse_decks, stage_decks
 
 # --- decks ---------------------------------------------------------------------------
 
@@ -131,6 +131,31 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return failed.select("deck", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
 
 
+@query(
+    "read_deck_files",
+    """SELECT 'deck' || (doc_id // 12) || CASE WHEN doc_id // 12 % 2 = 0 THEN '.pptx' ELSE '.PPTX' END AS deck,
+              count(*) AS total_slides, count(*) FILTER (WHERE doc_id % 3 > 0) AS total_images
+       FROM documents GROUP BY doc_id // 12""",
+    workers=True,
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """Decks as files in a folder, every second with an upper-case suffix, beside files that are
+    no decks; what is read from the folder."""
+    files = deck_files(spark, folder)
+    even = F.regexp_extract("path", "([0-9]+)$", 1).cast("int") % 2 == 0
+    named = files.select(
+        F.col("path").alias("deck"),
+        F.concat("path", F.when(even, ".pptx").otherwise(".PPTX")).alias("image_path"),
+        "content",
+    )
+    others = named.withColumn("image_path", F.concat("deck", F.lit(".txt")))
+    out = fresh_path(spark, "deck-files")
+    export_images(named.unionByName(others), out)
+    read = ingest_decks(spark, out)
+    summary = decks.deck_summary(read.slides, read.images)
+    return summary.select(F.regexp_extract("deck", "([^/]+)$", 1).alias("deck"), "total_slides", "total_images")
+
+
 STORED_PATH = "printf('slide%03d_%s.png', first_slide, sha1)"
 
 

@@ -188,6 +188,10 @@ BLEU = f"""
     FROM orders JOIN lengths USING (corpus) GROUP BY corpus"""
 
 
+def _rouge_words(col: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({col}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
 def _with_bleu() -> str:
     return with_inputs("pairs", BLEU.lstrip())
 
@@ -198,7 +202,21 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluate.corpus_bleu(pairs, "hyp", "ref", "corpus"))
 
 
-@query("rouge_l", workers=True)
+# The longest common subsequence of two texts is the longest run of rising places in the
+# first among all pairs of equal words, by place in the second and then falling place in the
+# first. Its length is that of the list of least ends, into which each place is put in turn.
+_ENDS = "coalesce(list_position(list_transform(t, lambda y: y >= x[1]), true), len(t) + 1)"
+ROUGE = f"""
+    , words AS (SELECT key, corpus, {_rouge_words('hyp')} AS h, {_rouge_words('ref')} AS r FROM pairs),
+    h AS (SELECT key, unnest(h) AS word, generate_subscripts(h, 1) AS i FROM words),
+    r AS (SELECT key, unnest(r) AS word, generate_subscripts(r, 1) AS j FROM words),
+    met AS (SELECT key, list([i] ORDER BY j, i DESC) AS places FROM h JOIN r USING (key, word) GROUP BY key),
+    common AS (SELECT key, len(list_reduce(places, lambda t, x: t[1:{_ENDS} - 1] || x || t[{_ENDS} + 1:])) AS n FROM met)
+    SELECT corpus, round(avg(CASE WHEN len(h) + len(r) = 0 THEN 0.0 ELSE 2 * coalesce(n, 0) / (len(h) + len(r)) END), 6) AS rouge_l
+    FROM words LEFT JOIN common USING (key) GROUP BY corpus"""
+
+
+@query("rouge_l", with_inputs("pairs", ROUGE.lstrip()), workers=True)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluate.rouge_l(inputs.score_pairs(spark, folder), "hyp", "ref", "corpus"))
 

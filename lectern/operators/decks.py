@@ -136,7 +136,7 @@ def image_dimensions(images: DataFrame, content: str | None = None) -> DataFrame
 
 
 def _stored(images: DataFrame, scope: list[str]) -> DataFrame:
-    """One row per image content and scope: path after the first occurrence, and count."""
+    """One row per image content and scope: the path after its first occurrence."""
     first = F.min(F.struct("slide_number", "ordinal", "image_format")).alias("first")
     path = F.format_string(
         "slide%03d_%s.%s",
@@ -144,11 +144,7 @@ def _stored(images: DataFrame, scope: list[str]) -> DataFrame:
         F.col("sha1"),
         F.col("first.image_format"),
     )
-    return (
-        images.groupBy(*scope, "sha1")
-        .agg(first, F.count("*").alias("n"))
-        .select(*scope, "sha1", path.alias("image_path"), "n")
-    )
+    return images.groupBy(*scope, "sha1").agg(first).select(*scope, "sha1", path.alias("image_path"), "first")
 
 
 def dedup_images(images: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -159,17 +155,21 @@ def dedup_images(images: DataFrame, scope: list[str] | None = None) -> DataFrame
     """
     scope = scope or ["deck"]
     metadata = images.drop("blob", "image_path")
-    return join_per_key(
-        metadata, _stored(metadata, scope), [*scope, "sha1"], ["slide_number", "ordinal"]
-    )
+    return join_per_key(metadata, _stored(metadata, scope).drop("first"), [*scope, "sha1"])
 
 
 def image_blobs(images: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """The stored copies: one row with path and bytes per image content and scope."""
+    """The stored copies: one row with path and bytes per image content and scope. The bytes
+    are those of the first occurrence, which is found without them; no others are moved
+    beyond the join."""
     scope = scope or ["deck"]
-    path = _stored(images, scope).drop("n")
-    blob = images.groupBy(*scope, "sha1").agg(F.any_value("blob").alias("content"))
-    return path.join(blob, [*scope, "sha1"])
+    first = _stored(images.drop("blob"), scope)
+    place = ["slide_number", "ordinal"]
+    firsts = first.select(*scope, "sha1", "image_path", *[F.col(f"first.{c}").alias(c) for c in place])
+    bytes_ = images.select(*scope, "sha1", *place, F.col("blob").alias("content"))
+    found = firsts.join(bytes_, [*scope, "sha1", *place]).select(*scope, "sha1", "image_path", "content")
+    # Occurrences in one place of scopes wider than a deck may be several.
+    return found.dropDuplicates([*scope, "sha1"])
 
 
 def attach_images(slides: DataFrame, images: DataFrame) -> DataFrame:
@@ -178,11 +178,9 @@ def attach_images(slides: DataFrame, images: DataFrame) -> DataFrame:
     on = ["deck", "slide_number"]
     rest = [c for c in images.columns if c not in on]
     rows = images.select(*on, F.struct(*rest).alias("image"))
-    counts = image_counts(images)
-    # Every slide that has images, and every slide number of an image without a slide.
-    per_slide = counts.join(slides.withColumn("_slide", F.lit(True)), on, "left")
-    merged = join_per_key(rows, per_slide, on, ["image"], "images").filter("_slide")
-    empty = slides.join(counts, on, "left_anti").withColumn(
+    # An inner join, of which adaptive execution splits a slide with very many images.
+    merged = rows.join(slides, on)
+    empty = slides.join(image_counts(images), on, "left_anti").withColumn(
         "image", F.lit(None).cast(rows.schema["image"].dataType)
     )
     columns = [*slides.columns, "image"]

@@ -162,16 +162,16 @@ def caption_images(
     # Images without a path have no key, and the join spreads them.
     keyed = images.withColumn("_path", F.nullif("image_path", F.lit("")))
     paths = keyed.filter(F.col("_path").isNotNull()).groupBy("_path")
-    per_path = paths.agg(F.count("*").alias("n"), F.min("deck").alias("_deck"))
+    per_path = paths.agg(F.min("deck").alias("_deck"))
     content = F.lit(None).cast("binary")
     if blobs is not None:
         stored = blobs.select(F.col("deck").alias("_deck"), F.col("image_path").alias("_path"), "content")
         per_path = per_path.join(stored, ["_deck", "_path"], "left")
         content = F.col("content")
     picture = F.struct(F.col("_path").alias("path"), content.alias("content"))
-    captioned = spread(per_path, ["_path"], tasks).select("_path", "n", captions(picture).alias("caption"))
+    captioned = spread(per_path, ["_path"], tasks).select("_path", captions(picture).alias("caption"))
     captioned = materialise(captioned, "captions")
-    joined = join_per_key(keyed, captioned, ["_path"], ["deck", "slide_number", "ordinal"])
+    joined = join_per_key(keyed, captioned, ["_path"])
     return joined.drop("_path")
 
 

@@ -2,47 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than one row in HOT_SHARE; so there are fewer than
-# HOT_SHARE hot keys, whatever the data, and their values can be broadcast.
-HOT_SHARE = 1000
-SPREAD = 1024
 BLOCK = 1024
 
 
-def join_per_key(
-    rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], count: str = "n"
-) -> DataFrame:
-    """``rows`` with the value columns of ``per_key`` (one row per key, with its row count).
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the value columns of ``per_key``, which has one row per key.
 
-    Rows of hot keys take their values from a broadcast of fewer than ``HOT_SHARE`` rows and
-    are spread over the shuffle by ``spread_by``, as are rows without a key (null); all others
-    meet their key in a plain equi-join. No key sends more than a bounded share of the rows to
-    one task, provided that ``per_key`` lists every key of ``rows``.
+    Adaptive execution splits the rows of a hot key, and rows without a key, over tasks. It
+    does so only where both sides are shuffled for the join; a side that was grouped by the
+    same keys isn't. So the hash of the keys is a join key of its own, by which neither side
+    is placed yet.
     """
-    values = [c for c in per_key.columns if c not in (*keys, count)]
-    total = rows.agg(F.count("*")).scalar()
-    is_hot = F.col(count) * HOT_SHARE > total
-    hot = per_key.filter(is_hot).select(*keys, F.struct(*values).alias("_hot"))
-    # Cold keys have salt 0; hot keys have one that no row has.
-    cold_salt = F.when(is_hot, -1).otherwise(0).alias("_salt")
-    cold = per_key.select(*keys, cold_salt, F.struct(*values).alias("_cold"))
-    has_key = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    salt = F.when(F.col("_hot").isNull() & has_key, 0).otherwise(
-        1 + F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
-    )
-    joined = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", salt)
-        .join(cold, [*keys, "_salt"], "left")
-    )
-    value = F.coalesce("_hot", "_cold")
-    return joined.select(*rows.columns, *[value[v].alias(v) for v in values])
+    values = [c for c in per_key.columns if c not in keys]
+    hashed = F.xxhash64(*keys).alias("_hash")
+    joined = rows.select("*", hashed).join(per_key.select("*", hashed), ["_hash", *keys], "left")
+    return joined.select(*rows.columns, *values)
 
 
 def concat_ordered(
