@@ -309,7 +309,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark: SparkSession, folder: str) -> DataFrame:
     """The replay with sessions cut into chunks, as for a log whose sessions are too large."""
     log = inputs.session_log(spark, folder)
-    return sessions.replay(log, TOTAL, max_rows=60).select(*REPLAYED)
+    return sessions.replay(log, TOTAL, chunk_seconds=3600).select(*REPLAYED)
 
 
 @query("chat_history", with_inputs("gated steps", HISTORY), workers=True)
@@ -319,7 +319,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("chat_history_in_chunks", with_inputs("gated steps", HISTORY), workers=True)
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    return sessions.chat_history(inputs.session_log(spark, folder), TOTAL, max_rows=60)
+    return sessions.chat_history(inputs.session_log(spark, folder), TOTAL, chunk_seconds=3600)
 
 
 # --- streams -------------------------------------------------------------------------

@@ -1,13 +1,10 @@
 """Running values over ordered groups, for groups of any size.
 
-A window over a group keeps the group in one task. That is right while every group is
-small, so the largest one is counted first (a map-side aggregation of the key column).
-Beyond ``MAX_ROWS`` the rows are range-partitioned by group and order, which cuts a large
-group into chunks; the chunk numbers are fixed by writing the rows to the shared folder.
-Windows then run per chunk, and what a chunk needs from the ones before it comes from one
-summary row per group and chunk. Only groups that go on from an earlier chunk need it, and
-a chunk starts with at most one such group, so there are no more of these rows than chunks.
-They join on group and chunk, by which the rows are already partitioned.
+A window over a group keeps the group in one task. So a group is cut into chunks by a value:
+a number that never falls along the order, such as the day of a timestamp. Windows run per
+group and chunk, and what a chunk needs from the ones before it comes from one summary row per
+group and chunk. Rows are shuffled by group and chunk once; summaries join them there. How
+large a chunk may get is up to the value, and nothing is counted or written to find out.
 """
 
 from __future__ import annotations
@@ -19,22 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import materialise
-
-MAX_ROWS = 1_000_000
-# More chunks than this cost more to schedule than they save.
-MAX_CHUNKS = 20_000
 STEP = ["shift", "lo", "hi"]
 
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows with the columns that group and order them; ``chunk`` is 0 for whole groups."""
+    """Rows with the columns that group and order them, and ``chunk``."""
 
     df: DataFrame
     group: tuple[str, ...]
     order: tuple[str, ...]
-    cut: bool
 
     @property
     def chunk(self) -> list[str]:
@@ -44,19 +35,10 @@ class Ordered:
         return replace(self, df=self.df.withColumn(name, value))
 
 
-def ordered(
-    df: DataFrame, group: list[str], order: list[str], max_rows: int = MAX_ROWS
-) -> Ordered:
-    """``df`` ready for running values; ``order`` must be unique within a group, and the
-    columns of ``group`` must not be null."""
-    sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
-    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if (largest or 0) <= max_rows:
-        return Ordered(df.withColumn("chunk", F.lit(0)), tuple(group), tuple(order), False)
-    chunks = min(-(-2 * total // max_rows), MAX_CHUNKS)
-    ranged = df.repartitionByRange(chunks, *group, *order)
-    numbered = ranged.withColumn("chunk", F.spark_partition_id())
-    return Ordered(materialise(numbered, "chunks"), tuple(group), tuple(order), True)
+def ordered(df: DataFrame, group: list[str], order: list[str], chunk: Column) -> Ordered:
+    """``df`` ready for running values; ``order`` must be unique within a group, ``chunk`` must
+    not fall along it, and neither it nor the columns of ``group`` may be null."""
+    return Ordered(df.withColumn("chunk", chunk), tuple(group), tuple(order))
 
 
 def _frame(rows: Ordered, end: int) -> Window:
@@ -80,10 +62,9 @@ def _with_carry(rows: Ordered, df: DataFrame, summary: DataFrame, over_chunks) -
 def running_sum(rows: Ordered, name: str, value: Column) -> Ordered:
     """The sum of ``value`` up to and including each row."""
     df = rows.df.withColumn(name, F.sum(value).over(_frame(rows, 0)))
-    if rows.cut:
-        summary = rows.df.groupBy(*rows.chunk).agg(F.sum(value).alias("_v"))
-        df = _with_carry(rows, df, summary, F.sum("_v"))
-        df = df.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
+    summary = rows.df.groupBy(*rows.chunk).agg(F.sum(value).alias("_v"))
+    df = _with_carry(rows, df, summary, F.sum("_v"))
+    df = df.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
     return replace(rows, df=df)
 
 
@@ -91,11 +72,10 @@ def running_last(rows: Ordered, name: str, value: Column, before: bool = False)
     """The last ``value`` that is not null, up to each row or (``before``) ahead of it."""
     frame = _frame(rows, -1 if before else 0)
     df = rows.df.withColumn(name, F.last(value, ignorenulls=True).over(frame))
-    if rows.cut:
-        latest = F.max_by(value, F.when(value.isNotNull(), F.struct(*rows.order)))
-        summary = rows.df.groupBy(*rows.chunk).agg(latest.alias("_v"))
-        df = _with_carry(rows, df, summary, F.last("_v", ignorenulls=True))
-        df = df.withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
+    latest = F.max_by(value, F.when(value.isNotNull(), F.struct(*rows.order)))
+    summary = rows.df.groupBy(*rows.chunk).agg(latest.alias("_v"))
+    df = _with_carry(rows, df, summary, F.last("_v", ignorenulls=True))
+    df = df.withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
     return replace(rows, df=df)
 
 
@@ -139,14 +119,12 @@ def running_clamp(rows: Ordered, name: str, shift: Column, lo: Column, hi: Colum
     steps = {c: v.cast("long") for c, v in zip(STEP, (shift, lo, hi))}
     order = list(rows.order)
     df = _composed(rows.df.withColumns(steps), rows.chunk, order)
-    start = F.lit(0)
-    if rows.cut:
-        narrow = rows.df.withColumns(steps).select(*rows.chunk, *order, *STEP)
-        last = F.max_by(F.struct(*STEP), F.struct(*order)).alias("f")
-        ends = _composed(narrow, rows.chunk, order).groupBy(*rows.chunk).agg(last)
-        ends = _composed(ends.select(*rows.chunk, "f.*"), list(rows.group), ["chunk"])
-        ends = ends.select(*rows.chunk, F.least("hi", F.greatest("lo", "shift")).alias("_v"))
-        df = _with_carry(rows, df, ends, F.last("_v"))
-        start = F.coalesce("_carry", F.lit(0))
+    narrow = rows.df.withColumns(steps).select(*rows.chunk, *order, *STEP)
+    last = F.max_by(F.struct(*STEP), F.struct(*order)).alias("f")
+    ends = _composed(narrow, rows.chunk, order).groupBy(*rows.chunk).agg(last)
+    ends = _composed(ends.select(*rows.chunk, "f.*"), list(rows.group), ["chunk"])
+    ends = ends.select(*rows.chunk, F.least("hi", F.greatest("lo", "shift")).alias("_v"))
+    df = _with_carry(rows, df, ends, F.last("_v"))
+    start = F.coalesce("_carry", F.lit(0))
     value = F.least("hi", F.greatest("lo", F.col("shift") + start)).cast("int")
     return replace(rows, df=df.withColumn(name, value).drop("_carry", *STEP))

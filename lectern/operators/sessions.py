@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions.text import or_empty
 from lectern.operators.ordered import (
-    MAX_ROWS,
     Ordered,
     ordered,
     running_clamp,
@@ -21,6 +20,9 @@ from lectern.operators.ordered import (
 )
 
 GROUP, ORDER = ["session"], ["ts", "id"]
+# A chunk is a stretch of time of one session; lower it for sessions with more rows than that
+# a task should hold.
+CHUNK_SECONDS = 30 * 86_400
 FOLLOW_UPS = ("analogy", "example", "quiz")
 
 
@@ -28,8 +30,9 @@ def _is(*actions: str) -> Column:
     return F.col("action").isin(*actions)
 
 
-def _log(log: DataFrame, max_rows: int) -> Ordered:
-    return ordered(log, GROUP, ORDER, max_rows)
+def _log(log: DataFrame, chunk_seconds: int) -> Ordered:
+    """Sessions in chunks of so many seconds, so that one of any length is spread over tasks."""
+    return ordered(log, GROUP, ORDER, F.floor(F.unix_seconds("ts") / chunk_seconds))
 
 
 def _segments(rows: Ordered) -> Ordered:
@@ -51,19 +54,19 @@ def _gated(rows: Ordered) -> Ordered:
     return _explained(rows).add("message", message)
 
 
-def deck_segments(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def deck_segments(log: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """``segment``: uploads of the session so far; every upload starts a new one."""
-    return _segments(_log(log, max_rows)).df.drop("chunk")
+    return _segments(_log(log, chunk_seconds)).df.drop("chunk")
 
 
-def last_explanation(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def last_explanation(log: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """The latest explanation ahead of each row in its segment, "" when there is none."""
-    return _explained(_log(log, max_rows)).df.drop("chunk")
+    return _explained(_log(log, chunk_seconds)).df.drop("chunk")
 
 
-def gate_actions(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def gate_actions(log: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """``message``: what to do first, for actions whose condition is not met; else null."""
-    return _gated(_log(log, max_rows)).df.drop("chunk")
+    return _gated(_log(log, chunk_seconds)).df.drop("chunk")
 
 
 def _navigated(rows: Ordered, total: Column | int) -> Ordered:
@@ -75,27 +78,27 @@ def _navigated(rows: Ordered, total: Column | int) -> Ordered:
     return running_clamp(rows, "slide_idx", shift, F.lit(0), hi)
 
 
-def navigate(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS) -> DataFrame:
+def navigate(log: DataFrame, total: Column | int, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """``slide_idx`` after each action, kept within the deck of ``total`` slides (a column
     of the log, when decks differ)."""
     count = F.lit(total) if isinstance(total, int) else total
     narrow = log.select("session", "ts", "id", "action", count.alias("_total"))
-    rows = _navigated(_log(narrow, max_rows), F.col("_total"))
+    rows = _navigated(_log(narrow, chunk_seconds), F.col("_total"))
     return rows.df.select("session", "ts", "id", "slide_idx")
 
 
-def replay(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS) -> DataFrame:
+def replay(log: DataFrame, total: Column | int, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Segment, slide index, last explanation and gate message of every action."""
-    return _navigated(_gated(_log(log, max_rows)), total).df.drop("chunk")
+    return _navigated(_gated(_log(log, chunk_seconds)), total).df.drop("chunk")
 
 
-def chat_history(log: DataFrame, total: Column | int, max_rows: int = MAX_ROWS) -> DataFrame:
+def chat_history(log: DataFrame, total: Column | int, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """The (label, reply) entries of each segment, numbered in order.
 
     Entries stay rows, since a session may be of any length.
     """
     entry = _is(*fixed.ACTION_LABELS)
-    gated = _gated(_log(log, max_rows))
+    gated = _gated(_log(log, chunk_seconds))
     counted = running_sum(gated, "_upto", F.when(entry, 1).otherwise(0).cast("long"))
     based = running_last(counted, "_base", F.when(_is("upload"), F.col("_upto")))
     placed = _navigated(based, total)
