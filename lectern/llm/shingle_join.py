@@ -15,9 +15,8 @@ Tokens are 64-bit hashes of n-grams, and nodes 64-bit hashes of sets.
 
 from __future__ import annotations
 
-import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
+from lectern.llm.suffixes import Hashes, mixed
 from lectern.session import materialise
 
 N_WORDS = 5
@@ -38,43 +38,62 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 CELL_BITS = 20
 CHUNK = 1 << 12
 #: Nodes of a component that are compared with a node at a time.
-BLOCK = 256
-#: Words whose hash a worker remembers.
-WORDS_KEPT = 1_000_000
+BLOCK = 64
+#: Bytes of texts whose words are hashed together.
+READ_BYTES = 500_000
 #: Ids up to this many (16 MB) are broadcast to pick documents; more are joined.
 BROADCAST_IDS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-@functools.cache
-def _words() -> _Words:
-    return _Words()
-
-
-def shingles(text: str | None, n_words: int = N_WORDS) -> np.ndarray:
-    """The set of a text: sorted distinct hashes of its word n-grams, or of all its words if
-    it has fewer. Words are runs other than ASCII white space, with A-Z lower-cased."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words().__getitem__, words), np.uint64, n)
-    if n < n_words:
-        return np.array([xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=n)], np.uint64)
-    mixed = np.zeros(n - n_words + 1, np.uint64)
+def _combined(hashes: np.ndarray, n_words: int, tag: int = 0) -> np.ndarray:
+    """A hash of every run of ``n_words`` hashes."""
+    n = len(hashes) - n_words + 1
+    out = np.full(n, tag, np.uint64)
     for j in range(n_words):
-        mixed = (mixed ^ hashes[j : n - n_words + 1 + j]) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+        out = (out ^ hashes[j : n + j]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _sets(raws: list[bytes], n_words: int) -> list[np.ndarray]:
+    blob = b" ".join(raws).translate(_LOWER)
+    letters = np.frombuffer(blob, np.uint8)
+    gaps = _SPACE[letters]
+    edges = np.diff(np.concatenate(([True], gaps, [True])).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    words = mixed(Hashes(letters).of(starts, ends - starts))
+    runs = _combined(words, n_words) if len(words) >= n_words else np.empty(0, np.uint64)
+    bounds = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= n_words:
+            tokens = np.sort(runs[a : b - n_words + 1])
+            out.append(tokens[np.concatenate(([True], tokens[1:] != tokens[:-1]))])
+        else:
+            out.append(_combined(words[a:b], b - a, b - a) if b > a else np.empty(0, np.uint64))
+    return out
+
+
+def shingle_sets(texts: Iterable[str | None], n_words: int = N_WORDS) -> list[np.ndarray]:
+    """The set of each text: sorted distinct hashes of its word n-grams, or of all its words if
+    it has fewer. Words are runs other than ASCII white space, with A-Z lower-cased; texts
+    are taken together up to some size, and whole."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append((text or "").encode())
+        size += len(held[-1]) + 1
+        if size >= READ_BYTES:
+            out += _sets(held, n_words)
+            held, size = [], 0
+    return out + (_sets(held, n_words) if held else [])
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -90,65 +109,85 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set in a global order: by how often their cell occurs, in half
-    octaves, then by a hash of the order's own."""
-    often = (2 * np.log2(np.maximum(counts[cells(tokens)], 1))).astype(np.uint64)
+def token_classes(counts: np.ndarray) -> np.ndarray:
+    """The part of a token's place in an order that comes from how often its cell occurs, in
+    half octaves."""
+    return (2 * np.log2(np.maximum(counts, 1))).astype(np.uint64) << np.uint64(58)
+
+
+def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first tokens of a set in a global order: by the class of their cell, then by a hash
+    of the order's own. Tokens level with the last one are in it too."""
     mixed = tokens * np.uint64(ORDERS[order])
     mixed ^= mixed >> np.uint64(31)
-    key = (often << np.uint64(58)) | (mixed >> np.uint64(6))
-    return tokens[np.argsort(key, kind="stable")[: prefix_length(len(tokens), percent)]]
+    key = classes[cells(tokens)] | (mixed >> np.uint64(6))
+    last = prefix_length(len(tokens), percent) - 1
+    return tokens[key <= np.partition(key, last)[last]]
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """A bit per token in a map of four to eight bits a token, at least 64."""
-    bits = max(64, 1 << int(len(tokens) * 4 - 1).bit_length())
+    """A bit per token in a map of 16 to 32 bits a token, at least 64."""
+    bits = max(64, 1 << int(len(tokens) * 16 - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[((tokens * np.uint64(ORDERS[-1])) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
 
 
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of a bitmap brought to ``width`` bytes. Places follow the hash's top bits, so a
+    place of the small map is a run of places of the large one."""
+    if maps.shape[1] == width:
+        return maps
+    bits = np.unpackbits(maps, axis=1).reshape(len(maps), width * 8, -1).max(axis=2)
+    return np.packbits(bits, axis=1)
+
+
+def may_link(n: int, own: bytes, sizes: np.ndarray, maps: np.ndarray, percent: int) -> np.ndarray:
+    """Which of other sets (``sizes``, rows of ``maps``) bitmaps leave room to link with: each
+    bit that only one has stands for a token that the other lacks."""
+    one = np.frombuffer(own, np.uint8)[None, :]
+    width = min(one.shape[1], maps.shape[1])
+    one, others = _folded(one, width).view(np.uint64), _folded(maps, width).view(np.uint64)
+    common = np.minimum(
+        n - np.bitwise_count(one & ~others).sum(axis=1, dtype=np.int64),
+        sizes - np.bitwise_count(others & ~one).sum(axis=1, dtype=np.int64),
+    )
+    fits = 100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)
+    return fits & (100 * common >= percent * (n + sizes - common))
 
 
-def may_link(n_a: int, map_a: bytes, n_b: int, map_b: bytes, percent: int) -> bool:
-    """Whether bitmaps leave room for the similarity: each bit that only one has stands for a
-    token that the other lacks."""
-    small, large = np.frombuffer(map_a, np.uint8), np.frombuffer(map_b, np.uint8)
-    n_small, n_large = n_a, n_b
-    if len(small) > len(large):
-        small, large, n_small, n_large = large, small, n_large, n_small
-    if len(large) > len(small):
-        # Places follow the hash's top bits, so a place of the small map is a run of the large.
-        bits = np.unpackbits(large).reshape(len(small) * 8, -1).max(axis=1)
-        large = np.packbits(bits)
-    only_small = int(_BITS[small & ~large].sum())
-    only_large = int(_BITS[large & ~small].sum())
-    common = min(n_small - only_small, n_large - only_large)
-    return 100 * common >= percent * (n_small + n_large - common)
+def may_link_pair(n_a: int, map_a: bytes, n_b: int, map_b: bytes, percent: int) -> bool:
+    return bool(may_link(n_a, map_a, np.array([n_b]), np.frombuffer(map_b, np.uint8)[None, :], percent)[0])
 
 
-def similar(a: np.ndarray, b: np.ndarray, counts: np.ndarray, percent: int) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, classes: np.ndarray, percent: int) -> bool:
     """Whether two sets link: prefixes must meet in every further order, then all tokens count."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     for order in range(1, len(ORDERS)):
-        one, other = prefix(a, counts, order, percent), prefix(b, counts, order, percent)
+        one, other = prefix(a, classes, order, percent), prefix(b, classes, order, percent)
         if not np.isin(one, other).any():
             return False
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def few_keys(keys: DataFrame) -> DataFrame:
+    """Keys, written, and broadcast up to a number of them."""
+    keys = materialise(keys, "shingle-keys")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
 class ShingleJoin:
     """The steps of one join; all results are written tables."""
 
     def __init__(self, docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT):
-        """``docs`` has ``key, text``."""
+        """``docs`` has ``key, text``; keys aren't null, and equal ones have equal texts."""
         self.docs, self.n_words, self.percent = docs, n_words, percent
         self.spark = docs.sparkSession
         self.key_type = docs.schema["key"].dataType.simpleString()
-        self.members, self.counts = self._read()
+        self.members, counts = self._read()
+        self.classes_of_cells = self.spark.sparkContext.broadcast(token_classes(counts))
 
     def _read(self) -> tuple[DataFrame, np.ndarray]:
         """Node and size of each document, and the counts of tokens by cell, in one reading."""
@@ -159,13 +198,12 @@ class ShingleJoin:
             keys = pa.null()
             for batch in batches:
                 keys = batch.schema.field(0).type
-                nodes, sizes = [], []
-                for text in batch.column(1):
-                    tokens = shingles(text.as_py(), n_words)
-                    nodes.append(node_of(tokens) if len(tokens) else None)
-                    sizes.append(len(tokens))
-                    np.add.at(counts, cells(tokens), 1)
-                n = len(nodes)
+                sets = shingle_sets(batch.column(1).to_pylist(), n_words)
+                nodes = [node_of(s) if len(s) else None for s in sets]
+                sizes = [len(s) for s in sets]
+                n = len(sets)
+                if n:
+                    counts += np.bincount(cells(np.concatenate(sets)), minlength=len(counts))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                     names,
@@ -197,40 +235,47 @@ class ShingleJoin:
             counts[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counted"], "<i8")
         return read.filter("chunk IS NULL").select("key", "node", "n"), counts
 
-    def _postings(self) -> DataFrame:
-        """``token, node``: prefixes in the first order."""
-        n_words, percent = self.n_words, self.percent
-        counts = self.spark.sparkContext.broadcast(self.counts)
+    def _postings(self, docs: DataFrame) -> DataFrame:
+        """``token, node, n``: prefixes in the first order, with the size of the set."""
+        n_words, percent, classes = self.n_words, self.percent, self.classes_of_cells
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found, nodes, seen = [], [], set()
-                for text in batch.column(0):
-                    tokens = shingles(text.as_py(), n_words)
-                    if not len(tokens) or (node := node_of(tokens)) in seen:
-                        continue
-                    seen.add(node)
-                    found.append(prefix(tokens, counts.value, 0, percent))
-                    nodes.append(np.full(len(found[-1]), node, np.int64))
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"]
+                sets = {node_of(s): s for s in shingle_sets(batch.column(0).to_pylist(), n_words) if len(s)}
+                if sets:
+                    found = [prefix(s, classes.value, 0, percent) for s in sets.values()]
+                    counts = [len(f) for f in found]
+                    columns = (
+                        np.concatenate(found).view(np.int64),
+                        np.repeat(np.array(list(sets), np.int64), counts),
+                        np.repeat(np.array([len(s) for s in sets.values()], np.int64), counts),
                     )
-
-        return self.docs.select("text").mapInArrow(run, "token long, node long")
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n"])
+
+        return docs.select("text").mapInArrow(run, "token long, node long, n long")
+
+    def _shared(self) -> DataFrame:
+        """``token, node, n`` of the tokens that lie in the prefixes of two documents or more,
+        of which only one of each class of equal sets is read."""
+        one = self.members.filter("n > 0").groupBy("node").agg(F.min("key").alias("first"))
+        one = materialise(one, "shingle-firsts")
+        copies = self.members.filter("n > 0").join(one, "node").filter("key <> first").select("key").distinct()
+        docs = self.docs.join(few_keys(copies), "key", "left_anti")
+        # What is joined is written first, so that both sides are plain and hot keys are split.
+        tokens = self._postings(docs).groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1")
+        tokens = materialise(tokens.select("token"), "shingle-tokens")
+        return materialise(self._postings(docs).join(tokens, "token"), "shingle-postings")
 
     def _picked(self, nodes: DataFrame) -> DataFrame:
         """``node, n, bits, tokens``: sets of the given nodes, each read from one document."""
         n_words = self.n_words
         chosen = self.members.filter("node IS NOT NULL").join(nodes.select("node").distinct(), "node", "left_semi")
-        chosen = materialise(chosen.groupBy("node").agg(F.min("key").alias("key")).select("key").distinct(), "shingle-nodes")
-        if chosen.count() <= BROADCAST_IDS:
-            chosen = F.broadcast(chosen)
+        chosen = few_keys(chosen.groupBy("node").agg(F.min("key").alias("key")).select("key").distinct())
         docs = self.docs.select("key", "text").join(chosen, "key", "left_semi").select("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [s for s in (shingles(t.as_py(), n_words) for t in batch.column(0)) if len(s)]
+                sets = [s for s in shingle_sets(batch.column(0).to_pylist(), n_words) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([node_of(s) for s in sets], pa.int64()),
@@ -242,7 +287,11 @@ class ShingleJoin:
                 )
 
         schema = "node long, n long, bits binary, tokens binary"
-        return materialise(docs.mapInArrow(run, schema).dropDuplicates(["node"]), "shingle-sets")
+        sets = materialise(docs.mapInArrow(run, schema), "shingle-sets")
+        # Keys of several rows may name a node twice.
+        if sets.groupBy("node").count().filter("count > 1").isEmpty():
+            return sets
+        return materialise(sets.dropDuplicates(["node"]), "shingle-sets")
 
     def _plausible(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs ``u, v`` whose sizes and bitmaps leave room for a link."""
@@ -253,7 +302,7 @@ class ShingleJoin:
         @F.arrow_udf("boolean")
         def room(n_u: pa.Array, map_u: pa.Array, n_v: pa.Array, map_v: pa.Array) -> pa.Array:
             rows = zip(n_u.to_pylist(), map_u.to_pylist(), n_v.to_pylist(), map_v.to_pylist())
-            return pa.array([may_link(*row, percent) for row in rows], pa.bool_())
+            return pa.array([may_link_pair(*row, percent) for row in rows], pa.bool_())
 
         both = pairs.join(side("u"), "u").join(side("v"), "v")
         a, b = F.col("u_set"), F.col("v_set")
@@ -262,8 +311,7 @@ class ShingleJoin:
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs ``u, v`` that link."""
-        percent = self.percent
-        counts = self.spark.sparkContext.broadcast(self.counts)
+        percent, classes = self.percent, self.classes_of_cells
         side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
 
         @F.arrow_udf("boolean")
@@ -271,7 +319,7 @@ class ShingleJoin:
             rows = zip(a, b)
             return pa.array(
                 [
-                    similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in row), counts.value, percent)
+                    similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in row), classes.value, percent)
                     for row in rows
                 ],
                 pa.bool_(),
@@ -282,56 +330,125 @@ class ShingleJoin:
 
     def links(self) -> DataFrame:
         """``u, v``: links that connect all nodes that links connect."""
-        shared = self._postings().groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-        shared = materialise(shared.filter("leader < last").select("token", "leader"), "shingle-tokens")
-        found = self._postings().join(shared, "token").distinct()
-        found = materialise(found, "shingle-postings")
-        sets = self._picked(found.select("node"))
-
-        pairs = found.filter("leader < node").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-        first = materialise(self._verified(materialise(self._plausible(pairs, sets), "shingle-pairs"), sets), "shingle-links")
+        found = self._shared()
+        leaders = materialise(found.groupBy("token").agg(F.min("node").alias("leader")), "shingle-leaders")
+        shared = found.groupBy("node", "n").agg(F.count("*").alias("tokens"))
+        shared = materialise(shared.select("node", F.struct("n", "tokens").alias("of")), "shingle-shared")
+        pairs = found.join(leaders, "token").filter("leader < node").select("leader", "node").distinct()
+        pairs = pairs.select(F.col("leader").alias("u"), F.col("node").alias("v"))
+        for side in ("u", "v"):
+            pairs = pairs.join(shared.select(F.col("node").alias(side), F.col("of").alias(f"of_{side}")), side)
+        a, b = F.col("of_u"), F.col("of_v")
+        fits = self._room(F.least(a["tokens"], b["tokens"]), a["n"], a["n"], b["n"], b["n"])
+        first = self._linked(materialise(pairs.filter(fits).select("u", "v"), "shingle-pairs"))
         labels = materialise(components(first), "shingle-components")
-        rest = self._between(found.select("token", "node"), labels, sets)
-        more = self._verified(materialise(rest, "shingle-pairs"), sets)
+        more = self._between(found, labels)
         return materialise(first.unionByName(more).distinct(), "shingle-links")
 
-    def _between(self, found: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-        """Plausible pairs of nodes of different components that meet in a bucket."""
+    def _room(self, common: Column, low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
+        """Whether two sets of sizes in the given ranges may link when their prefixes have at
+        most ``common`` tokens in common.
+
+        Of the two prefixes, one ends first in the order; what the sets have in common lies in
+        both prefixes, or after the one that ends first. So the intersection is at most
+        ``common`` and the rest of that set.
+        """
+        percent = self.percent
+        rest = F.ceil(F.greatest(high_a, high_b) * percent / F.lit(100)) - 1
+        sizes = (high_a * 100 >= low_b * percent) & (high_b * 100 >= low_a * percent)
+        return sizes & ((common + rest) * (100 + percent) >= (low_a + low_b) * percent)
+
+    def _linked(self, pairs: DataFrame) -> DataFrame:
+        both = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+        sets = self._picked(both)
+        pairs = materialise(self._plausible(pairs, sets), "shingle-pairs")
+        return materialise(self._verified(pairs, sets), "shingle-links")
+
+    def _between(self, found: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between nodes of different components that meet in a bucket."""
         percent = self.percent
-        nodes = sets.select("node", "n", "bits").join(labels, "node", "left")
+        nodes = found.select("node", "n").distinct().join(labels, "node", "left")
         nodes = materialise(nodes.withColumn("comp", F.coalesce("label", "node")).drop("label"), "shingle-nodes")
         comps = nodes.groupBy("comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
         comps = materialise(comps, "shingle-comps")
 
-        met = found.join(nodes.select("node", "comp"), "node").select("token", "comp").distinct()
-        mixed = met.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b")
-        met = materialise(met.join(mixed.select("token"), "token", "left_semi").join(comps, "comp"), "shingle-met")
-        a, b = met.alias("a"), met.alias("b")
-        # Sizes must leave room; the smaller component's nodes are compared with the other's.
-        meets = (
-            (F.col("a.token") == F.col("b.token"))
-            & (F.struct("a.size", "a.comp") < F.struct("b.size", "b.comp"))
-            & (F.col("a.high") * 100 >= F.col("b.low") * percent)
-            & (F.col("b.high") * 100 >= F.col("a.low") * percent)
+        met = materialise(
+            found.join(nodes.select("node", "comp"), "node").select("token", "comp").distinct(), "shingle-met"
         )
-        meetings = a.join(b, meets).select(F.col("a.comp").alias("from"), F.col("b.comp").alias("to")).distinct()
-        meetings = materialise(meetings, "shingle-meetings")
-
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = nodes.join(comps.select("comp", "size"), "comp").withColumn("block", F.pmod(F.hash("node"), blocks))
-        dealt = dealt.groupBy("comp", "block").agg(F.collect_list(F.struct("node", "n", "bits")).alias("others"))
+        mixed = met.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("met"))
+        mixed = materialise(mixed.filter("a < b").select("token", "met"), "shingle-mixed")
+        met = materialise(met.join(mixed, "token").join(comps, "comp"), "shingle-met")
+        meetings = materialise(self._meetings(met), "shingle-meetings")
+
+        asked = meetings.select(F.col("from").alias("comp")).unionByName(meetings.select("comp")).distinct()
+        sets = self._picked(nodes.join(asked, "comp", "left_semi"))
+        placed = sets.select("node", "n", "bits").join(nodes.select("node", "comp"), "node")
+        placed = materialise(placed, "shingle-placed")
+
+        def blocks(size: Column) -> Column:
+            return F.ceil(size / BLOCK).cast("int")
+
+        dealt = placed.join(comps.select("comp", "size"), "comp")
+        dealt = dealt.withColumn("block", F.pmod(F.hash("node"), blocks(F.col("size"))))
+        dealt = dealt.groupBy(F.col("comp").alias("to"), "block").agg(
+            F.collect_list("node").alias("nodes"), F.collect_list("n").alias("sizes"), F.collect_list("bits").alias("maps")
+        )
+        dealt = materialise(dealt, "shingle-blocks")
 
         @F.arrow_udf("array<long>")
-        def partners(n: pa.Array, bits: pa.Array, others: pa.Array) -> pa.Array:
+        def partners(n: pa.Array, bits: pa.Array, nodes: pa.Array, sizes: pa.Array, maps: pa.Array) -> pa.Array:
             out = []
-            for size, own, block in zip(n.to_pylist(), bits.to_pylist(), others):
-                out.append([o["node"] for o in block.as_py() if may_link(size, own, o["n"], o["bits"], percent)])
+            for row in zip(n.to_pylist(), bits.to_pylist(), nodes, sizes, maps):
+                size, own, names, counts, raw = row[0], row[1], *(c.as_py() for c in row[2:])
+                found = []
+                for width in set(map(len, raw)):
+                    at = [i for i, r in enumerate(raw) if len(r) == width]
+                    others = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), width)
+                    fits = may_link(size, own, np.array([counts[i] for i in at]), others, percent)
+                    found += [names[at[k]] for k in np.flatnonzero(fits)]
+                out.append(found)
             return pa.array(out, pa.list_(pa.int64()))
 
-        asked = meetings.join(nodes.withColumnRenamed("comp", "from"), "from")
-        pairs = asked.join(dealt.withColumnRenamed("comp", "to"), "to")
-        pairs = pairs.select(F.col("node").alias("u"), F.explode(partners("n", "bits", "others")).alias("v"))
-        return pairs.distinct()
+        asked = meetings.join(placed.withColumnRenamed("comp", "from"), "from").select(
+            "node", "n", "bits", F.col("comp").alias("to"), F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)).alias("block")
+        )
+        pairs = asked.join(dealt, ["to", "block"]).select(
+            F.col("node").alias("u"), F.explode(partners("n", "bits", "nodes", "sizes", "maps")).alias("v")
+        )
+        return self._verified(materialise(pairs.distinct(), "shingle-pairs"), sets)
+
+    def _meetings(self, met: DataFrame) -> DataFrame:
+        """``from, comp, size``: pairs of components that share tokens enough to have a link; the
+        smaller one is first. Other components of a bucket come as lists, in blocks, and are
+        counted per component, so that pairs without room are never rows."""
+        percent = self.percent
+        block = F.pmod(F.hash("comp"), F.ceil(F.col("met") / BLOCK).cast("int")).alias("block")
+        member = F.struct("comp", "size", "low", "high")
+        blocks = met.groupBy("token", block).agg(F.collect_list(member).alias("others"))
+        blocks = materialise(blocks.select("token", "others"), "shingle-blocks")
+        larger = F.filter(
+            "others",
+            lambda o: (F.struct("size", "comp") < F.struct(o["size"], o["comp"]))
+            & (F.col("high") * 100 >= o["low"] * percent)
+            & (o["high"] * 100 >= F.col("low") * percent),
+        )
+        lists = met.join(blocks, "token").select("comp", "low", "high", larger.alias("others"))
+        lists = lists.filter(F.size("others") > 0).groupBy("comp", "low", "high").agg(F.collect_list("others").alias("lists"))
+
+        @F.arrow_udf("array<struct<comp:long,size:long>>")
+        def with_room(low: pa.Array, high: pa.Array, lists: pa.Array) -> pa.Array:
+            out = []
+            for low_a, high_a, row in zip(low.to_pylist(), high.to_pylist(), lists):
+                flat = row.values.flatten()
+                comp, size, low_b, high_b = (flat.field(n).to_numpy() for n in ("comp", "size", "low", "high"))
+                _, first, common = np.unique(comp, return_index=True, return_counts=True)
+                rest = -(-np.maximum(high_a, high_b[first]) * percent // 100) - 1
+                fits = (common + rest) * (100 + percent) >= (low_a + low_b[first]) * percent
+                out.append([{"comp": int(comp[i]), "size": int(size[i])} for i in first[fits]])
+            return pa.array(out, pa.list_(pa.struct([("comp", pa.int64()), ("size", pa.int64())])))
+
+        found = lists.select(F.col("comp").alias("from"), F.explode(with_room("low", "high", "lists")).alias("to"))
+        return found.select("from", "to.comp", "to.size")
 
     def classes(self) -> DataFrame:
         """``key, n, component``: for each document the least key it reaches by links, itself
@@ -340,14 +457,19 @@ class ShingleJoin:
         least = self.members.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
         least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = materialise(least, "shingle-least")
-        component = least.groupBy("label").agg(F.min("key").alias("component"))
+        component = materialise(least.groupBy("label").agg(F.min("key").alias("component")), "shingle-component")
         of_node = materialise(least.join(component, "label").select("node", "component"), "shingle-classes")
         out = self.members.join(of_node, "node", "left")
         return out.select("key", "n", F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component")).alias("component"))
 
 
-def keyed(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
-    return docs.select(key.alias("key"), F.col(text_col).alias("text"))
+def row_key(id_: Column, kind: str, text: Column) -> Column:
+    """Names a row by its id, null last, and its text; without nulls."""
+    return F.struct(
+        id_.isNull().alias("missing"),
+        F.coalesce(id_, F.lit("0").cast(kind)).alias("id"),
+        F.xxhash64(text).alias("hash"),
+    )
 
 
 def shingle_join(
@@ -360,8 +482,13 @@ def shingle_join(
     links with nothing. Repeated rows are one class. Rows with a null id link like others but
     name no component unless all of it is null. Other columns of ``docs`` are left out.
     """
-    found = ShingleJoin(keyed(docs, F.col(id_col), text_col), n_words, percent).classes()
-    return found.select(F.col("key").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    key = row_key(F.col(id_col), docs.schema[id_col].dataType.simpleString(), F.col(text_col))
+    found = ShingleJoin(docs.select(key.alias("key"), F.col(text_col).alias("text")), n_words, percent).classes()
+
+    def id_of(key: str) -> Column:
+        return F.when(~F.col(key)["missing"], F.col(key)["id"])
+
+    return found.select(id_of("key").alias(id_col), F.col("n").alias("n_shingles"), id_of("component").alias("component_id"))
 
 
 def one_of_each(
@@ -373,18 +500,15 @@ def one_of_each(
 ) -> DataFrame:
     """``docs`` with one row of each component: that of the least id, null last. Rows without
     words all stay; of rows equal in id and text, one does."""
-    own = F.coalesce(F.col("row")[id_col].cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("key", F.struct(own.alias("id"), F.xxhash64(F.col("row")[text_col]).alias("hash")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = rows.withColumn("key", row_key(F.col("row")[id_col], kind, F.col("row")[text_col]))
     found = ShingleJoin(rows.select("key", F.col("row")[text_col].alias("text")), n_words, percent).classes()
     found = materialise(found.filter("n > 0"), "shingle-classes")
 
-    def few(keys: DataFrame) -> DataFrame:
-        keys = materialise(keys, "shingle-copies")
-        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
-
-    copies = few(found.filter("component <> key").select("key").distinct())
-    again = few(found.filter("component = key").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    copies = few_keys(found.filter("component <> key").select("key").distinct())
+    again = found.filter("component = key").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    again = few_keys(again.select("key"))
     rows = rows.join(copies, "key", "left_anti")
     once = rows.join(again, "key", "left_anti").select("row")
     first = rows.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")

@@ -50,6 +50,8 @@ def test_odd_rows(docs):
         (5, None), (6, ""), (7, " \t\n"), (8, "One two three"), (3, "ONE  two\tthree"), (9, "one two"),
         (11, long), (10, long + " end"), (12, long), (12, long), (None, "a b c d e f"), (20, "a b c d e f"),
         (None, "alone here"), (None, None), (21, "a\u00a0b c"), (22, "a b c"), (23, "\u00c9 x"), (24, "\u00e9 x"),
+        (None, " ".join("klmnopqrstuvwxyz")), (30, " ".join("klmnopqrstuvwxy")), (None, " ".join("klmnopqrstuvwxyzz")),
+        (None, " ".join("0123456789")), (None, " ".join("012345678")), (6, "same id"), (6, "other text"),
     ]
     compare(docs, rows)
 
@@ -82,12 +84,12 @@ def test_bitmaps_only_rule_out_what_cannot_link():
         b = np.unique(np.concatenate((a[: rng.integers(0, len(a) + 1)], rng.choice(pool, rng.integers(1, 60)))))
         common = len(np.intersect1d(a, b))
         if 100 * common >= 75 * (len(a) + len(b) - common):
-            assert sj.may_link(len(a), sj.bitmap(a), len(b), sj.bitmap(b), 75)
+            assert sj.may_link_pair(len(a), sj.bitmap(a), len(b), sj.bitmap(b), 75)
 
 
 def test_prefixes_of_similar_sets_meet_in_every_order():
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 1000, 1 << sj.CELL_BITS)
+    counts = sj.token_classes(rng.integers(0, 1000, 1 << sj.CELL_BITS))
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 120)).astype(np.uint64))
         b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.95], rng.integers(0, 1 << 63, 3).astype(np.uint64))))
