@@ -132,14 +132,20 @@ def _first_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.take(pa.array(sorted(first.values()), pa.int64()))
 
 
-def stream_image_dedup(images: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """One row per deck and content hash, across micro-batches; the keys are remembered until
-    the watermark has passed them by ``delay``.
+def stream_image_dedup(images: DataFrame, time: str = "ts", delay: str | None = None) -> DataFrame:
+    """One row per deck and content hash, across micro-batches.
+
+    Without ``delay`` the keys are remembered for good, so no copy ever comes back; the state
+    grows with the distinct pictures, which is a case for the RocksDB state store. With
+    ``delay`` they are forgotten once the watermark has passed them by that much, and a copy
+    that comes later counts as new.
 
     Copies in the same Arrow batch go before the shuffle, so that a much-copied image does
     not send all its copies to one task.
     """
     firsts = images.mapInArrow(_first_in_batch, images.schema)
+    if delay is None:
+        return firsts.dropDuplicates(IMAGE_KEY)
     return firsts.withWatermark(time, delay).dropDuplicatesWithinWatermark(IMAGE_KEY)
 
 

@@ -83,7 +83,8 @@ def test_images_once_across_batches(spark, tmp_path):
     images = [("d", "x", start), ("d", "x", start), ("e", "x", start), ("d", "y", start)]
     schema = "deck string, sha1 string, ts timestamp"
     folder, out = str(tmp_path / "images"), str(tmp_path / "out")
-    for batch in (images, images[:2], [("d", "z", start)]):
+    later = [("d", "x", start + dt.timedelta(days=9)), ("d", "z", start + dt.timedelta(days=9))]
+    for batch in (images, images[:2], later, later[:1]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
     df = spark.read.schema(schema).parquet(folder)
     run(streams.write_stream(streams.stream_image_dedup(stream_of(spark, df, folder)), out))
