@@ -15,6 +15,7 @@ from lectern.llm.personal import KINDS, find_personal, span_list
 from lectern.llm.quality import quality
 from lectern.llm.registry import query, table
 from lectern.llm.repeats import without_repeats
+from lectern.llm.shingle_join import SQL as SQL_JOIN
 from lectern.llm.shingle_join import shingle_join
 from lectern.llm.token_counts import token_counts
 from lectern.llm.urls import Rule, filter_urls
@@ -98,7 +99,7 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(rows, rows.filter("vec_id % 20 = 0"))
 
 
-@query("op1_shingle_join")
+@query("op1_shingle_join", SQL_JOIN)
 def joined_shingles(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join(table(spark, folder, "documents"))
 

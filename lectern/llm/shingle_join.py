@@ -513,3 +513,28 @@ def one_of_each(
     once = rows.join(again, "key", "left_anti").select("row")
     first = rows.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(first).select("row.*")
+
+
+#: The components in SQL, by counting all shared n-grams of all pairs; for small tables.
+SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+         lambda x: x <> '') AS w
+  FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N_WORDS} THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - {N_WORDS - 2}), lambda i: array_to_string(w[i:i + {N_WORDS - 1}], ' ')) END) AS g
+  FROM words),
+sizes AS (SELECT words.doc_id, count(g) AS n FROM words LEFT JOIN grams USING (doc_id) GROUP BY words.doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= {PERCENT} * (p.n + q.n - count(*))),
+reach AS (
+  SELECT doc_id AS d, doc_id AS r FROM words
+  UNION SELECT reach.d, links.y FROM reach JOIN links ON links.x = reach.r)
+SELECT sizes.doc_id, n AS n_shingles, min(r) AS component_id
+FROM sizes JOIN reach ON d = sizes.doc_id GROUP BY sizes.doc_id, n
+"""
