@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lectern.llm.token_counts import SPLIT, byte_letters
 
@@ -35,6 +37,10 @@ POOL_TOKENS = 2_000_000
 STEP_TOKENS = 65_536
 #: Texts are handed on in batches of about this many tokens.
 OUT_TOKENS = 2_000_000
+#: Texts with so many white-space characters in a row are left to the tokenizer's own library:
+#: the faster one keeps a place to go back to for each, of which it allows a million.
+LONG_BLANK = 100_000
+BLANKS = re.compile(rf"(?<!\s)\s{{{LONG_BLANK}}}")
 
 
 @functools.cache
@@ -53,6 +59,21 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.cache
+def library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def token_ids(path: str, text: str) -> list[int]:
+    """The ids of any text; strings of special tokens count as that token."""
+    if len(text) < LONG_BLANK or not BLANKS.search(text):
+        try:
+            return encoding(path).encode(text, allowed_special="all")
+        except ValueError:  # beyond the limits of its patterns
+            pass
+    return library(path).encode(text, add_special_tokens=False).ids
+
+
 @dataclass(slots=True)
 class Piece:
     """``length`` ids of a document from ``start``."""
@@ -230,7 +251,6 @@ def pack(
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens, pool_tokens)
         key_arrow: pa.DataType | None = None
 
@@ -255,7 +275,7 @@ def pack(
             key_arrow = batch.schema.field(0).type
             keys = batch.column(0).to_pylist()
             for key, text in zip(keys, batch.column(1)):
-                ids = enc.encode(text.as_py() or "", allowed_special="all")
+                ids = token_ids(path, text.as_py() or "")
                 if packer.add(key, np.array([*ids, end_id], np.uint32)):
                     yield from out(False)
         if key_arrow is not None:

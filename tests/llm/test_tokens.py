@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lectern.llm.packing import TIERS, Piece, encoding, pack, pack_tails, power_cuts, step_groups
+from lectern.llm.packing import TIERS, Piece, encoding, pack, pack_tails, power_cuts, step_groups, token_ids
 from lectern.llm.token_counts import Counter, Merges, every_other, token_counts
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -85,6 +85,18 @@ def test_packing(docs, pool):
     check_pieces(pack(docs(rows), PATH, pool_tokens=pool).collect(), rows)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", " \t"])
+def test_long_white_space(blank):
+    for n in (99_999, 1_200_000):
+        text = "x" + blank * (n // len(blank)) + "y<|endoftext|>z"
+        assert token_ids(PATH, text) == ids(text)
+
+
+def test_packing_long_white_space(docs):
+    rows = [(1, "x" + " " * 1_000_500 + "y"), (2, "x" + "\n" * 1_200_000), (3, "a b")]
+    check_pieces(pack(docs(rows), PATH).collect(), rows)
+
+
 def test_packing_nothing(docs):
     assert pack(docs([]), PATH).collect() == []
     with pytest.raises(ValueError):
