@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.session import materialise
 
-#: Labelled URLs the trees are fitted to, at most; the choice is by hash.
+#: Distinct labelled URLs the trees are fitted to, at most; the choice is by hash.
 TRAIN_ROWS = 20_000
 TREES = 12
 DEPTH = 4
@@ -151,13 +151,35 @@ def assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
 
+def first_urls(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by hash of the URL."""
+    return rows.orderBy(F.xxhash64("url"), "url").limit(n)
+
+
+def training_sample(labelled: DataFrame, train_rows: int) -> DataFrame:
+    """``url, label`` and features of at most ``train_rows`` distinct URLs, the first of each
+    label by hash: half for each, and what one label leaves goes to the other."""
+
+    def distinct(label: int) -> DataFrame:
+        # Copies go before the shuffle, so a much-repeated URL is one row a task. Features
+        # follow from the URL, so any copy has them.
+        rows = labelled.filter(F.col("label") == label).groupBy("url").agg(*[F.first(f).alias(f) for f in FEATURES])
+        return first_urls(rows, train_rows).withColumn("label", F.lit(label).cast("double"))
+
+    rows = materialise(distinct(0).unionByName(distinct(1)), "url-candidates")
+    n, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if n <= train_rows:
+        return rows
+    of_1 = min(int(blocked), max(train_rows // 2, train_rows - (n - int(blocked))))
+    shares = [first_urls(rows.filter(F.col("label") == label), k) for label, k in ((0, train_rows - of_1), (1, of_1))]
+    return materialise(shares[0].unionByName(shares[1]), "url-training")
+
+
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> GBTClassificationModel | float:
-    """Boosted trees from ``url, label`` (0 or 1) and features: on at most ``train_rows`` of
-    them, the first by hash of the URL. With one class only, the share of label 1; with no
-    rows, 0."""
-    rows = labelled.filter("label IN (0, 1)").withColumn("order", F.xxhash64("url"))
-    rows = rows.orderBy("order", "url", *FEATURES).limit(train_rows)
-    rows = materialise(rows.select(F.col("label").cast("double").alias("label"), *FEATURES), "url-training")
+    """Boosted trees from ``url, label`` (0 or 1) and features: on at most ``train_rows``
+    distinct URLs, of each label the first by hash. Copies of a URL count once; under both
+    labels it counts for each. With one class only, the share of label 1; with no rows, 0."""
+    rows = training_sample(labelled, train_rows).select("label", *FEATURES)
     n, good = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or good in (0, n):
         return float(good or 0) / n if n else 0.0

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import urls
 from lectern.llm.urls import Rule, filter_urls
@@ -66,6 +67,31 @@ def test_trees_learn_from_labelled_urls(pages, spark):
     assert right >= 95
 
 
+def test_a_url_with_more_copies_than_the_sample_holds(pages, spark):
+    blocked = [f"http://x{i}-win.net/es/{i * 7919}/{i}?a={i}&b=2&c=3" for i in range(60)]
+    allowed = [f"https://site{i}.com/docs/page" for i in range(60)]
+    undecided = [f"https://site{i}.org/docs/page" for i in range(60)]
+    # The blocked URL whose hash comes first of all: its copies would fill the sample.
+    hashed = spark.createDataFrame([(u,) for u in blocked + allowed], "url string").orderBy(F.xxhash64("url"), "url")
+    hot = next(r["url"] for r in hashed.collect() if r["url"] in blocked)
+    allowed = [u for u in allowed if u in {r["url"] for r in hashed.filter(F.xxhash64("url") > F.xxhash64(F.lit(hot))).collect()}]
+    rows = pages([(i, u) for i, u in enumerate(blocked + allowed + undecided)])
+    copies = spark.range(urls.TRAIN_ROWS + 100).select(F.col("id").alias("page_id"), F.lit(hot).alias("url"))
+    got = filter_urls(rows.unionByName(copies, allowMissingColumns=True), RULES).filter("rule IS NULL").collect()
+    assert len(got) == 60 and sum(r["verdict"] == "allow" for r in got) >= 57
+
+
+def test_each_label_has_its_share(pages, spark):
+    few = [(f"http://bad{i}.biz/", 1) for i in range(5)]
+    many = [(f"http://good{i}.org/", 0) for i in range(200)]
+    labelled = spark.createDataFrame((few + many) * 2 + [(None, 0)], "url string, label int")
+    known = labelled.select("url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), "label")
+    rows = urls.training_sample(urls.featured(known), 50).collect()
+    assert len(rows) == len({r["url"] for r in rows}) == 50 and sum(r["label"] for r in rows) == 5
+    rows = urls.training_sample(urls.featured(known), 1000).collect()
+    assert len(rows) == 206
+
+
 def test_empty(pages):
     assert filter_urls(pages([]), RULES).collect() == []
     alone = filter_urls(pages([(1, "http://a.org/")]), RULES).collect()
