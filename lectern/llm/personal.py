@@ -159,9 +159,9 @@ _SEEN = "".join(map(re.escape, [*LOOKALIKES, *MARKS, *INVISIBLE])) + "！-～" +
 CHARACTER = re.compile(f"[{_SEEN}]")
 HIDDEN = re.compile(f"[{INVISIBLE}]+")
 # What most texts lack, as quick tests ahead of the costlier patterns.
-BEYOND_LATIN = re.compile("[\u00a0\u00ad\u00b7\u0370-\U0010ffff]")
+BEYOND_LATIN = re.compile("[\u00a0\u00ad\u00b7\u0261\u0370-\U0010ffff]")
 BRACKETED = re.compile(r"[\[({<]\s{0,3}(?:at|AT|At|@|dot|DOT|Dot|\.)\s{0,3}[\])}>]")
-COUNTING = re.compile(r"[ -](?:zero|two|three|four|five|six|seven|eight|nine)[ ,.-]", re.IGNORECASE)
+DOT_WORD = re.compile(r"\s(?:dot|DOT)\s")
 
 
 class Lookalikes(dict):
@@ -198,7 +198,10 @@ SPELLED = re.compile(
     rf"(?<![A-Za-z0-9])(?:plus[ -]{{0,2}}|\+ ?)?{_ONE}(?:(?:,? |[-.,]| ?(?:dot|point) )?{_ONE})++(?![A-Za-z])", re.IGNORECASE
 )
 SPELLED_PART = re.compile(rf"plus|\+|dot|point|\.|double|triple|{_DIGIT}|[0-9]", re.IGNORECASE)
-HAS_SPELLED = re.compile(rf"\b(?:{_DIGIT})[ ,.-]{{1,2}}(?:dot |point |double |triple )?(?:{_DIGIT}|[0-9])", re.IGNORECASE)
+# Two neighbours of a run in a lower-cased text, and letters that a pattern without case takes
+# for an "i" or "s" but ``lower`` doesn't.
+HAS_SPELLED = re.compile(rf"(?:{_DIGIT})(?:,? |[-.,]| ?(?:dot|point) )?{_ONE}")
+ODD_CASE = re.compile("[\u0130\u0131\u017f]")
 
 
 def signs(text: str) -> list[tuple[int, int, str]]:
@@ -259,12 +262,13 @@ def numbers(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguised(text: str) -> bool:
+    """Whether a transducer may change the text: true for every text that one does change."""
     return bool(
         (BEYOND_LATIN.search(text) and CHARACTER.search(text))
         or BRACKETED.search(text)
-        or " dot " in text
-        or " DOT " in text
-        or (COUNTING.search(text) and HAS_SPELLED.search(text))
+        or (("dot" in text or "DOT" in text) and DOT_WORD.search(text))
+        or HAS_SPELLED.search(text.lower())
+        or (not text.isascii() and ODD_CASE.search(text))
     )
 
 

@@ -1,9 +1,10 @@
 import random
+import sys
 import time
 
 import pytest
 
-from lectern.llm.personal import find_personal, plain, redact, redacted, spans
+from lectern.llm.personal import INVISIBLE, disguised, find_personal, lookalike, plain, redact, redacted, spans, unmasked
 from tests.llm import brute
 
 DISGUISED = [
@@ -61,3 +62,42 @@ def test_table(docs):
     texts = docs(rows).select(redacted("text").alias("t")).collect()
     assert sorted(str(r["t"]) for r in texts) == sorted(str(redact(t)) for _, t in rows)
     assert "[EMAIL] [IP]" in [r["t"] for r in texts]
+
+
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("write john at example\ndot com now", "email", "john at example\ndot com"),
+        ("write john at example\tdot\tcom now", "email", "john at example\tdot\tcom"),
+        ("four,one,five,five,five,two,six,seven,one,nine", "phone", "four,one,five,five,five,two,six,seven,one,nine"),
+        ("x_fouronefivefivefivetwosixsevenonenine", "phone", "fouronefivefivefivetwosixsevenonenine"),
+        ("jo\u0261@a.com", "email", "jo\u0261@a.com"),
+    ],
+)
+def test_disguises_the_gate_must_let_through(text, kind, part):
+    at = text.index(part)
+    assert spans(text) == [(kind, at, at + len(part), False)]
+
+
+def test_the_gate_lets_all_stand_ins_through():
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if lookalike(c) != c or c in INVISIBLE:
+            assert disguised(c), hex(ord(c))
+
+
+def test_spans_with_and_without_the_gate_agree():
+    rng = random.Random(5)
+    words = (
+        "john at AT dot DOT [at] (dot) example com co.uk zero one two three four FIVE six seven Eight nine oh 1 55 double "
+        "triple plus + point \u0261 \u017fix f\u0131ve a@b \u00e9 _"
+    ).split()
+    marks = [" ", " ", " ", "", ",", ", ", "-", ".", "\n", "\t", "  "]
+    found = 0
+    for _ in range(30_000):
+        kinds = rng.choice([words, words[:9], words[9:26]])
+        some = rng.choice([marks, marks[:3], ["\n", " "], [","]])
+        text = "".join(rng.choice(kinds) + rng.choice(some) for _ in range(rng.randint(4, 16)))
+        more = unmasked(text, plain(text))
+        found += bool(more)
+        assert disguised(text) or not more, text
+    assert found > 300
