@@ -1,10 +1,11 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-Symbols are words, long ones cut into pieces. A window of symbols is a closed syncmer when
-its smallest symbol, by hash, lies at its first or last place. That depends on the window
-alone, so the same passage gives the same anchors wherever it stands, and an edit changes
-only the anchors whose windows it touches. An anchor is kept as the distance to the anchor
-before it and the hash of its window, so a fingerprint also tells where its anchors are.
+Symbols are words, and all overlapping pieces of a long run without white space. A window of
+symbols is a closed syncmer when its smallest symbol, by hash, lies at its first or last place.
+That depends on the window alone, so the same passage gives the same anchors wherever it stands,
+and an edit changes only the anchors whose windows it touches. An anchor is kept as the distance
+to the anchor before it and the hash of its window, so a fingerprint also tells where its anchors
+are. Texts of few symbols have fine anchors too, from short pieces of code points.
 """
 
 from __future__ import annotations
@@ -17,42 +18,89 @@ from lectern.session import materialise
 
 #: Symbols of a window.
 WINDOW = 8
-#: Longest symbol, in code points.
+#: Longest word that is one symbol, in code points, and the pieces of longer ones.
 SYMBOL = 32
+PIECE = 8
+#: Texts of fewer symbols than this many windows have fine anchors; the length of their pieces,
+#: and the pieces of a window.
+FEW = 8
+FINE_PIECE = 4
+FINE_WINDOW = 4
+#: Code points from which on the first half of a text is sure to hold a fine anchor.
+FINE_FROM = 18
 #: Rows between which the next document is looked for in one group.
 GROUP_ROWS = 1024
 
 _LOW = (1 << 32) - 1
+#: Marks a fine anchor, so these are negative.
+_FINE = -(1 << 63)
+
+
+def runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+
+def pieces(text: Column, length: int) -> Column:
+    """All overlapping pieces, without those equal to the one before: a character repeated over
+    and over is one piece."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{length}}}))."), F.lit(1))
+    return bind(found, lambda p: F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))))
 
 
 def symbols(text: Column, longest: int = SYMBOL) -> Column:
-    pattern = rf"[^\x20\x09-\x0D]{{1,{longest}}}"
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    def cut(word: Column) -> Column:
+        return F.when(F.char_length(word) <= longest, F.array(word)).otherwise(pieces(word, PIECE))
+
+    has_long = F.coalesce(text, F.lit("")).rlike(rf"[^\x20\x09-\x0D]{{{longest + 1}}}")
+    return F.when(has_long, F.flatten(F.transform(runs(text), cut))).otherwise(runs(text))
+
+
+def hashes(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(w))
+
+
+def closed(h: Column, window: int) -> Column:
+    """The anchors of hashed symbols; fewer than a window have none."""
+    n = F.size(h)
+    places = F.filter(
+        F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1))),
+        lambda i: F.least(F.get(h, i - 1), F.get(h, i + (window - 2))) == F.array_min(F.slice(h, i, window)),
+    )
+    return F.when(n < window, F.array().cast("array<long>")).otherwise(
+        bind(
+            places,
+            lambda p: F.transform(
+                p,
+                lambda i, j: packed(i - F.coalesce(F.get(p, j - 1), F.lit(0)), F.xxhash64(F.slice(h, i, window))),
+            ),
+        )
+    )
 
 
 def anchors(text: Column, window: int = WINDOW) -> Column:
     """The anchors of a text as 64-bit numbers: distance in the high half, hash in the low.
 
-    A text shorter than a window is one anchor as a whole; one without words has none.
+    A text of fewer than ``FEW`` windows of symbols has fine anchors behind these, as negative
+    numbers. One too short for either, under ``FINE_FROM`` code points or of one character
+    repeated, is one anchor as a whole; one without words has none.
     """
+    none = F.array().cast("array<long>")
+    spaced = F.array_join(runs(text), " ")
+
+    def fine() -> Column:
+        found = bind(hashes(pieces(spaced, FINE_PIECE)), lambda h: closed(h, FINE_WINDOW))
+        marked = F.transform(found, lambda a: a.bitwiseOR(F.lit(_FINE)))
+        return F.when(F.char_length(spaced) < FINE_FROM, none).otherwise(marked)
 
     def found(h: Column) -> Column:
         n = F.size(h)
-        places = F.filter(
-            F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1))),
-            lambda i: F.least(F.get(h, i - 1), F.get(h, i + (window - 2))) == F.array_min(F.slice(h, i, window)),
-        )
-        return F.when(n == 0, F.array().cast("array<long>")).when(n < window, F.array(packed(F.lit(1), F.xxhash64(h)))).otherwise(
-            bind(
-                places,
-                lambda p: F.transform(
-                    p,
-                    lambda i, j: packed(i - F.coalesce(F.get(p, j - 1), F.lit(0)), F.xxhash64(F.slice(h, i, window))),
-                ),
-            )
+        few = bind(
+            F.concat(closed(h, window), fine()),
+            lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(packed(F.lit(1), F.xxhash64(spaced)))),
         )
+        return F.when(n == 0, none).when(n < FEW * window, few).otherwise(closed(h, window))
 
-    return bind(F.transform(symbols(text), lambda w: F.xxhash64(w)), found)
+    return bind(hashes(symbols(text)), found)
 
 
 def packed(distance: Column, hashed: Column) -> Column:
@@ -65,10 +113,24 @@ def written(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the distinct anchors that both have, over those of each; 1 for two without any."""
-    both = F.size(F.array_intersect(a, b))
-    each = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(each == 0, F.lit(1.0)).otherwise(2.0 * both / each)
+    """Twice the distinct anchors that both have, over those of each; 1 for two without any.
+    By fine anchors where both texts have some, else by the others."""
+
+    def has_fine(x: Column) -> Column:
+        return F.coalesce(F.get(x, F.size(x) - 1) < 0, F.lit(False))
+
+    def coarse(x: Column) -> Column:
+        return F.when(has_fine(x), F.filter(x, lambda v: v >= 0)).otherwise(x)
+
+    def share(x: Column, y: Column) -> Column:
+        each = F.size(F.array_distinct(x)) + F.size(F.array_distinct(y))
+        return F.when(each == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / each)
+
+    return (
+        F.when(F.size(a) + F.size(b) == 0, F.lit(1.0))
+        .when(has_fine(a) & has_fine(b), share(F.filter(a, lambda v: v < 0), F.filter(b, lambda v: v < 0)))
+        .otherwise(share(coarse(a), coarse(b)))
+    )
 
 
 def fingerprints(

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.llm.fingerprints import WINDOW, anchors, edited_fingerprints, fingerprints, written
+from lectern.llm.fingerprints import WINDOW, anchors, edited_fingerprints, fingerprints, likeness, written
 
 
 def words(rng, n):
@@ -69,6 +69,43 @@ def test_the_same_passage_gives_the_same_anchors(spark, docs):
     assert set(b) <= set(a) and len(b) > 10
 
 
+def alike(spark, pairs):
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    frame = frame.select("i", anchors(frame.a).alias("a"), anchors(frame.b).alias("b"))
+    return [r[1] for r in sorted(frame.select("i", likeness(F.col("a"), F.col("b"))).collect())]
+
+
+def test_shifted_texts_without_white_space(spark, docs):
+    rng = random.Random(5)
+    letters = ["".join(map(chr, range(0x4E00, 0x5200))), "abcdefghijABCDEFGHIJ0123456789+/", "\U0001f600\U0001f601\U0001f602a"]
+    pairs = []
+    for alphabet in letters:
+        for n in (40, 100, 256, 3000):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            pairs += [(text, alphabet[k] * k + text) for k in (1, 3)]
+    got = alike(spark, pairs)
+    assert all(x > 0.6 for x in got) and all(x > 0.95 for x, (a, _) in zip(got, pairs) if len(a) == 3000)
+
+
+def test_few_words_and_short_runs_keep_their_half(docs):
+    rng = random.Random(6)
+    rows = [(i, words(rng, n)) for i, n in enumerate(list(range(4, 21)) * 3)]
+    rows += [(1000 + n, "".join(rng.choice("abcdefghij") for _ in range(n))) for n in range(24, 257, 8)]
+    got = edited_fingerprints(docs(rows)).collect()
+    assert len(got) == len(rows)
+    assert [r["doc_id"] for r in got if not 0 < r["near_edited"] < 1] == []
+
+
+def test_near_copies_over_the_bounds_of_few_symbols(spark, docs):
+    rng = random.Random(7)
+    pairs = []
+    for n in (6, 7, 8, 30, 60, 63, 64, 65):
+        text = words(rng, n)
+        pairs.append((text, text + " " + words(rng, 2)))
+    assert all(x > 0.5 for x in alike(spark, pairs))
+    assert alike(spark, [("", words(rng, 5)), ("", None), ("y" * 100, "y" * 90)]) == [0.0, 1.0, 0.0]
+
+
 def test_native(docs):
     frame = edited_fingerprints(docs([(1, "a b")])).select(written(F.col("anchors")))
     plan = frame._jdf.queryExecution().executedPlan().toString()
