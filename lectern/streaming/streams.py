@@ -89,10 +89,10 @@ def stream_sessions(
     """The session replay with state per session: segment, slide index, last explanation.
 
     Rows of a micro-batch are put in event order, so the result equals the batch replay as
-    long as arrival follows event time. Rows later than the watermark are dropped, and a
-    session idle for ``idle_ms`` of event time is forgotten. A session's rows of one
-    micro-batch are in memory at once, so the source should bound its micro-batches
-    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+    long as arrival follows event time. Rows later than the watermark are left
+    out, for ``late_rows`` to find, and a session idle for ``idle_ms`` of event time is
+    forgotten, so it starts again from segment 0. A session's rows of one micro-batch
+    are in memory at once, so the source should bound its micro-batches (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
     """
 
     def advance(
@@ -125,6 +125,15 @@ def stream_sessions(
     return replayed.withColumn("message", F.nullif("message", F.lit("")))
 
 
+def late_rows(log: DataFrame, replayed: DataFrame) -> DataFrame:
+    """The rows of ``log`` that the session stream left out, as they came, once it has taken all
+    of ``log``; ``replayed`` is what it wrote. Both are batch frames, and a row is known by its
+    ``session, ts, id``."""
+    seen = replayed.select(*[F.col(c).alias(f"seen_{c}") for c in ("session", "ts", "id")])
+    same = [F.col(c).eqNullSafe(F.col(f"seen_{c}")) for c in ("session", "ts", "id")]
+    return log.join(seen, same, "left_anti")
+
+
 def _first_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = zip(*(batch.column(c).to_pylist() for c in IMAGE_KEY))

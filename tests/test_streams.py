@@ -78,6 +78,21 @@ def test_late_rows_are_dropped_and_idle_sessions_forgotten(spark, tmp_path):
     assert got == {1: (1, 0), 2: (1, 1), 3: (0, 1), 4: (0, 2), 6: (0, 1)}
 
 
+def test_late_rows_are_found_again(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    hours = dt.timedelta(hours=1)
+    schema = "session string, ts timestamp, id long, action string, response string"
+    folder, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for at, key in ((0, 1), (50, 2), (50, 3), (0, 4)):
+        row = ("a", start + at * hours, key, "next", f"r{key}")
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+    df = spark.read.schema(schema).parquet(folder)
+    run(streams.write_stream(streams.stream_sessions(stream_of(spark, df, folder), 9), out))
+    replayed = spark.read.schema(streams.SESSION_OUTPUT).parquet(f"{out}/rows")
+    assert sorted(r["id"] for r in replayed.collect()) == [1, 2, 3]
+    assert [tuple(r) for r in streams.late_rows(df, replayed).collect()] == [("a", start, 4, "next", "r4")]
+
+
 def test_images_once_across_batches(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     images = [("d", "x", start), ("d", "x", start), ("e", "x", start), ("d", "y", start)]
