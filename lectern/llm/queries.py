@@ -18,6 +18,8 @@ from lectern.llm.repeats import without_repeats
 from lectern.llm.shingle_join import SQL as SQL_JOIN
 from lectern.llm.shingle_join import shingle_join
 from lectern.llm.token_counts import token_counts
+from lectern.llm.top_k import SQL as SQL_TOP
+from lectern.llm.top_k import top_k
 from lectern.llm.urls import Rule, filter_urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -114,3 +116,9 @@ def repeats(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op13_top_k", SQL_TOP)
+def exact_top(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return top_k(rows, rows.filter("vec_id % 100 = 0"))
