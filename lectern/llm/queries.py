@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.alignment import align_tokens, with_link_counts
 from lectern.llm.fingerprints import edited_fingerprints, written
 from lectern.llm.mixing import SQL as SQL_MIX
 from lectern.llm.mixing import mix
@@ -23,6 +24,7 @@ from lectern.llm.top_k import top_k
 from lectern.llm.urls import Rule, filter_urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query("op5_packing")
@@ -122,3 +124,11 @@ def repeats(spark: SparkSession, folder: str) -> DataFrame:
 def exact_top(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return top_k(rows, rows.filter("vec_id % 100 = 0"))
+
+
+@query("op12_alignment")
+def alignment(spark: SparkSession, folder: str) -> DataFrame:
+    rows = align_tokens(table(spark, folder, "documents"), VOCABULARY, PIECES)
+    hashed = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    rows = rows.withColumn("groups_sha256", hashed).drop("groups")
+    return with_link_counts(rows, VOCABULARY, PIECES)
