@@ -13,6 +13,8 @@ from lectern.llm.mixing import mix
 from lectern.llm.neighbours import nearest
 from lectern.llm.packing import pack
 from lectern.llm.personal import KINDS, find_personal, span_list
+from lectern.llm.prefix_trie import SQL as SQL_TRIE
+from lectern.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt
 from lectern.llm.quality import quality
 from lectern.llm.registry import query, table
 from lectern.llm.repeats import without_repeats
@@ -132,3 +134,9 @@ def alignment(spark: SparkSession, folder: str) -> DataFrame:
     hashed = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
     rows = rows.withColumn("groups_sha256", hashed).drop("groups")
     return with_link_counts(rows, VOCABULARY, PIECES)
+
+
+@query("op11_prefix_trie", SQL_TRIE)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = numbered_turns(table(spark, folder, "conversations"))
+    return prefix_trie(*rebuilt(turns)).drop("node", "parent")
