@@ -276,7 +276,6 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "navigate",
     with_inputs("steps", "SELECT session, id, CAST(slide_idx AS BIGINT) AS slide_idx FROM steps"),
-    workers=True,
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.navigate(inputs.session_log(spark, folder), TOTAL).drop("ts")
@@ -300,24 +299,24 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 REPLAYED = "session", "id", "action", "segment", "slide_idx", "last_explanation", "message"
 
 
-@query("session_replay", with_inputs("gated steps", REPLAY), workers=True)
+@query("session_replay", with_inputs("gated steps", REPLAY))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.replay(inputs.session_log(spark, folder), TOTAL).select(*REPLAYED)
 
 
-@query("session_replay_in_chunks", with_inputs("gated steps", REPLAY), workers=True)
+@query("session_replay_in_chunks", with_inputs("gated steps", REPLAY))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     """The replay with sessions cut into chunks, as for a log whose sessions are too large."""
     log = inputs.session_log(spark, folder)
     return sessions.replay(log, TOTAL, chunk_seconds=3600).select(*REPLAYED)
 
 
-@query("chat_history", with_inputs("gated steps", HISTORY), workers=True)
+@query("chat_history", with_inputs("gated steps", HISTORY))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.chat_history(inputs.session_log(spark, folder), TOTAL)
 
 
-@query("chat_history_in_chunks", with_inputs("gated steps", HISTORY), workers=True)
+@query("chat_history_in_chunks", with_inputs("gated steps", HISTORY))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.chat_history(inputs.session_log(spark, folder), TOTAL, chunk_seconds=3600)
 

@@ -11,13 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.functions.text import or_empty
-from lectern.operators.ordered import (
-    Ordered,
-    ordered,
-    running_clamp,
-    running_last,
-    running_sum,
-)
+from lectern.operators.ordered import FAR, Clamp, Last, Ordered, Sum, ordered, running
 
 GROUP, ORDER = ["session"], ["ts", "id"]
 # A chunk is a stretch of time of one session; lower it for sessions with more rows than that
@@ -35,47 +29,52 @@ def _log(log: DataFrame, chunk_seconds: int) -> Ordered:
     return ordered(log, GROUP, ORDER, F.floor(F.unix_seconds("ts") / chunk_seconds))
 
 
-def _segments(rows: Ordered) -> Ordered:
-    return running_sum(rows, "segment", F.when(_is("upload"), 1).otherwise(0).cast("long"))
+def _segment() -> Sum:
+    return Sum(F.when(_is("upload"), 1).otherwise(0).cast("long"))
 
 
-def _explained(rows: Ordered) -> Ordered:
-    """An upload clears the last explanation; an explanation needs a deck."""
-    explained = _is("explain") & (F.col("segment") > 0)
-    value = F.when(_is("upload"), "").when(explained, or_empty("response"))
-    rows = running_last(_segments(rows), "last_explanation", value, before=True)
-    return rows.add("last_explanation", or_empty("last_explanation"))
+def _seen() -> Last:
+    """The latest explanation ahead of a row; an upload clears it."""
+    return Last(F.when(_is("upload"), "").when(_is("explain"), or_empty("response")), before=True)
 
 
-def _gated(rows: Ordered) -> Ordered:
+def _slide_idx(total: Column | int) -> Clamp:
+    total = F.lit(total) if isinstance(total, int) else total
+    shift = F.when(_is("next"), 1).when(_is("prev"), -1).otherwise(0)
+    top = F.greatest(total - 1, F.lit(0))
+    # An upload goes back to the first slide.
+    return Clamp(shift, F.lit(0), F.when(_is("upload"), 0).otherwise(top))
+
+
+def _entry() -> Clamp:
+    """Entries since the last upload."""
+    return Clamp(F.when(_is(*fixed.ACTION_LABELS), 1).otherwise(0), F.lit(0), F.when(_is("upload"), 0).otherwise(FAR))
+
+
+def _gated(rows: Ordered) -> DataFrame:
+    """``last_explanation`` and ``message``, for rows with ``segment`` and ``_seen``; what was
+    explained without a deck doesn't count."""
+    without = F.col("segment") == F.when(_is("upload"), 1).otherwise(0)
+    df = rows.df.withColumn("last_explanation", F.when(without, "").otherwise(or_empty("_seen")))
     message = F.when(_is("explain") & (F.col("segment") == 0), fixed.UPLOAD_FIRST).when(
         _is(*FOLLOW_UPS) & (F.col("last_explanation") == ""), fixed.EXPLAIN_FIRST
     )
-    return _explained(rows).add("message", message)
+    return df.withColumn("message", message).drop("chunk", "_seen")
 
 
 def deck_segments(log: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """``segment``: uploads of the session so far; every upload starts a new one."""
-    return _segments(_log(log, chunk_seconds)).df.drop("chunk")
+    return running(_log(log, chunk_seconds), segment=_segment()).df.drop("chunk")
 
 
 def last_explanation(log: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """The latest explanation ahead of each row in its segment, "" when there is none."""
-    return _explained(_log(log, chunk_seconds)).df.drop("chunk")
+    return gate_actions(log, chunk_seconds).drop("message")
 
 
 def gate_actions(log: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """``message``: what to do first, for actions whose condition is not met; else null."""
-    return _gated(_log(log, chunk_seconds)).df.drop("chunk")
-
-
-def _navigated(rows: Ordered, total: Column | int) -> Ordered:
-    total = F.lit(total) if isinstance(total, int) else total
-    shift = F.when(_is("next"), 1).when(_is("prev"), -1).otherwise(0)
-    top = F.greatest(total - 1, F.lit(0))
-    # An upload goes back to the first slide.
-    hi = F.when(_is("upload"), 0).otherwise(top)
-    return running_clamp(rows, "slide_idx", shift, F.lit(0), hi)
+    return _gated(running(_log(log, chunk_seconds), segment=_segment(), _seen=_seen()))
 
 
 def navigate(log: DataFrame, total: Column | int, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
@@ -83,13 +82,14 @@ def navigate(log: DataFrame, total: Column | int, chunk_seconds: int = CHUNK_SEC
     of the log, when decks differ)."""
     count = F.lit(total) if isinstance(total, int) else total
     narrow = log.select("session", "ts", "id", "action", count.alias("_total"))
-    rows = _navigated(_log(narrow, chunk_seconds), F.col("_total"))
+    rows = running(_log(narrow, chunk_seconds), slide_idx=_slide_idx(F.col("_total")))
     return rows.df.select("session", "ts", "id", "slide_idx")
 
 
 def replay(log: DataFrame, total: Column | int, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Segment, slide index, last explanation and gate message of every action."""
-    return _navigated(_gated(_log(log, chunk_seconds)), total).df.drop("chunk")
+    rows = _log(log, chunk_seconds)
+    return _gated(running(rows, segment=_segment(), _seen=_seen(), slide_idx=_slide_idx(total)))
 
 
 def chat_history(log: DataFrame, total: Column | int, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
@@ -97,20 +97,19 @@ def chat_history(log: DataFrame, total: Column | int, chunk_seconds: int = CHUNK
 
     Entries stay rows, since a session may be of any length.
     """
-    entry = _is(*fixed.ACTION_LABELS)
-    gated = _gated(_log(log, chunk_seconds))
-    counted = running_sum(gated, "_upto", F.when(entry, 1).otherwise(0).cast("long"))
-    based = running_last(counted, "_base", F.when(_is("upload"), F.col("_upto")))
-    placed = _navigated(based, total)
+    rows = _log(log, chunk_seconds)
+    placed = _gated(
+        running(rows, segment=_segment(), _seen=_seen(), slide_idx=_slide_idx(total), entry=_entry())
+    )
     label = F.when(F.lit(False), "")
     for action, text in fixed.ACTION_LABELS.items():
         label = label.when(_is(action), text)
     explained = _is("explain") & F.col("message").isNull()
     slides = F.concat(F.lit(" slides ["), F.col("slide_idx").cast("string"), F.lit("]"))
-    return placed.df.filter(entry).select(
+    return placed.filter(_is(*fixed.ACTION_LABELS)).select(
         "session",
         "segment",
-        (F.col("_upto") - F.coalesce("_base", F.lit(0))).alias("entry"),
+        F.col("entry").cast("long").alias("entry"),
         F.concat(label, F.when(explained, slides).otherwise("")).alias("label"),
         F.coalesce("message", or_empty("response")).alias("reply"),
     )

@@ -112,3 +112,32 @@ def test_a_large_session_is_cut_by_time(spark):
 def test_empty_log(spark):
     empty = log(spark, ["next"]).limit(0)
     assert sessions.replay(empty, 5).count() == 0 and sessions.chat_history(empty, 5).count() == 0
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replay_stays_in_the_jvm_and_shuffles_rows_once(spark):
+    """Responses pass one exchange; what else is shuffled is steps and one row per chunk."""
+    df = log(spark, *random_sessions())
+    for frame in (sessions.navigate(df, 4), sessions.replay(df, 4), sessions.chat_history(df, 4)):
+        plan = physical(frame)
+        assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+    for frame in (sessions.replay(df, 4), sessions.chat_history(df, 4)):
+        formatted = frame._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+        nodes = [n for n in formatted.split("\n\n") if ") Exchange\n" in n]
+        inputs = [n.split("Input [")[1].split("\n")[0] for n in nodes]
+        assert sum(" response#" in f", {i}" for i in inputs) == 1, inputs
+
+
+def test_blocks_of_blocks(spark, monkeypatch):
+    """A chunk of many blocks, which are folded in blocks again."""
+    monkeypatch.setattr(ordered, "BLOCK", 4)
+    logs = random_sessions()
+    df = log(spark, *logs)
+    got = sessions.replay(df, 5).orderBy("session", "id").collect()
+    want = [(f"s{s}", step[2]) for s in sorted(range(len(logs)), key=lambda s: f"s{s}") for step in replay(logs[s], 5)]
+    assert [(r["session"], r["slide_idx"]) for r in got] == want
