@@ -384,14 +384,35 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         spark.readStream.schema(log.schema).option("maxFilesPerTrigger", "1").parquet(source)
     )
     replayed = streams.stream_sessions(stream, TOTAL, idle_ms=YEAR_MS)
-    streams.write_stream(replayed, out).awaitTermination()
-    return spark.read.schema(streams.SESSION_OUTPUT).parquet(f"{out}/rows").select(*REPLAYED)
+    streams.write_sessions(replayed, out).awaitTermination()
+    rows = spark.read.schema(streams.SESSION_OUTPUT).parquet(f"{out}/rows")
+    return rows.filter(F.col("sink") == streams.REPLAYED).select(*REPLAYED)
+
+
+@query(
+    "stream_late_actions",
+    """SELECT CAST(user_id AS VARCHAR) AS session, event_id AS id, props AS response FROM events
+       WHERE user_id % 2 = 1 AND ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM events WHERE user_id % 2 = 0)
+                                       - INTERVAL 1 HOUR""",
+    workers=True,
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second session arrives after the others: what is then behind the watermark."""
+    log = inputs.session_log(spark, folder)
+    source, out = fresh_path(spark, "log"), fresh_path(spark, "replayed")
+    for part in (0, 1):
+        log.filter(F.col("session").cast("long") % 2 == part).coalesce(1).write.mode("append").parquet(source)
+    stream = (
+        spark.readStream.schema(log.schema).option("maxFilesPerTrigger", "1").parquet(source)
+    )
+    streams.write_sessions(streams.stream_sessions(stream, TOTAL), out).awaitTermination()
+    rows = spark.read.schema(streams.SESSION_OUTPUT).parquet(f"{out}/rows")
+    return rows.filter(F.col("sink") == streams.LATE).select("session", "id", "response")
 
 
 @query(
     "stream_image_dedup",
     "SELECT DISTINCT lang AS deck, sha1(text) AS sha1 FROM documents",
-    workers=True,
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
     """Images arriving in stretches of time; what the first copy per deck and content leaves."""
@@ -402,5 +423,5 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     stream = (
         spark.readStream.schema(images.schema).option("maxFilesPerTrigger", "1").parquet(source)
     )
-    streams.write_stream(streams.stream_image_dedup(stream), out).awaitTermination()
+    streams.stream_image_dedup(stream, out).awaitTermination()
     return spark.read.schema(images.schema).parquet(f"{out}/rows").select("deck", "sha1")
