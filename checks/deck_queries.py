@@ -14,7 +14,7 @@ from lectern.functions.text import concept_topic, topic_of
 from lectern.operators import context, decks, hooks, quiz
 from lectern.plans import explain
 from lectern.session import fresh_path
-from lectern.sources.decks import export_images, ingest_decks, parse_decks, stage_decks
+from lectern.sources.decks import Decks, export_images, ingest_decks, parse_decks, read_decks, stage_decks, staged_rows
 
 # --- decks ---------------------------------------------------------------------------
 
@@ -131,16 +131,14 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return failed.select("deck", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
 
 
-@query(
-    "read_deck_files",
-    """SELECT 'deck' || (doc_id // 12) || CASE WHEN doc_id // 12 % 2 = 0 THEN '.pptx' ELSE '.PPTX' END AS deck,
+DECK_FILES = """SELECT 'deck' || (doc_id // 12) || CASE WHEN doc_id // 12 % 2 = 0 THEN '.pptx' ELSE '.PPTX' END AS deck,
               count(*) AS total_slides, count(*) FILTER (WHERE doc_id % 3 > 0) AS total_images
-       FROM documents GROUP BY doc_id // 12""",
-    workers=True,
-)
-def _(spark: SparkSession, folder: str) -> DataFrame:
+       FROM documents GROUP BY doc_id // 12"""
+
+
+def _deck_folder(spark: SparkSession, folder: str) -> str:
     """Decks as files in a folder, every second with an upper-case suffix, beside files that are
-    no decks; what is read from the folder."""
+    no decks."""
     files = deck_files(spark, folder)
     even = F.regexp_extract("path", "([0-9]+)$", 1).cast("int") % 2 == 0
     named = files.select(
@@ -151,11 +149,26 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     others = named.withColumn("image_path", F.concat("deck", F.lit(".txt")))
     out = fresh_path(spark, "deck-files")
     export_images(named.unionByName(others), out)
-    read = ingest_decks(spark, out)
+    return out
+
+
+def _deck_counts(read: Decks) -> DataFrame:
     summary = decks.deck_summary(read.slides, read.images)
     return summary.select(F.regexp_extract("deck", "([^/]+)$", 1).alias("deck"), "total_slides", "total_images")
 
 
+@query("read_deck_files", DECK_FILES, workers=True)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """What is read from a folder of files."""
+    return _deck_counts(ingest_decks(spark, _deck_folder(spark, folder)))
+
+
+@query("read_deck_files_in_shares", DECK_FILES, workers=True)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with nearly every file cut into shares, as large ones are."""
+    return _deck_counts(staged_rows(read_decks(spark, _deck_folder(spark, folder), piece_bytes=10_000)))
+
+
 STORED_PATH = "printf('slide%03d_%s.png', first_slide, sha1)"
 
 

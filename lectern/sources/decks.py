@@ -1,7 +1,7 @@
 """Slide decks (.pptx) as one row per slide.
 
-A deck is a zip archive, so one task opens it, and sees which of its pictures are copies of
-earlier ones; everything after the nested rows of a slide is relational
+A deck is a zip archive; the task that opens it, or its share of it, sees which of its pictures
+are copies of earlier ones. Everything after the nested rows of a slide is relational
 (``operators/decks.py``).
 """
 
@@ -13,19 +13,20 @@ import logging
 import posixpath
 import zipfile
 from collections.abc import Iterator
-from typing import Any, NamedTuple
+from typing import IO, Any, NamedTuple
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions.pictures import picture_size
 from lectern.operators.decks import deck_blobs, deck_images, quarantine, slides_with_images
+from lectern.operators.skew import join_per_key
 from lectern.schemas import DECK_ROW
 from lectern.session import fresh_path, materialise
+from lectern.sources.deck_source import PIECE_BYTES, DeckSource, batches, listed, reachable
 
 log = logging.getLogger(__name__)
 
@@ -38,11 +39,10 @@ NS = {
 }
 SIGNATURES = {"png": b"\x89PNG", "jpg": b"\xff\xd8", "gif": b"GIF8", "bmp": b"BM"}
 
-# Slides go to Spark in batches of this size.
-BATCH_SLIDES = 200
-BATCH_BYTES = 16 << 20
-# Larger files fit no binary column; they become error rows.
+# Larger files fit no binary column: given as content they become error rows, and pictures
+# are left out.
 MAX_DECK_BYTES = 2_000_000_000
+MAX_PICTURE_BYTES = 1_000_000_000
 LISTS = ("shapes", "tables", "pictures", "blobs")
 
 
@@ -124,6 +124,8 @@ def _picture(
         return None
     blip = node.find("p:blipFill/a:blip", NS)
     _, part = relations[blip.get(_name("r", "embed"))]
+    if archive.getinfo(part).file_size > MAX_PICTURE_BYTES:
+        raise ValueError(f"a picture of {archive.getinfo(part).file_size} bytes")
     blob = archive.read(part)
     by_suffix = posixpath.splitext(part)[1].lstrip(".").lower()
     known = (name for name, start in SIGNATURES.items() if blob.startswith(start))
@@ -192,28 +194,31 @@ def _slide(
     return row
 
 
-def _slides(path: str, content: bytes) -> Iterator[dict[str, Any]]:
-    """Slide rows of one deck. A slide that fails is empty and carries the error; a deck that
-    cannot be opened gives an error row each for its text and its images."""
+def slides_of(deck: str, file: IO[bytes], nth: int = 0, of: int = 1) -> Iterator[dict[str, Any]]:
+    """Slide rows of one deck, or of the ``nth`` of ``of`` shares of its slides. A slide that
+    fails is empty and carries the error; a deck that cannot be opened gives an error row
+    each for its text and its images, with the first share."""
     try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
+        archive = zipfile.ZipFile(file)
         main = "ppt/presentation.xml"
-        listed = ElementTree.fromstring(archive.read(main)).iterfind("p:sldIdLst/p:sldId", NS)
+        entries = ElementTree.fromstring(archive.read(main)).iterfind("p:sldIdLst/p:sldId", NS)
         relations = _relations(archive, main)
-        parts = [relations[entry.get(_name("r", "id"))][1] for entry in listed]
+        parts = [relations[entry.get(_name("r", "id"))][1] for entry in entries]
     except Exception as exc:
-        for reading in ("text", "image"):
-            yield {"deck": path, "error": f"{reading}_extraction_failed: {exc}"}
+        for reading in ("text", "image") if nth == 0 else ():
+            yield {"deck": deck, "error": f"{reading}_extraction_failed: {exc}"}
         return
     stored: dict[str, str] = {}
     for number, part in enumerate(parts, start=1):
+        if (number - 1) * of // len(parts) != nth:
+            continue
         try:
             seen = dict(stored)
             row = _slide(archive, part, number, seen)
             stored = seen
         except Exception as exc:
             row = {**{name: [] for name in LISTS}, "error": f"slide_failed: {exc}"}
-        yield {"deck": path, "slide_number": number, **row}
+        yield {"deck": deck, "slide_number": number, **row}
 
 
 def _too_large(files: DataFrame) -> DataFrame:
@@ -228,19 +233,11 @@ def _too_large(files: DataFrame) -> DataFrame:
 def parse_decks(files: DataFrame, max_bytes: int = MAX_DECK_BYTES) -> DataFrame:
     """Deck rows (``schemas.DECK_ROW``) from ``path, content``. With a column ``length``, files
     of more than ``max_bytes`` become error rows and are not opened."""
-    schema = to_arrow_schema(DECK_ROW)
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def parse(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
             for path, content in zip(batch["path"], batch["content"]):
-                held, size = [], 0
-                for row in _slides(path.as_py(), content.as_py()):
-                    held.append(row)
-                    size += sum(len(b) for b in row.get("blobs", []) if b)
-                    if size > BATCH_BYTES or len(held) == BATCH_SLIDES:
-                        yield pa.RecordBatch.from_pylist(held, schema=schema)
-                        held, size = [], 0
-                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                yield from batches(slides_of(path.as_py(), io.BytesIO(content.as_py())))
 
     if "length" not in files.columns:
         return files.select("path", "content").mapInArrow(parse, DECK_ROW)
@@ -259,8 +256,45 @@ def deck_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_decks(spark: SparkSession, path: str) -> DataFrame:
-    return parse_decks(deck_files(spark, path))
+def first_copies(rows: DataFrame) -> DataFrame:
+    """Deck rows whose pictures were compared within shares of a deck, compared within the
+    deck: each picture names the first copy, and only that one keeps its bytes."""
+    at = ["slide_number", "ordinal"]
+    pictures = rows.select("deck", "slide_number", F.inline("pictures")).select("deck", *at, "sha1", "image_path")
+    place = F.struct(*at, "image_path")
+    firsts = pictures.groupBy("deck", "sha1").agg(F.min(place).alias("first"))
+    known = join_per_key(pictures.drop("image_path"), firsts, ["deck", "sha1"])
+    own = (F.col("first.slide_number") == F.col("slide_number")) & (F.col("first.ordinal") == F.col("ordinal"))
+    copy = F.struct("ordinal", F.col("first.image_path").alias("image_path"), own.alias("own"))
+    slides = known.groupBy("deck", "slide_number").agg(F.sort_array(F.collect_list(copy)).alias("_copies"))
+    named = F.zip_with("pictures", "_copies", lambda p, c: p.withField("image_path", c["image_path"]))
+    kept = F.zip_with("blobs", "_copies", lambda b, c: F.when(c["own"], b))
+    found = F.col("_copies").isNotNull()
+    changed = {c: F.when(found, v).otherwise(F.col(c)) for c, v in (("pictures", named), ("blobs", kept))}
+    return rows.join(slides, ["deck", "slide_number"], "left").withColumns(changed).select(*DECK_ROW.names)
+
+
+def read_decks(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Deck rows of all decks at or below ``path``, of any size: files of more than
+    ``piece_bytes`` are read in shares by several tasks, whose rows are written once, to
+    compare pictures between shares.
+
+    Where Python cannot reach the path itself (``deck_source.reachable``), Spark hands over
+    whole files, and those that fit no column are error rows.
+    """
+    if not reachable(path):
+        return parse_decks(deck_files(spark, path))
+    spark.dataSource.register(DeckSource)
+
+    def load(which: str) -> DataFrame:
+        tasks = spark.sparkContext.defaultParallelism
+        reader = spark.read.format("decks").option("pieceBytes", piece_bytes).option("leastPartitions", tasks)
+        return reader.option("which", which).load(path)
+
+    rows = load("whole")
+    if any(f.size > piece_bytes for f in listed(path)):
+        rows = rows.unionByName(first_copies(materialise(load("cut"), "deck-shares")))
+    return rows
 
 
 class Decks(NamedTuple):
@@ -272,20 +306,24 @@ class Decks(NamedTuple):
     errors: DataFrame
 
 
-def stage_decks(files: DataFrame, path: str | None = None) -> Decks:
-    """Deck files parsed once into Parquet, at ``path`` or in the shared folder, and the
-    slides, images, image bytes and errors read from there (each with its own columns
-    only)."""
-    spark = files.sparkSession
+def staged_rows(rows: DataFrame, path: str | None = None) -> Decks:
+    """Deck rows written once as Parquet, at ``path`` or in the shared folder, and the slides,
+    images, image bytes and errors read from there (each with its own columns only)."""
+    spark = rows.sparkSession
     path = path or fresh_path(spark, "decks")
-    parse_decks(files).write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").parquet(path)
     rows = spark.read.schema(DECK_ROW).parquet(path)
     return Decks(slides_with_images(rows), deck_images(rows), deck_blobs(rows), quarantine(rows))
 
 
+def stage_decks(files: DataFrame, path: str | None = None) -> Decks:
+    """Deck files (``path, content``) parsed once."""
+    return staged_rows(parse_decks(files), path)
+
+
 def ingest_decks(spark: SparkSession, source: str, path: str | None = None) -> Decks:
     """All decks below ``source``."""
-    return stage_decks(deck_files(spark, source), path)
+    return staged_rows(read_decks(spark, source), path)
 
 
 def export_images(blobs: DataFrame, folder: str) -> DataFrame:

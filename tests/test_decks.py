@@ -1,4 +1,6 @@
 import hashlib
+import io
+import random
 import struct
 from pathlib import Path
 
@@ -8,7 +10,9 @@ from checks.deck_files import bmp, deck_bytes, gif, group, jpeg, picture, png, t
 from lectern.functions import fixed
 from lectern.functions.pictures import picture_size
 from lectern.operators import decks
-from lectern.sources.decks import deck_files, export_images, ingest_decks, parse_decks, read_decks
+from lectern.operators.decks import quarantine
+from lectern.sources.deck_source import Share, dealt
+from lectern.sources.decks import deck_files, export_images, ingest_decks, parse_decks, read_decks, slides_of
 
 PHOTO = png(120, 60)
 IMAGES = "deck string, slide_number int, ordinal int, image_path string"
@@ -196,3 +200,78 @@ def test_pictures_as_files(spark, tmp_path):
     files = export_images(staged.blobs, str(tmp_path / "pictures")).collect()
     stored = {(r["deck"], r["image_path"]): bytes(r["content"]) for r in staged.blobs.collect()}
     assert {(r["deck"], r["image_path"]): Path(r["file"]).read_bytes() for r in files} == stored
+
+
+def many_slides(n=40):
+    """Pictures repeat over the whole deck, so copies lie in different shares."""
+    return deck_bytes(
+        {
+            "shapes": [text_box("T", [[f"slide {i}"]]), picture("rA", "a"), picture("rB", "b")],
+            "media": [("rA", f"a{i % 7}.png", png(i % 7 + 1, 5)), ("rB", f"b{i}.gif", gif(i + 1, 3))],
+            "notes": f"note {i}",
+        }
+        if i != 11
+        else "<broken"
+        for i in range(n)
+    )
+
+
+def told_rows(rows):
+    return sorted((str(r.asDict(recursive=True)) for r in rows.collect()))
+
+
+def test_shares_of_a_deck_give_the_rows_of_the_whole(spark, tmp_path):
+    (tmp_path / "long.pptx").write_bytes(many_slides())
+    (tmp_path / ".hidden.pptx").write_bytes(many_slides(1))
+    (tmp_path / "_drafts").mkdir()
+    (tmp_path / "_drafts" / "x.pptx").write_bytes(many_slides(1))
+    folder = write_decks(tmp_path)
+    want = told_rows(parse_decks(deck_files(spark, folder)))
+    assert len(want) == 40 + 5 + 2
+    for piece in (300, 1_000, 4_000):
+        assert told_rows(read_decks(spark, folder, piece)) == want
+    assert told_rows(read_decks(spark, folder)) == told_rows(read_decks(spark, f"file://{folder}")) == want
+    assert told_rows(read_decks(spark, f"{folder}/[a-l]*")) == want
+
+
+def test_a_share_reads_only_its_slides(tmp_path):
+    """Bytes read from the file for one share of many."""
+    (tmp_path / "deck.pptx").write_bytes(deck_bytes({"shapes": [picture("r")], "media": [("r", f"m{i}.bin", random.Random(i).randbytes(50_000))]} for i in range(50)))
+
+    class Counting(io.FileIO):
+        taken = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.taken += len(data)
+            return data
+
+    size = (tmp_path / "deck.pptx").stat().st_size
+    with Counting(tmp_path / "deck.pptx") as file:
+        assert [r["slide_number"] for r in slides_of("d", file, 3, 10)] == [16, 17, 18, 19, 20]
+        assert file.taken < size / 5
+
+
+def test_a_deck_beyond_what_a_column_holds_is_read(spark, tmp_path):
+    """A file of 2.2 GB (a hole ahead of the archive, so it takes no disk) in shares."""
+    for folder in ("large", "small"):
+        (tmp_path / folder).mkdir()
+    with open(tmp_path / "large" / "huge.pptx", "wb") as out:
+        out.truncate(2_200_000_000)
+        out.seek(0, 2)
+        out.write(many_slides())
+    large = str(tmp_path / "large")
+    assert quarantine(parse_decks(deck_files(spark, large))).count() == 2
+    rows = read_decks(spark, large)
+    (tmp_path / "small" / "huge.pptx").write_bytes(many_slides())
+    want = parse_decks(deck_files(spark, str(tmp_path / "small")))
+    assert told_rows(by_deck(rows)) == told_rows(by_deck(want))
+
+
+def test_files_are_dealt_by_size():
+    files = [Share(f"{i}", size) for i, size in enumerate((10, 10, 250, 0, 90, 10))]
+    got = dealt(files, 100, 2)
+    assert [[(s.file, s.nth, s.of) for s in part] for part in got] == [
+        [("2", 0, 3)], [("2", 1, 3)], [("2", 2, 3)], [("0", 0, 1), ("1", 0, 1), ("3", 0, 1), ("4", 0, 1)], [("5", 0, 1)],
+    ]
+    assert dealt([], 100, 4) == [] and len(dealt([Share("a", 0)], 100, 4)) == 1
