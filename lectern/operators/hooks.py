@@ -8,13 +8,14 @@ and put them into few tasks."""
 
 from __future__ import annotations
 
+import functools
 import logging
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
@@ -35,21 +36,32 @@ Captioner = Callable[[list[Any]], list[str]]
 Generator = Callable[[list[dict[str, Any]]], list[str]]
 
 
-# A worker keeps this many models.
-MODELS_KEPT = 2
+# How many models a Python worker keeps, the latest ones; a session may set another number.
+MODELS_KEPT, KEPT = "spark.lectern.models.kept", 2
 _models: dict[str, Callable] = {}
+# A call adds at most so many files to a memo.
+MEMO_FILES = 16
 
 
-def _loaded(token: str, make: Callable[[], Callable]) -> Callable:
+def _loaded(token: str, make: Callable[[], Callable], kept: int) -> Callable:
     """The model of a hook, loaded on first use in this worker."""
-    if token not in _models:
+    if token in _models:
+        _models[token] = _models.pop(token)
+    else:
         model = make()
-        while len(_models) >= MODELS_KEPT:
+        while len(_models) >= kept:
             del _models[next(iter(_models))]
         _models[token] = model
     return _models[token]
 
 
+def _model(spark: SparkSession, make: Callable[[], Callable]) -> Callable[[], Callable]:
+    """What gives a hook's model in a worker."""
+    kept = max(1, int(spark.conf.get(MODELS_KEPT, str(KEPT))))
+    # A function of this module, so that workers share its models and get no copy.
+    return functools.partial(_loaded, uuid.uuid4().hex, make, kept)
+
+
 def spread(df: DataFrame, by: Sequence[str], tasks: int | None = None) -> DataFrame:
     """Rows hashed by (unique) columns over a fixed number of tasks."""
     count = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -95,7 +107,7 @@ def back_translate(
     """
     if make_translator is None:
         return df.limit(0).withColumn("mismatch", F.lit(False))
-    token = uuid.uuid4().hex
+    model = _model(df.sparkSession, make_translator)
 
     @F.pandas_udf("struct<text:string,ok:boolean>")
     def there_and_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -104,7 +116,7 @@ def back_translate(
             for at in range(0, len(texts), batch_size):
                 batch = texts.iloc[at : at + batch_size].tolist()
                 try:
-                    translate = _loaded(token, make_translator)
+                    translate = model()
                     back = translate(translate(batch, "en", pivot), pivot, "en")
                     if len(back) != len(batch):
                         raise ValueError("as many texts must come back as went in")
@@ -126,27 +138,43 @@ def back_translate(
     return replace_first_assistant(translated, F.col("_back.text")).drop("_back")
 
 
+def known_captions(spark: SparkSession, memo: str) -> DataFrame:
+    """``key, caption`` of a memo, one row per key. Runs at the same time may both have asked
+    for a picture; then either answer is kept."""
+    schema = "key string, caption string"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(memo)
+    return spark.read.schema(schema).parquet(memo).groupBy("key").agg(F.min("caption").alias("caption"))
+
+
 def caption_images(
     images: DataFrame,
     make_captioner: Callable[[], Captioner],
     batch_size: int = 16,
     tasks: int | None = None,
     blobs: DataFrame | None = None,
+    memo: str | None = None,
+    key: str = "image_path",
 ) -> DataFrame:
-    """``caption`` for each image with a path; each distinct path is captioned once.
+    """``caption`` for each image with a path; each distinct ``key`` is captioned once. A column
+    with the content's hash (``sha1``) as key also finds copies under other paths.
 
     With ``blobs`` (``deck, image_path, content``) the captioner gets (path, bytes) of the
-    stored picture, one deck's copy per path, as a path names its content; else paths.
+    stored picture, of one deck's copy per key; else paths.
+
+    ``memo``, a folder that all executors reach, keeps captions by key between calls: pictures
+    it knows are not sent again, and what is captioned is added to it, failures aside. Keys
+    should then name contents, as hashes do.
 
-    The captions are written to the shared folder, so that the model runs once, and join
-    back to the images whatever share of them one path has. A failure gives a placeholder.
+    The captions are written, so that the model runs once, and join back to the images
+    whatever share of them one key has. A failure gives a placeholder.
     """
-    token, with_bytes = uuid.uuid4().hex, blobs is not None
+    spark, with_bytes = images.sparkSession, blobs is not None
+    model = _model(spark, make_captioner)
 
-    @F.pandas_udf("string")
-    def captions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<caption:string,failed:boolean>")
+    def captions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def call(pictures: list[Any]) -> list[str]:
-            return _loaded(token, make_captioner)(pictures)
+            return model()(pictures)
 
         for pdf in batches:
             out = []
@@ -156,23 +184,33 @@ def caption_images(
             for path, (caption, error) in zip(paths, answers):
                 if error:
                     log.warning("no caption for %s: %s", path, error)
-                out.append(fixed.NO_CAPTION if error else caption)
-            yield pd.Series(out, dtype="object")
+                out.append((fixed.NO_CAPTION if error else caption, error is not None))
+            yield pd.DataFrame(out, columns=["caption", "failed"])
 
     # Images without a path have no key, and the join spreads them.
-    keyed = images.withColumn("_path", F.nullif("image_path", F.lit("")))
-    paths = keyed.filter(F.col("_path").isNotNull()).groupBy("_path")
-    per_path = paths.agg(F.min("deck").alias("_deck"))
+    path = F.nullif("image_path", F.lit(""))
+    keyed = images.withColumn("_key", F.when(path.isNotNull(), F.coalesce(F.col(key).cast("string"), path)))
+    per_key = keyed.filter(F.col("_key").isNotNull()).groupBy("_key")
+    per_key = per_key.agg(F.min(F.struct(F.col("image_path").alias("_path"), F.col("deck").alias("_deck"))).alias("_copy"))
+    per_key = per_key.select("_key", "_copy.*")
+    if memo is not None:
+        known = known_captions(spark, memo).select(F.col("key").alias("_key"), "caption")
+        per_key = per_key.join(known, "_key", "left_anti")
     content = F.lit(None).cast("binary")
     if blobs is not None:
         stored = blobs.select(F.col("deck").alias("_deck"), F.col("image_path").alias("_path"), "content")
-        per_path = per_path.join(stored, ["_deck", "_path"], "left")
+        per_key = per_key.join(stored, ["_deck", "_path"], "left")
         content = F.col("content")
     picture = F.struct(F.col("_path").alias("path"), content.alias("content"))
-    captioned = spread(per_path, ["_path"], tasks).select("_path", captions(picture).alias("caption"))
-    captioned = materialise(captioned, "captions")
-    joined = join_per_key(keyed, captioned, ["_path"])
-    return joined.drop("_path")
+    captioned = spread(per_key, ["_key"], tasks).select("_key", captions(picture).alias("_out"))
+    captioned = materialise(captioned.select("_key", "_out.*"), "captions")
+    found = captioned.select("_key", "caption")
+    if memo is not None:
+        # What is joined below is fixed ahead of the addition to the memo.
+        found = materialise(found.unionByName(known), "captions-known")
+        added = captioned.filter("NOT failed").select(F.col("_key").alias("key"), "caption")
+        added.coalesce(MEMO_FILES).write.mode("append").parquet(memo)
+    return join_per_key(keyed, found, ["_key"]).drop("_key")
 
 
 def text_as_messages(text: Column | str) -> Column:
@@ -199,12 +237,12 @@ def generate(
     error. Rows with null messages are not sent. The text is cut at the stops and stripped.
     With ``spread_by`` the rows are spread over tasks first.
     """
-    token = uuid.uuid4().hex
+    model = _model(df.sparkSession, make_generator)
 
     @F.pandas_udf("struct<text:string,error:string>")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def call(requests: list[dict[str, Any]]) -> list[str]:
-            return _loaded(token, make_generator)(requests)
+            return model()(requests)
 
         for pdf in batches:
             out = pd.DataFrame(None, index=pdf.index, columns=["text", "error"], dtype="object")

@@ -94,15 +94,20 @@ def explain_batch(
     max_tokens: int = MAX_TOKENS["explanation"],
     tasks: int | None = None,
     blobs: DataFrame | None = None,
+    memo: str | None = None,
 ) -> DataFrame:
     """One result row per deck: explanation, topic, slides used, settings, error.
 
     A deck without slides and a failing generation give a row with ``error``. With ``blobs``
-    the captioner gets the bytes of the pictures.
+    the captioner gets the bytes of the pictures. With ``memo``, captions are kept there by
+    the pictures' ``sha1`` and not asked for again.
     """
     captioned = None
     if images is not None and make_captioner is not None:
-        captioned = caption_images(images.filter(in_context(indices)), make_captioner, blobs=blobs)
+        key = "sha1" if memo else "image_path"
+        captioned = caption_images(
+            images.filter(in_context(indices)), make_captioner, blobs=blobs, memo=memo, key=key
+        )
     requests = deck_requests(decks, slides, indices, captioned)
     prompted = style_prompts(requests, style)
     sent = prompted.withColumn("messages", F.when(F.col("topic").isNotNull(), F.col("messages")))

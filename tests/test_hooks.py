@@ -68,6 +68,67 @@ def test_captions_once_per_path(spark, tmp_path):
         assert set(f.read().split()) == {"a", "b", "bad"}
 
 
+def test_a_second_run_asks_only_for_what_the_memo_lacks(spark, tmp_path):
+    """Captions by content, whatever the path; failures are tried again."""
+    calls, memo = tmp_path / "calls", str(tmp_path / "memo")
+
+    def captioner(fails):
+        name = str(calls)
+
+        def make():
+            def caption(pictures):
+                with open(name, "a") as f:
+                    f.write("".join(content.decode() + "\n" for _, content in pictures))
+                if fails and any(content == b"bad" for _, content in pictures):
+                    raise OSError("unreadable")
+                return [f"[{content.decode()}]" for _, content in pictures]
+
+            return caption
+
+        return make
+
+    rows = [("d", 1, "p1", "x", b"one"), ("e", 2, "p2", "x", b"one"), ("e", 3, "p3", "y", b"bad"), ("f", 1, "", None, None)]
+    schema = "deck string, slide_number int, image_path string, sha1 string, content binary"
+    images = spark.createDataFrame(rows, schema)
+
+    def captions(images, fails):
+        calls.write_text("")
+        found = hooks.caption_images(images.drop("content"), captioner(fails), blobs=images, memo=memo, key="sha1", batch_size=1)
+        return {(r["deck"], r["slide_number"]): r["caption"] for r in found.collect()}, sorted(calls.read_text().split())
+
+    want = {("d", 1): "[one]", ("e", 2): "[one]", ("e", 3): fixed.NO_CAPTION, ("f", 1): None}
+    assert captions(images, True) == (want, ["bad", "one"])
+    want["e", 3] = "[bad]"
+    assert captions(images, False) == (want, ["bad"])
+    assert captions(images, True) == (want, [])
+    more = images.unionByName(spark.createDataFrame([("g", 1, "p9", "z", b"new")], schema))
+    assert captions(more, True) == (want | {("g", 1): "[new]"}, ["new"])
+
+
+def test_a_worker_keeps_as_many_models_as_are_set(spark, monkeypatch):
+    monkeypatch.setattr(hooks, "_models", {})
+    loads = []
+
+    def model(name):
+        return hooks._model(spark, lambda: loads.append(name) or (lambda items: items))
+
+    spark.conf.set(hooks.MODELS_KEPT, "3")
+    try:
+        models = [model(n) for n in range(3)]
+        for _ in range(2):
+            for m in models:
+                m()
+        assert loads == [0, 1, 2] and len(hooks._models) == 3
+        models[0]()
+        model(3)()  # the one used longest ago goes
+        models[0]()
+        assert loads == [0, 1, 2, 3]
+        models[1]()
+        assert loads == [0, 1, 2, 3, 1]
+    finally:
+        spark.conf.unset(hooks.MODELS_KEPT)
+
+
 def test_captions_are_asked_for_once_each(spark, tmp_path):
     calls = str(tmp_path / "calls")
 
