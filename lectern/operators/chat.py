@@ -59,30 +59,38 @@ def _copy(m: Column, suffix: str = "") -> Column:
 
 
 def append_to_user_turns(
-    df: DataFrame, suffix: str, n: int, key: str = "key", seed: int | str = DEFAULT_SEED
+    df: DataFrame,
+    suffix: str,
+    n: int,
+    key: str = "key",
+    seed: int | str = DEFAULT_SEED,
+    chosen: Column | None = None,
 ) -> DataFrame:
-    """A sample of ``n`` records with ``suffix`` after every user message; a copy has no
-    ``record``."""
-    sampled = sample_n(df, n, key, seed).drop("record")
-    return sampled.withColumn("messages", F.transform("messages", lambda m: _copy(m, suffix)))
+    """A sample of ``n`` records, or those ``chosen`` is true for, with ``suffix`` after every
+    user message; a copy has no ``record``."""
+    sampled = sample_n(df, n, key, seed) if chosen is None else df.filter(chosen)
+    return sampled.drop("record").withColumn("messages", F.transform("messages", lambda m: _copy(m, suffix)))
+
+
+ANALOGY_SEED, EXAMPLES_SEED, STEPS_SEED = (f"{DEFAULT_SEED}-{kind}" for kind in ("analogy", "examples", "steps"))
 
 
 def augment_analogy(
-    df: DataFrame, n: int = 1000, key: str = "key", seed: int | str = f"{DEFAULT_SEED}-analogy"
+    df: DataFrame, n: int = 1000, key: str = "key", seed: int | str = ANALOGY_SEED, chosen: Column | None = None
 ) -> DataFrame:
-    return append_to_user_turns(df, fixed.ANALOGY_REQUEST, n, key, seed)
+    return append_to_user_turns(df, fixed.ANALOGY_REQUEST, n, key, seed, chosen)
 
 
 def augment_examples(
-    df: DataFrame, n: int = 1000, key: str = "key", seed: int | str = f"{DEFAULT_SEED}-examples"
+    df: DataFrame, n: int = 1000, key: str = "key", seed: int | str = EXAMPLES_SEED, chosen: Column | None = None
 ) -> DataFrame:
-    return append_to_user_turns(df, fixed.EXAMPLES_REQUEST, n, key, seed)
+    return append_to_user_turns(df, fixed.EXAMPLES_REQUEST, n, key, seed, chosen)
 
 
 def augment_steps(
-    df: DataFrame, n: int = 1000, key: str = "key", seed: int | str = f"{DEFAULT_SEED}-steps"
+    df: DataFrame, n: int = 1000, key: str = "key", seed: int | str = STEPS_SEED, chosen: Column | None = None
 ) -> DataFrame:
-    return append_to_user_turns(df, fixed.STEPS_REQUEST, n, key, seed)
+    return append_to_user_turns(df, fixed.STEPS_REQUEST, n, key, seed, chosen)
 
 
 def replace_first_assistant(df: DataFrame, new_text: Column | str) -> DataFrame:

@@ -39,6 +39,7 @@ Generator = Callable[[list[dict[str, Any]]], list[str]]
 # How many models a Python worker keeps, the latest ones; a session may set another number.
 MODELS_KEPT, KEPT = "spark.lectern.models.kept", 2
 _models: dict[str, Callable] = {}
+BACK_SEED = f"{DEFAULT_SEED}-back"
 # A call adds at most so many files to a memo.
 MEMO_FILES = 16
 
@@ -95,12 +96,13 @@ def back_translate(
     n: int = 500,
     pivot: str = "de",
     key: str = "key",
-    seed: int | str = f"{DEFAULT_SEED}-back",
+    seed: int | str = BACK_SEED,
     batch_size: int = 4,
     tasks: int | None = None,
+    chosen: Column | None = None,
 ) -> DataFrame:
-    """A sample of ``n`` records whose first assistant message is the third message,
-    translated to the pivot language and back.
+    """A sample of ``n`` records, or those ``chosen`` is true for, whose first assistant message
+    is the third message, translated to the pivot language and back.
 
     A batch that fails is dropped and logged; without a translator nothing comes back.
     ``mismatch`` marks records whose third message is not the one replaced.
@@ -129,7 +131,8 @@ def back_translate(
     third = F.get("messages", F.lit(2))
     text = F.when(F.size("messages") >= 3, or_empty(third["content"])).otherwise("")
     first = F.array_position(F.transform("messages", lambda m: m["role"]), "assistant")
-    sampled = spread(sample_n(df, n, key, seed), [key], tasks)
+    sampled = sample_n(df, n, key, seed) if chosen is None else df.filter(chosen)
+    sampled = spread(sampled, [key], tasks)
     translated = (
         sampled.withColumn("mismatch", F.coalesce(first != 3, F.lit(True)))
         .withColumn("_back", there_and_back.asNondeterministic()(text))

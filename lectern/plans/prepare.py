@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.operators.chat import (
+    ANALOGY_SEED,
+    EXAMPLES_SEED,
+    STEPS_SEED,
     augment_analogy,
     augment_examples,
     augment_steps,
@@ -18,11 +21,12 @@ from lectern.operators.chat import (
     build_messages,
     length_stats,
 )
-from lectern.operators.hooks import Translator, back_translate
+from lectern.operators.hooks import BACK_SEED, Translator, back_translate
 from lectern.operators.sampling import (
     DEFAULT_SEED,
     concat_sets,
     exact_split,
+    samples,
     seeded_shuffle,
     split_counts,
 )
@@ -116,18 +120,21 @@ def augment(
     object of a record as it was read, null for copies."""
     size = {"analogies": 1000, "examples": 1000, "step_by_step": 1000, "back_translation": 500}
     size.update(sizes or {})
-    makers: dict[str, Callable[[], DataFrame]] = {
-        "original": lambda: train,
-        "analogies": lambda: augment_analogy(train, size["analogies"], key),
-        "examples": lambda: augment_examples(train, size["examples"], key),
-        "step_by_step": lambda: augment_steps(train, size["step_by_step"], key),
+    seeds = {"analogies": ANALOGY_SEED, "examples": EXAMPLES_SEED, "step_by_step": STEPS_SEED}
+    if make_translator is not None:
+        seeds["back_translation"] = BACK_SEED
+    # All samples are found together.
+    chosen = dict(zip(seeds, samples(train, [(size[k], seed) for k, seed in seeds.items()], key)))
+    kinds = {
+        "original": train,
+        "analogies": augment_analogy(train, key=key, chosen=chosen["analogies"]),
+        "examples": augment_examples(train, key=key, chosen=chosen["examples"]),
+        "step_by_step": augment_steps(train, key=key, chosen=chosen["step_by_step"]),
     }
     if make_translator is not None:
-        makers["back_translated"] = lambda: back_translate(
-            train, make_translator, size["back_translation"], pivot, key
+        kinds["back_translated"] = back_translate(
+            train, make_translator, pivot=pivot, key=key, chosen=chosen["back_translation"]
         )
-    # Each sample counts hash prefixes first, in small jobs of its own.
-    kinds = dict(zip(makers, together(train.sparkSession, *makers.values())))
     none = F.lit(None).cast("string").alias("record")
     return concat_sets(
         *[
@@ -145,6 +152,26 @@ FILES = {
 }
 
 
+def _numbered_lines(records: DataFrame) -> tuple[DataFrame, str]:
+    """``key, messages, record``: lines named by the hash of their text and their number among
+    equal lines; and where the hashes of repeated lines lie, which it reads.
+
+    Only hashes are grouped to find what repeats, and only repeated lines are shuffled.
+    """
+    spark = records.sparkSession
+    lines = records.select(F.sha1("record").alias("id"), "messages", "record")
+    path = fresh_path(spark, "repeated")
+    lines.groupBy("id").count().filter("count > 1").select("id").write.parquet(path)
+    repeated = spark.read.schema("id string").parquet(path)
+    once = lines.join(repeated, "id", "left_anti").withColumn("nth", F.lit(1))
+    firsts = [F.any_value(c).alias(c) for c in ("messages", "record")]
+    equal = lines.join(repeated, "id", "left_semi").groupBy("id").agg(*firsts, F.count("*").alias("n"))
+    each = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth")
+    numbered = once.unionByName(equal.select("id", "messages", "record", each))
+    key = F.concat_ws(":", "id", F.col("nth").cast("string")).alias("key")
+    return numbered.select(key, "messages", "record"), path
+
+
 def run_augment(
     spark: SparkSession,
     train_path: str,
@@ -160,11 +187,7 @@ def run_augment(
     lines, which are counted. So a sample is fixed by the seed and the lines, however they
     are laid out. Records that are not changed are written as they were read.
     """
-    records = read_chat_jsonl(spark, train_path).records
-    equal = records.groupBy("record").agg(F.any_value("messages").alias("messages"), F.count("*").alias("n"))
-    each = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth")
-    name = F.concat_ws(":", F.sha1("record"), F.col("nth").cast("string")).alias("key")
-    numbered = equal.select("messages", "record", each).select(name, "messages", "record")
+    numbered, repeated = _numbered_lines(read_chat_jsonl(spark, train_path).records)
     train_stage, augmented_stage = fresh_path(spark, "numbered"), fresh_path(spark, "augmented")
     numbered.write.parquet(train_stage)
     train = spark.read.schema(numbered.schema).parquet(train_stage)
@@ -191,7 +214,7 @@ def run_augment(
         lambda: write_stats(counts, f"{out}/augmentation_stats.json"),
         *[partial(write_kind, kind, file) for kind, file in FILES.items()],
     )
-    discard(spark, train_stage, augmented_stage)
+    discard(spark, train_stage, augmented_stage, repeated)
     return stats
 
 
