@@ -96,18 +96,24 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keyed(spark: SparkSession, folder: str) -> DataFrame:
-    """Choices A..D over the first messages, with a repeated label in every seventh
-    conversation and a key that matches nothing in every fifth."""
-    labels = F.when(
-        F.col("conv_id") % 7 == 0, F.array(*[F.lit(x) for x in "ABAD"])
-    ).otherwise(F.array(*[F.lit(x) for x in "ABCD"]))
+    """A choice for each message, with a repeated label in every seventh conversation; the wanted
+    key is that of any of them, or matches nothing."""
+
+    def label(i: Column) -> Column:
+        letter = F.char(F.lit(65) + i % 26)
+        return F.when((F.col("conv_id") % 7 == 0) & (i == 2), "A").otherwise(
+            F.concat(letter, F.when(i >= 26, F.floor(i / 26).cast("string")).otherwise(""))
+        )
+
+    labels = F.transform("messages", lambda m, i: label(i))
     texts = F.transform("messages", lambda m: m["content"])
+    wanted = F.get(labels, (F.col("conv_id") % (F.size("messages") + 1)).cast("int"))
     return chat(spark, folder).select(
         "key",
         F.get(_texts("user"), F.lit(0)).alias("question_stem"),
         F.get(_texts("system"), F.lit(0)).alias("fact1"),
         F.struct(labels.alias("label"), texts.alias("text")).alias("choices"),
-        F.concat(F.lit(" "), pick(F.col("conv_id"), tuple("ABCDE"))).alias("answerKey"),
+        F.concat(F.lit(" "), F.coalesce(wanted, F.lit("?"))).alias("answerKey"),
     )
 
 

@@ -56,13 +56,16 @@ CTES = {
                                 ELSE texts[1] END, '') AS best
         FROM scored""",
     "keyed": """
-        SELECT key, user_texts[1] AS question_stem, system_texts[1] AS fact1,
-               CASE WHEN conv_id % 7 = 0 THEN ['A', 'B', 'A', 'D'] ELSE ['A', 'B', 'C', 'D'] END AS labels,
-               list_transform(messages, lambda m: m.content) AS choice_texts,
-               (['A', 'B', 'C', 'D', 'E'])[conv_id % 5 + 1] AS answer_key
-        FROM texts""",
+        SELECT key, question_stem, fact1, labels, choice_texts,
+               coalesce(labels[conv_id % (len(labels) + 1) + 1], '?') AS answer_key
+        FROM (SELECT key, conv_id, user_texts[1] AS question_stem, system_texts[1] AS fact1,
+                     list_transform(messages, lambda m: m.content) AS choice_texts,
+                     list_transform(messages, lambda m, i: CASE WHEN conv_id % 7 = 0 AND i = 3 THEN 'A'
+                         ELSE chr(CAST(65 + (i - 1) % 26 AS INTEGER))
+                              || CASE WHEN i > 26 THEN CAST((i - 1) // 26 AS VARCHAR) ELSE '' END END) AS labels
+              FROM texts)""",
     "chosen": """
-        SELECT *, coalesce(list_filter(choice_texts[:4], lambda t, i: labels[i] = answer_key)[-1], '') AS choice
+        SELECT *, coalesce(list_filter(choice_texts, lambda t, i: labels[i] = answer_key)[-1], '') AS choice
         FROM keyed""",
     "docs": "SELECT *, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS output FROM documents",
     "slides": f"""
