@@ -119,6 +119,9 @@ def repeats(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        ((F.col("n_bytes") - F.octet_length("kept")) / F.greatest("n_bytes", F.lit(1))).alias("share_removed"),
+        # Cuts may part a character's bytes, whose rest is replaced.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.suffixes import Hashes, mixed, repeated_places
+from lectern.operators.skew import join_per_key
 from lectern.session import materialise
 
 LENGTH = 400
@@ -34,8 +35,6 @@ GROUP = 256
 SPLITS = (32, 8, 1)
 #: Bytes sorted at a time: whole groups up to about this many.
 SORT_BYTES = 400_000
-#: Documents with removals, up to which their spans (some MB) are broadcast.
-BROADCAST_DOCS = 200_000
 
 _PLACE = np.uint64(0xFFFFFF)
 #: Starts of strings looked at together; places in it must fit in ``_PLACE``.
@@ -283,7 +282,7 @@ class Repeats:
         part = part.withColumnRenamed("id", "gram").join(whole.select("gram", "content"), ["gram", "content"], "left_anti")
         verdicts = materialise(whole.unionByName(part), "repeat-verdicts")
         found = again.join(verdicts, ["gram", "content"]).select(
-            "key",
+            "key", "gram", "content",
             F.struct("starts", F.coalesce("parts", F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("strings").alias("n")))).alias("parts")).alias("run"),
         )
 
@@ -301,6 +300,9 @@ class Repeats:
                 out.append([{"start": a, "end": b} for a, b in spans])
             return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
+        if self.repeated_keys:
+            # Rows that are equal have equal runs, however many they are.
+            found = found.groupBy("key", "gram", "content").agg(F.any_value("run").alias("run"))
         rows = found.groupBy("key").agg(F.collect_list("run").alias("runs"))
         return materialise(rows.select("key", cover("runs").alias("spans")), "repeat-spans")
 
@@ -324,19 +326,18 @@ def without_repeats(
     and the bytes left, in order.
 
     A null text is empty. Repeated rows repeat each other's strings. Texts shorter than
-    ``length`` stay as they are. Other columns of ``docs`` are left out.
+    ``length`` stay as they are. Other columns of ``docs`` are left out. An empty table gives
+    no rows.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = narrow.withColumn("key", F.xxhash64("id", "text"))
     spans = Repeats(keyed.select("key", "text"), length, gram).spans()
-    if spans.count() <= BROADCAST_DOCS:
-        spans = F.broadcast(spans)
 
     @F.arrow_udf("binary")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
         return pa.array([kept_bytes(t.as_py(), s.as_py()) for t, s in zip(texts, found)], pa.binary())
 
-    rows = keyed.join(spans, "key", "left")
+    rows = join_per_key(keyed, spans, ["key"])
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     none = F.array().cast("array<struct<start:long,end:long>>")
     some = F.col("spans").isNotNull()

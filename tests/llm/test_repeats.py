@@ -85,3 +85,20 @@ def test_repeated_places():
                 counts[s[i : i + depth]] = counts.get(s[i : i + depth], 0) + 1
         for s, marks in zip(strings, repeated_places(strings, depth)):
             assert marks.tolist() == [counts[s[i : i + depth]] > 1 for i in range(len(s) - depth + 1)]
+
+
+def test_a_row_repeated_a_hundred_thousand_times(spark, docs):
+    """Rows equal in id and text share a key: their regions are gathered once."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    hot = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(f"start {passage} end").alias("text"))
+    rest = docs([(1, f"other {passage}"), (2, "nothing in common, long enough to have strings")])
+    table = hot.unionByName(rest.select("doc_id", "text"))
+    rows = without_repeats(table, 24, 10)
+    got = {(r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"]), r["n"]) for r in rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).collect()}
+    text = "nothing in common, long enough to have strings"
+    assert got == {
+        (7, 70, 1, b"", 100_000),
+        (1, 66, 1, b"other", 1),
+        (2, len(text), 0, text.encode(), 1),
+    }
