@@ -30,8 +30,6 @@ PROBE_ROWS = 1_200
 #: Buckets of a table are searched in so many groups, each in blocks of so many rows.
 GROUPS = 8
 BLOCK_ROWS = 8_192
-#: Candidates kept beyond those asked for, until they are scored for good.
-SLACK = 4
 SEED = 11
 
 
@@ -77,6 +75,29 @@ def vectors(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def in_order(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of ``q`` with the rows of ``x``, added from the first component on, as the
+    scores are."""
+    out = np.zeros(len(x))
+    for a, column in zip(q, x.T):
+        out += a * column
+    return out
+
+
+def highest(q: np.ndarray, x: np.ndarray, near: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the ``n`` rows nearest to ``q``, ties to the smaller id. ``near``
+    has their products but for rounding, and -inf for rows that don't count."""
+    at = np.flatnonzero(near > -np.inf)
+    if len(at) > n:
+        # All that rounding may have put on the wrong side of the n-th are scored in order.
+        cut = np.partition(near[at], len(at) - n)[len(at) - n]
+        slack = 1e-9 * (np.abs(q).sum() * np.abs(x).max() + abs(cut))
+        at = at[near[at] >= cut - slack]
+    scores = in_order(q, x[at])
+    best = np.lexsort((ids[at], -scores))[:n]
+    return at[best], scores[best]
+
+
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, vec`` without vectors that are null, zero, or hold null or non-finite
     components, and without null ids. Rows with equal ids count once, with the smallest
@@ -198,26 +219,26 @@ def nearest(
             out[i, : len(v)] = v
         return out
 
-    keep = k + 1 + SLACK
+    # One more than asked for, since a query meets itself.
+    keep = k + 1
 
     def search(there: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(there) or not len(wanted):
             return pd.DataFrame({"query": [], "rep": [], "near": []})
-        scores = matrix(wanted["vec"]) @ matrix(there["vec"]).T
+        asked, held, ids = matrix(wanted["vec"]), matrix(there["vec"]), there["rep"].to_numpy()
+        scores = asked @ held.T
         open_ = np.zeros((len(wanted), 2 * width), bool)
         for i, buckets in enumerate(wanted["buckets"]):
             open_[i, buckets] = True
         scores[~open_[:, there["bucket"].to_numpy()]] = -np.inf
-        best = np.argpartition(-scores, min(keep, scores.shape[1]) - 1, axis=1)[:, :keep]
-        near = np.take_along_axis(scores, best, axis=1)
-        out = pd.DataFrame(
+        best = [highest(q, held, near, ids, keep) for q, near in zip(asked, scores)]
+        return pd.DataFrame(
             {
-                "query": np.repeat(wanted["rep"].to_numpy(), best.shape[1]),
-                "rep": there["rep"].to_numpy()[best.ravel()],
-                "near": near.ravel(),
+                "query": np.repeat(wanted["rep"].to_numpy(), [len(at) for at, _ in best]),
+                "rep": ids[np.concatenate([at for at, _ in best])],
+                "near": np.concatenate([near for _, near in best]),
             }
         )
-        return out[np.isfinite(out["near"])]
 
     found = (
         index.select(*cell, "bucket", "rep", "vec")

@@ -4,7 +4,8 @@ A document's set holds the hashes of its distinct word n-grams. Two sets that ar
 enough share a token among the first few of each, whatever global order the tokens are taken
 in. The first order, commonest tokens last, is indexed: tokens of prefixes that lie in two
 sets or more make buckets of candidates. What passes the bounds by size and by bitmap must
-share prefix tokens under further orders too, and is then verified by exact intersection.
+share prefix tokens under further orders too, for which prefixes are kept beside the sets;
+only what passes all filters has its sets fetched, and is verified by exact intersection.
 
 Work on groups of copies stays in proportion to their size. Equal sets are one node. Every
 bucket's members are first compared with one of them; members that are connected by then need
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.suffixes import Hashes, mixed
+from lectern.operators.skew import join_per_key
 from lectern.session import materialise
 
 N_WORDS = 5
@@ -41,11 +42,15 @@ CHUNK = 1 << 12
 BLOCK = 64
 #: Bytes of texts whose words are hashed together.
 READ_BYTES = 500_000
-#: Ids up to this many (16 MB) are broadcast to pick documents; more are joined.
-BROADCAST_IDS = 1_000_000
+#: Keys of up to so many bytes in all are broadcast to pick documents; more are joined.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a word hashed together with other words; longer words are hashed one by one.
+SHORT_WORD = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
+_STIR = np.uint64(0xD6E8FEB86659FD93)
+#: What keeps the first so many bytes of a number in little-endian order.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -61,13 +66,32 @@ def _combined(hashes: np.ndarray, n_words: int, tag: int = 0) -> np.ndarray:
     return out
 
 
+def word_hashes(blob: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, eight bytes after the other. Each step is a bijection, so words of
+    eight bytes or less have hashes of their own within their length."""
+    lengths = ends - starts
+    eights = np.ndarray((len(blob),), "<u8", blob + bytes(8), strides=(1,))
+    out = lengths.astype(np.uint64) * _MIX
+    for j in range(0, SHORT_WORD, 8):
+        at = np.flatnonzero(lengths > j)
+        if not len(at):
+            break
+        part = eights[starts[at] + j] & _KEEP[np.minimum(lengths[at] - j, 8)]
+        h = (out[at] ^ part) * _STIR
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        out[at] = h ^ (h >> np.uint64(29))
+    for i in np.flatnonzero(lengths > SHORT_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(blob[starts[i] : ends[i]])
+    return out
+
+
 def _sets(raws: list[bytes], n_words: int) -> list[np.ndarray]:
     blob = b" ".join(raws).translate(_LOWER)
     letters = np.frombuffer(blob, np.uint8)
     gaps = _SPACE[letters]
     edges = np.diff(np.concatenate(([True], gaps, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    words = mixed(Hashes(letters).of(starts, ends - starts))
+    words = word_hashes(blob, starts, ends)
     runs = _combined(words, n_words) if len(words) >= n_words else np.empty(0, np.uint64)
     bounds = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
     out = []
@@ -160,22 +184,29 @@ def may_link_pair(n_a: int, map_a: bytes, n_b: int, map_b: bytes, percent: int)
     return bool(may_link(n_a, map_a, np.array([n_b]), np.frombuffer(map_b, np.uint8)[None, :], percent)[0])
 
 
-def similar(a: np.ndarray, b: np.ndarray, classes: np.ndarray, percent: int) -> bool:
-    """Whether two sets link: prefixes must meet in every further order, then all tokens count."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    for order in range(1, len(ORDERS)):
-        one, other = prefix(a, classes, order, percent), prefix(b, classes, order, percent)
-        if not np.isin(one, other).any():
-            return False
+def other_prefixes(tokens: np.ndarray, classes: np.ndarray, percent: int) -> list[bytes]:
+    """The prefix of a set in every further order, by half of each token: what has none in
+    common has no token in common either."""
+    found = (prefix(tokens, classes, order, percent) for order in range(1, len(ORDERS)))
+    return [(p & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for p in found]
+
+
+def meet(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether prefixes share a token in every order."""
+    return all(np.isin(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)).any() for x, y in zip(a, b))
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets link."""
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def few_keys(keys: DataFrame) -> DataFrame:
-    """Keys, written, and broadcast up to a number of them."""
+    """Keys, written, and broadcast up to a number of bytes: ids may be texts of any length."""
     keys = materialise(keys, "shingle-keys")
-    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    size = keys.agg(F.sum(F.octet_length(F.col("key")["id"].cast("string")) + 32)).first()[0]
+    return F.broadcast(keys) if (size or 0) <= BROADCAST_BYTES else keys
 
 
 class ShingleJoin:
@@ -267,8 +298,9 @@ class ShingleJoin:
         return materialise(self._postings(docs).join(tokens, "token"), "shingle-postings")
 
     def _picked(self, nodes: DataFrame) -> DataFrame:
-        """``node, n, bits, tokens``: sets of the given nodes, each read from one document."""
-        n_words = self.n_words
+        """``node, n, bits, others, tokens``: sets of the given nodes, each read from one
+        document, with their bitmaps and their prefixes in the further orders."""
+        n_words, percent, classes = self.n_words, self.percent, self.classes_of_cells
         chosen = self.members.filter("node IS NOT NULL").join(nodes.select("node").distinct(), "node", "left_semi")
         chosen = few_keys(chosen.groupBy("node").agg(F.min("key").alias("key")).select("key").distinct())
         docs = self.docs.select("key", "text").join(chosen, "key", "left_semi").select("text")
@@ -281,12 +313,13 @@ class ShingleJoin:
                         pa.array([node_of(s) for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([bitmap(s) for s in sets], pa.binary()),
+                        pa.array([other_prefixes(s, classes.value, percent) for s in sets], pa.list_(pa.binary())),
                         pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
-                    ["node", "n", "bits", "tokens"],
+                    ["node", "n", "bits", "others", "tokens"],
                 )
 
-        schema = "node long, n long, bits binary, tokens binary"
+        schema = "node long, n long, bits binary, others array<binary>, tokens binary"
         sets = materialise(docs.mapInArrow(run, schema), "shingle-sets")
         # Keys of several rows may name a node twice.
         if sets.groupBy("node").count().filter("count > 1").isEmpty():
@@ -294,36 +327,35 @@ class ShingleJoin:
         return materialise(sets.dropDuplicates(["node"]), "shingle-sets")
 
     def _plausible(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs ``u, v`` whose sizes and bitmaps leave room for a link."""
+        """Pairs ``u, v`` whose sizes and bitmaps leave room for a link, and whose prefixes
+        meet in every order; the sets themselves are not read."""
         percent = self.percent
-        narrow = sets.select("node", "n", "bits")
-        side = lambda c: narrow.select(F.col("node").alias(c), F.struct("n", "bits").alias(f"{c}_set"))
+        narrow = sets.select("node", F.struct("n", "bits", "others").alias("of"))
+        side = lambda c: narrow.select(F.col("node").alias(c), F.col("of").alias(f"{c}_set"))
 
         @F.arrow_udf("boolean")
-        def room(n_u: pa.Array, map_u: pa.Array, n_v: pa.Array, map_v: pa.Array) -> pa.Array:
-            rows = zip(n_u.to_pylist(), map_u.to_pylist(), n_v.to_pylist(), map_v.to_pylist())
-            return pa.array([may_link_pair(*row, percent) for row in rows], pa.bool_())
+        def room(n_u: pa.Array, map_u: pa.Array, of_u: pa.Array, n_v: pa.Array, map_v: pa.Array, of_v: pa.Array) -> pa.Array:
+            rows = zip(*(c.to_pylist() for c in (n_u, map_u, n_v, map_v)))
+            return pa.array(
+                [may_link_pair(*row, percent) and meet(a.as_py(), b.as_py()) for row, a, b in zip(rows, of_u, of_v)],
+                pa.bool_(),
+            )
 
         both = pairs.join(side("u"), "u").join(side("v"), "v")
         a, b = F.col("u_set"), F.col("v_set")
         fits = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
-        return both.filter(fits).filter(room(a["n"], a["bits"], b["n"], b["bits"])).select("u", "v")
+        passes = room(a["n"], a["bits"], a["others"], b["n"], b["bits"], b["others"])
+        return both.filter(fits).filter(passes).select("u", "v")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs ``u, v`` that link."""
-        percent, classes = self.percent, self.classes_of_cells
+        percent = self.percent
         side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
 
         @F.arrow_udf("boolean")
         def link(a: pa.Array, b: pa.Array) -> pa.Array:
-            rows = zip(a, b)
-            return pa.array(
-                [
-                    similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in row), classes.value, percent)
-                    for row in rows
-                ],
-                pa.bool_(),
-            )
+            rows = ((np.frombuffer(x.as_buffer(), np.uint64) for x in row) for row in zip(a, b))
+            return pa.array([similar(*row, percent) for row in rows], pa.bool_())
 
         both = pairs.join(side("u"), "u").join(side("v"), "v")
         return both.filter(link("u_tokens", "v_tokens")).select("u", "v")
@@ -415,7 +447,8 @@ class ShingleJoin:
         pairs = asked.join(dealt, ["to", "block"]).select(
             F.col("node").alias("u"), F.explode(partners("n", "bits", "nodes", "sizes", "maps")).alias("v")
         )
-        return self._verified(materialise(pairs.distinct(), "shingle-pairs"), sets)
+        pairs = materialise(self._plausible(pairs.distinct(), sets), "shingle-pairs")
+        return self._verified(pairs, sets)
 
     def _meetings(self, met: DataFrame) -> DataFrame:
         """``from, comp, size``: pairs of components that share tokens enough to have a link; the
@@ -459,7 +492,7 @@ class ShingleJoin:
         least = materialise(least, "shingle-least")
         component = materialise(least.groupBy("label").agg(F.min("key").alias("component")), "shingle-component")
         of_node = materialise(least.join(component, "label").select("node", "component"), "shingle-classes")
-        out = self.members.join(of_node, "node", "left")
+        out = join_per_key(self.members, of_node, ["node"])
         return out.select("key", "n", F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component")).alias("component"))
 
 
@@ -480,7 +513,8 @@ def shingle_join(
     ``component_id`` is the least id reachable by links between sets of similarity ``percent``
     or more, the row's own included. A null text, or one without words, has an empty set and
     links with nothing. Repeated rows are one class. Rows with a null id link like others but
-    name no component unless all of it is null. Other columns of ``docs`` are left out.
+    name no component unless all of it is null. Other columns of ``docs`` are left out. An
+    empty table gives no rows.
     """
     key = row_key(F.col(id_col), docs.schema[id_col].dataType.simpleString(), F.col(text_col))
     found = ShingleJoin(docs.select(key.alias("key"), F.col(text_col).alias("text")), n_words, percent).classes()

@@ -84,3 +84,18 @@ def test_rotations_keep_lengths():
     turned = Rotations(16, 2, 3).turned(x, 1) / 16**1.5
     assert np.allclose(np.linalg.norm(turned, axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(hadamard(hadamard(x)), 16 * x)
+
+
+def test_ties_between_distinct_vectors_go_to_the_smaller_id(vectors):
+    """Many vectors with one product with the query, over several blocks; sums that only the
+    order of adding makes equal or not."""
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, *rng.normal(size=2).tolist()]) for i in range(1, 400)]
+    rng.shuffle(rows)
+    rows = [(int(i), v) for i, v in rows]
+    got = answers(nearest(vectors(rows), vectors([r for r in rows if r[0] == 0]), block_rows=64))
+    assert [i for i, _ in got[0]] == list(range(1, 21))
+    parts = [0.1, 0.2, 0.3, 0.4, 0.7]
+    rows = [(0, [1.0] * 5)] + [(i, [float(x) for x in rng.permutation(parts)]) for i in range(1, 300)]
+    got = answers(nearest(vectors(rows), vectors(rows[:1]), block_rows=64))
+    assert got[0] == brute(rows, [0], 20)[0]

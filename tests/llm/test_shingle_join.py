@@ -63,7 +63,7 @@ def test_empty_table(docs):
 
 def test_blocks_and_many_copies(docs, monkeypatch):
     monkeypatch.setattr(sj, "BLOCK", 2)
-    monkeypatch.setattr(sj, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(sj, "BROADCAST_BYTES", 0)
     compare(docs, corpus(7, 60))
 
 
@@ -97,6 +97,38 @@ def test_prefixes_of_similar_sets_meet_in_every_order():
         if 100 * common >= 75 * (len(a) + len(b) - common):
             for order in range(len(sj.ORDERS)):
                 assert np.isin(sj.prefix(a, counts, order, 75), sj.prefix(b, counts, order, 75)).any()
+            assert sj.meet(sj.other_prefixes(a, counts, 75), sj.other_prefixes(b, counts, 75))
+        if not common:
+            assert not sj.meet(sj.other_prefixes(a, counts, 75), sj.other_prefixes(b, counts, 75))
+
+
+def test_structured_words_are_told_apart(docs):
+    """Words whose polynomial hashes modulo a power of two are equal, whatever the base: they
+    differ in every character."""
+    rows = []
+    for n in (3, 6, 7, 10, 12):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(1 << n))
+        other = word.translate({97: "b", 98: "a"})
+        rows += [word, other, word.upper(), f"{word} x", f"{other} x"]
+    compare(docs, list(enumerate(rows)))
+
+
+def test_word_hashes_are_those_of_the_bytes():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 63, 64, 65, 200]))) for _ in range(4_000)]
+    blob = " ".join(words).encode()
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    by_word = {}
+    for word, h in zip(words, sj.word_hashes(blob, starts, ends).tolist()):
+        assert by_word.setdefault(word, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+
+
+def test_keys_of_long_ids_are_not_sent(spark):
+    keys = spark.range(20).selectExpr(f"named_struct('missing', false, 'id', repeat('x', {1 << 20}) || id, 'hash', id) AS key")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert not hinted(sj.few_keys(keys)) and hinted(sj.few_keys(keys.limit(2)))
 
 
 def test_long_chain_is_one_component(spark):
