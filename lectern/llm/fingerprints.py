@@ -28,8 +28,12 @@ FINE_PIECE = 4
 FINE_WINDOW = 4
 #: Code points from which on the first half of a text is sure to hold a fine anchor.
 FINE_FROM = 18
-#: Rows between which the next document is looked for in one group.
+#: Rows between which the next document is looked for in one group, more where there would be
+#: too many groups; how often groups are cut, and how much larger they may stay.
 GROUP_ROWS = 1024
+MOST_GROUPS = 1 << 17
+LEVELS = 6
+ROOM = 4
 
 _LOW = (1 << 32) - 1
 #: Marks a fine anchor, so these are negative.
@@ -142,23 +146,58 @@ def fingerprints(
     return found.select(id_col, written(F.col("anchors")).alias("fingerprint"), "anchors")
 
 
-def grouped(docs: DataFrame, group_rows: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, text, tie`` with a group of neighbouring ids, and for each group the first id
-    of the group after it (after the last, of the first)."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None:
-        group = F.lit(0).cast("long")
-    else:
-        width = max(1, (high - low + 1) * group_rows // max(n, 1))
-        last = (high - low) // width
-        group = F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)).cast("long"), F.lit(last).cast("long"))
-    docs = docs.withColumn("group", group)
-    firsts = docs.groupBy("group").agg(F.min("doc_id").alias("first_id"))
-    # One row per group of about a thousand documents; ids are ascending with the groups.
-    around = Window.orderBy("group")
-    everything = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follows = F.coalesce(F.lead("first_id").over(around), F.first("first_id").over(everything))
-    return docs, firsts.select(F.col("group").alias("before"), follows.alias("next_id"))
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (``doc_id, text``) with ``tie``, a hash of the text, and ``place``, a number that
+    never falls along ``doc_id`` (null last) and ``tie``."""
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = (0, -1) if low is None else (low, high)
+
+    def whole(n: int) -> Column:
+        return F.lit(str(n)).cast("decimal(20,0)")
+
+    id_ = F.when(F.col("doc_id").isNull(), whole(high - low + 1)).otherwise(
+        (F.col("doc_id").cast("decimal(20,0)") - whole(low)).cast("decimal(20,0)")
+    )
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    tie = F.shiftright("tie", 32).cast("decimal(10,0)") + whole(1 << 31)
+    return rows.withColumn("place", (id_ * whole(1 << 32) + tie).cast("decimal(38,0)"))
+
+
+def located(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``rows`` with ``group``, that of their ``place`` after the last level."""
+    rows = rows.withColumn("group", F.lit(0).cast("long"))
+    for level in levels:
+        rows = rows.join(level.select("group", "lo", "step", "first"), "group")
+        # Rounding can put a place into the group after its own, never ahead of another's.
+        within = F.floor((F.col("place") - F.col("lo")) / F.col("step")).cast("long")
+        rows = rows.withColumn("group", F.col("first") + within).drop("lo", "step", "first")
+    return rows
+
+
+def dealt(places: DataFrame, group_rows: int) -> list[DataFrame]:
+    """How rows are dealt into groups of some ``group_rows`` in the order of their places, by
+    levels: a row of place p in a group goes to group ``first + (p - lo) / step``.
+
+    A level cuts each group into equal ranges of places, as many as it has rows for. Groups
+    that stay large, since places lie far apart or close together, are cut again. Levels
+    have a row per group, of which there are ``MOST_GROUPS`` or so at most.
+    """
+    levels: list[DataFrame] = []
+    in_order = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(LEVELS):
+        found = located(places, levels).groupBy("group")
+        found = found.agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("n"))
+        if not levels:
+            group_rows = max(group_rows, -(-places.count() // MOST_GROUPS))
+        cuts = F.when(F.col("hi") > F.col("lo"), F.ceil(F.col("n") / group_rows)).otherwise(1)
+        found = found.withColumn("cuts", cuts.cast("decimal(20,0)"))
+        step = F.floor((F.col("hi") - F.col("lo")) / F.col("cuts")) + 1
+        first = F.coalesce(F.sum("cuts").over(in_order), F.lit(0)).cast("long")
+        level = found.select("group", "lo", step.cast("decimal(38,0)").alias("step"), first.alias("first"), "n", "cuts")
+        levels.append(materialise(level, "fingerprint-level"))
+        if levels[-1].filter((F.col("cuts") > 1) & (F.col("n") > ROOM * group_rows)).isEmpty():
+            break
+    return levels
 
 
 def edited_fingerprints(
@@ -173,22 +212,31 @@ def edited_fingerprints(
 
     ``id_col`` (a whole number), ``n_chars, edited_text, anchors, edited_anchors, near_edited,
     near_next``. Null texts count as empty. Rows with equal ids follow each other by a hash of
-    their texts; rows with a null id come last. Other columns are left out.
+    their texts; rows with a null id come last. Other columns are left out. An empty table
+    gives no rows.
 
-    Rows are grouped by ranges of ids; each group also gets the first document of the next
-    one as a guest, so that every row finds its next in its own group.
+    Rows are grouped by ranges of ids and, where many share one, of hashes; each group also
+    gets the first document of the next one as a guest, so that every row finds its next in
+    its own group. Only rows equal in id and text are in one group however many they are.
     """
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    rows, follows = grouped(narrow, group_rows)
-    follows = materialise(follows, "fingerprint-groups")
-    guests = rows.join(follows, F.col("doc_id").eqNullSafe(F.col("next_id"))).select(
-        "doc_id", "text", F.col("before").alias("group"), F.lit(True).alias("guest")
+    narrow = placed(narrow)
+    places = materialise(narrow.select("place"), "fingerprint-places")
+    levels = dealt(places, group_rows)
+    rows = located(narrow, levels)
+    # One row per group; places are ascending with the groups.
+    firsts = located(places, levels).groupBy("group").agg(F.min("place").alias("place"))
+    around = Window.orderBy("group")
+    everything = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follows = F.coalesce(F.lead("place").over(around), F.first("place").over(everything))
+    follows = materialise(firsts.select(F.col("group").alias("before"), follows.alias("place")), "fingerprint-groups")
+    guests = narrow.join(follows, "place").select(
+        "doc_id", "text", "tie", F.col("before").alias("group"), F.lit(True).alias("guest")
     )
-    rows = rows.select("doc_id", "text", "group", F.lit(False).alias("guest")).unionByName(guests)
+    rows = rows.select("doc_id", "text", "tie", "group", F.lit(False).alias("guest")).unionByName(guests)
     rows = rows.repartition("group").withColumn("anchors", F.explode(F.array(anchors(F.col("text"), window))))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
     order = Window.partitionBy("group").orderBy("guest", F.col("doc_id").asc_nulls_last(), "tie")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")

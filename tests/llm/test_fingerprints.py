@@ -2,7 +2,17 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.llm.fingerprints import WINDOW, anchors, edited_fingerprints, fingerprints, likeness, written
+from lectern.llm.fingerprints import (
+    WINDOW,
+    anchors,
+    dealt,
+    edited_fingerprints,
+    fingerprints,
+    likeness,
+    located,
+    placed,
+    written,
+)
 
 
 def words(rng, n):
@@ -110,3 +120,61 @@ def test_native(docs):
     frame = edited_fingerprints(docs([(1, "a b")])).select(written(F.col("anchors")))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def python_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    fine = [bool(x) and x[-1] < 0 for x in (a, b)]
+    if all(fine):
+        a, b = ({v for v in x if v < 0} for x in (a, b))
+    else:
+        a, b = ({v for v in x if v >= 0} if f else set(x) for x, f in zip((a, b), fine))
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
+
+
+def test_likeness_and_next_in_plain_python(docs):
+    """Far-apart ids, ids that many rows share, and null ids: groups of a few rows."""
+    rng = random.Random(12)
+    pool = [words(rng, rng.choice([0, 1, 5, 40, 90])) for _ in range(30)]
+    nth = iter(range(10_000))
+    text = lambda: f"{next(nth):x} " + " ".join(rng.sample(pool, 2)) + words(rng, 3)
+    rows = [(i, text()) for i in range(60)] + [(7, text()) for _ in range(80)] + [(None, text()) for _ in range(80)]
+    rows += [((p << 33) + i, text()) for p in (1, 2, 2**29) for i in range(40)] + [(-(2**63), text()), (2**63 - 1, text())]
+    rng.shuffle(rows)
+    got = edited_fingerprints(docs(rows), group_rows=8).collect()
+    assert len(got) == len(rows)
+    by_text = {r["edited_text"]: r for r in got}
+    assert len(by_text) == len(rows)
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append(r)
+    hashed = {t: h for t, h in docs(rows).select("text", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
+    anchored = dict(docs(rows).select("text", anchors(F.col("text"))).collect())
+    for (id_, own), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        row = by_text[edited]
+        assert row["doc_id"] == id_ and row["n_chars"] == len(own) and row["anchors"] == anchored[own]
+        assert abs(row["near_next"] - python_likeness(anchored[own], anchored[after])) < 1e-12
+        assert abs(row["near_edited"] - python_likeness(anchored[own], row["edited_anchors"])) < 1e-12
+
+
+def test_groups_are_even_wherever_ids_lie(spark):
+    kinds = {
+        "dense": "id",
+        "in clusters": "(id % 4) * 8589934592 + id",
+        "one far off": "if(id = 0, 9000000000000000000, id)",
+        "one id for a third": "if(id % 3 = 0, 5, id)",
+        "no id for a third": "if(id % 3 = 0, null, id)",
+        "at both ends": "if(id % 2 = 0, -9223372036854775808, 9223372036854775807 - id)",
+    }
+    for kind, id_ in kinds.items():
+        rows = placed(spark.range(20_000).selectExpr(f"cast({id_} as bigint) AS doc_id", "cast(id as string) AS text"))
+        levels = dealt(rows.select("place"), 500)
+        sizes = [r["count"] for r in located(rows, levels).groupBy("group").count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) <= 2_000, kind
+        ends = located(rows, levels).groupBy("group").agg(F.min("place").alias("a"), F.max("place").alias("b"))
+        ends = sorted(ends.collect(), key=lambda r: r["group"])
+        assert all(x["b"] < y["a"] for x, y in zip(ends, ends[1:])), kind
