@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 from typing import Any
 
@@ -60,15 +62,45 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: The stages of the innermost ``scratch``.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that values which
     depend on the physical layout are fixed once and survive lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    stages = _scratch.get()
+    if stages is not None:
+        stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete what is materialised inside once it is left, also by an error. What outlives it is
+    written by the function it gives, which is ``materialise`` for that."""
+    stages: list[str] = []
+    token = _scratch.set(stages)
+
+    def kept(df: DataFrame, label: str = "result") -> DataFrame:
+        written = materialise(df, label)
+        outer.append(stages.pop())
+        return written
+
+    outer: list[str] = []
+    try:
+        yield kept
+    finally:
+        _scratch.reset(token)
+        above = _scratch.get()
+        if above is not None:
+            above.extend(outer)
+        discard(spark, *stages)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete stages whose results have been read."""
     jvm = spark._jvm

@@ -45,3 +45,21 @@ def test_written_rows_come_back(spark):
     assert back.schema.simpleString() == df.schema.simpleString()
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert "RDD" not in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scratch_leaves_only_what_is_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    left = lambda: sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
+    before = session.materialise(spark.range(1), "before")
+    with session.scratch(spark) as kept:
+        a = session.materialise(spark.range(3), "a")
+        with session.scratch(spark) as inner:
+            b = inner(a.union(session.materialise(spark.range(2), "c")), "b")
+        assert left() == ["a", "b", "before"]
+        result = kept(b.distinct())
+    assert left() == ["before", "result"] and result.count() == 3 and before.count() == 1
+    with pytest.raises(ZeroDivisionError):
+        with session.scratch(spark):
+            session.materialise(spark.range(3), "a")
+            1 / 0
+    assert left() == ["before", "result"]
