@@ -2,6 +2,12 @@
 
 Each stage takes the documents its predecessor kept and decides on the columns of documents;
 the last one returns token sequences.
+
+A null text is empty to every stage: it is scored like any other, has no near copies, holds no
+personal data and no words, and is packed as its end alone. Rows with a null id are never
+trained on and come last where ids decide; rows equal in id and text are one document to
+``near_copies``, and extra columns stay with their rows up to the last stage. An empty table
+gives no rows.
 """
 
 from __future__ import annotations

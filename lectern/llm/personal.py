@@ -7,6 +7,14 @@ spelled as words. The same patterns run over the result, and what they find beyo
 identifiers is mapped back to spans of the text as it is.
 
 Patterns run in time proportional to the text: each run of characters is entered once.
+
+Plain identifiers have no limits beyond their formats. What is written out in words is taken
+for an address only within the limits that mail addresses and host names have anyway: local
+parts of up to 64 characters, labels of up to 63, and at most five labels behind the sign, the
+last one of two to 24 letters; beyond them plain prose would be rewritten. Dots written out
+behind an address sign belong to one label of up to 80 characters each, and up to three
+white-space characters may stand around a word or bracket, so that a wrapped line still counts
+but not words paragraphs apart. A disguise beyond these limits is not found.
 """
 
 from __future__ import annotations
@@ -313,7 +321,8 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (email, ip, card, phone), then start; ``base`` marks those that stand there plainly.
 
     A null or empty text has none. Repeated rows, and rows with a null id, have their own.
-    Other columns of ``docs`` are left out.
+    Other columns of ``docs`` are left out. An empty table gives no rows. The module says how
+    far disguises are followed.
     """
     key_type = docs.schema[id_col].dataType.simpleString()
 

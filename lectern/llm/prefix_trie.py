@@ -8,8 +8,10 @@ a task hands on is a row per node it has met, not one per conversation and turn,
 the same node are added up.
 
 Nothing is gathered by node or conversation: a conversation of any length is spread over its
-segments, and a node that all conversations share is a row per tree. The node a segment starts at is known without
-its predecessors' nodes: hashes of segments with their places add up along a conversation.
+segments, and a node that all conversations share is a row per tree. The node a segment starts
+at is known without its predecessors' nodes: hashes of segments with their places add up along
+a conversation. Only the digest of the conversations that end at a node must read their ids
+in order, in one task, which holds one of them at a time.
 
 What is summed over a node's subtree is summed over its members instead. The smallest member
 of a node owns it; a conversation owns the nodes from some depth on. A text is saved once
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from lectern.llm.radix import RadixTree
 from lectern.operators.ordered import ordered, running_sum
 from lectern.operators.skew import join_per_key
-from lectern.session import materialise
+from lectern.session import materialise, scratch
 
 WIDTH = 16
 #: Turns of a segment, which is a row.
@@ -53,8 +55,9 @@ def numbered_turns(
     """``conv_id, nth, tid, size``: each conversation's turns from 1, ordered by turn (null
     first), turns of one place by their id; the id of role and text, and the text's bytes.
 
-    Null roles and texts are empty; rows with a null ``conv_id`` are left out. Rows are sorted over all
-    tasks, so a conversation may have any number of them, also equal ones.
+    Null roles and texts are empty; rows with a null ``conv_id`` are left out, as are other
+    columns. Rows are sorted over all tasks, so a conversation may have any number of them,
+    also equal ones. An empty table gives no rows.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
     rows = conversations.filter(F.col(conv_col).isNotNull()).select(
@@ -115,8 +118,8 @@ def _running(rows: DataFrame, name: str, value: Column, backwards: bool = False)
 
 
 def segments(turns: DataFrame, convs: DataFrame) -> DataFrame:
-    """``conv_id, segment, total, start, stop, key, sizes, ending``: conversations in segments, with the ids
-    of the node each starts at, of the node it ends at if it is full, and of the
+    """``conv_id, segment, total, start, stop, key, sizes, ending``: conversations in segments,
+    with the ids of the node each starts at, of the node it ends at if it is full, and of the
     conversation's last node, in its last segment."""
     place = F.floor((F.col("nth") - 1) / SEGMENT)
     entries = F.sort_array(F.collect_list(F.struct("nth", "tid", "size")))
@@ -288,43 +291,47 @@ def endings(rows: DataFrame) -> DataFrame:
 
 
 def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
-    """``node, parent, conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``
-    of each distinct sequence of first turns, from the root (no turns) on.
+    """``node, parent, conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
+    saved_tokens, ends_sha256`` of each distinct sequence of first turns, from the root (no
+    turns) on.
 
     ``turns`` has ``conv_id, nth, tid, size`` with places from 1 without gaps, as
-    ``numbered_turns`` makes them; ``convs`` has ``conv_id, total`` of all conversations, also of those without turns. A
-    node's ``conv_id`` is its smallest member; ``saved_tokens`` adds up over its subtree, itself
-    included, the bytes of each node's last text once for each member beyond the first;
-    ``ends_sha256`` digests the ids of the members that end there (those of none: an empty
-    string). Without conversations there is no root.
+    ``numbered_turns`` makes them; ``convs`` has ``conv_id, total`` of all conversations, also
+    of those without turns. A node's ``conv_id`` is its smallest member; ``saved_tokens`` adds
+    up over its subtree, itself included, the bytes of each node's last text once for each
+    member beyond the first; ``ends_sha256`` digests the ids of the members that end there
+    (those of none: an empty string). Without conversations there is no root.
     """
-    rows = materialise(segments(turns, convs), "trie-segments")
-    met = rows.select("conv_id", "segment", "start", "key", "sizes", "stop").mapInArrow(trees(False), ROW)
-    firsts = [F.min(c).alias(c) for c in ("parent", "depth", "size", "conv_id")]
-    nodes = materialise(met.groupBy("node").agg(*firsts, F.sum("n_convs").alias("n_convs")), "trie-met")
-    below = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
-    nodes = nodes.join(below, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    nodes = materialise(nodes, "trie-nodes")
-
-    owners = nodes.groupBy("conv_id").agg(
-        F.min("depth").alias("first"), (F.max_by("n_children", "depth") == 0).cast("long").alias("leaf")
-    )
-    rows = join_per_key(rows, owners, ["conv_id"])
-    shared = F.coalesce(F.col("first") - 1, F.col("total"))
-    rows = rows.select("*", shared.alias("shared")).withColumn("leaf", F.coalesce("leaf", F.lit(0)))
-    here = F.slice("sizes", F.lit(1), F.greatest(F.least(F.col("shared") - F.col("segment") * SEGMENT, F.size("sizes")), F.lit(0)).cast("int"))
-    rows = rows.withColumn("here", F.aggregate(here, F.lit(0).cast("long"), lambda a, b: a + b))
-    rows = _running(rows, "rest", F.col("here"), backwards=True).withColumn("rest", F.col("rest") - F.col("here"))
-    names = ["conv_id", "segment", "start", "key", "sizes", "stop", "leaf", "shared", "rest"]
-    sums = rows.select(*names).mapInArrow(trees(True), ROW)
-    sums = sums.groupBy("node").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
-
-    above = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    found = join_per_key(nodes, above, ["parent"]).join(sums, "node").join(endings(rows), "node", "left")
-    return found.select(
-        "node", "parent", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
-        F.coalesce("ends_sha256", F.sha2(F.lit(bytearray()), 256)).alias("ends_sha256"),
-    )
+    with scratch(turns.sparkSession) as kept:
+        rows = materialise(segments(turns, convs), "trie-segments")
+        met = rows.select("conv_id", "segment", "start", "key", "sizes", "stop").mapInArrow(trees(False), ROW)
+        firsts = [F.min(c).alias(c) for c in ("parent", "depth", "size", "conv_id")]
+        nodes = materialise(met.groupBy("node").agg(*firsts, F.sum("n_convs").alias("n_convs")), "trie-met")
+        below = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
+        nodes = nodes.join(below, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
+        nodes = materialise(nodes, "trie-nodes")
+
+        owners = nodes.groupBy("conv_id").agg(
+            F.min("depth").alias("first"), (F.max_by("n_children", "depth") == 0).cast("long").alias("leaf")
+        )
+        rows = join_per_key(rows, owners, ["conv_id"])
+        shared = F.coalesce(F.col("first") - 1, F.col("total"))
+        rows = rows.select("*", shared.alias("shared")).withColumn("leaf", F.coalesce("leaf", F.lit(0)))
+        below = F.least(F.col("shared") - F.col("segment") * SEGMENT, F.size("sizes"))
+        here = F.slice("sizes", F.lit(1), F.greatest(below, F.lit(0)).cast("int"))
+        rows = rows.withColumn("here", F.aggregate(here, F.lit(0).cast("long"), lambda a, b: a + b))
+        rows = _running(rows, "rest", F.col("here"), backwards=True).withColumn("rest", F.col("rest") - F.col("here"))
+        names = ["conv_id", "segment", "start", "key", "sizes", "stop", "leaf", "shared", "rest"]
+        sums = rows.select(*names).mapInArrow(trees(True), ROW)
+        sums = sums.groupBy("node").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
+
+        above = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+        found = join_per_key(nodes, above, ["parent"]).join(sums, "node").join(endings(rows), "node", "left")
+        found = found.select(
+            "node", "parent", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+            F.coalesce("ends_sha256", F.sha2(F.lit(bytearray()), 256)).alias("ends_sha256"),
+        )
+        return kept(found, "trie")
 
 
 #: The same rows for the registered query's table in DuckDB.

@@ -2,7 +2,7 @@
 
 Statistics of whole texts are transformed towards normal shape. Each class is a Gaussian with
 its own covariance, shrunk towards the pooled diagonal; the score comes from the difference
-of Mahalanobis log-densities, by triangular solves with Cholesky factors made once. Sums for
+of Mahalanobis log-densities, by Cholesky factors that are made and inverted once. Sums for
 the means and covariances run over all labelled rows, and a logistic curve fitted to counts
 of the differences turns them into probabilities.
 """
@@ -298,7 +298,7 @@ def quality(
     A null or empty text is scored like any other, from statistics of nothing. Without two
     labelled rows of each class every score is one half. Repeated rows get equal scores; a
     row with a null id is scored, never trained on. Scores depend on the text alone. Other
-    columns are left out.
+    columns are left out. An empty table gives no rows.
     """
     stats = materialise(document_statistics(docs, id_col, text_col), "quality-statistics")
     model = fit(training(stats, labels, id_col, label_col))

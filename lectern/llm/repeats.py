@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.suffixes import Hashes, mixed, repeated_places
 from lectern.operators.skew import join_per_key
-from lectern.session import materialise
+from lectern.session import materialise, scratch
 
 LENGTH = 400
 #: Bytes of an anchor gram.
@@ -304,7 +304,7 @@ class Repeats:
             # Rows that are equal have equal runs, however many they are.
             found = found.groupBy("key", "gram", "content").agg(F.any_value("run").alias("run"))
         rows = found.groupBy("key").agg(F.collect_list("run").alias("runs"))
-        return materialise(rows.select("key", cover("runs").alias("spans")), "repeat-spans")
+        return rows.select("key", cover("runs").alias("spans"))
 
 
 def kept_bytes(text: str | None, spans: list[dict] | None) -> bytes:
@@ -331,7 +331,8 @@ def without_repeats(
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = narrow.withColumn("key", F.xxhash64("id", "text"))
-    spans = Repeats(keyed.select("key", "text"), length, gram).spans()
+    with scratch(docs.sparkSession) as kept:
+        spans = kept(Repeats(keyed.select("key", "text"), length, gram).spans(), "repeat-spans")
 
     @F.arrow_udf("binary")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import components
 from lectern.operators.skew import join_per_key
-from lectern.session import materialise
+from lectern.session import materialise, scratch
 
 N_WORDS = 5
 #: Similarity in percent.
@@ -517,12 +517,18 @@ def shingle_join(
     empty table gives no rows.
     """
     key = row_key(F.col(id_col), docs.schema[id_col].dataType.simpleString(), F.col(text_col))
-    found = ShingleJoin(docs.select(key.alias("key"), F.col(text_col).alias("text")), n_words, percent).classes()
 
     def id_of(key: str) -> Column:
         return F.when(~F.col(key)["missing"], F.col(key)["id"])
 
-    return found.select(id_of("key").alias(id_col), F.col("n").alias("n_shingles"), id_of("component").alias("component_id"))
+    with scratch(docs.sparkSession) as kept:
+        found = ShingleJoin(docs.select(key.alias("key"), F.col(text_col).alias("text")), n_words, percent).classes()
+        return kept(
+            found.select(
+                id_of("key").alias(id_col), F.col("n").alias("n_shingles"), id_of("component").alias("component_id")
+            ),
+            "shingle-components",
+        )
 
 
 def one_of_each(
@@ -537,8 +543,9 @@ def one_of_each(
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = rows.withColumn("key", row_key(F.col("row")[id_col], kind, F.col("row")[text_col]))
-    found = ShingleJoin(rows.select("key", F.col("row")[text_col].alias("text")), n_words, percent).classes()
-    found = materialise(found.filter("n > 0"), "shingle-classes")
+    with scratch(docs.sparkSession) as kept:
+        found = ShingleJoin(rows.select("key", F.col("row")[text_col].alias("text")), n_words, percent).classes()
+        found = kept(found.filter("n > 0"), "shingle-classes")
 
     copies = few_keys(found.filter("component <> key").select("key").distinct())
     again = found.filter("component = key").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")

@@ -180,6 +180,7 @@ def token_counts(
 
     A null text counts as empty: no bytes, no tokens. Repeated rows, and rows with a null
     id, are counted each; other columns of ``docs`` are left out, so their names can't clash.
+    An empty table gives no rows.
     """
     counted = docs.select(
         F.col(id_col),

@@ -215,6 +215,7 @@ def filter_urls(
     it, from the URLs that rules decide. A null URL, or one without ``://``, has an empty host
     and path, fits no rule of a host, and is judged by the trees. With nothing to learn from,
     all is allowed. Repeated rows are judged each; other columns are left out.
+    An empty table gives no rows.
     """
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = narrow.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
