@@ -76,26 +76,31 @@ def vectors(column: pa.Array, width: int) -> np.ndarray:
 
 
 def in_order(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of ``q`` with the rows of ``x``, added from the first component on, as the
-    scores are."""
-    out = np.zeros(len(x))
-    for a, column in zip(q, x.T):
-        out += a * column
+    """Inner products along the last axis, added from the first component on, as the scores
+    are."""
+    out = np.zeros(np.broadcast_shapes(q.shape, x.shape)[:-1])
+    for j in range(x.shape[-1]):
+        out += q[..., j] * x[..., j]
     return out
 
 
-def highest(q: np.ndarray, x: np.ndarray, near: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the ``n`` rows nearest to ``q``, ties to the smaller id. ``near``
-    has their products but for rounding, and -inf for rows that don't count."""
-    at = np.flatnonzero(near > -np.inf)
-    if len(at) > n:
-        # All that rounding may have put on the wrong side of the n-th are scored in order.
-        cut = np.partition(near[at], len(at) - n)[len(at) - n]
-        slack = 1e-9 * (np.abs(q).sum() * np.abs(x).max() + abs(cut))
-        at = at[near[at] >= cut - slack]
-    scores = in_order(q, x[at])
-    best = np.lexsort((ids[at], -scores))[:n]
-    return at[best], scores[best]
+def highest(asked: np.ndarray, held: np.ndarray, near: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Row of ``asked``, place in ``held`` and score of the ``n`` rows nearest to each query,
+    ties to the smaller id. ``near`` has their products but for rounding, and -inf for rows
+    that don't count."""
+    n = min(n, near.shape[1])
+    best = np.argpartition(near, near.shape[1] - n, axis=1)[:, near.shape[1] - n :]
+    cut = np.take_along_axis(near, best[:, :1], axis=1)[:, 0]
+    # What rounding may have put on the wrong side of the n-th is looked at again.
+    slack = 1e-9 * np.abs(asked).sum(axis=1) * np.abs(held).max(initial=0)
+    least = np.where(np.isfinite(cut), cut - slack, np.inf)
+    for i in np.flatnonzero((near >= least[:, None]).sum(axis=1) > n):
+        at = np.flatnonzero(near[i] >= least[i])
+        best[i] = at[np.lexsort((ids[at], -in_order(asked[i], held[at])))][:n]
+    rows, places = np.repeat(np.arange(len(asked)), n), best.ravel()
+    kept = np.isfinite(near[rows, places])
+    rows, places = rows[kept], places[kept]
+    return rows, places, in_order(asked[rows], held[places])
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -231,14 +236,8 @@ def nearest(
         for i, buckets in enumerate(wanted["buckets"]):
             open_[i, buckets] = True
         scores[~open_[:, there["bucket"].to_numpy()]] = -np.inf
-        best = [highest(q, held, near, ids, keep) for q, near in zip(asked, scores)]
-        return pd.DataFrame(
-            {
-                "query": np.repeat(wanted["rep"].to_numpy(), [len(at) for at, _ in best]),
-                "rep": ids[np.concatenate([at for at, _ in best])],
-                "near": np.concatenate([near for _, near in best]),
-            }
-        )
+        rows, places, near = highest(asked, held, scores, ids, keep)
+        return pd.DataFrame({"query": wanted["rep"].to_numpy()[rows], "rep": ids[places], "near": near})
 
     found = (
         index.select(*cell, "bucket", "rep", "vec")
