@@ -75,12 +75,12 @@ def vectors(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def in_order(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products along the last axis, added from the first component on, as the scores
-    are."""
-    out = np.zeros(np.broadcast_shapes(q.shape, x.shape)[:-1])
-    for j in range(x.shape[-1]):
-        out += q[..., j] * x[..., j]
+def in_order(a: np.ndarray, rows: np.ndarray, b: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Inner products of rows of ``a`` with rows of ``b``, added from the first component on, as
+    the scores are. Both have a component in each row."""
+    out = np.zeros(len(rows))
+    for x, y in zip(a, b):
+        out += x[rows] * y[places]
     return out
 
 
@@ -88,19 +88,30 @@ def highest(asked: np.ndarray, held: np.ndarray, near: np.ndarray, ids: np.ndarr
     """Row of ``asked``, place in ``held`` and score of the ``n`` rows nearest to each query,
     ties to the smaller id. ``near`` has their products but for rounding, and -inf for rows
     that don't count."""
-    n = min(n, near.shape[1])
-    best = np.argpartition(near, near.shape[1] - n, axis=1)[:, near.shape[1] - n :]
-    cut = np.take_along_axis(near, best[:, :1], axis=1)[:, 0]
-    # What rounding may have put on the wrong side of the n-th is looked at again.
-    slack = 1e-9 * np.abs(asked).sum(axis=1) * np.abs(held).max(initial=0)
-    least = np.where(np.isfinite(cut), cut - slack, np.inf)
-    for i in np.flatnonzero((near >= least[:, None]).sum(axis=1) > n):
-        at = np.flatnonzero(near[i] >= least[i])
-        best[i] = at[np.lexsort((ids[at], -in_order(asked[i], held[at])))][:n]
+    by_component = np.ascontiguousarray(asked.T), np.ascontiguousarray(held.T)
+
+    def scored(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return in_order(by_component[0], rows, by_component[1], places)
+
+    # One more than asked for tells whether others are as near as the last one.
+    size = near.shape[1]
+    n, more = min(n, size), min(n + 1, size)
+    best = np.argpartition(near, size - more, axis=1)[:, size - more :]
+    values = np.take_along_axis(near, best, axis=1)
+    order = np.argsort(-values, axis=1)
+    best, values = (np.take_along_axis(a, order, axis=1) for a in (best, values))
+    best = best[:, :n].copy()
+    if more > n:
+        # What rounding may have put on the wrong side of the n-th is looked at again.
+        cut = values[:, n - 1]
+        least = cut - 1e-9 * np.abs(asked).sum(axis=1) * np.abs(held).max(initial=0)
+        for i in np.flatnonzero(np.isfinite(cut) & (values[:, n] >= least)):
+            at = np.flatnonzero(near[i] >= least[i])
+            best[i] = at[np.lexsort((ids[at], -scored(np.full(len(at), i), at)))][:n]
     rows, places = np.repeat(np.arange(len(asked)), n), best.ravel()
     kept = np.isfinite(near[rows, places])
     rows, places = rows[kept], places[kept]
-    return rows, places, in_order(asked[rows], held[places])
+    return rows, places, scored(rows, places)
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:

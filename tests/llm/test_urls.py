@@ -101,3 +101,22 @@ def test_empty(pages):
 def test_entropy(spark):
     row = spark.createDataFrame([("aabb", "")], "a string, b string")
     assert row.select(urls.entropy(row.a), urls.entropy(row.b)).first()[:] == (1.0, 0.0)
+
+
+def test_held_out_urls_of_the_rules(spark, docs):
+    """Trees that learn from three quarters of the URLs which rules decide, on the others: how
+    many of each label they judge as the rule does. A rule's language is a word of the path,
+    which no feature names, so what can be learnt is the look of hosts and paths."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct()
+    rows = rows.select("url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    fit = urls.fitting_rule(F.col("host"), F.col("path"), RULES)
+    rows = rows.withColumn("fit", fit).filter("fit IS NOT NULL")
+    rows = urls.featured(rows).withColumn("label", (F.col("fit")["verdict"] == "block").cast("int"))
+    rows = rows.withColumn("part", F.crc32(F.col("url").cast("binary")) % 4)
+    model = urls.fit(rows.filter("part <> 2"))
+    judged = urls.scored(rows.filter("part = 2"), model)
+    shares = judged.groupBy("label").agg(F.count("*").alias("n"), F.avg(((F.col("score") > 0.5).cast("int") == F.col("label")).cast("int")).alias("right"))
+    right = {r["label"]: (r["n"], r["right"]) for r in shares.collect()}
+    print("held-out URLs by label:", right)
+    assert min(n for n, _ in right.values()) > 50
+    assert min(share for _, share in right.values()) > 0.5
