@@ -96,7 +96,7 @@ def highest(asked: np.ndarray, held: np.ndarray, near: np.ndarray, ids: np.ndarr
     # One more than asked for tells whether others are as near as the last one.
     size = near.shape[1]
     n, more = min(n, size), min(n + 1, size)
-    best = np.argpartition(near, size - more, axis=1)[:, size - more :]
+    best = np.argpartition(-near, more - 1, axis=1)[:, :more]
     values = np.take_along_axis(near, best, axis=1)
     order = np.argsort(-values, axis=1)
     best, values = (np.take_along_axis(a, order, axis=1) for a in (best, values))
