@@ -242,12 +242,24 @@ def nearest(
         if not len(there) or not len(wanted):
             return pd.DataFrame({"query": [], "rep": [], "near": []})
         asked, held, ids = matrix(wanted["vec"]), matrix(there["vec"]), there["rep"].to_numpy()
-        scores = asked @ held.T
         open_ = np.zeros((len(wanted), 2 * width), bool)
         for i, buckets in enumerate(wanted["buckets"]):
             open_[i, buckets] = True
-        scores[~open_[:, there["bucket"].to_numpy()]] = -np.inf
-        rows, places, near = highest(asked, held, scores, ids, keep)
+        bucket = there["bucket"].to_numpy()
+        parts = []
+        for b in np.unique(bucket):
+            who, at = np.flatnonzero(open_[:, b]), np.flatnonzero(bucket == b)
+            if len(who):
+                rows, places, near = highest(asked[who], held[at], asked[who] @ held[at].T, ids[at], keep)
+                parts.append((who[rows], at[places], near))
+        if not parts:
+            return pd.DataFrame({"query": [], "rep": [], "near": []})
+        rows, places, near = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((ids[places], -near, rows))
+        rows, places, near = rows[order], places[order], near[order]
+        # A query's best over the buckets it looks in.
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < keep
+        rows, places, near = rows[first], places[first], near[first]
         return pd.DataFrame({"query": wanted["rep"].to_numpy()[rows], "rep": ids[places], "near": near})
 
     found = (
