@@ -40,6 +40,10 @@ CELL_BITS = 20
 CHUNK = 1 << 12
 #: Nodes of a component that are compared with a node at a time.
 BLOCK = 64
+#: Tokens that count as a node of a block, so that long sets make blocks of few nodes.
+NODE_TOKENS = 256
+#: List entries that are counted for a component in one row; more are counted as rows.
+ENTRIES = 1_000_000
 #: Bytes of texts whose words are hashed together.
 READ_BYTES = 500_000
 #: Keys of up to so many bytes in all are broadcast to pick documents; more are joined.
@@ -218,6 +222,9 @@ class ShingleJoin:
         self.spark = docs.sparkSession
         self.key_type = docs.schema["key"].dataType.simpleString()
         self.members, counts = self._read()
+        # The least key of each class of equal sets, added up before anything is joined by node.
+        firsts = self.members.filter("n > 0").groupBy("node").agg(F.min("key").alias("first"))
+        self.firsts = materialise(firsts, "shingle-firsts")
         self.classes_of_cells = self.spark.sparkContext.broadcast(token_classes(counts))
 
     def _read(self) -> tuple[DataFrame, np.ndarray]:
@@ -288,22 +295,24 @@ class ShingleJoin:
     def _shared(self) -> DataFrame:
         """``token, node, n`` of the tokens that lie in the prefixes of two documents or more,
         of which only one of each class of equal sets is read."""
-        one = self.members.filter("n > 0").groupBy("node").agg(F.min("key").alias("first"))
-        one = materialise(one, "shingle-firsts")
-        copies = self.members.filter("n > 0").join(one, "node").filter("key <> first").select("key").distinct()
+        copies = self.members.filter("n > 0").join(self.firsts, "node").filter("key <> first").select("key").distinct()
         docs = self.docs.join(few_keys(copies), "key", "left_anti")
         # What is joined is written first, so that both sides are plain and hot keys are split.
         tokens = self._postings(docs).groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1")
         tokens = materialise(tokens.select("token"), "shingle-tokens")
         return materialise(self._postings(docs).join(tokens, "token"), "shingle-postings")
 
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """``text`` of one document of each given node."""
+        chosen = self.firsts.join(nodes.select("node").distinct(), "node", "left_semi")
+        chosen = few_keys(chosen.select(F.col("first").alias("key")).distinct())
+        return self.docs.select("key", "text").join(chosen, "key", "left_semi").select("text")
+
     def _picked(self, nodes: DataFrame) -> DataFrame:
         """``node, n, bits, others, tokens``: sets of the given nodes, each read from one
         document, with their bitmaps and their prefixes in the further orders."""
         n_words, percent, classes = self.n_words, self.percent, self.classes_of_cells
-        chosen = self.members.filter("node IS NOT NULL").join(nodes.select("node").distinct(), "node", "left_semi")
-        chosen = few_keys(chosen.groupBy("node").agg(F.min("key").alias("key")).select("key").distinct())
-        docs = self.docs.select("key", "text").join(chosen, "key", "left_semi").select("text")
+        docs = self._texts(nodes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -401,7 +410,8 @@ class ShingleJoin:
         percent = self.percent
         nodes = found.select("node", "n").distinct().join(labels, "node", "left")
         nodes = materialise(nodes.withColumn("comp", F.coalesce("label", "node")).drop("label"), "shingle-nodes")
-        comps = nodes.groupBy("comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
+        weight = F.greatest(F.count("*"), F.ceil(F.sum("n") / NODE_TOKENS))
+        comps = nodes.groupBy("comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), weight.alias("size"))
         comps = materialise(comps, "shingle-comps")
 
         met = materialise(
@@ -453,7 +463,8 @@ class ShingleJoin:
     def _meetings(self, met: DataFrame) -> DataFrame:
         """``from, comp, size``: pairs of components that share tokens enough to have a link; the
         smaller one is first. Other components of a bucket come as lists, in blocks, and are
-        counted per component, so that pairs without room are never rows."""
+        counted per component, so that pairs without room are never rows; a component with very
+        many entries has them counted as rows, so that none gathers them all."""
         percent = self.percent
         block = F.pmod(F.hash("comp"), F.ceil(F.col("met") / BLOCK).cast("int")).alias("block")
         member = F.struct("comp", "size", "low", "high")
@@ -465,8 +476,18 @@ class ShingleJoin:
             & (F.col("high") * 100 >= o["low"] * percent)
             & (o["high"] * 100 >= F.col("low") * percent),
         )
-        lists = met.join(blocks, "token").select("comp", "low", "high", larger.alias("others"))
-        lists = lists.filter(F.size("others") > 0).groupBy("comp", "low", "high").agg(F.collect_list("others").alias("lists"))
+        entries = met.groupBy("comp").agg(F.sum("met").alias("entries")).filter(F.col("entries") > ENTRIES)
+        many = materialise(entries.select("comp"), "shingle-many")
+
+        def others_of(part: DataFrame) -> DataFrame:
+            return part.join(blocks, "token").select("comp", "low", "high", larger.alias("others")).filter(F.size("others") > 0)
+
+        rows = others_of(met.join(many, "comp")).select("comp", "low", "high", F.explode("others").alias("to"))
+        rows = rows.groupBy("comp", "low", "high", "to").agg(F.count("*").alias("common"))
+        fits = self._room(F.col("common"), F.col("low"), F.col("high"), F.col("to.low"), F.col("to.high"))
+        rows = rows.filter(fits).select(F.col("comp").alias("from"), "to.comp", "to.size")
+        lists = others_of(met.join(many, "comp", "left_anti")).groupBy("comp", "low", "high")
+        lists = lists.agg(F.collect_list("others").alias("lists"))
 
         @F.arrow_udf("array<struct<comp:long,size:long>>")
         def with_room(low: pa.Array, high: pa.Array, lists: pa.Array) -> pa.Array:
@@ -481,13 +502,13 @@ class ShingleJoin:
             return pa.array(out, pa.list_(pa.struct([("comp", pa.int64()), ("size", pa.int64())])))
 
         found = lists.select(F.col("comp").alias("from"), F.explode(with_room("low", "high", "lists")).alias("to"))
-        return found.select("from", "to.comp", "to.size")
+        return found.select("from", "to.comp", "to.size").unionByName(rows)
 
     def classes(self) -> DataFrame:
         """``key, n, component``: for each document the least key it reaches by links, itself
         included, which is its own without a set."""
         labels = materialise(components(self.links()), "shingle-components")
-        least = self.members.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
+        least = self.firsts.withColumnRenamed("first", "key")
         least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = materialise(least, "shingle-least")
         component = materialise(least.groupBy("label").agg(F.min("key").alias("component")), "shingle-component")

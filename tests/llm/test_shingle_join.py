@@ -67,6 +67,24 @@ def test_blocks_and_many_copies(docs, monkeypatch):
     compare(docs, corpus(7, 60))
 
 
+def passages(seed, n):
+    """Texts put together from a few passages, which many share, and near copies of some."""
+    rng = random.Random(seed)
+    parts = [" ".join(f"p{i}w{j}" for j in range(10)) for i in range(12)]
+    texts = [" ".join(parts[i] for i in sorted(rng.sample(range(12), 4))) for _ in range(n)]
+    texts += [t + " end" * (i % 4) for i, t in enumerate(texts[: n // 3])]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("entries", [0, 300])
+def test_entries_counted_as_rows(docs, monkeypatch, entries):
+    monkeypatch.setattr(sj, "ENTRIES", entries)
+    monkeypatch.setattr(sj, "NODE_TOKENS", 16)
+    # Without counts tokens come by their hashes alone, so that common ones are in prefixes.
+    monkeypatch.setattr(sj, "token_classes", lambda counts: np.zeros(len(counts), np.uint64))
+    compare(docs, passages(5, 250))
+
+
 def test_one_of_each(docs):
     rows = [(4, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (9, None), (9, None), (1, "x y"), (None, "x y")]
     kept = sj.one_of_each(docs(rows))
