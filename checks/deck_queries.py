@@ -13,7 +13,7 @@ from lectern.functions import fixed, prompts
 from lectern.functions.text import concept_topic, topic_of
 from lectern.operators import context, decks, hooks, quiz
 from lectern.plans import explain
-from lectern.session import fresh_path
+from lectern.session import fresh_path, scratch
 from lectern.sources.decks import Decks, export_images, ingest_decks, parse_decks, read_decks, stage_decks, staged_rows
 
 # --- decks ---------------------------------------------------------------------------
@@ -141,14 +141,10 @@ def _deck_folder(spark: SparkSession, folder: str) -> str:
     no decks."""
     files = deck_files(spark, folder)
     even = F.regexp_extract("path", "([0-9]+)$", 1).cast("int") % 2 == 0
-    named = files.select(
-        F.col("path").alias("deck"),
-        F.concat("path", F.when(even, ".pptx").otherwise(".PPTX")).alias("image_path"),
-        "content",
-    )
-    others = named.withColumn("image_path", F.concat("deck", F.lit(".txt")))
+    names = F.array(F.concat("path", F.when(even, ".pptx").otherwise(".PPTX")), F.concat("path", F.lit(".txt")))
+    named = files.select(F.col("path").alias("deck"), F.explode(names).alias("image_path"), "content")
     out = fresh_path(spark, "deck-files")
-    export_images(named.unionByName(others), out)
+    export_images(named, out)
     return out
 
 
@@ -166,7 +162,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("read_deck_files_in_shares", DECK_FILES, workers=True)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     """The same with nearly every file cut into shares, as large ones are."""
-    return _deck_counts(staged_rows(read_decks(spark, _deck_folder(spark, folder), piece_bytes=10_000)))
+    with scratch(spark):
+        staged = staged_rows(read_decks(spark, _deck_folder(spark, folder), piece_bytes=10_000))
+    return _deck_counts(staged)
 
 
 STORED_PATH = "printf('slide%03d_%s.png', first_slide, sha1)"

@@ -1,7 +1,7 @@
 """The data source ``decks``: files of any size as rows of slides.
 
-A partition is some small files or a share of a large one's slides. Archives are read by
-range, from where they are: the listing at their end, then the entries of one slide after the
+A partition is some small files or a share of a large one's slides; shares of few bytes are
+read one after the other in one partition. Archives are read by range, from where they are: the listing at their end, then the entries of one slide after the
 other. So a task holds a slide, whatever the size of its deck, and the slides of a large deck
 are spread over tasks.
 """
@@ -9,7 +9,7 @@ are spread over tasks.
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -23,6 +23,8 @@ from lectern.schemas import DECK_ROW
 
 #: Larger files are cut into shares of about this size, smaller ones read together up to it.
 PIECE_BYTES = 64 << 20
+#: Smaller partitions are joined up to ``PIECE_BYTES`` while there are so many times the least.
+ROUNDS = 4
 #: Rows go to Spark in batches of this size.
 BATCH_SLIDES = 200
 BATCH_BYTES = 16 << 20
@@ -95,6 +97,23 @@ def dealt(files: list[Share], piece: int, least: int) -> list[list[Share]]:
     return [*out, held] if held else out
 
 
+def joined(parts: list[list[Share]], least: int) -> list[list[Share]]:
+    """Partitions of few bytes taken together in their order, so that their number follows the
+    bytes, not the size of shares: up to ``PIECE_BYTES``, and less for ``ROUNDS * least``."""
+    sizes = [sum(s.size / s.of for s in part) for part in parts]
+    most = min(PIECE_BYTES, sum(sizes) / (ROUNDS * max(least, 1)))
+    out: list[list[Share]] = []
+    held = 0.0
+    for part, size in zip(parts, sizes):
+        if out and held + size <= most:
+            out[-1].extend(part)
+            held += size
+        else:
+            out.append(list(part))
+            held = size
+    return out
+
+
 def batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
     """Deck rows in batches of bounded size."""
     schema = to_arrow_schema(DECK_ROW)
@@ -110,7 +129,7 @@ def batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
 
 
 class DeckReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: Mapping[str, str]):
         self.path = options["path"]
         self.piece = int(options.get("pieceBytes", PIECE_BYTES))
         self.least = int(options.get("leastPartitions", 1))
@@ -119,7 +138,8 @@ class DeckReader(DataSourceReader):
     def partitions(self) -> list[Shares]:
         wanted = {"all": lambda f: True, "whole": lambda f: f.size <= self.piece, "cut": lambda f: f.size > self.piece}
         files = [f for f in listed(self.path) if wanted[self.which](f)]
-        return [Shares(shares) for shares in dealt(files, self.piece, self.least)] or [Shares([])]
+        parts = joined(dealt(files, self.piece, self.least), self.least)
+        return [Shares(shares) for shares in parts] or [Shares([])]
 
     def read(self, partition: Shares) -> Iterator[pa.RecordBatch]:
         from lectern.sources.decks import slides_of
@@ -150,4 +170,5 @@ class DeckSource(DataSource):
         return DECK_ROW
 
     def reader(self, schema: StructType) -> DeckReader:
-        return DeckReader(dict(self.options))
+        # Not as a plain dict, whose names would be in lower case.
+        return DeckReader(self.options)

@@ -25,7 +25,7 @@ from lectern.functions.pictures import picture_size
 from lectern.operators.decks import deck_blobs, deck_images, quarantine, slides_with_images
 from lectern.operators.skew import join_per_key
 from lectern.schemas import DECK_ROW
-from lectern.session import fresh_path, materialise
+from lectern.session import file_batches, fresh_path, materialise, scratch
 from lectern.sources.deck_source import PIECE_BYTES, DeckSource, batches, listed, reachable
 
 log = logging.getLogger(__name__)
@@ -311,7 +311,8 @@ def staged_rows(rows: DataFrame, path: str | None = None) -> Decks:
     images, image bytes and errors read from there (each with its own columns only)."""
     spark = rows.sparkSession
     path = path or fresh_path(spark, "decks")
-    rows.write.mode("overwrite").parquet(path)
+    with file_batches(spark):
+        rows.write.mode("overwrite").parquet(path)
     rows = spark.read.schema(DECK_ROW).parquet(path)
     return Decks(slides_with_images(rows), deck_images(rows), deck_blobs(rows), quarantine(rows))
 
@@ -323,7 +324,8 @@ def stage_decks(files: DataFrame, path: str | None = None) -> Decks:
 
 def ingest_decks(spark: SparkSession, source: str, path: str | None = None) -> Decks:
     """All decks below ``source``."""
-    return staged_rows(read_decks(spark, source), path)
+    with scratch(spark):
+        return staged_rows(read_decks(spark, source), path)
 
 
 def export_images(blobs: DataFrame, folder: str) -> DataFrame:
@@ -344,4 +346,5 @@ def export_images(blobs: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(files, pa.string())], ["deck", "image_path", "file"])
 
     written = blobs.select("deck", "image_path", "content").mapInArrow(write, "deck string, image_path string, file string")
-    return materialise(written, "exported")
+    with file_batches(blobs.sparkSession):
+        return materialise(written, "exported")

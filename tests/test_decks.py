@@ -4,6 +4,7 @@ import random
 import struct
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks.deck_files import bmp, deck_bytes, gif, group, jpeg, picture, png, table_frame, text_box
@@ -11,7 +12,8 @@ from lectern.functions import fixed
 from lectern.functions.pictures import picture_size
 from lectern.operators import decks
 from lectern.operators.decks import quarantine
-from lectern.sources.deck_source import Share, dealt
+from lectern.session import file_batches
+from lectern.sources.deck_source import PIECE_BYTES, DeckSource, Share, dealt, joined
 from lectern.sources.decks import deck_files, export_images, ingest_decks, parse_decks, read_decks, slides_of
 
 PHOTO = png(120, 60)
@@ -275,3 +277,58 @@ def test_files_are_dealt_by_size():
         [("2", 0, 3)], [("2", 1, 3)], [("2", 2, 3)], [("0", 0, 1), ("1", 0, 1), ("3", 0, 1), ("4", 0, 1)], [("5", 0, 1)],
     ]
     assert dealt([], 100, 4) == [] and len(dealt([Share("a", 0)], 100, 4)) == 1
+
+
+def test_options_of_the_source_hold(spark, tmp_path):
+    """Shares are as large as asked for, and files above the usual size are not lost."""
+    (tmp_path / "long.pptx").write_bytes(many_slides())
+    size = (tmp_path / "long.pptx").stat().st_size
+    spark.dataSource.register(DeckSource)
+
+    def read(piece, which="all"):
+        reader = spark.read.format("decks").option("pieceBytes", piece).option("leastPartitions", 4)
+        return reader.option("which", which).load(str(tmp_path))
+
+    assert read(size // 8).rdd.getNumPartitions() == 9
+    assert read(size // 8, "cut").count() == read(size, "whole").count() == 40
+    assert read(size // 8, "whole").count() == read(size, "cut").count() == 0
+
+
+def test_small_shares_are_joined():
+    parts = dealt([Share("a", 100_000), Share("b", 50)], 100, 2)
+    assert len(parts) == 1_001
+    got = joined(parts, 2)
+    assert [s for part in got for s in part] == [s for part in parts for s in part] and len(got) == 9
+    assert all(sum(s.size / s.of for s in part) <= 100_050 / 8 for part in got)
+    large = dealt([Share("a", 20 * PIECE_BYTES)], PIECE_BYTES, 4)
+    assert joined(large, 1) == large and joined([], 4) == []
+    many = joined(dealt([Share("a", 20 * PIECE_BYTES)], 10_000, 4), 1)
+    assert 20 <= len(many) <= 21
+
+
+def test_whole_files_reach_python_in_short_batches(spark, tmp_path):
+    """Sizes of the batches that a job inside is handed, beside those of one outside."""
+    files = spark.range(0, 40, 1, 1).select(F.expr("cast(repeat('x', 1000000) as binary)").alias("content"))
+
+    def taken(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    def largest():
+        return files.mapInArrow(taken, "n long").agg(F.max("n")).first()[0]
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with file_batches(spark):
+        inside = largest()
+        with file_batches(spark, 1):
+            assert largest() < 2_000_000
+    assert inside < 11_000_000 < largest() and spark.conf.get(name) == before
+    spark.conf.set(name, "1m")
+    try:
+        with file_batches(spark):
+            assert largest() < 3_000_000
+    finally:
+        spark.conf.set(name, before)
+    out = export_images(files.select(F.lit("d").alias("deck"), F.expr("uuid()").alias("image_path"), "content"), str(tmp_path / "f"))
+    assert out.count() == 40 and spark.conf.get(name) == before
