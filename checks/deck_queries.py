@@ -14,7 +14,7 @@ from lectern.functions.text import concept_topic, topic_of
 from lectern.operators import context, decks, hooks, quiz
 from lectern.plans import explain
 from lectern.session import fresh_path, scratch
-from lectern.sources.decks import Decks, export_images, ingest_decks, parse_decks, read_decks, stage_decks, staged_rows
+from lectern.sources.decks import Decks, export_images, ingest_decks, parse_decks, read_decks, stage_decks, staged_rows, stored_sizes
 
 # --- decks ---------------------------------------------------------------------------
 
@@ -412,10 +412,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     captioned = hooks.caption_images(staged.images, make, blobs=staged.blobs)
     out = fresh_path(spark, "pictures")
     files = export_images(staged.blobs, out)
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out)
-    sizes = sizes.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("name"), "length")
-    named = files.select("deck", "image_path", F.regexp_extract("file", "([^/]+/[^/]+)$", 1).alias("name"))
-    written = named.join(sizes, "name").select("deck", "image_path", F.col("length").alias("file_bytes"))
+    written = stored_sizes(files, out).select("deck", "image_path", "file_bytes")
     return captioned.join(written, ["deck", "image_path"]).select("deck", "slide_number", "caption", "file_bytes")
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.functions.pictures import picture_size
 from lectern.operators.decks import deck_blobs, deck_images, quarantine, slides_with_images
@@ -328,13 +329,18 @@ def ingest_decks(spark: SparkSession, source: str, path: str | None = None) -> D
         return staged_rows(read_decks(spark, source), path)
 
 
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or path, and the path in it."""
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+
+
 def export_images(blobs: DataFrame, folder: str) -> DataFrame:
     """Write stored pictures (``deck, image_path, content``) as files below ``folder``, a URI or
     path all executors reach, one folder per deck; gives ``deck, image_path, file``. A task
     that runs again writes the same files again."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        store, root = _store(folder)
         for batch in batches:
             files = []
             for deck, path, content in zip(*(batch.column(i) for i in range(3))):
@@ -348,3 +354,19 @@ def export_images(blobs: DataFrame, folder: str) -> DataFrame:
     written = blobs.select("deck", "image_path", "content").mapInArrow(write, "deck string, image_path string, file string")
     with file_batches(blobs.sparkSession):
         return materialise(written, "exported")
+
+
+def stored_sizes(files: DataFrame, folder: str) -> DataFrame:
+    """``file_bytes`` of each ``file`` of ``export_images`` below ``folder``, as it is stored; files
+    that are gone are left out. Tasks ask the store for their own files: a listing, as Spark makes
+    it to read a folder, is held by the driver with all files of it."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _store(folder)
+        for batch in batches:
+            found = store.get_file_info(batch.column("file").to_pylist())
+            sizes = pa.array([f.size if f.is_file else None for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sizes], [*batch.schema.names, "file_bytes"])
+
+    schema = StructType([*files.schema.fields, StructField("file_bytes", LongType())])
+    return files.mapInArrow(look, schema).filter("file_bytes IS NOT NULL")

@@ -8,13 +8,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks.deck_files import bmp, deck_bytes, gif, group, jpeg, picture, png, table_frame, text_box
+from checks.registry import ENTRIES
 from lectern.functions import fixed
 from lectern.functions.pictures import picture_size
 from lectern.operators import decks
 from lectern.operators.decks import quarantine
 from lectern.session import file_batches
 from lectern.sources.deck_source import PIECE_BYTES, DeckSource, Share, dealt, joined
-from lectern.sources.decks import deck_files, export_images, ingest_decks, parse_decks, read_decks, slides_of
+from lectern.sources.decks import deck_files, export_images, ingest_decks, parse_decks, read_decks, slides_of, stored_sizes
 
 PHOTO = png(120, 60)
 IMAGES = "deck string, slide_number int, ordinal int, image_path string"
@@ -204,6 +205,34 @@ def test_pictures_as_files(spark, tmp_path):
     assert {(r["deck"], r["image_path"]): Path(r["file"]).read_bytes() for r in files} == stored
 
 
+def test_sizes_of_stored_pictures(spark, tmp_path):
+    """As they are stored now, by path and by URI; what is gone is left out."""
+    rows = [("d1", f"a{n}.png", b"x" * n) for n in range(300)] + [("d2", "a 1%.png", b"yy"), ("d2", "gone.png", b"z")]
+    blobs = spark.createDataFrame(rows, "deck string, image_path string, content binary")
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        files = export_images(blobs, folder)
+        at = {(r["deck"], r["image_path"]): Path(r["file"]) for r in files.collect()}
+        at["d2", "gone.png"].unlink()
+        at["d1", "a7.png"].write_bytes(b"x" * 9000)
+        want = {(d, p): len(c) for d, p, c in rows if p != "gone.png"} | {("d1", "a7.png"): 9000}
+        got = [(r["deck"], r["image_path"], r["file_bytes"]) for r in stored_sizes(files, folder).collect()]
+        assert sorted(got) == sorted((*k, n) for k, n in want.items())
+
+
+def test_captioned_pictures_are_not_listed(spark, tmp_path):
+    """The driver knows of no picture file: what the query reads are tables only."""
+    docs = [(i, f"text {i}", "en" if i % 2 else "fr", "src1", 6) for i in range(60)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = ENTRIES["caption_ingested_pictures"].run(spark, str(tmp_path))
+    head = (("png", 24), ("gif", 10), ("jpg", 45), ("bmp", 26))
+    want = [(f"deck{i // 12}", i % 12 + 1, 2 + head[i % 3 - 1 + i // 3 % 2 * 2][1]) for i in range(60) if i % 3]
+    got = [(r["deck"], r["slide_number"], r["file_bytes"]) for r in found.collect()]
+    assert sorted(got) == sorted(want)
+    assert all(r["caption"] == f"picture of {r['file_bytes']} bytes" for r in found.collect())
+    assert found.inputFiles() and all(f.endswith(".parquet") for f in found.inputFiles())
+
+
 def many_slides(n=40):
     """Pictures repeat over the whole deck, so copies lie in different shares."""
     return deck_bytes(
